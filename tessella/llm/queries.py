@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, line_dedup, mixing, token_counts, url_filter
+from tessella.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, token_counts, url_filter, warc
+from tessella.llm.common import shared_dir
 
 #: The rules of op7.
 URL_RULES = [
@@ -33,10 +35,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -51,7 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_quality_knn": op6_quality_knn,
     "op7_url_filter": op7_url_filter,
+    "op8_warc_archive": op8_warc_archive,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
@@ -100,6 +120,16 @@ met AS (
          row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
   FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM met WHERE k = 1
+""",
+    "op8_warc_archive": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+j AS (SELECT page_id, t, max(page_id) OVER (PARTITION BY t) AS best FROM p),
+bits AS (SELECT page_id, t, best, bit_string AS b FROM (SELECT *, CAST(unhex(sha1(t)) AS BIT)::VARCHAR AS bit_string FROM j))
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(b, CAST(i * 5 + 1 AS BIGINT), 5)) AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM bits
 """,
     "op9_line_dedup": f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
