@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, token_counts, url_filter, warc
+from tessella.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, substring_dedup, token_counts, url_filter, warc
 from tessella.llm.common import shared_dir
 
 #: The rules of op7.
@@ -39,6 +39,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_knn": op6_quality_knn,
     "op7_url_filter": op7_url_filter,
     "op8_warc_archive": op8_warc_archive,
@@ -108,6 +113,18 @@ WITH norm AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM doc
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM norm
+""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 34], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+rec AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS pos FROM win WHERE t IN (SELECT t FROM rec)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (
+  SELECT words.doc_id, count(cov.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (cov.pos IS NULL), '') AS t
+  FROM words LEFT JOIN cov ON words.doc_id = cov.doc_id AND words.pos = cov.pos GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op7_url_filter": r"""
 WITH parts AS (
