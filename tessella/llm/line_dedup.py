@@ -107,14 +107,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col:
     ``min_chars`` code points or more lose their lines in every document but that with the
     smallest id.  A null or empty text is one empty line and becomes "".  Rows with a null
     id come after all ids and never hold a line back from others; rows that repeat an id
-    are one document as far as keys are concerned.  Other columns are kept.
+    are one document as far as keys are concerned.  Other columns are kept; n_lines and
+    n_dropped of the input are replaced.
     """
-    dropped = dropped_lines(docs, min_chars, batches, id_col, text_col)
+    found = dropped_lines(docs, min_chars, batches, id_col, text_col)
+    dropped = found.select(*[F.col(c).alias(f"_line_dedup{c}") for c in found.columns])
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].eqNullSafe(dropped["_id"]) & (F.xxhash64(text) == dropped["_text_hash"])
+    same = docs[id_col].eqNullSafe(dropped["_line_dedup_id"]) & (F.xxhash64(text) == dropped["_line_dedup_text_hash"])
     met = docs.join(dropped, same, "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    kept = F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return met.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    lines, gone = F.split(text, "\n", -1), F.col("_line_dedup_dropped")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+    out = [kept.alias(c) if c == text_col else docs[c] for c in columns]
+    return met.select(*out, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
