@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,64 +44,81 @@ class _Words(dict):
         return n
 
 
+#: A worker process keeps it from group to group.
+_WORDS = _Words()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-def _runs(words: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, by joining runs of powers of two."""
-    with np.errstate(over="ignore"):
-        power, out, width = _mix(words + _U(seed)), None, 1
-        done = 0
-        while True:
-            if size & width:
-                if out is None:
-                    out = power[done : len(words) - size + done + 1] if done else power[: len(words) - size + 1]
-                else:
-                    out = _mix(out * _U(3) + power[done : done + len(out)])
-                done += width
-            if width * 2 > size:
-                return out
-            power = _mix(power[: len(power) - width] * _U(3) + power[width:])
-            width *= 2
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base, pow(base, -1, 2**64)
+        self.up = self.down = np.ones(1, _U)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            with np.errstate(over="ignore"):
+                size = len(self.up)
+                self.up = np.r_[self.up, self.up * _U(pow(self.base, size, 2**64))]
+                self.down = np.r_[self.down, self.down * _U(pow(self.inverse, size, 2**64))]
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = (_Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F))
 
 
 class Doc:
     """The words of one text and the phrases that stand for its windows."""
 
-    def __init__(self, text: bytes, hashes: _Words, window: int) -> None:
-        self.words = text.split()
-        n = self.n_windows = max(0, len(self.words) - window + 1)
+    def __init__(self, text: bytes, window: int) -> None:
+        words = self.words = text.split()
+        n = self.n_windows = max(0, len(words) - window + 1)
         if not n:
             return
-        self.hashes = np.fromiter((hashes[w] for w in self.words), _U, len(self.words))
-        self.phrases = _runs(self.hashes, PHRASE, 1)
-        # the leftmost smallest phrase of each window
-        own = np.lib.stride_tricks.sliding_window_view(self.phrases, window - PHRASE + 1).argmin(1) + np.arange(n)
+        h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+        # sums of words times powers: any run of words has its digest from two of them
+        self.sums = []
+        for powers, x in zip(_POWERS, (h, (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)), strict=True):
+            sums = np.zeros(len(words) + 1, _U)
+            np.cumsum(x * powers.upto(len(words))[0], out=sums[1:])
+            self.sums.append(sums)
+        starts = slice(0, len(words) - PHRASE + 1)
+        phrases = _mix((self.sums[0][PHRASE:] - self.sums[0][: -PHRASE]) * _POWERS[0].upto(len(words))[1][starts])
+        # the leftmost smallest phrase of each window, from runs of phrases twice as long each time
+        width, size = 1, window - PHRASE + 1
+        least, own = phrases, np.arange(len(phrases))
+        while width < size:
+            step = min(width, size - width)
+            behind = least[step:] < least[:-step]
+            own = np.where(behind, own[step:], own[:-step])
+            least = np.where(behind, least[step:], least[:-step])
+            width += step
         # windows in a row with one minimizer are a span: its phrase, first and last window
-        self.first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        self.last = np.r_[self.first[1:], n] - 1
+        self.first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        self.last = np.concatenate([self.first[1:], [n]]) - 1
         self.at = own[self.first]
+        self.phrase = phrases[self.at]
         self.window = window
 
+    def _digests(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray | int) -> list[np.ndarray]:
+        down = [p.upto(len(self.words))[1] for p in _POWERS]
+        return [_mix((s[stop] - s[start]) * d[start] + np.asarray(salt, _U)) for s, d in zip(self.sums, down, strict=True)]
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each span its phrase's hash and a 128-bit digest of phrase, place and words."""
-        with np.errstate(over="ignore"):
-            out = []
-            for seed in (11, 12):
-                # words of a span: hash of its first and last window and of how they lie, which
-                # together hold all words since they overlap the phrase between them
-                h = _runs(self.hashes, self.window, seed)
-                place = ((self.at - self.first).astype(_U) << _U(32)) | (self.last - self.first).astype(_U)
-                out.append(_mix(_mix(h[self.first] * _U(3) + h[self.last]) + _mix(place + _U(seed))))
-        return self.phrases[self.at], *out
+        """For each span its phrase's hash and a 128-bit digest of its words and of where the phrase lies."""
+        place = ((self.at - self.first).astype(_U) << _U(32)) + (self.last - self.first + 1).astype(_U)
+        return self.phrase, *self._digests(self.first, self.last + self.window, place * _U(0x94D049BB133111EB))
 
     def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and 128-bit digest of each window of the given spans."""
         starts = np.concatenate([np.arange(self.first[i], self.last[i] + 1) for i in spans]) if len(spans) else np.zeros(0, np.int64)
-        return starts, *(_runs(self.hashes, self.window, seed)[starts] for seed in (21, 22))
+        return starts, *self._digests(starts, starts + self.window, 0)
 
 
 def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -125,10 +141,10 @@ _SPANS = ["phrase", "d1", "d2", "shard", "n"]
 
 def _count_spans(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Words(), [], 0
+        held, size = [], 0
         for b in batches:
             for text, shard in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc = Doc(text, hashes, window)
+                doc = Doc(text, window)
                 if doc.n_windows:
                     spans = doc.spans()
                     held.append([*spans, np.full(len(spans[0]), shard), np.ones(len(spans[0]), np.int64)])
@@ -185,10 +201,10 @@ def _recurring_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 class _Known:
     """Digests of a shard with their kinds."""
 
-    def __init__(self, frame: pd.DataFrame) -> None:
-        d1 = frame["d1"].to_numpy(np.int64)
+    def __init__(self, table: pa.Table) -> None:
+        d1, d2, kind = (table.column(c).to_numpy() for c in ("d1", "d2", "kind"))
         order = np.argsort(d1, kind="stable")
-        self.d1, self.d2, self.kind = d1[order], frame["d2"].to_numpy(np.int64)[order], frame["kind"].to_numpy(np.int64)[order]
+        self.d1, self.d2, self.kind = d1[order], d2[order], kind[order]
 
     def kinds(self, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
         """The kind of each digest, 0 where unknown."""
@@ -210,22 +226,25 @@ class _Known:
 _KEYED = "d1 long, d2 long, shard long, n long"
 
 
+def _texts(docs: pa.Table) -> list[bytes]:
+    return docs.column("text").cast(pa.binary()).to_pylist()
+
+
 def _count_windows(window: int):
-    def count(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        hashes, known, held = _Words(), _Known(spans), []
-        if len(spans):
-            for text in docs["text"]:
-                doc = Doc(text.encode(), hashes, window)
-                if doc.n_windows:
-                    _, d1, d2 = doc.spans()
-                    kinds = known.kinds(d1, d2)
-                    _, w1, w2 = doc.windows(np.flatnonzero(kinds & 2))
-                    # a window of a confirmed span occurs elsewhere, too
-                    twice = np.repeat(kinds[kinds & 2 > 0] & 1, (doc.last - doc.first + 1)[kinds & 2 > 0])
-                    held.append([w1, w2, np.ones(len(w1), np.int64) + twice])
-        shard = int(docs["shard"].iloc[0]) if len(docs) else 0
+    def count(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        known, held = _Known(spans), []
+        for text in _texts(docs) if spans.num_rows else ():
+            doc = Doc(text, window)
+            if doc.n_windows:
+                _, d1, d2 = doc.spans()
+                kinds = known.kinds(d1, d2)
+                _, w1, w2 = doc.windows(np.flatnonzero(kinds & 2))
+                # a window of a confirmed span occurs elsewhere, too
+                twice = np.repeat(kinds[kinds & 2 > 0] & 1, (doc.last - doc.first + 1)[kinds & 2 > 0])
+                held.append([w1, w2, np.ones(len(w1), np.int64) + twice])
+        shard = docs.column("shard")[0].as_py() if docs.num_rows else 0
         d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)]) if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
-        return pd.DataFrame({"d1": d1.view(np.int64), "d2": d2.view(np.int64), "shard": np.full(len(n), shard), "n": n})
+        return pa.Table.from_batches([_batch([d1, d2, np.full(len(n), shard), n], ["d1", "d2", "shard", "n"])])
 
     return count
 
@@ -237,33 +256,28 @@ def _phrase_positions(doc: Doc, automaton) -> np.ndarray:
     if not ends:
         return np.zeros(0, np.int64)
     # a phrase ends with the space behind its last word
-    lengths = np.fromiter((len(w.decode()) + 1 for w in doc.words), np.int64, len(doc.words))
-    return np.searchsorted(np.cumsum(lengths), np.array(ends)) - (PHRASE - 1)
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+    return np.searchsorted(spaces, np.array(ends)) - PHRASE
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def _remove(window: int):
-    def remove(docs: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
-        hashes, known = _Words(), _Known(confirmed)
-        automaton, texts = ahocorasick.Automaton(), [t.encode() for t in docs["text"]]
-        if len(known.d1):
-            for text in texts:  # the phrases of the shard's confirmed passages
-                doc = Doc(text, hashes, window)
-                if doc.n_windows:
-                    for i in np.flatnonzero(known.kinds(*doc.spans()[1:])):
-                        automaton.add_word(" " + b" ".join(doc.words[doc.at[i] : doc.at[i] + PHRASE]).decode() + " ", 1)
-            if len(automaton):
-                automaton.make_automaton()
-        rows = []
-        for doc_id, text in zip(docs["doc_id"], texts, strict=True):
-            doc = Doc(text, hashes, window)
+    def remove(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+        known = _Known(confirmed)
+        automaton, made = ahocorasick.Automaton(), [Doc(t, window) for t in _texts(docs)]
+        kinds_of = [known.kinds(*doc.spans()[1:]) if doc.n_windows and len(known.d1) else np.zeros(0, np.int64) for doc in made]
+        for doc, kinds in zip(made, kinds_of, strict=True):  # the phrases of the shard's confirmed passages
+            for at in doc.at[np.flatnonzero(kinds)] if len(kinds) else ():
+                automaton.add_word(f" {b' '.join(doc.words[at : at + PHRASE]).decode()} ", 1)
+        if len(automaton):
+            automaton.make_automaton()
+        n_removed, texts = [], []
+        for doc, kinds in zip(made, kinds_of, strict=True):
             covered = np.zeros(len(doc.words) + 1, np.int64)
             if doc.n_windows and len(automaton):
                 hit = np.flatnonzero(np.isin(doc.at, _phrase_positions(doc, automaton)))
-                _, d1, d2 = doc.spans()
-                kinds = known.kinds(d1, d2)
                 for i in hit[kinds[hit] & 1 > 0]:
                     covered[doc.first[i]] += 1
                     covered[doc.last[i] + window] -= 1
@@ -273,9 +287,10 @@ def _remove(window: int):
                 np.add.at(covered, starts + window, -1)
             gone = np.cumsum(covered)[:-1] > 0
             kept = b" ".join(w for w, g in zip(doc.words, gone, strict=True) if not g) if gone.any() else b" ".join(doc.words)
-            rows.append((doc_id, len(doc.words), int(gone.sum()), kept.decode()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
-        return out.astype({"doc_id": "Int64"})
+            n_removed.append(int(gone.sum()))
+            texts.append(kept)
+        columns = [docs.column("doc_id"), pa.array([len(d.words) for d in made], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+        return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     return remove
 
@@ -300,10 +315,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long")
     spans = materialize(counted.repartition(F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long"), "repeat-spans")
-    windows = rows.groupBy("shard").cogroup(spans.where("kind >= 2").groupBy("shard")).applyInPandas(_count_windows(window), _KEYED)
+    windows = rows.groupBy("shard").cogroup(spans.where("kind >= 2").groupBy("shard")).applyInArrow(_count_windows(window), _KEYED)
     fine = windows.repartition(F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
     confirmed = spans.unionByName(materialize(fine, "repeat-windows"))
-    return rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(_remove(window), _RESULT)
+    return rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(window), _RESULT)
 
 
 def removal_digest(removed: DataFrame) -> DataFrame:
