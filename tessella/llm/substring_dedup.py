@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +33,6 @@ GATHERED = 1_000_000
 _U = np.uint64
 
 
-class _Words(dict):
-    """Word to 64-bit hash; remembers words until it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word)
-        return n
-
-
-#: A worker process keeps it from group to group.
-_WORDS = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -71,25 +56,49 @@ class _Powers:
 
 
 _POWERS = (_Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F))
-
-
-class Doc:
-    """The words of one text and the phrases that stand for its windows."""
-
-    def __init__(self, text: bytes, window: int) -> None:
-        words = self.words = text.split()
-        n = self.n_windows = max(0, len(words) - window + 1)
-        if not n:
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A number for each byte, so that the digest of a word is a sum of random numbers times powers.
+_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 18
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts): runs of texts of about ``PIECE`` bytes."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= PIECE or i == len(texts) - 1:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+
+
+class Texts:
+    """The words of some texts in a row, and the phrases that stand for their windows."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.data = b"\n".join(texts)
+        raw = np.frombuffer(self.data, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]])))
+        self.start, self.stop = edge[0::2], edge[1::2]
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        #: the number of each text's first word, and of all words
+        self.bounds = np.searchsorted(self.start, begins)
+        self.window = window
+        n = len(self.start)
+        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        windows = np.flatnonzero(np.arange(n) + window <= ends)
+        self.n_windows = len(windows)
+        if not self.n_windows:
             return
-        h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+        h = self._word_hashes(raw)
         # sums of words times powers: any run of words has its digest from two of them
         self.sums = []
         for powers, x in zip(_POWERS, (h, (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)), strict=True):
-            sums = np.zeros(len(words) + 1, _U)
-            np.cumsum(x * powers.upto(len(words))[0], out=sums[1:])
+            sums = np.zeros(n + 1, _U)
+            np.cumsum(x * powers.upto(n)[0], out=sums[1:])
             self.sums.append(sums)
-        starts = slice(0, len(words) - PHRASE + 1)
-        phrases = _mix((self.sums[0][PHRASE:] - self.sums[0][: -PHRASE]) * _POWERS[0].upto(len(words))[1][starts])
+        phrases = _mix((self.sums[0][PHRASE:] - self.sums[0][:-PHRASE]) * _POWERS[0].upto(n)[1][: n - PHRASE + 1])
         # the leftmost smallest phrase of each window, from runs of phrases twice as long each time
         width, size = 1, window - PHRASE + 1
         least, own = phrases, np.arange(len(phrases))
@@ -99,15 +108,30 @@ class Doc:
             own = np.where(behind, own[step:], own[:-step])
             least = np.where(behind, least[step:], least[:-step])
             width += step
+        own = own[windows]
         # windows in a row with one minimizer are a span: its phrase, first and last window
-        self.first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-        self.last = np.concatenate([self.first[1:], [n]]) - 1
-        self.at = own[self.first]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (windows[1:] != windows[:-1] + 1)])
+        self.first = windows[new]
+        self.last = np.concatenate([windows[:-1][new[1:]], windows[-1:]])
+        self.at = own[new]
         self.phrase = phrases[self.at]
-        self.window = window
+
+    def _word_hashes(self, raw: np.ndarray) -> np.ndarray:
+        out, done, n = np.empty(len(self.start), _U), 0, len(self.start)
+        while done < n:  # so many words as a piece of the text holds, one at least
+            lo = int(self.start[done])
+            to = max(done + 1, int(np.searchsorted(self.stop, lo + 4 * PIECE, "right")))
+            hi = int(self.stop[to - 1])
+            up, down = _POWERS[1].upto(hi - lo)
+            sums = np.zeros(hi - lo + 1, _U)
+            np.cumsum(_BYTES[raw[lo:hi]] * up, out=sums[1:])
+            a, b = self.start[done:to] - lo, self.stop[done:to] - lo
+            out[done:to] = _mix((sums[b] - sums[a]) * down[a])
+            done = to
+        return out
 
     def _digests(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray | int) -> list[np.ndarray]:
-        down = [p.upto(len(self.words))[1] for p in _POWERS]
+        down = [p.upto(len(self.start))[1] for p in _POWERS]
         return [_mix((s[stop] - s[start]) * d[start] + np.asarray(salt, _U)) for s, d in zip(self.sums, down, strict=True)]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,9 +141,13 @@ class Doc:
 
     def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and 128-bit digest of each window of the given spans."""
-        starts = np.concatenate([np.arange(self.first[i], self.last[i] + 1) for i in spans]) if len(spans) else np.zeros(0, np.int64)
+        sizes = self.last[spans] - self.first[spans] + 1
+        starts = np.repeat(self.first[spans] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return starts, *self._digests(starts, starts + self.window, 0)
 
+    def phrase_text(self, at: int) -> str:
+        return b" ".join(self.data[self.start[at] : self.stop[at + PHRASE - 1]].split()).decode()
+
 
 def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Rows whose columns but the last (a count) are equal made one, their counts added."""
@@ -143,12 +171,14 @@ def _count_spans(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for text, shard in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc = Doc(text, window)
-                if doc.n_windows:
-                    spans = doc.spans()
-                    held.append([*spans, np.full(len(spans[0]), shard), np.ones(len(spans[0]), np.int64)])
-                    size += len(spans[0])
+            shards = b.column(1).to_numpy()
+            for place, some in pieces(b.column(0).cast(pa.binary()).to_pylist()):
+                found = Texts(some, window)
+                if found.n_windows:
+                    spans = found.spans()
+                    of = np.searchsorted(found.bounds, found.first, "right") - 1
+                    held.append([*spans, shards[place + of], np.ones(len(of), np.int64)])
+                    size += len(of)
             if size > GATHERED:
                 yield _batch(_added([np.concatenate(c) for c in zip(*held, strict=True)]), _SPANS)
                 held, size = [], 0
@@ -233,14 +263,15 @@ def _texts(docs: pa.Table) -> list[bytes]:
 def _count_windows(window: int):
     def count(docs: pa.Table, spans: pa.Table) -> pa.Table:
         known, held = _Known(spans), []
-        for text in _texts(docs) if spans.num_rows else ():
-            doc = Doc(text, window)
-            if doc.n_windows:
-                _, d1, d2 = doc.spans()
+        for _, some in pieces(_texts(docs)) if spans.num_rows else ():
+            found = Texts(some, window)
+            if found.n_windows:
+                _, d1, d2 = found.spans()
                 kinds = known.kinds(d1, d2)
-                _, w1, w2 = doc.windows(np.flatnonzero(kinds & 2))
+                chosen = np.flatnonzero(kinds & 2)
+                _, w1, w2 = found.windows(chosen)
                 # a window of a confirmed span occurs elsewhere, too
-                twice = np.repeat(kinds[kinds & 2 > 0] & 1, (doc.last - doc.first + 1)[kinds & 2 > 0])
+                twice = np.repeat(kinds[chosen] & 1, (found.last - found.first + 1)[chosen])
                 held.append([w1, w2, np.ones(len(w1), np.int64) + twice])
         shard = docs.column("shard")[0].as_py() if docs.num_rows else 0
         d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)]) if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
@@ -249,9 +280,9 @@ def _count_windows(window: int):
     return count
 
 
-def _phrase_positions(doc: Doc, automaton) -> np.ndarray:
-    """Where the automaton's phrases start in a document, in words."""
-    text = " " + b" ".join(doc.words).decode() + " "
+def _phrase_positions(words: bytes, automaton) -> np.ndarray:
+    """Where the automaton's phrases start in words that are joined by one space, counted in words."""
+    text = f" {words.decode()} "
     ends = [end for end, _ in automaton.iter(text)]
     if not ends:
         return np.zeros(0, np.int64)
@@ -265,31 +296,40 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _remove(window: int):
     def remove(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        known = _Known(confirmed)
-        automaton, made = ahocorasick.Automaton(), [Doc(t, window) for t in _texts(docs)]
-        kinds_of = [known.kinds(*doc.spans()[1:]) if doc.n_windows and len(known.d1) else np.zeros(0, np.int64) for doc in made]
-        for doc, kinds in zip(made, kinds_of, strict=True):  # the phrases of the shard's confirmed passages
-            for at in doc.at[np.flatnonzero(kinds)] if len(kinds) else ():
-                automaton.add_word(f" {b' '.join(doc.words[at : at + PHRASE]).decode()} ", 1)
+        known, texts = _Known(confirmed), _texts(docs)
+        made = [(some, Texts(some, window)) for _, some in pieces(texts)] if len(known.d1) else []
+        kinds_of = [known.kinds(*found.spans()[1:]) if found.n_windows else np.zeros(0, np.int64) for _, found in made]
+        automaton = ahocorasick.Automaton()
+        for (_, found), kinds in zip(made, kinds_of, strict=True):  # the phrases of the shard's confirmed passages
+            for at in found.at[np.flatnonzero(kinds)] if len(kinds) else ():
+                automaton.add_word(f" {found.phrase_text(at)} ", 1)
         if len(automaton):
             automaton.make_automaton()
-        n_removed, texts = [], []
-        for doc, kinds in zip(made, kinds_of, strict=True):
-            covered = np.zeros(len(doc.words) + 1, np.int64)
-            if doc.n_windows and len(automaton):
-                hit = np.flatnonzero(np.isin(doc.at, _phrase_positions(doc, automaton)))
-                for i in hit[kinds[hit] & 1 > 0]:
-                    covered[doc.first[i]] += 1
-                    covered[doc.last[i] + window] -= 1
-                starts, w1, w2 = doc.windows(hit[(kinds[hit] & 3) == 2])
+        n_words, n_removed, kept = [], [], []
+        for (some, found), kinds in zip(made, kinds_of, strict=True):
+            covered = np.zeros(len(found.start) + 1, np.int64)
+            joined = [b" ".join(t.split()) for t in some]
+            if found.n_windows and len(automaton):
+                hits = _phrase_positions(b" ".join([t for t in joined if t]), automaton)
+                hit = np.flatnonzero(np.isin(found.at, hits))
+                whole = hit[kinds[hit] & 1 > 0]
+                np.add.at(covered, found.first[whole], 1)
+                np.add.at(covered, found.last[whole] + window, -1)
+                starts, w1, w2 = found.windows(hit[(kinds[hit] & 3) == 2])
                 starts = starts[known.kinds(w1, w2) == 4]
                 np.add.at(covered, starts, 1)
                 np.add.at(covered, starts + window, -1)
             gone = np.cumsum(covered)[:-1] > 0
-            kept = b" ".join(w for w, g in zip(doc.words, gone, strict=True) if not g) if gone.any() else b" ".join(doc.words)
-            n_removed.append(int(gone.sum()))
-            texts.append(kept)
-        columns = [docs.column("doc_id"), pa.array([len(d.words) for d in made], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+            total = np.concatenate([[0], np.cumsum(gone)])
+            for i, text in enumerate(joined):
+                lo, hi = found.bounds[i], found.bounds[i + 1]
+                n_words.append(int(hi - lo))
+                n_removed.append(int(total[hi] - total[lo]))
+                kept.append(b" ".join([w for w, g in zip(text.split(b" "), gone[lo:hi].tolist(), strict=True) if not g]) if n_removed[-1] else text)
+        if not made:
+            kept = [b" ".join(t.split()) for t in texts]
+            n_words, n_removed = [len(t.split()) for t in texts], [0] * len(texts)
+        columns = [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     return remove
