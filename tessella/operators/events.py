@@ -37,7 +37,8 @@ def relative_position(events: DataFrame) -> DataFrame:
 
 def durations(events: DataFrame, scale: float = 1.0) -> DataFrame:
     """``duration`` and ``trial_time`` (not below 0), in units of 1/scale."""
-    return events.withColumn("duration", (F.col("t1") - F.col("t0")) * scale).withColumn("trial_time", F.greatest(F.col("t0") - F.col("onset"), F.lit(0)) * scale)
+    scaled = lambda c: c if scale == 1.0 else c * scale
+    return events.withColumn("duration", scaled(F.col("t1") - F.col("t0"))).withColumn("trial_time", scaled(F.greatest(F.col("t0") - F.col("onset"), F.lit(0))))
 
 
 def ordinals(events: DataFrame, key: str = "trial", order: tuple[str, ...] = ("t0", "fix_id")) -> DataFrame:

@@ -62,7 +62,7 @@ def robust_threshold(spark, sf_dir):
 
 @query(f"""WITH {EV}, c AS (SELECT event_type, CAST(least(floor((value - 0.0) / 5.0), 19) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE value >= 0 AND value <= 100 GROUP BY ALL),
 f AS (SELECT event_type, bin, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT event_type FROM c) CROSS JOIN (SELECT unnest(range(0, 20)) AS bin)) e LEFT JOIN c USING (event_type, bin))
-SELECT event_type, bin, (bin + 1) * 5.0 AS edge, round(sum(n) OVER (PARTITION BY event_type ORDER BY bin) / sum(n) OVER (PARTITION BY event_type), 6) AS share FROM f""")
+SELECT event_type, bin, CAST((bin + 1) * 5.0 AS DOUBLE) AS edge, round(sum(n) OVER (PARTITION BY event_type ORDER BY bin) / sum(n) OVER (PARTITION BY event_type), 6) AS share FROM f""")
 def latency_cdf(spark, sf_dir):
     return R6(ag.cdf(events(spark, sf_dir), "value", ["event_type"], 0.0, 100.0, 5.0), "share")
 
@@ -90,11 +90,11 @@ def median_table(spark, sf_dir):
 @query(f"""WITH {CUST}, l AS (SELECT unit, value, 'subject' AS level, subject AS name FROM cust UNION ALL SELECT unit, value, 'region', region FROM cust UNION ALL SELECT unit, value, 'area', substr(region, 1, 20) FROM cust),
 g AS (SELECT level, name, count(DISTINCT unit) AS members, list_sort(list(DISTINCT unit)) AS k FROM l GROUP BY ALL HAVING count(DISTINCT unit) >= 2),
 d AS (SELECT k, members, min((level, name)) AS one, list_sort(list(level || '/' || name)) AS names FROM g GROUP BY k, members)
-SELECT array_to_string(names, ',') AS names, members, round(avg(value), 4) AS value FROM l JOIN d ON (l.level, l.name) = d.one GROUP BY ALL""")
+SELECT array_to_string(names, ',') AS names, members, round(avg(value), 8) AS value FROM l JOIN d ON (l.level, l.name) = d.one GROUP BY ALL""")
 def hier_group_mean(spark, sf_dir):
     rows = customers(spark, sf_dir).withColumn("area", F.substring("region", 1, 20))
     out = ag.group_statistics(rows, ["subject", "region", "area"], "value")
-    return out.select(F.array_join("names", ",").alias("names"), "members", F.round("value", 4).alias("value"))
+    return out.select(F.array_join("names", ",").alias("names"), "members", F.round("value", 8).alias("value"))
 
 
 @query(f"""WITH {CUST}, n AS (SELECT region, subject, count(*) AS n FROM cust GROUP BY ALL)
@@ -141,7 +141,7 @@ k AS (SELECT 'unit' AS level, CAST(s_suppkey AS VARCHAR) AS key, s_acctbal AS v
       SELECT 'subject', n_name, avg(s_acctbal) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 3 = 0 GROUP BY n_name UNION ALL
       SELECT 'region', r_name, avg(s_acctbal) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY r_name),
 l AS (SELECT unit, 0 AS r, 'unit' AS level, CAST(unit AS VARCHAR) AS key FROM u UNION ALL SELECT unit, 1, 'subject', subject FROM u UNION ALL SELECT unit, 2, 'region', region FROM u)
-SELECT unit, arg_min(level, r) AS level, arg_min(key, r) AS key, round(arg_min(v, r), 4) AS v FROM l JOIN k USING (level, key) GROUP BY unit""")
+SELECT unit, arg_min(level, r) AS level, arg_min(key, r) AS key, round(arg_min(v, r), 8) AS v FROM l JOIN k USING (level, key) GROUP BY unit""")
 def hier_fallback_lookup(spark, sf_dir):
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     met = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -149,7 +149,7 @@ def hier_fallback_lookup(spark, sf_dir):
     known = known.unionByName(met.where("n_nationkey % 3 = 0").groupBy(F.lit("subject").alias("level"), F.col("n_name").alias("key")).agg(F.avg("s_acctbal").alias("v")))
     known = known.unionByName(met.where("r_regionkey < 3").groupBy(F.lit("region").alias("level"), F.col("r_name").alias("key")).agg(F.avg("s_acctbal").alias("v")))
     out = hi.first_hit(customers(spark, sf_dir), known, [("unit", F.col("unit")), ("subject", F.col("subject")), ("region", F.col("region"))])
-    return out.withColumn("v", F.round("v", 4))
+    return out.withColumn("v", F.round("v", 8))
 
 
 @query("""WITH m AS (SELECT c_nationkey % 5 AS session, CASE c_custkey % 3 WHEN 0 THEN 'unit' WHEN 1 THEN 'channel' ELSE 'array_id' END AS level,
@@ -194,9 +194,9 @@ cust2 AS (SELECT region, subject, unit, t, 'a' AS cond, a AS value FROM c UNION
 bt AS (SELECT region, t, cond, b, avg(s) AS centre FROM (SELECT region, t, cond, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ci AS (SELECT region, t, cond, quantile_cont(centre, 0.025) AS lo, quantile_cont(centre, 0.975) AS hi FROM bt GROUP BY ALL),
 ob AS (SELECT region, t, cond, avg(s) AS centre, CAST(sum(n) AS BIGINT) AS n_units, count(*) AS n_subjects FROM (SELECT region, t, cond, subject, avg(value) AS s, count(*) AS n FROM cust2 GROUP BY ALL) GROUP BY ALL)
-SELECT region, t, cond, round(centre, 4) AS centre, n_units, n_subjects, round(lo, 4) AS lo, round(hi, 4) AS hi FROM ob JOIN ci USING (region, t, cond)""")
+SELECT region, t, cond, round(centre, 8) AS centre, n_units, n_subjects, round(lo, 8) AS lo, round(hi, 8) AS hi FROM ob JOIN ci USING (region, t, cond)""")
 def region_summary(spark, sf_dir):
-    return _summary(spark, sf_dir)[0].withColumns({c: F.round(c, 4) for c in ("centre", "lo", "hi")})
+    return _summary(spark, sf_dir)[0].withColumns({c: F.round(c, 8) for c in ("centre", "lo", "hi")})
 
 
 def _summary(spark, sf_dir):
@@ -215,12 +215,12 @@ def _tests_sql() -> str:
 pv AS ({one} UNION ALL {two}), k1 AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM pv),
 s1 AS (SELECT *, coalesce(max(CASE WHEN p <= (0.2 / 1.2) * k / m THEN k END) OVER (), 0) AS r1 FROM k1),
 s2 AS (SELECT *, coalesce(max(CASE WHEN p <= CASE WHEN r1 < m THEN (0.2 / 1.2) * m / (m - r1) ELSE 1.0 END * k / m THEN k END) OVER (), 0) AS r2, max(p) FILTER (true) OVER () AS top FROM s1)
-SELECT region, t, test, round(observed, 4) AS observed, p, r1 > 0 AND (r1 = m OR p <= (SELECT max(p) FROM s2 q WHERE q.k = q.r2)) AS reject FROM s2"""
+SELECT region, t, test, round(observed, 8) AS observed, p, r1 > 0 AND (r1 = m OR p <= (SELECT max(p) FROM s2 q WHERE q.k = q.r2)) AS reject FROM s2"""
 
 
 @query(_tests_sql())
 def region_summary_tests(spark, sf_dir):
-    return _summary(spark, sf_dir)[1].select("region", "t", "test", F.round("observed", 4).alias("observed"), "p", "reject")
+    return _summary(spark, sf_dir)[1].select("region", "t", "test", F.round("observed", 8).alias("observed"), "p", "reject")
 
 
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT unit FROM ev WHERE event_type = 'view' AND value > 25), b AS (SELECT DISTINCT unit FROM ev WHERE event_type = 'error' AND value > 25)

@@ -32,24 +32,24 @@ vl AS (SELECT tk.region, b, slot, c.* EXCLUDE (region, subject, unit) FROM tk JO
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ci AS (SELECT region, quantile_cont(centre, 0.025) AS lo, quantile_cont(centre, 0.975) AS hi FROM bt GROUP BY region),
 obs AS ({TWO_LEVEL})
-SELECT region, round(centre, 4) AS centre, round(lo, 4) AS lo, round(hi, 4) AS hi, n_units, n_subjects FROM obs JOIN ci USING (region)""")
+SELECT region, round(centre, 8) AS centre, round(lo, 8) AS lo, round(hi, 8) AS hi, n_units, n_subjects FROM obs JOIN ci USING (region)""")
 def region_hier_bootstrap_ci(spark, sf_dir):
     """Flagship: nested means of regions with confidence intervals of a hierarchical bootstrap."""
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
     ci = rs.spread(rs.hier_boots(rows, 20, "h"), ["region"])
     out = rs.two_level(rows).join(ci, "region")
-    return out.select("region", *[F.round(c, 4).alias(c) for c in ("centre", "lo", "hi")], "n_units", "n_subjects")
+    return out.select("region", *[F.round(c, 8).alias(c) for c in ("centre", "lo", "hi")], "n_units", "n_subjects")
 
 
 @query(f"""WITH {CUST}, {boots_sql(12, "s")},
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 obs AS ({TWO_LEVEL}), j AS (SELECT bt.region, bt.centre - obs.centre AS e FROM bt JOIN obs USING (region))
-SELECT region, round(sqrt(avg(e * e)), 4) AS sem, round(median(abs(e)), 4) AS mad FROM j GROUP BY region""")
+SELECT region, round(sqrt(avg(e * e)), 8) AS sem, round(median(abs(e)), 8) AS mad FROM j GROUP BY region""")
 def bootstrap_spreads(spark, sf_dir):
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
     met = rs.hier_boots(rows, 12, "s").join(rs.two_level(rows).select("region", F.col("centre").alias("obs")), "region")
     sem, mad = (rs.spread(met, ["region"], kind, F.col("obs")) for kind in ("sem", "mad"))
-    return sem.join(mad, "region").select("region", F.round("sem", 4).alias("sem"), F.round("mad", 4).alias("mad"))
+    return sem.join(mad, "region").select("region", F.round("sem", 8).alias("sem"), F.round("mad", 8).alias("mad"))
 
 
 @query(f"""WITH {CUST}, obs AS (SELECT region, avg(s) AS observed FROM (SELECT region, subject, avg(value - 4900) AS s FROM cust GROUP BY ALL) GROUP BY region),
