@@ -16,18 +16,20 @@ def _sides(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
 def return_pairs(rows: DataFrame, threshold: float, group: str = "image", key: str = "fix_id", keep: tuple[str, ...] = (), least_time: float | None = None) -> DataFrame:
     """Unordered pairs of one group within ``threshold`` of each other: (group, key_i, key_j, d, kept columns of both).
 
-    Rows meet through cells of the threshold's size, each row with the nine cells around
-    its own, so a crowded group is dealt over as many tasks as it has cells.
+    Rows meet through cells of the threshold's size, each row with its own cell and the four
+    cells ahead of it, so a crowded group is dealt over as many tasks as it has cells.
     """
     columns = [key, "x", "y", *keep, *(["time"] if least_time is not None else [])]
     cell = lambda c: F.floor(F.col(c) / threshold).cast("long")
     base = rows.select(group, *columns, cell("x").alias("cx"), cell("y").alias("cy"))
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    near = base.withColumn("cx", around("cx")).withColumn("cy", around("cy"))
-    i = near.select(group, "cx", "cy", *[F.col(c).alias(f"{c}_i") for c in columns])
-    j = base.select(group, "cx", "cy", *[F.col(c).alias(f"{c}_j") for c in columns])
-    met = i.join(j, [group, "cx", "cy"]).where(F.col(f"{key}_i") < F.col(f"{key}_j"))
-    return _with_distance(met, least_time).where(F.col("d") <= threshold).select(group, f"{key}_i", f"{key}_j", "d", *[f"{c}_{s}" for c in keep for s in "ij"])
+    ahead = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("own")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    one = base.withColumn("_c", F.explode(ahead)).select(group, F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"), F.col("_c.own").alias("own"), *[F.col(c).alias(f"{c}_1") for c in columns])
+    two = base.select(group, "cx", "cy", *[F.col(c).alias(f"{c}_2") for c in columns])
+    met = one.join(two, [group, "cx", "cy"]).where(~F.col("own") | (F.col(f"{key}_1") < F.col(f"{key}_2")))
+    first = F.col(f"{key}_1") < F.col(f"{key}_2")
+    sides = [F.when(first if s == "i" else ~first, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(f"{c}_{s}") for c in columns for s in "ij"]
+    out = _with_distance(met.select(group, *sides), least_time).where(F.col("d") <= threshold)
+    return out.select(group, f"{key}_i", f"{key}_j", "d", *[f"{c}_{s}" for c in keep for s in "ij"])
 
 
 def _with_distance(met: DataFrame, least_time: float | None) -> DataFrame:
