@@ -149,6 +149,7 @@ def test_near_groups(spark, seed):
 
 def test_near_groups_of_several_blocks_and_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
     monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 5)
     docs = near_docs(9, 200)
     out = near_dedup.near_groups(spark.createDataFrame(docs, SCHEMA))
