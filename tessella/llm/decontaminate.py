@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item, and the shortest item that is searched for.
-ERROR_RATE, MIN_CHARS = 0.05, 20
+ERROR_RATE, MIN_CHARS = 0.08, 20
 #: Normalised characters of items that one automaton holds; more items go in several passes.
 SHARD_CHARS = 4_000_000
 

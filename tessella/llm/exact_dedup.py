@@ -18,6 +18,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.llm.common import materialize
 
@@ -103,7 +104,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     leaf = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_leaves, _LEAF), "exact-leaves")
     # leaves are numbered through, partition after partition
     blocks = leaf.groupBy("part").agg((F.max("block") + 1).alias("blocks"))  # a row for each partition
-    first = blocks.alias("a").join(blocks.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.blocks"), F.lit(0)).alias("first"))
+    first = blocks.select("part", (F.sum("blocks").over(Window.orderBy("part")) - F.col("blocks")).alias("first"))
     n_leaves = blocks.agg(F.sum("blocks")).first()[0] or 0
     leaf = leaf.join(F.broadcast(first), "part").withColumn("leaf", (F.col("first") + F.col("block")).cast("long"))
 

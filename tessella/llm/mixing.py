@@ -30,7 +30,7 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     dealt = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id())
     dealt = materialize(dealt, "mix-ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())
     return dealt.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(before), "_part").withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -77,24 +78,21 @@ class PrefixCounter:
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self._n[p] = len(e)
 
+    def counts(self, pieces: list[str]) -> list[int]:
+        """The tokens up to the end of each of a text's pieces."""
+        return list(accumulate(map(self._n.__getitem__, pieces)))
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """(ends, counts): the code points and the tokens up to the end of each piece."""
-        ends, counts, at, n = [], [], 0, 0
         pieces = self.cut(text)
         self.learn(set(pieces))
-        for p in pieces:
-            at += len(p)
-            n += self._n[p]
-            ends.append(at)
-            counts.append(n)
-        return ends, counts
+        return list(accumulate(map(len, pieces))), self.counts(pieces)
 
     def totals(self, texts: list[str]) -> list[int]:
         """The count at the last prefix of each text."""
         cut = [self.cut(t) for t in texts]
         self.learn({p for pieces in cut for p in pieces})
-        known = self._n
-        return [sum([known[p] for p in pieces]) for pieces in cut]
+        return [self.counts(pieces)[-1] if pieces else 0 for pieces in cut]
 
     # -- counts inside a piece
 
@@ -151,28 +149,29 @@ class PrefixCounter:
                     break
         return counts[1:]
 
-    def budget(self, text: str, n_tokens: int) -> int:
-        """How many code points of a text its first ``n_tokens`` tokens cover at most, whole characters only.
+    def count_at(self, text: str, chars: int, table: tuple[list[int], list[int]] | None = None) -> int:
+        """How many tokens the first ``chars`` code points of a text have by themselves.
 
-        The tokens are those of the whole text.
+        Only the piece that is cut is looked into; all before it comes from the table.
         """
-        ends, counts = self.table(text)
-        i = bisect.bisect_right(counts, n_tokens)
-        at, left = (ends[i - 1], n_tokens - counts[i - 1]) if i else (0, n_tokens)
-        if i == len(ends) or left <= 0:
-            return at
-        piece = text[at : ends[i]]
-        encoded = self.tokenizer.encode(piece, add_special_tokens=False)
-        return at + self.covered(piece, len(self._bytes_of(encoded.tokens[:left])))
-
-    def _bytes_of(self, tokens: list[str]) -> bytes:
-        back = {v: k for k, v in _byte_letters().items()}
-        return bytes(back[c] for t in tokens for c in t)
+        ends, counts = table or self.table(text)
+        i = bisect.bisect_right(ends, chars)
+        if chars and text[chars - 1].isspace():  # white space at the end of a text is cut otherwise than before a word
+            while i and text[ends[i - 1] - 1].isspace():
+                i -= 1
+        start, n = (ends[i - 1], counts[i - 1]) if i else (0, 0)
+        return n + sum(self.within(p)[-1] for p in self.cut(text[start:chars]))
 
-    @staticmethod
-    def covered(piece: str, n_bytes: int) -> int:
-        """Whole characters in the first bytes of a piece."""
-        return len(piece.encode()[:n_bytes].decode("utf-8", "ignore"))
+    def budget(self, text: str, n_tokens: int) -> int:
+        """How many code points the longest prefix has that is ``n_tokens`` tokens or fewer by itself."""
+        table = ends, counts = self.table(text)
+        i = bisect.bisect_right(counts, n_tokens)
+        best = ends[i - 1] if i else 0
+        # the piece that goes beyond the budget; behind white space also the first character of the next
+        for chars in range(ends[min(i + 1, len(ends) - 1)], best, -1) if i < len(ends) else ():
+            if self.count_at(text, chars, table) <= n_tokens:
+                return chars
+        return best
 
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
