@@ -57,6 +57,11 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
+    """So many partitions that a task gets about ``per_task`` rows at most, whatever the session's default is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows // per_task) + 1)
+
+
 def lookup_skewed(left: DataFrame, right: DataFrame, keys: list[str], uses: str, share: int = 1000) -> DataFrame:
     """``left`` left-joined with ``right``, whose keys are unique; ``uses`` counts the left rows of a key.
 

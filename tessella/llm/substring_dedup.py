@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, partitions
 
 WINDOW, PHRASE = 35, 8
 #: Text bytes of a shard of documents, which one task holds at a time.
 SHARD_BYTES = 8_000_000
-#: Rows that a map task gathers before it adds up equal ones.
-GATHERED = 1_000_000
+#: Rows that a map task gathers before it adds up equal ones, and that a task holds behind a shuffle.
+GATHERED = PER_TASK = 1_000_000
 
 _U = np.uint64
 
@@ -353,10 +353,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # rows that repeat one id are told apart by their text
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.md5("text")), F.lit(shards)))
 
+    # a word has six bytes with its space, a span's minimizer stands for 14 words on average; windows come from spans that recur
+    dealt = partitions(docs.sparkSession, n_bytes / 6 / 14, PER_TASK)
     counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long")
-    spans = materialize(counted.repartition(F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long"), "repeat-spans")
+    spans = materialize(counted.repartition(dealt, F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long"), "repeat-spans")
     windows = rows.groupBy("shard").cogroup(spans.where("kind >= 2").groupBy("shard")).applyInArrow(_count_windows(window), _KEYED)
-    fine = windows.repartition(F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
+    fine = windows.repartition(dealt, F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
     confirmed = spans.unionByName(materialize(fine, "repeat-windows"))
     return rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(window), _RESULT)
 
