@@ -19,6 +19,25 @@ def period_stats(series: DataFrame, periods: DataFrame, by: list[str], value: st
     return out.select(*by, "period", mean.alias("mean"), F.sqrt(F.greatest(F.coalesce("ss", F.lit(0)) / F.col("bins") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
+def stable_units(rows: DataFrame, unit: str, t: str, value: str, most_change: float = 0.5) -> DataFrame:
+    """(unit, ratio): units whose mean in the second half of the time is neither 0 nor far from that of the whole.
+
+    ``ratio`` is late over whole; units whose ratio differs from 1 by more than ``most_change`` are left out.
+    """
+    middle = rows.agg(((F.min(t) + F.max(t)) / 2).alias("_mid"))
+    late = F.avg(F.when(F.col(t) >= F.col("_mid"), F.col(value)))
+    halves = rows.crossJoin(F.broadcast(middle)).groupBy(unit).agg(late.alias("late"), F.avg(value).alias("whole"))  # one row
+    return halves.withColumn("ratio", F.try_divide("late", "whole")).where((F.col("late") != 0) & (F.abs(F.col("ratio") - 1) <= most_change)).select(unit, "ratio")
+
+
+def beyond_spread(rows: DataFrame, value: str, by: list[str], z: float = 1.65) -> DataFrame:
+    """(by, earlier, later, n): how many values lie more than z population SDs of all below and above the mean of all."""
+    spread = rows.agg(F.stddev_pop(value).alias("_sd"), F.avg(value).alias("_m"))
+    off = F.col(value) - F.col("_m")
+    met = rows.crossJoin(F.broadcast(spread))  # one row
+    return met.groupBy(*by).agg(F.count_if(off < -z * F.col("_sd")).alias("earlier"), F.count_if(off > z * F.col("_sd")).alias("later"), F.count("*").alias("n"))
+
+
 def psth(rows: DataFrame, by: list[str], value: str = "resp") -> DataFrame:
     """Mean and population SD of each category, time and unit."""
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.moments import pearson, r_squared
 from tessella.functions.scalars import draw
+from tessella.operators.ranking import global_rank
 
 #: Groups that are dealt greedily, largest first, on the driver; more are dealt in snake order.
 GREEDY_GROUPS = 100_000
@@ -31,11 +31,11 @@ def canonical_groups(rows: DataFrame, aliases: DataFrame, group: str) -> DataFra
 
 def snake_folds(rows: DataFrame, group: str, n_splits: int) -> DataFrame:
     """``fold`` for each row: groups by falling size dealt 0..k-1, k-1..0 and so on; no group spans folds."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    k = F.row_number().over(Window.orderBy(F.col("_n").desc(), group)) - 1
+    sizes = global_rank(rows.groupBy(group).agg(F.count("*").alias("_n")), [F.col("_n").desc(), F.col(group)], "_k")
+    k = F.col("_k") - 1
     place = (k % (2 * n_splits)).cast("int")
     fold = F.when(place < n_splits, place).otherwise(2 * n_splits - 1 - place)
-    return rows.join(sizes.withColumn("fold", fold).drop("_n"), group)
+    return rows.join(sizes.withColumn("fold", fold).drop("_n", "_k"), group)
 
 
 def greedy_folds(rows: DataFrame, group: str, n_splits: int, seed: str) -> DataFrame:

@@ -74,6 +74,7 @@ def self_consistency(pairs: DataFrame, responses: DataFrame, n_boot: int, n_perm
     members.  Draws leave the unit out, so all units share them.  With fewer than two pairs
     the statistics are NULL.
     """
+    pairs = pairs.persist()  # ``MAX_PAIRS`` rows, but dear to make and read several times
     sides = lambda coin: (F.when(coin, F.col("b_")).otherwise(F.col("a_")), F.when(coin, F.col("a_")).otherwise(F.col("b_")))
     values = unit_values(pairs, responses).withColumnsRenamed({"a": "a_", "b": "b_"})
     x, y = sides(flipped(f"{seed}-side", "k"))
@@ -102,6 +103,7 @@ def two_condition_test(pairs: DataFrame, responses: DataFrame, n_perm: int, seed
     ``pairs`` is (k, n, i, j, cond) with cond 0 or 1.  Labels are shuffled over all pairs, or,
     ``paired``, swapped within couples (a column ``couple``).
     """
+    pairs = pairs.persist()
     values = unit_values(pairs, responses)
     of = lambda label, c: pearson(F.when(label == c, F.col("a")), F.when(label == c, F.col("b")))
     observed = values.groupBy("unit").agg(of(F.col("cond"), 0).alias("r0"), of(F.col("cond"), 1).alias("r1"))

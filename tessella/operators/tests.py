@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.ranking import global_rank
+
 
 def average_ranks(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """``rank`` from 1, ties averaged, and ``ties``, how many rows share the value."""
@@ -85,30 +87,39 @@ def rank_sum_p(tested: DataFrame, exact_up_to: int = 8) -> DataFrame:
 
 
 def _step_up(rows: DataFrame, level: Column, scope: list[str], name: str) -> DataFrame:
-    """Benjamini-Hochberg: ``name`` counts the rejections of each scope at a level."""
-    w = Window.partitionBy(*(scope or [F.lit(0)]))
-    rank = F.row_number().over(w.orderBy("p"))
-    last = F.max(F.when(F.col("p") <= level * rank_col() / F.col("m"), rank_col())).over(w)
-    return rows.withColumn("_rank", rank).withColumn(name, F.coalesce(last, F.lit(0)))
+    """Benjamini-Hochberg: ``name`` counts the rejections of each scope at a level; ``_rank`` is the p-value's place."""
+    w = Window.partitionBy(*scope)
+    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy("p")))
+    last = F.max(F.when(F.col("p") <= level * F.col("_rank") / F.col("m"), F.col("_rank"))).over(w)
+    return ranked.withColumn(name, F.coalesce(last, F.lit(0)))
 
 
-def rank_col() -> Column:
-    return F.col("_rank")
+def _pooled(tests: DataFrame, first: float) -> DataFrame:
+    """``reject`` with all tests in one scope: places come from ranges of p, the counts of both stages are two numbers."""
+    ranked = global_rank(tests, ["p"], "_rank")
+    m = ranked.count()
+    rejections = lambda level: ranked.where(F.col("p") <= F.lit(level) * F.col("_rank") / F.lit(m)).agg(F.max("_rank")).first()[0] or 0
+    r1 = rejections(first) if m else 0
+    r2 = r1 if r1 in (0, m) else rejections(first * m / (m - r1))
+    return ranked.withColumn("reject", F.col("_rank") <= r2).drop("_rank")
 
 
 def fdr_two_stage(rows: DataFrame, q: float = 0.01, scope: tuple[str, ...] = ()) -> DataFrame:
     """``reject`` by the two-stage step-up procedure of Benjamini, Krieger and Yekutieli (2006).
 
-    P-values (column ``p``) are pooled over each scope.  A NULL or NaN p-value is no test and isn't
-    rejected.  The first stage runs at q / (1 + q); the second at that times m / (m - r1).
+    P-values (column ``p``) are pooled over each scope, or over all rows.  A NULL or NaN p-value is no
+    test and isn't rejected.  The first stage runs at q / (1 + q); the second at that times m / (m - r1).
     """
     first = q / (1 + q)
     valid = F.col("p").isNotNull() & ~F.isnan("p")
-    w = Window.partitionBy(*(scope or [F.lit(0)]))
-    tests = rows.where(valid).withColumn("m", F.count("*").over(w))
-    one = _step_up(tests, F.lit(first), list(scope), "r1")
-    second = F.when(F.col("r1") < F.col("m"), F.lit(first) * F.col("m") / (F.col("m") - F.col("r1"))).otherwise(F.lit(1.0))
-    two = _step_up(one, second, list(scope), "r2")
-    reject = (F.col("r1") > 0) & ((F.col("r1") == F.col("m")) | (F.col("_rank") <= F.col("r2")))
-    done = two.withColumn("reject", reject).drop("m", "_rank", "r1", "r2")
+    tests = rows.where(valid)
+    if scope:
+        tests = tests.withColumn("m", F.count("*").over(Window.partitionBy(*scope)))
+        one = _step_up(tests, F.lit(first), list(scope), "r1")
+        second = F.when(F.col("r1") < F.col("m"), F.lit(first) * F.col("m") / (F.col("m") - F.col("r1"))).otherwise(F.lit(1.0))
+        two = _step_up(one, second, list(scope), "r2")
+        reject = (F.col("r1") > 0) & ((F.col("r1") == F.col("m")) | (F.col("_rank") <= F.col("r2")))
+        done = two.withColumn("reject", reject).drop("m", "_rank", "r1", "r2")
+    else:
+        done = _pooled(tests, first)
     return done.unionByName(rows.where(~valid | F.col("p").isNull()).withColumn("reject", F.lit(False)))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import quantize
+from tessella.operators import aggregates as ag
 from tessella.operators import events as ev
 from tessella.plans.registry import query
 from tessella.plans.views import EV, FIX, PRES, events, fixations, presentations
@@ -153,11 +154,7 @@ def interval_mask(spark, sf_dir):
 r AS (SELECT unit, avg(CASE WHEN t >= mid THEN value END) AS late, avg(value) AS whole FROM ev, h GROUP BY unit)
 SELECT unit, round(late / nullif(whole, 0), 6) AS ratio FROM r WHERE late <> 0 AND abs(late / nullif(whole, 0) - 1) <= 0.5""")
 def stable_units(spark, sf_dir):
-    e = events(spark, sf_dir)
-    mid = e.agg(((F.min("t") + F.max("t")) / 2).alias("mid"))
-    r = e.crossJoin(F.broadcast(mid)).groupBy("unit").agg(F.avg(F.when(F.col("t") >= F.col("mid"), F.col("value"))).alias("late"), F.avg("value").alias("whole"))
-    ratio = F.try_divide("late", "whole")
-    return r.where((F.col("late") != 0) & (F.abs(ratio - 1) <= 0.5)).select("unit", F.round(ratio, 6).alias("ratio"))
+    return ag.stable_units(events(spark, sf_dir), "unit", "t", "value").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"""WITH {FIX}, {PRES}, rig(session, rig, tracker) AS (VALUES (0, 'A', 'x'), (1, 'A', 'y'), (2, 'B', 'x')), lat(rig, tracker, latency) AS (VALUES ('A', 'x', 5.0), ('A', 'y', 9.0), ('B', 'x', 12.0))

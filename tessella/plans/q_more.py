@@ -1,12 +1,13 @@
 """Selections, alignments and summaries that combine operators."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions import scalars
+from tessella.operators import aggregates as ag
 from tessella.operators import align as al
 from tessella.operators import crossing as cr
 from tessella.operators import resample as rs
+from tessella.operators.ranking import global_rank
 from tessella.plans.q_events import CLEAN, cleaned
 from tessella.plans.q_models import BOXES, boxes
 from tessella.plans.q_pairs import MOVED, move_table
@@ -59,9 +60,7 @@ SELECT region, count(*) FILTER (d - m < -1.65 * sd) AS earlier, count(*) FILTER
 def latency_difference_units(spark, sf_dir):
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     d = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), (F.col("s_acctbal") / 100).alias("d"))
-    spread = d.agg(F.stddev_pop("d").alias("sd"), F.avg("d").alias("m"))
-    off = F.col("d") - F.col("m")
-    return d.crossJoin(F.broadcast(spread)).groupBy("region").agg(F.count_if(off < -1.65 * F.col("sd")).alias("earlier"), F.count_if(off > 1.65 * F.col("sd")).alias("later"), F.count("*").alias("n"))
+    return ag.beyond_spread(d, "d", ["region"])
 
 
 @query(f"WITH {EV}, m AS (SELECT unit, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type <> 'view') AS b FROM ev GROUP BY unit) SELECT unit FROM m WHERE abs((a - b) / nullif(a + b, 0)) >= 0.1")
@@ -169,7 +168,7 @@ def significance_text(spark, sf_dir):
 @query("SELECT s_name, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '(\\d+)', 1) AS BIGINT) % 17, s_name) AS place FROM supplier")
 def natural_sort(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return s.select("s_name", F.row_number().over(Window.orderBy(scalars.first_integer(F.col("s_name")) % 17, "s_name")).alias("place"))
+    return global_rank(s.select("s_name"), [scalars.first_integer(F.col("s_name")) % 17, "s_name"], "place")
 
 
 @query(f"WITH {TWO}, w AS (SELECT * FROM two WHERE t BETWEEN -5 AND 5 AND t % 2 = 0) SELECT unit, count(*) AS n, round(avg(y1), 6) AS y1 FROM w GROUP BY unit")
