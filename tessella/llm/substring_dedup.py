@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize, partitions
+from tessella.llm.words import Powers, mix, word_bounds, word_hashes
 
 WINDOW, PHRASE = 35, 8
 #: Text bytes of a shard of documents, which one task holds at a time.
@@ -31,34 +32,7 @@ SHARD_BYTES = 8_000_000
 GATHERED = PER_TASK = 1_000_000
 
 _U = np.uint64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            with np.errstate(over="ignore"):
-                size = len(self.up)
-                self.up = np.r_[self.up, self.up * _U(pow(self.base, size, 2**64))]
-                self.down = np.r_[self.down, self.down * _U(pow(self.inverse, size, 2**64))]
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = (_Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F))
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: A number for each byte, so that the digest of a word is a sum of random numbers times powers.
-_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+_POWERS = (Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F))
 #: Bytes of text that are worked on at once.
 PIECE = 1 << 18
 
@@ -79,8 +53,7 @@ class Texts:
     def __init__(self, texts: list[bytes], window: int) -> None:
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]])))
-        self.start, self.stop = edge[0::2], edge[1::2]
+        self.start, self.stop = word_bounds(raw)
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         #: the number of each text's first word, and of all words
         self.bounds = np.searchsorted(self.start, begins)
@@ -91,14 +64,14 @@ class Texts:
         self.n_windows = len(windows)
         if not self.n_windows:
             return
-        h = self._word_hashes(raw)
+        h = word_hashes(raw, self.start, self.stop)
         # sums of words times powers: any run of words has its digest from two of them
         self.sums = []
         for powers, x in zip(_POWERS, (h, (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)), strict=True):
             sums = np.zeros(n + 1, _U)
             np.cumsum(x * powers.upto(n)[0], out=sums[1:])
             self.sums.append(sums)
-        phrases = _mix((self.sums[0][PHRASE:] - self.sums[0][:-PHRASE]) * _POWERS[0].upto(n)[1][: n - PHRASE + 1])
+        phrases = mix((self.sums[0][PHRASE:] - self.sums[0][:-PHRASE]) * _POWERS[0].upto(n)[1][: n - PHRASE + 1])
         # the leftmost smallest phrase of each window, from runs of phrases twice as long each time
         width, size = 1, window - PHRASE + 1
         least, own = phrases, np.arange(len(phrases))
@@ -116,23 +89,9 @@ class Texts:
         self.at = own[new]
         self.phrase = phrases[self.at]
 
-    def _word_hashes(self, raw: np.ndarray) -> np.ndarray:
-        out, done, n = np.empty(len(self.start), _U), 0, len(self.start)
-        while done < n:  # so many words as a piece of the text holds, one at least
-            lo = int(self.start[done])
-            to = max(done + 1, int(np.searchsorted(self.stop, lo + 4 * PIECE, "right")))
-            hi = int(self.stop[to - 1])
-            up, down = _POWERS[1].upto(hi - lo)
-            sums = np.zeros(hi - lo + 1, _U)
-            np.cumsum(_BYTES[raw[lo:hi]] * up, out=sums[1:])
-            a, b = self.start[done:to] - lo, self.stop[done:to] - lo
-            out[done:to] = _mix((sums[b] - sums[a]) * down[a])
-            done = to
-        return out
-
     def _digests(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray | int) -> list[np.ndarray]:
         down = [p.upto(len(self.start))[1] for p in _POWERS]
-        return [_mix((s[stop] - s[start]) * d[start] + np.asarray(salt, _U)) for s, d in zip(self.sums, down, strict=True)]
+        return [mix((s[stop] - s[start]) * d[start] + np.asarray(salt, _U)) for s, d in zip(self.sums, down, strict=True)]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each span its phrase's hash and a 128-bit digest of its words and of where the phrase lies."""
