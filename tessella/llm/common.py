@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def _sweep() -> None:
+    """Delete the tables of this process, whose plans end with it."""
+    gateway = SparkContext._gateway
+    for path in _made if gateway else ():
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            at = gateway.jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -40,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     later stage can be run again after an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter, warc
-from tessella.llm.common import shared_dir
+from tessella.llm.common import scratch_path
 
 #: The rules of op7.
 URL_RULES = [
@@ -57,7 +56,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_pages(spark, path)
 
