@@ -89,18 +89,16 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"))
     facts = materialize(rows.mapInArrow(digests, "page_id long, url string, n_bytes long, digest binary, sha1 string"), "warc-facts")
-    groups = materialize(facts.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("uses"), F.first("n_bytes").alias("bytes"), F.first("sha1").alias("hash")), "warc-groups")
-    judged = lookup_skewed(facts, groups.select("digest", "best", "uses"), ["digest"], "uses")
+    groups = materialize(facts.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("uses")), "warc-groups")
+    judged = lookup_skewed(facts, groups, ["digest"], "uses")
     revisits = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("best"))
     headers = judged.withColumn("is_revisit", revisits).mapInArrow(heads, "digest binary, is_revisit boolean, head binary")
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
 
-    # one row for each payload: that of the largest id, taken from the pages by id and proven by digest
-    body = F.coalesce(rows["html"], F.lit("")).cast("binary")
-    holders = groups.select(F.col("best").alias("holder"), "digest", F.col("bytes").alias("n_bytes"), F.col("hash").alias("sha1"), "uses")
-    met = holders.join(rows.select("page_id", body.alias("payload")), F.col("holder").eqNullSafe(F.col("page_id")))
-    proven = met.where(F.unhex(F.sha2("payload", 256)) == F.col("digest"))
-    proven.select("digest", "n_bytes", "sha1", "uses", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # one row for each payload: copies are dropped before the shuffle, and again behind it
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    payloads = rows.select(F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"), F.count("*").alias("uses"))
+    payloads.select("digest", F.octet_length("payload").cast("long").alias("n_bytes"), "uses", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
