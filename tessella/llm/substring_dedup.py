@@ -316,10 +316,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = partitions(docs.sparkSession, n_bytes / 6 / 14, PER_TASK)
     counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long")
     spans = materialize(counted.repartition(dealt, F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long"), "repeat-spans")
-    windows = rows.groupBy("shard").cogroup(spans.where("kind >= 2").groupBy("shard")).applyInArrow(_count_windows(window), _KEYED)
+    # a task holds a shard at a time; there are as many tasks as shards, however many the session's default is
+    tasks = partitions(docs.sparkSession, shards, 1)
+    sharded = lambda df: df.repartition(tasks, F.col("shard")).groupBy("shard")
+    windows = sharded(rows).cogroup(sharded(spans.where("kind >= 2"))).applyInArrow(_count_windows(window), _KEYED)
     fine = windows.repartition(dealt, F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
     confirmed = spans.unionByName(materialize(fine, "repeat-windows"))
-    return rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(window), _RESULT)
+    return sharded(rows).cogroup(sharded(confirmed)).applyInArrow(_remove(window), _RESULT)
 
 
 def removal_digest(removed: DataFrame) -> DataFrame:
