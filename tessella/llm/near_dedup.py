@@ -36,7 +36,7 @@ SKETCH, SKETCH_MISMATCHES = 128, 60
 BLOCK, LEADERS = 64, 32
 #: Rows that a task holds at once: keys, and keys with sketches.
 KEYS_PER_TASK, SKETCHES_PER_TASK = 4_000_000, 500_000
-#: Rows of a bucket above which a pair has to share another chunk, too.
+#: Rows of a bucket above which its rows meet block by block, in blocks of so many on average.
 LARGE_BUCKET = 8192
 
 _U = np.uint64
@@ -117,23 +117,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
 
-def _further_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of large buckets under pairs of keys: their own and one of a later chunk."""
-    for b in batches:
-        for start in range(0, b.num_rows, 1024):
-            piece = b.slice(start, 1024)
-            if not piece.num_rows:
-                continue
-            key = piece.column(0).to_numpy().view(_U)
-            chunk = (key >> _U(16 * (SYMBOLS - ERRORS))).astype(np.int64) // len(_LEFT_OUT)
-            keys = _bucket_keys(np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint16))
-            later = np.broadcast_to((np.arange(CHUNKS)[None, :] > chunk[:, None])[:, :, None], keys.shape)
-            row = np.broadcast_to(np.arange(piece.num_rows)[:, None, None], keys.shape)[later]
-            with np.errstate(over="ignore"):
-                both = mix(mix(key[row]) * _U(3) + keys[later])
-            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(piece.column(1).to_numpy()[row])], names=["key", "rep"])
-
-
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows whose key another row of the partition has, and how many have it."""
     table = [b for b in batches if b.num_rows]
@@ -172,10 +155,13 @@ class _BySketch:
         self.sketches, self.rows = sketches, np.arange(len(sketches))
 
     def __call__(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return self.like(self.sketches[i], rest)
+
+    def like(self, sketch: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = np.empty(len(rest), bool)
         for start in range(0, len(rest), 65_536):
             part = rest[start : start + 65_536]
-            out[start : start + 65_536] = (self.sketches[part] != self.sketches[i]).sum(1) <= SKETCH_MISMATCHES
+            out[start : start + 65_536] = (self.sketches[part] != sketch).sum(1) <= SKETCH_MISMATCHES
         return out
 
 
@@ -204,6 +190,31 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
 
+def _alike_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows that ask, one to each other part that has a row alike in their cell."""
+    table = [b for b in batches if b.num_rows]
+    if not table:
+        return
+    joined = pa.Table.from_batches(table)
+    cell, rep, label = (joined.column(i).to_numpy() for i in range(3))
+    asks = joined.column(3).to_numpy()
+    sketch = np.frombuffer(b"".join(joined.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    del joined, table
+    order = np.argsort(cell, kind="stable")
+    bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0]), len(cell)]
+    a, b = [], []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        at = order[lo:hi]
+        members = at[~asks[at]]
+        near, labels, everyone = _BySketch(sketch[members]), label[members], np.arange(len(members))
+        for i in at[asks[at]]:
+            met = np.unique(labels[near.like(sketch[i], everyone)])
+            met = met[met != label[i]]
+            a += [rep[i]] * len(met)
+            b += met.tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start in range(0, b.num_rows, 256):
@@ -283,13 +294,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     n_keys = CHUNKS * len(_LEFT_OUT)
     shared = _shared(groups.select("rep", "chunks").mapInArrow(_keys, "key long, rep long"), groups.count() * n_keys, "near-buckets")
-    large = shared.where(F.col("size") > LARGE_BUCKET)
-    if n_large := large.count():
-        further = large.join(groups.select("rep", "chunks"), "rep").select("key", "rep", "chunks").mapInArrow(_further_keys, "key long, rep long")
-        shared = shared.where(F.col("size") <= LARGE_BUCKET).unionByName(_shared(further, n_large * n_keys // 2, "near-further"))
-    met = shared.join(groups.select("rep", "sketch"), "rep").select("key", "rep", "sketch")
-    met = met.repartition(partitions(docs.sparkSession, shared.count(), SKETCHES_PER_TASK), F.col("key"))
-    alike = connected_components(met.mapInArrow(_alike, "a long, b long"))
+    alike = connected_components(_alike_links(shared, groups))
 
     # groups of alike sets: exact links
     sizes = alike.groupBy("component").agg(F.count("*").alias("members"))
@@ -312,6 +317,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _alike_links(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links that hold together what the sketches link within each bucket, however large."""
+    large = shared.where(F.col("size") > LARGE_BUCKET)
+    sketches = groups.select("rep", "sketch")
+
+    def cells(dealt: DataFrame, rows: int) -> DataFrame:
+        return dealt.join(sketches, "rep").repartition(partitions(shared.sparkSession, rows, SKETCHES_PER_TASK), F.col("key"))
+
+    n_large = large.count()
+    dealt = shared.where(F.col("size") <= LARGE_BUCKET).select("key", "rep")
+    if n_large:
+        # each block of a large bucket together with the bucket's leaders
+        blocks = F.ceil(F.col("size") / LARGE_BUCKET)
+        leads = F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.ceil(F.col("size") / LEADERS)) == 0
+        at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks))))
+        dealt = dealt.unionByName(large.withColumn("i", at).select(F.xxhash64("key", "i").alias("key"), "rep"))
+    links = cells(dealt, shared.count() + n_large).select("key", "rep", "sketch").mapInArrow(_alike, "a long, b long")
+    if not n_large:
+        return links
+    links = materialize(links, "near-alike")
+    # each row outside its bucket's largest part with all of the bucket, as in _rest_of_large_groups
+    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
+    labelled = materialize(large.join(parts, "rep", "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("label")), "near-bucket-parts")
+    sizes = labelled.groupBy("key", "size", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.first("size").alias("uses"), (F.sum("n") - F.max("n")).alias("outside"))
+    main = materialize(main, "near-bucket-main")
+    blocks, outer = F.ceil(F.col("size") / LARGE_BUCKET), F.ceil(F.col("outside") / LARGE_BUCKET)
+    n_open = main.where("outside > 0").agg(F.sum(F.col("outside") * F.ceil(F.col("uses") / LARGE_BUCKET) + F.col("uses") * outer)).first()[0]
+    if not n_open:
+        return links
+    rows = lookup_skewed(labelled, main, ["key"], "uses").where("outside > 0")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    queries = rows.where(F.col("label") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("rep"), outer)).withColumn("j", every(blocks)).withColumn("asks", F.lit(True))
+    members = rows.withColumn("j", F.pmod(F.xxhash64("rep"), blocks)).withColumn("i", every(outer)).withColumn("asks", F.lit(False))
+    met = queries.unionByName(members).select(F.xxhash64("key", "i", "j").alias("key"), "rep", "label", "asks")
+    return links.unionByName(cells(met, n_open).select("key", "rep", "label", "asks", "sketch").mapInArrow(_alike_outside, "a long, b long"))
+
+
 def _compared(dealt: DataFrame) -> DataFrame:
     """Links within each (group_id, i, j) of rows with rep and found."""
     rows = dealt.select("group_id", "i", "j", "rep", "found").repartition(F.col("group_id"), F.col("i"), F.col("j"))

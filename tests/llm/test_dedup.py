@@ -156,6 +156,27 @@ def test_near_groups_of_several_blocks_and_large_buckets(spark, monkeypatch):
     assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
 
 
+def test_near_pairs_of_a_large_bucket_that_share_no_other_chunk(spark, monkeypatch):
+    """Pairs of a bucket of 60 rows meet, though each two have the symbols of one chunk only in common."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 5)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
+    docs = [(i, " ".join([*(f"w{i // 3}x{k}" for k in range(60)), f"own{i}"])) for i in range(60)]
+    of = near_dedup._sketches
+    chunk = near_dedup.SYMBOLS * 2
+
+    def sketched(batches):
+        for b in of(batches):
+            rng = [np.random.default_rng(i) for i in b.column(0).to_pylist()]
+            made = [b"\1" * chunk + r.bytes((near_dedup.CHUNKS - 1) * chunk) for r in rng]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary()), b.column(4)], schema=b.schema)
+
+    monkeypatch.setattr(near_dedup, "_sketches", sketched)
+    out = near_dedup.near_groups(spark.createDataFrame(docs, SCHEMA))
+    assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
+
+
 def test_near_groups_join_the_texts_of_one_id(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     out = near_dedup.near_groups(spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], SCHEMA))
