@@ -130,15 +130,22 @@ PLACES = [(dx, dy) for dx in (-10, 0, 10) for dy in (-10, 0, 10)]
 UNITS = ["u0", "u1"]
 
 
+def image_grids(spark, sf_dir):
+    """Embeddings as grids of features, 25 for an image; how many images and features there are."""
+    e = table(spark, sf_dir, "embeddings")
+    last, size = e.agg(F.max(F.expr("vec_id div 25")), F.max(F.size("embedding"))).first()
+    grid = e.select(F.expr("vec_id div 25").alias("image"), (F.col("vec_id") % 5).alias("ix"), (F.expr("vec_id div 5") % 5).alias("iy"), F.transform("embedding", lambda v: v.cast("double")).alias("feat"))
+    return grid, last + 1, size
+
+
 def places(spark, sf_dir):
     """Customers as events: what lies at nine offsets from each, and responses to two of the places."""
     c = table(spark, sf_dir, "customer")
-    ev = c.select(F.col("c_custkey").alias("event"), (F.col("c_nationkey") % 20).cast("long").alias("image"), F.pmod(F.col("c_acctbal"), F.lit(50.0)).alias("x"), F.pmod(F.col("c_acctbal") / 7, F.lit(50.0)).alias("y"))
-    e = table(spark, sf_dir, "embeddings")
-    grid = e.select(F.expr("vec_id div 25").alias("image"), (F.col("vec_id") % 5).alias("ix"), (F.expr("vec_id div 5") % 5).alias("iy"), F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")).alias("feat"))
+    grid, n_images, n_features = image_grids(spark, sf_dir)
+    ev = c.select(F.col("c_custkey").alias("event"), (F.col("c_custkey") % n_images).cast("long").alias("image"), F.pmod(F.col("c_acctbal"), F.lit(50.0)).alias("x"), F.pmod(F.col("c_acctbal") / 7, F.lit(50.0)).alias("y"))
     offsets = spark.createDataFrame([(i, float(dx), float(dy)) for i, (dx, dy) in enumerate(PLACES)], "place int, dx double, dy double")
     at = sp.crossed(ev, offsets).withColumn("x", F.col("x") + F.col("dx")).withColumn("y", F.col("y") + F.col("dy"))
-    found = sp.grid_lookup(at, grid, [0.0] * 16, (0.0, 0.0), 10.0)
+    found = sp.grid_lookup(at, grid, [0.0] * n_features, (0.0, 0.0), 10.0)
     own = F.max(F.when(F.col("place") == 4, F.col("feat"))).over(Window.partitionBy("event"))
     right = F.max(F.when(F.col("place") == 7, F.col("feat"))).over(Window.partitionBy("event"))
     rows = found.withColumn("u0", own[0] - own[2]).withColumn("u1", right[1])
@@ -161,15 +168,19 @@ def feature_correlation_map(spark, sf_dir):
     return R6(md.pooled_folds(maps_, ["place", "unit"], 4), "r")
 
 
+def positions(spark, sf_dir):
+    """What lies at positions from half a move before its start to half a move behind its end."""
+    grid, n_images, n_features = image_grids(spark, sf_dir)
+    m = move_table(spark, sf_dir).select(F.col("to_id").alias("event"), (F.col("image") % n_images).alias("image"), "fx", "fy", "x", "y", (F.col("size") / 10).alias("u0"))
+    steps = spark.createDataFrame([(i, -0.5 + 0.25 * i) for i in range(9)], "place int, at double")
+    rows = sp.crossed(m, steps).withColumn("px", F.col("fx") + F.col("at") * (F.col("x") - F.col("fx"))).withColumn("py", F.col("fy") + F.col("at") * (F.col("y") - F.col("fy")))
+    return md.snake_folds(sp.grid_lookup(rows, grid, [0.0] * n_features, (0.0, 0.0), 10.0, x="px", y="py"), "image", 4)
+
+
 @query()
 def positions_along_move(spark, sf_dir):
     """Fits at positions from half a move before its start to half a move behind its end."""
-    m = move_table(spark, sf_dir).select(F.col("to_id").alias("event"), (F.col("image") % 20).alias("image"), "fx", "fy", "x", "y", (F.col("size") / 10).alias("u0"))
-    steps = spark.createDataFrame([(i, -0.5 + 0.25 * i) for i in range(9)], "place int, at double")
-    rows = sp.crossed(m, steps).withColumn("px", F.col("fx") + F.col("at") * (F.col("x") - F.col("fx"))).withColumn("py", F.col("fy") + F.col("at") * (F.col("y") - F.col("fy")))
-    e = table(spark, sf_dir, "embeddings")
-    grid = e.select(F.expr("vec_id div 25").alias("image"), (F.col("vec_id") % 5).alias("ix"), (F.expr("vec_id div 5") % 5).alias("iy"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("feat"))
-    found = md.snake_folds(sp.grid_lookup(rows, grid, [0.0] * 8, (0.0, 0.0), 10.0, x="px", y="py"), "image", 4)
+    found = positions(spark, sf_dir)
     return R6(md.evaluate(md.cv_ridge(found, ["place"], "feat", ["u0"], 10.0), ["place"]), "corr", "r2")
 
 

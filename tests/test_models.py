@@ -52,6 +52,16 @@ def test_projection_follows_its_unit(frame):
     assert models.pooled_folds(got, ["unit"], 5).where("r is not null").count() == 0
 
 
+def test_model_queries_look_up_every_image_and_feature(spark):
+    from tessella.plans import q_models
+
+    sf = "/root/testdata/sf0.1"
+    every = {tuple(map(float, r[0])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()}
+    assert {tuple(r[0]) for r in q_models.places(spark, sf).select("feat").distinct().collect()} - {(0.0,) * 64} == every
+    found = q_models.positions(spark, sf).select("image", "feat").groupBy("image").agg(F.max(F.size("feat")), F.count_if(F.col("feat")[0] != 0)).collect()
+    assert {r[0] for r in found} == set(range(80)) and {r[1] for r in found} == {64} and all(r[2] for r in found)
+
+
 @pytest.mark.parametrize("make", [lambda df: models.snake_folds(df, "g", 3), lambda df: models.greedy_folds(df, "g", 3, "s")])
 def test_no_group_spans_folds(spark, make):
     df = spark.createDataFrame([(i, f"g{min(i % 11, i % 7)}") for i in range(200)], "i long, g string")
