@@ -13,9 +13,6 @@ from tessella.functions.moments import pearson, r_squared
 from tessella.functions.scalars import draw
 from tessella.operators.ranking import global_rank
 
-#: Groups that are dealt greedily, largest first, on the driver; more are dealt in snake order.
-GREEDY_GROUPS = 100_000
-
 
 def alias_map(lines: DataFrame) -> DataFrame:
     """(alias, canonical) out of lines of tab-separated names whose first is canonical."""
@@ -38,20 +35,48 @@ def snake_folds(rows: DataFrame, group: str, n_splits: int) -> DataFrame:
     return rows.join(sizes.withColumn("fold", fold).drop("_n", "_k"), group)
 
 
+def greedy_runs(sizes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, list[int], list[list[int]]]]:
+    """(n, groups before, starts, cycles) for each (n, how many groups have n rows), largest first.
+
+    Greedy dealing of equal groups goes through levels of n rows: a fold takes part from the level of its
+    load on, so from each of ``starts`` on a cycle of folds repeats.
+    """
+    loads, before, out = [0] * n_splits, 0, []
+    for n, groups in sizes:
+        low = min(loads)
+        level = [(load - low) // n for load in loads]
+        turn = sorted(range(n_splits), key=lambda i: ((loads[i] - low) % n, i))
+        steps = sorted(set(level))
+        starts, cycles, at = [], [], 0
+        for k, step in enumerate(steps):
+            if at >= groups:
+                break
+            cycle = [i for i in turn if level[i] <= step]
+            most = groups - at if k + 1 == len(steps) else min(groups - at, (steps[k + 1] - step) * len(cycle))
+            starts.append(at)
+            cycles.append(cycle)
+            for place, i in enumerate(cycle):
+                loads[i] += n * ((most - place + len(cycle) - 1) // len(cycle))
+            at += most
+        out.append((n, before, starts, cycles))
+        before += groups
+    return out
+
+
 def greedy_folds(rows: DataFrame, group: str, n_splits: int, seed: str) -> DataFrame:
-    """``fold`` for each row: groups by falling size, equal ones in a seeded order, each to the fold with the fewest rows."""
+    """``fold`` for each row: groups by falling size, equal ones in a seeded order, each to the fold with the fewest rows.
+
+    The driver sees a row for each size that occurs, not for each group.
+    """
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    if sizes.count() > GREEDY_GROUPS:
-        return snake_folds(rows, group, n_splits)
-    table = sizes.orderBy(F.col("n").desc(), draw(seed, F.col(group)), group).toPandas()
-    loads, folds = [0] * n_splits, []
-    for n in table["n"]:
-        fold = min(range(n_splits), key=lambda i: (loads[i], i))
-        loads[fold] += int(n)
-        folds.append(fold)
-    kind = rows.schema[group].dataType.simpleString()
-    dealt = rows.sparkSession.createDataFrame(pd.DataFrame({group: table[group], "fold": folds}), f"{group} {kind}, fold int") if len(table) else sizes.select(group, F.lit(0).alias("fold"))
-    return rows.join(dealt, group)
+    counted = sorted(((r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True)
+    runs = rows.sparkSession.createDataFrame(greedy_runs(counted, n_splits), "n long, _before long, _starts array<long>, _cycles array<array<int>>")
+    ranked = global_rank(sizes, [F.col("n").desc(), draw(seed, F.col(group)), F.col(group)], "_k")
+    at = F.col("_k") - 1 - F.col("_before")
+    run = F.size(F.filter("_starts", lambda s: s <= at))
+    cycle = F.element_at("_cycles", run)
+    fold = F.get(cycle, ((at - F.element_at("_starts", run)) % F.size(cycle)).cast("int"))
+    return rows.join(ranked.join(F.broadcast(runs), "n").select(group, fold.alias("fold")), group)  # sizes that occur: at most the root of twice the rows
 
 
 def shuffled_folds(rows: DataFrame, key: str, n_splits: int, seed: str) -> DataFrame:

@@ -102,7 +102,7 @@ def group_kfold_snake(spark, sf_dir):
 def group_kfold_greedy(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     lines = p.groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "\t").alias("value")).where("p_type = 'SMALL'").select("value")
-    grouped = md.canonical_groups(p, md.alias_map(lines).limit(4), "p_brand")
+    grouped = md.canonical_groups(p, md.alias_map(lines), "p_brand")
     return md.greedy_folds(grouped, "p_brand", 5, "k").select("p_partkey", "fold")
 
 

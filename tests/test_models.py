@@ -73,6 +73,31 @@ def test_no_group_spans_folds(spark, make):
     assert max(loads) - min(loads) <= df.groupBy("g").count().agg(F.max("count")).first()[0]
 
 
+@pytest.mark.parametrize("sizes", [[1] * 40, [90] + [1] * 70, [50, 50, 7, 7, 7, 3, 3, 1, 1, 1, 1, 1, 1], [9, 8, 7, 6, 5] + [2] * 31 + [1] * 3, [5]])
+def test_greedy_folds_of_many_groups(spark, monkeypatch, sizes):
+    from tessella.functions.scalars import draw
+
+    monkeypatch.setattr(models, "GREEDY_GROUPS", 3, raising=False)
+    df = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g long").repartition(4)
+    loads, want = [0] * 4, {}
+    for r in df.groupBy("g").count().orderBy(F.col("count").desc(), draw("s", F.col("g")), "g").collect():
+        want[r.g] = min(range(4), key=lambda i: (loads[i], i))
+        loads[want[r.g]] += r["count"]
+    got = models.greedy_folds(df, "g", 4, "s")
+    assert got.count() == sum(sizes) and {r.g: r.fold for r in got.distinct().collect()} == want
+
+
+def test_greedy_query_takes_every_alias(spark, monkeypatch):
+    from tessella.plans import q_models
+
+    seen = []
+    of = models.canonical_groups
+    monkeypatch.setattr(models, "canonical_groups", lambda rows, aliases, group: seen.append(aliases.count()) or of(rows, aliases, group))
+    sf = "/root/testdata/sf0.001"
+    q_models.group_kfold_greedy(spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/part.parquet").where("p_type = 'SMALL'").select("p_brand").distinct().count()]
+
+
 def test_similar_images_share_a_group(spark):
     lines = spark.createDataFrame([("a\tb\tc",), ("d\te",), ("",)], "value string")
     df = spark.createDataFrame([("a",), ("c",), ("e",), ("z",)], "g string")
