@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -25,6 +25,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 SETTLED = r"[\t-\r -~\xa0-ɏͰ-ͳΆΈ-ΊΌΎ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€]*"
 #: Pieces that a task remembers; the table is emptied when full, which changes no count.
 REMEMBERED = 400_000
+#: Code points of a piece beyond which its prefixes are looked up in one pass over it.
+LONG = 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +54,9 @@ class PrefixCounter:
         self._pieces, self._settled = regex.compile(PIECES), regex.compile(SETTLED)
         self._model = data["model"]
         self._n: dict[str, int] = {}
+        self._whole: dict[bytes, bool] = {}
+        self._follows: dict[tuple[bytes, bytes], bool] = {}
+        self._tails: dict[str, int] = {}
 
     # -- counts of whole pieces
 
@@ -72,11 +77,9 @@ class PrefixCounter:
         """Make the counts of these pieces known."""
         if len(self._n) > REMEMBERED:
             self._n.clear()
-        new = [p for p in pieces if p not in self._n]
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._n[p] = len(e)
+        for p in pieces:
+            if p not in self._n:
+                self._n[p] = self.within(p)[-1]
 
     def counts(self, pieces: list[str]) -> list[int]:
         """The tokens up to the end of each of a text's pieces."""
@@ -113,8 +116,13 @@ class PrefixCounter:
         return out
 
     @cached_property
-    def _longest(self) -> int:
-        return max(map(len, self._vocabulary))
+    def _sizes(self) -> dict[bytes, list[int]]:
+        """The lengths, longest first, that tokens with these last three bytes have, down to one."""
+        out: dict[bytes, set[int]] = {}
+        for token in self._vocabulary:
+            if self._is_whole(token) and len(token) > 2:
+                out.setdefault(token[-3:], {1, 2}).add(len(token))
+        return {k: sorted(v, reverse=True) for k, v in out.items()}
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """The tokens of a short byte string, by merging the lowest rank first."""
@@ -135,20 +143,54 @@ class PrefixCounter:
         if piece in self.specials:
             return [1] * len(piece.encode())
         data = piece.encode()
+        sizes, whole, follows = self._sizes, self._whole, self._follows
         last: list[bytes] = [b""]
         counts = [0]
         for end in range(1, len(data) + 1):
-            for size in range(min(self._longest, end), 0, -1):
-                token = data[end - size : end]
-                if token not in self._vocabulary:
+            for size in sizes.get(data[max(end - 3, 0) : end], (2, 1)):
+                if size > end or (token := data[end - size : end]) not in whole:
                     continue
                 before = last[end - size]
-                if (len(self._merge(token)) == 1) and (not before or self._merge(before + token) == [before, token]):
+                found = follows.get((before, token)) if before else True
+                if found or found is None and self._can_follow(before, token):
                     last.append(token)
                     counts.append(counts[end - size] + 1)
                     break
+            else:
+                raise ValueError(f"no tokens for a prefix of {piece!r}")
         return counts[1:]
 
+    def _is_whole(self, token: bytes) -> bool:
+        """Whether merging makes one token of these bytes."""
+        if (found := len(self._merge(token)) == 1):
+            self._whole[token] = found
+        return found
+
+    def _can_follow(self, before: bytes, token: bytes) -> bool:
+        if len(self._follows) > REMEMBERED:
+            self._follows.clear()
+        found = self._follows[before, token] = self._merge(before + token) == [before, token]
+        return found
+
+    def prefixes(self, text: str) -> list[int]:
+        """The tokens of each prefix by itself, from one code point on."""
+        table = ends, counts = self.table(text)
+        out: list[int] = []
+        for i, end in enumerate(ends):
+            start = ends[i - 1] if i else 0
+            before = counts[i - 1] if i else 0
+            inner = None
+            for chars in range(start + 1, end + 1):
+                if chars - start <= LONG or text[chars - 1].isspace() or text[start:end] in self.specials:
+                    out.append(self.count_at(text, chars, table))
+                    continue
+                if inner is None:  # a prefix of a long piece is one piece
+                    inner = self.within(text[start:end])
+                    at = len(text[start : chars - 1].encode())
+                at += len(text[chars - 1].encode())
+                out.append(before + inner[at - 1])
+        return out
+
     def count_at(self, text: str, chars: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """How many tokens the first ``chars`` code points of a text have by themselves.
 
@@ -156,11 +198,23 @@ class PrefixCounter:
         """
         ends, counts = table or self.table(text)
         i = bisect.bisect_right(ends, chars)
+        if 0 < i < len(ends) and ends[i - 1] < chars and text[ends[i - 1] : ends[i]] in self.specials:
+            i -= 1  # part of a special string is plain text, which goes on the piece before it
         if chars and text[chars - 1].isspace():  # white space at the end of a text is cut otherwise than before a word
             while i and text[ends[i - 1] - 1].isspace():
                 i -= 1
         start, n = (ends[i - 1], counts[i - 1]) if i else (0, 0)
-        return n + sum(self.within(p)[-1] for p in self.cut(text[start:chars]))
+        return n + self._tail(text[start:chars])
+
+    def _tail(self, tail: str) -> int:
+        found = self._tails.get(tail)
+        if found is None:
+            found = sum(self.within(p)[-1] for p in self.cut(tail))
+            if len(tail) <= LONG:
+                if len(self._tails) > REMEMBERED:
+                    self._tails.clear()
+                self._tails[tail] = found
+        return found
 
     def budget(self, text: str, n_tokens: int) -> int:
         """How many code points the longest prefix has that is ``n_tokens`` tokens or fewer by itself."""
@@ -174,6 +228,12 @@ class PrefixCounter:
         return best
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> PrefixCounter:
+    """One counter for all tasks of a worker process."""
+    return PrefixCounter(path)
+
+
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -186,7 +246,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
@@ -198,23 +258,33 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ends, counts — the prefix table that ``count_within`` reads."""
+    """Per row: doc_id, ends, counts, at — code points and tokens up to each piece's end, and the tokens of each prefix by itself.
+
+    ``count_within`` and ``fits_budget`` read ``at``, which has a count for each code point.
+    """
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 piece = batch.slice(start, 64)
-                found = [counter.table(t or "") for t in piece.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "ends", "counts"])
+                texts = [t or "" for t in piece.column(1).to_pylist()]
+                found = [counter.table(t) for t in texts]
+                at = [counter.prefixes(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))], names=["doc_id", "ends", "counts", "at"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tables, "doc_id long, ends array<long>, counts array<long>")
+    return rows.mapInArrow(tables, "doc_id long, ends array<long>, counts array<long>, at array<long>")
+
+
+def count_within(tables: DataFrame, n_chars: int) -> DataFrame:
+    """Per row of ``prefix_tables``: the tokens of the first ``n_chars`` code points, or of all if there are fewer."""
+    chars = F.least(F.size("at"), F.lit(n_chars))
+    return tables.select("doc_id", chars.cast("long").alias("n_chars"), F.coalesce(F.get("at", chars - 1), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def fits_budget(tables: DataFrame, n_tokens: int) -> DataFrame:
-    """Per row of ``prefix_tables``: the longest prefix of whole pieces within a budget of tokens."""
-    fitting = F.size(F.filter("counts", lambda c: c <= n_tokens))
-    chars = F.when(fitting > 0, F.element_at("ends", F.greatest(fitting, F.lit(1)))).otherwise(F.lit(0))
-    tokens = F.when(fitting > 0, F.element_at("counts", F.greatest(fitting, F.lit(1)))).otherwise(F.lit(0))
-    return tables.select("doc_id", chars.cast("long").alias("n_chars"), tokens.cast("long").alias("n_tokens"))
+    """Per row of ``prefix_tables``: the longest prefix, inside a piece or not, within a budget of tokens."""
+    fitting = F.filter(F.transform("at", lambda c, i: F.when(c <= n_tokens, i + 1)), lambda i: i.isNotNull())
+    chars = F.coalesce(F.array_max(fitting), F.lit(0))
+    return tables.select("doc_id", chars.cast("long").alias("n_chars"), F.coalesce(F.get("at", chars - 1), F.lit(0)).cast("long").alias("n_tokens"))

@@ -308,6 +308,32 @@ def test_prefixes(counter, spark):
     assert rows(fits_budget(tables, 2), "doc_id", "n_chars", "n_tokens") == [(1, 7, 2), (2, 0, 0)]
 
 
+def test_budgets_inside_long_pieces(counter, spark, monkeypatch):
+    import public_tokenizers
+
+    from tessella.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "LONG", 5)
+    encode = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = ["日本語テキスト" * 8, "a" * 90, "x" + "qzjw" * 20 + "  \n  end", "don't <|endoftext|>!!!???;;; 1234567890", ""]
+    own = [[encode(t[:n]) for n in range(len(t) + 1)] for t in texts]
+    assert [[0, *counter.prefixes(t)] for t in texts] == own
+    tables = prefix_tables(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    for n in (0, 3, 7, 1000):
+        best = [max(k for k, c in enumerate(o) if c <= n) for o in own]
+        assert rows(fits_budget(tables, n), "doc_id", "n_chars", "n_tokens") == [(i, k, own[i][k]) for i, k in enumerate(best)]
+        short = [min(n, len(t)) for t in texts]
+        assert rows(token_counts.count_within(tables, n), "doc_id", "n_chars", "n_tokens") == [(i, k, own[i][k]) for i, k in enumerate(short)]
+
+
+def test_totals_come_from_the_prefix_counts(counter, monkeypatch):
+    """No piece is encoded by the library."""
+    fresh = PrefixCounter(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    of, seen = fresh.within, []
+    monkeypatch.setattr(fresh, "within", lambda piece: seen.append(piece) or of(piece))
+    assert fresh.totals(["one two one"]) == [3] and sorted(seen) == [" one", " two", "one"]
+
+
 def test_digests_of_known_bytes():
     assert warc.payload_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha1(b"").hexdigest() == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
