@@ -7,9 +7,13 @@ words with the smallest hash) at the same place in both occurrences.  So:
    whose windows it stands for; phrases that occur once are done with;
 2. windows of the phrases that are left are confirmed: a span that occurs twice confirms
    all its windows at once, of the others each window is counted;
-3. each shard of documents compiles the phrases of its confirmed passages into an
-   Aho-Corasick automaton and streams its documents through it; around every hit the
-   confirmed windows are marked, and the words that they cover are removed.
+3. the phrases of the passages that recur are the dictionary; each shard of documents
+   compiles those that it was sent into an Aho-Corasick automaton and streams its documents
+   through it.  Only where the automaton finds a phrase are the windows around it held
+   against the confirmed ones, and the words that these cover are removed.
+
+The dictionary's texts come from the rows that confirm a passage, whichever document gave
+them, and a shard is sent what can occur in it, so automata stay as small as their shards.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ WINDOW, PHRASE = 35, 8
 SHARD_BYTES = 8_000_000
 #: Rows that a map task gathers before it adds up equal ones, and that a task holds behind a shuffle.
 GATHERED = PER_TASK = 1_000_000
+#: Tasks of a stage over shards at most; beyond, a task does several shards one after the other.
+MAX_TASKS = 50_000
 
 _U = np.uint64
 _POWERS = (Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F))
@@ -64,12 +70,11 @@ class Texts:
         self.n_windows = len(windows)
         if not self.n_windows:
             return
-        h = word_hashes(raw, self.start, self.stop)
         # sums of words times powers: any run of words has its digest from two of them
         self.sums = []
-        for powers, x in zip(_POWERS, (h, (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)), strict=True):
+        for half, powers in enumerate(_POWERS):
             sums = np.zeros(n + 1, _U)
-            np.cumsum(x * powers.upto(n)[0], out=sums[1:])
+            np.cumsum(word_hashes(raw, self.start, self.stop, half) * powers.upto(n)[0], out=sums[1:])
             self.sums.append(sums)
         phrases = mix((self.sums[0][PHRASE:] - self.sums[0][:-PHRASE]) * _POWERS[0].upto(n)[1][: n - PHRASE + 1])
         # the leftmost smallest phrase of each window, from runs of phrases twice as long each time
@@ -93,10 +98,11 @@ class Texts:
         down = [p.upto(len(self.start))[1] for p in _POWERS]
         return [mix((s[stop] - s[start]) * d[start] + np.asarray(salt, _U)) for s, d in zip(self.sums, down, strict=True)]
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each span its phrase's hash and a 128-bit digest of its words and of where the phrase lies."""
-        place = ((self.at - self.first).astype(_U) << _U(32)) + (self.last - self.first + 1).astype(_U)
-        return self.phrase, *self._digests(self.first, self.last + self.window, place * _U(0x94D049BB133111EB))
+    def spans(self, chosen: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """For each span a 128-bit digest of its words and of where the phrase lies."""
+        first, last = self.first[chosen], self.last[chosen]
+        place = ((self.at[chosen] - first).astype(_U) << _U(32)) + (last - first + 1).astype(_U)
+        return self._digests(first, last + self.window, place * _U(0x94D049BB133111EB))
 
     def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and 128-bit digest of each window of the given spans."""
@@ -104,26 +110,40 @@ class Texts:
         starts = np.repeat(self.first[spans] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return starts, *self._digests(starts, starts + self.window, 0)
 
-    def phrase_text(self, at: int) -> str:
-        return b" ".join(self.data[self.start[at] : self.stop[at + PHRASE - 1]].split()).decode()
+    def phrase_texts(self) -> pa.Array:
+        """The text of each span's phrase; words have to be joined by one space."""
+        begin = self.start[self.at]
+        sizes = self.stop[self.at + PHRASE - 1] - begin
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(self.data, np.uint8)[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(raw)])
 
 
-def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows whose columns but the last (a count) are equal made one, their counts added."""
+def _added(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows whose columns but the last (a count) are equal made one, their counts added; and the first of each."""
     *keys, n = columns
     if not len(n):
-        return columns
+        return columns, np.zeros(0, np.int64)
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], 0)]
-    return [*(k[new] for k in keys), np.add.reduceat(n[order], np.flatnonzero(new))]
+    return [*(k[new] for k in keys), np.add.reduceat(n[order], np.flatnonzero(new))], order[new]
+
 
+def _batch(columns: list[np.ndarray | pa.Array], names: list[str]) -> pa.RecordBatch:
+    numbers = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays(numbers, names=names)
 
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in columns], names=names)
 
+def _joined(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """The texts' words, joined by one space."""
+    return [b" ".join(t.split()) for t in texts.cast(pa.binary()).to_pylist()]
 
-_SPANS = ["phrase", "d1", "d2", "shard", "n"]
+
+def _spans_added(held: list[tuple[list[np.ndarray], pa.Array]]) -> pa.RecordBatch:
+    columns, first = _added([np.concatenate(c) for c in zip(*[h[0] for h in held], strict=True)])
+    texts = pa.concat_arrays([h[1] for h in held]).take(pa.array(first))
+    return _batch([*columns, texts], ["phrase", "d1", "d2", "shard", "n", "text"])
 
 
 def _count_spans(window: int):
@@ -131,28 +151,28 @@ def _count_spans(window: int):
         held, size = [], 0
         for b in batches:
             shards = b.column(1).to_numpy()
-            for place, some in pieces(b.column(0).cast(pa.binary()).to_pylist()):
+            for place, some in pieces(_joined(b.column(0))):
                 found = Texts(some, window)
                 if found.n_windows:
-                    spans = found.spans()
                     of = np.searchsorted(found.bounds, found.first, "right") - 1
-                    held.append([*spans, shards[place + of], np.ones(len(of), np.int64)])
+                    held.append(([found.phrase, *found.spans(), shards[place + of], np.ones(len(of), np.int64)], found.phrase_texts()))
                     size += len(of)
             if size > GATHERED:
-                yield _batch(_added([np.concatenate(c) for c in zip(*held, strict=True)]), _SPANS)
+                yield _spans_added(held)
                 held, size = [], 0
         if held:
-            yield _batch(_added([np.concatenate(c) for c in zip(*held, strict=True)]), _SPANS)
+            yield _spans_added(held)
 
     return count
 
 
-def _whole_partition(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+def _whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     table = [b for b in batches if b.num_rows]
-    if not table:
-        return None
-    joined = pa.Table.from_batches(table)
-    return [c.to_numpy() for c in joined.columns]
+    return pa.Table.from_batches(table) if table else None
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
 
 
 def _recurring_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +182,10 @@ def _recurring_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     are to be counted.  3: both; one shard counts the windows of such a span, for others
     that share only some of them.
     """
-    columns = _whole_partition(batches)
-    if columns is None:
+    table = _whole_partition(batches)
+    if table is None:
         return
-    phrase, d1, d2, shard, n = _added(columns)
+    (phrase, d1, d2, shard, n), first = _added(_numbers(table, "phrase", "d1", "d2", "shard", "n"))
     new_span = np.r_[True, (phrase[1:] != phrase[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
     new_phrase = np.r_[True, phrase[1:] != phrase[:-1]]
     of_span, of_phrase = np.cumsum(new_span) - 1, np.cumsum(new_phrase) - 1
@@ -174,14 +194,16 @@ def _recurring_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     mixed = np.add.reduceat(new_span.astype(np.int64), np.flatnonzero(new_phrase))[of_phrase] > 1
     kind = np.where(per_span > 1, 1, 0) + np.where(mixed & ((per_span == 1) | new_span), 2, 0)
     stay = (per_phrase > 1) & (kind > 0)
-    yield _batch([x[stay] for x in (d1, d2, shard, kind)], ["d1", "d2", "shard", "kind"])
+    # every shard is sent the same text for a passage's phrase
+    text = table.column("text").combine_chunks().take(pa.array(first[np.flatnonzero(new_span)][of_span[stay]]))
+    yield _batch([*(x[stay] for x in (d1, d2, shard, kind)), text], ["d1", "d2", "shard", "kind", "text"])
 
 
 def _recurring_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = _whole_partition(batches)
-    if columns is None:
+    table = _whole_partition(batches)
+    if table is None:
         return
-    d1, d2, shard, n = _added(columns)
+    (d1, d2, shard, n), _ = _added(_numbers(table, "d1", "d2", "shard", "n"))
     new = np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
     twice = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] > 1
     yield _batch([d1[twice], d2[twice], shard[twice], np.full(int(twice.sum()), 4)], ["d1", "d2", "shard", "kind"])
@@ -215,39 +237,62 @@ class _Known:
 _KEYED = "d1 long, d2 long, shard long, n long"
 
 
-def _texts(docs: pa.Table) -> list[bytes]:
-    return docs.column("text").cast(pa.binary()).to_pylist()
-
-
 def _count_windows(window: int):
     def count(docs: pa.Table, spans: pa.Table) -> pa.Table:
         known, held = _Known(spans), []
-        for _, some in pieces(_texts(docs)) if spans.num_rows else ():
+        for _, some in pieces(_joined(docs.column("text"))) if spans.num_rows else ():
             found = Texts(some, window)
             if found.n_windows:
-                _, d1, d2 = found.spans()
-                kinds = known.kinds(d1, d2)
+                kinds = known.kinds(*found.spans())
                 chosen = np.flatnonzero(kinds & 2)
                 _, w1, w2 = found.windows(chosen)
                 # a window of a confirmed span occurs elsewhere, too
                 twice = np.repeat(kinds[chosen] & 1, (found.last - found.first + 1)[chosen])
                 held.append([w1, w2, np.ones(len(w1), np.int64) + twice])
         shard = docs.column("shard")[0].as_py() if docs.num_rows else 0
-        d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)]) if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)])[0] if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
         return pa.Table.from_batches([_batch([d1, d2, np.full(len(n), shard), n], ["d1", "d2", "shard", "n"])])
 
     return count
 
 
-def _phrase_positions(words: bytes, automaton) -> np.ndarray:
-    """Where the automaton's phrases start in words that are joined by one space, counted in words."""
-    text = f" {words.decode()} "
-    ends = [end for end, _ in automaton.iter(text)]
-    if not ends:
-        return np.zeros(0, np.int64)
-    # a phrase ends with the space behind its last word
-    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-    return np.searchsorted(spaces, np.array(ends)) - PHRASE
+class Phrases:
+    """The automaton over some phrases, whose words are joined by one space."""
+
+    def __init__(self, phrases: list[bytes]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for phrase in phrases:
+            self.automaton.add_word(f" {phrase.decode()} ", True)
+        if phrases:
+            self.automaton.make_automaton()
+
+    def places(self, words: bytes) -> np.ndarray:
+        """The numbers of the words where a phrase starts in words that are joined by one space."""
+        if not len(self.automaton):
+            return np.zeros(0, np.int64)
+        text = f" {words.decode()} "
+        ends = np.fromiter((end for end, _ in self.automaton.iter(text)), np.int64)
+        # a phrase ends with the space behind its last word
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+        return np.searchsorted(spaces, ends) - PHRASE
+
+
+def _covered(found: Texts, places: np.ndarray, known: _Known) -> np.ndarray:
+    """How many confirmed windows around the places cover each word."""
+    covered = np.zeros(len(found.start) + 1, np.int64)
+    if found.n_windows and len(places):
+        near = np.zeros(len(found.start) + 1, bool)
+        near[places] = True
+        hit = np.flatnonzero(near[found.at])  # elsewhere a phrase stands for no window
+        kinds = known.kinds(*found.spans(hit))
+        whole = hit[kinds & 1 > 0]
+        np.add.at(covered, found.first[whole], 1)
+        np.add.at(covered, found.last[whole] + found.window, -1)
+        starts, w1, w2 = found.windows(hit[(kinds & 3) == 2])
+        starts = starts[known.kinds(w1, w2) == 4]
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + found.window, -1)
+    return np.cumsum(covered)[:-1]
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept string"
@@ -255,39 +300,23 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _remove(window: int):
     def remove(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        known, texts = _Known(confirmed), _texts(docs)
-        made = [(some, Texts(some, window)) for _, some in pieces(texts)] if len(known.d1) else []
-        kinds_of = [known.kinds(*found.spans()[1:]) if found.n_windows else np.zeros(0, np.int64) for _, found in made]
-        automaton = ahocorasick.Automaton()
-        for (_, found), kinds in zip(made, kinds_of, strict=True):  # the phrases of the shard's confirmed passages
-            for at in found.at[np.flatnonzero(kinds)] if len(kinds) else ():
-                automaton.add_word(f" {found.phrase_text(at)} ", 1)
-        if len(automaton):
-            automaton.make_automaton()
+        known, phrases = _Known(confirmed), Phrases(confirmed.column("text").combine_chunks().unique().drop_null().to_pylist())
         n_words, n_removed, kept = [], [], []
-        for (some, found), kinds in zip(made, kinds_of, strict=True):
-            covered = np.zeros(len(found.start) + 1, np.int64)
-            joined = [b" ".join(t.split()) for t in some]
-            if found.n_windows and len(automaton):
-                hits = _phrase_positions(b" ".join([t for t in joined if t]), automaton)
-                hit = np.flatnonzero(np.isin(found.at, hits))
-                whole = hit[kinds[hit] & 1 > 0]
-                np.add.at(covered, found.first[whole], 1)
-                np.add.at(covered, found.last[whole] + window, -1)
-                starts, w1, w2 = found.windows(hit[(kinds[hit] & 3) == 2])
-                starts = starts[known.kinds(w1, w2) == 4]
-                np.add.at(covered, starts, 1)
-                np.add.at(covered, starts + window, -1)
-            gone = np.cumsum(covered)[:-1] > 0
+        for _, some in pieces(_joined(docs.column("text"))):
+            places = phrases.places(b" ".join([t for t in some if t]))
+            if not len(places):
+                n_words += [t.count(b" ") + 1 if t else 0 for t in some]
+                n_removed += [0] * len(some)
+                kept += some
+                continue
+            found = Texts(some, window)
+            gone = _covered(found, places, known) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
-            for i, text in enumerate(joined):
+            for i, text in enumerate(some):
                 lo, hi = found.bounds[i], found.bounds[i + 1]
                 n_words.append(int(hi - lo))
                 n_removed.append(int(total[hi] - total[lo]))
                 kept.append(b" ".join([w for w, g in zip(text.split(b" "), gone[lo:hi].tolist(), strict=True) if not g]) if n_removed[-1] else text)
-        if not made:
-            kept = [b" ".join(t.split()) for t in texts]
-            n_words, n_removed = [len(t.split()) for t in texts], [0] * len(texts)
         columns = [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
@@ -310,18 +339,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(n_bytes // SHARD_BYTES) + 1
     # rows that repeat one id are told apart by their text
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.md5("text")), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.md5("text")), F.lit(shards)).cast("int"))
 
     # a word has six bytes with its space, a span's minimizer stands for 14 words on average; windows come from spans that recur
     dealt = partitions(docs.sparkSession, n_bytes / 6 / 14, PER_TASK)
-    counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long")
-    spans = materialize(counted.repartition(dealt, F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long"), "repeat-spans")
-    # a task holds a shard at a time; there are as many tasks as shards, however many the session's default is
-    tasks = partitions(docs.sparkSession, shards, 1)
-    sharded = lambda df: df.repartition(tasks, F.col("shard")).groupBy("shard")
-    windows = sharded(rows).cogroup(sharded(spans.where("kind >= 2"))).applyInArrow(_count_windows(window), _KEYED)
+    counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long, text binary")
+    spans = materialize(counted.repartition(dealt, F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long, text binary"), "repeat-spans")
+    # a task holds a shard at a time; shards are dealt by their numbers, so tasks get equally many
+    tasks = min(shards, MAX_TASKS)
+    sharded = lambda df: df.withColumn("shard", F.col("shard").cast("int")).repartitionById(tasks, F.col("shard")).groupBy("shard")
+    windows = sharded(rows).cogroup(sharded(spans.where("kind >= 2").drop("text"))).applyInArrow(_count_windows(window), _KEYED)
     fine = windows.repartition(dealt, F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
-    confirmed = spans.unionByName(materialize(fine, "repeat-windows"))
+    confirmed = spans.unionByName(materialize(fine, "repeat-windows"), allowMissingColumns=True)
     return sharded(rows).cogroup(sharded(confirmed)).applyInArrow(_remove(window), _RESULT)
 
 

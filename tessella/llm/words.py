@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -32,9 +33,18 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = Powers(0xC2B2AE3D27D4EB4F)
-#: A number for each byte, so that the digest of a word is a sum of random numbers times powers.
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+#: Bytes of a word that are hashed by tables; longer words are hashed one by one.
+SHORT = 48
+
+
+def _tables() -> np.ndarray:
+    """A random number for each half of the hash, place in a word and byte; none for what stands between words."""
+    out = np.random.default_rng(35).integers(0, 2**64, (2, SHORT, 256), dtype=_U)
+    out[:, :, BLANK] = 0
+    return out.reshape(2, -1)
+
+
+_TABLES = _tables()
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +53,28 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, a piece of the text at a time."""
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, half: int = 0) -> np.ndarray:
+    """One half of a 128-bit hash of each word, a piece of the text at a time.
+
+    The numbers of a word's places and bytes are independent of each other, so two words
+    have one hash with probability 2**-64 whatever they are, and the halves are independent.
+    """
     out, done, n = np.empty(len(start), _U), 0, len(start)
+    sizes = stop - start
+    long = np.flatnonzero(sizes > SHORT)
     while done < n:  # so many words as a piece holds, one at least
         lo = int(start[done])
         to = max(done + 1, int(np.searchsorted(stop, lo + PIECE, "right")))
-        hi = int(stop[to - 1])
-        up, down = _POWERS.upto(hi - lo)
-        sums = np.zeros(hi - lo + 1, _U)
-        np.cumsum(_BYTES[raw[lo:hi]] * up, out=sums[1:])
-        a, b = start[done:to] - lo, stop[done:to] - lo
-        out[done:to] = mix((sums[b] - sums[a]) * down[a])
+        if to == done + 1 and sizes[done] > SHORT:
+            done = to
+            continue
+        a = (start[done:to] - lo).astype(np.int32)
+        size = int(stop[to - 1]) - lo
+        place = np.arange(size, dtype=np.int32)
+        place -= np.repeat(a, np.diff(a, append=np.int32(size)))
+        np.minimum(place, SHORT - 1, out=place)
+        out[done:to] = np.add.reduceat(_TABLES[half].take((place << 8) | raw[lo : lo + size]), a)
         done = to
-    return out
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : stop[i]], half + 1)
+    return mix(out)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
@@ -244,6 +245,49 @@ def test_repeats(spark, monkeypatch, window, shard_bytes):
     assert rows(out, "doc_id", "n_words", "n_removed", "kept") == repeat_brute(docs, window)
 
 
+def test_places_come_from_the_automaton():
+    """What the automaton of a shard doesn't find stays, though its windows are confirmed."""
+    window = 10
+    passage = [f"w{i}" for i in range(30)]
+    texts = [" ".join(["x", "y", *passage]), " ".join([*passage, "z"])]
+    found = substring_dedup.Texts([t.encode() for t in texts], window)
+    d1, d2 = (d.view(np.int64) for d in found.spans())
+    phrases = found.phrase_texts().to_pylist()
+    assert {p.decode() for p in phrases} < {" ".join(passage[i : i + substring_dedup.PHRASE]) for i in range(30)} | {" ".join(["x", "y", *passage][i : i + substring_dedup.PHRASE]) for i in range(2)}
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": texts})
+    sent = lambda texts: pa.table({"d1": d1, "d2": d2, "kind": np.ones(len(d1), np.int64), "text": pa.array(texts, pa.binary())})
+    remove = substring_dedup._remove(window)
+    assert remove(docs, sent(phrases)).column("n_removed").to_pylist() == [32, 31]
+    assert remove(docs, sent([b"a b c d e f g h"] * len(phrases))).column("n_removed").to_pylist() == [0, 0]
+    # one phrase alone locates the windows that it stands for, and no others
+    least = [p if p == phrases[0] else None for p in phrases]
+    some = remove(docs, sent(least)).column("n_removed").to_pylist()
+    assert 0 < some[0] < 32
+
+
+def test_words_that_collide_in_powers_of_two_are_told_apart(spark):
+    """Thue-Morse words have equal digests in any polynomial modulo a power of two."""
+    flip = str.maketrans("ab", "ba")
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(flip)
+    b = a.translate(flip)
+    rest = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, f"{rest[:100]} {a} {rest[100:]}"), (2, f"{rest[:100]} {b} {rest[100:]}")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert rows(substring_dedup.remove_repeats(df, 35), "doc_id", "n_words", "n_removed", "kept") == repeat_brute(docs, 35)
+    assert rows(near_dedup.near_groups(df), "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
+
+
+def test_repeats_of_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    long = " ".join(f"{rng.randrange(10**6)}" for _ in range(60_000))
+    assert len(long) > substring_dedup.PIECE
+    docs = [(1, long), (2, "short " + " ".join(long.split()[30_000:30_050])), (3, "x" * 300_000), (4, None)]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' n_words", "1 shard", "2 phrase", "3 n_removed", "'k' kept", "'d' d1")
+    assert rows(substring_dedup.remove_repeats(df, 35), "doc_id", "n_words", "n_removed", "kept") == repeat_brute(docs, 35)
+
+
 def test_repeats_without_rows(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
