@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lookup_skewed, materialize, partitions
+from tessella.llm.common import lookup_skewed, materialize, partitions, release
 from tessella.llm.components import connected_components
 from tessella.llm.words import mix, word_bounds, word_hashes
 
@@ -34,8 +34,8 @@ SKETCH, SKETCH_MISMATCHES = 128, 60
 #: Documents of a block in the exact comparison of a large group, and of its leaders (on average), whom every
 #: block meets first.
 BLOCK, LEADERS = 64, 32
-#: Rows that a task holds at once: keys, and keys with sketches.
-KEYS_PER_TASK, SKETCHES_PER_TASK = 4_000_000, 500_000
+#: Keys with sketches that a task holds at once, and shingle sets that it reads one cell after the other.
+SKETCHES_PER_TASK, SETS_PER_TASK = 500_000, 20_000
 #: Rows of a bucket above which its rows meet block by block, in blocks of so many on average.
 LARGE_BUCKET = 8192
 
@@ -95,6 +95,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(_SKETCHED)[1:], strict=True)]], schema=_SKETCHED)
 
 
+def _rows_of(column: pa.ChunkedArray | pa.Array, size: int, dtype: type) -> np.ndarray:
+    """A column of byte strings of one length as an array with a row for each, without copies of single values."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = []
+    for c in chunks:
+        _, offsets, data = c.buffers()
+        if len(c):
+            begin = int(np.frombuffer(offsets, np.int32)[c.offset])
+            parts.append(np.frombuffer(data, np.uint8)[begin : begin + len(c) * size])
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)).view(dtype).reshape(-1, size // np.dtype(dtype).itemsize)
+
+
 def _bucket_keys(chunks: np.ndarray) -> np.ndarray:
     """For the symbols of some rows, a key for each chunk and way of leaving out symbols: all of it in 64 bits."""
     sym = chunks.reshape(-1, CHUNKS, SYMBOLS).astype(_U)
@@ -111,29 +123,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start in range(0, b.num_rows, 4096):
             piece = b.slice(start, 4096)
-            sym = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.uint16)
-            keys = _bucket_keys(sym).reshape(piece.num_rows, -1) if piece.num_rows else np.zeros((0, 1), _U)
+            keys = _bucket_keys(_rows_of(piece.column(1), CHUNKS * SYMBOLS * 2, np.uint16)).reshape(piece.num_rows, -1) if piece.num_rows else np.zeros((0, 1), _U)
             rep = np.repeat(piece.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another row of the partition has, and how many have it."""
-    table = [b for b in batches if b.num_rows]
-    if not table:
-        return
-    joined = pa.Table.from_batches(table)
-    key, rep = joined.column(0).to_numpy(), joined.column(1).to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, rep = key[order], rep[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    each = np.repeat(size, size)
-    for start in range(0, len(key), 500_000):
-        at = np.flatnonzero(each[start : start + 500_000] > 1) + start
-        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(rep[at]), pa.array(each[at])], names=["key", "rep", "size"])
-
-
 def spanning_links(near) -> list[tuple[int, int]]:
     """Links that hold each group of alike rows together; ``near(i, rest)`` tells which of ``rest`` are like i."""
     rest, links = near.rows, []
@@ -172,7 +166,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     joined = pa.Table.from_batches(table)
     key, rep = joined.column(0).to_numpy(), joined.column(1).to_numpy()
-    sketch = np.frombuffer(b"".join(joined.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    sketch = _rows_of(joined.column(2), SKETCH, np.uint8)
     del joined, table
     order = np.lexsort([rep, key])
     key, rep = key[order], rep[order]
@@ -198,7 +192,7 @@ def _alike_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     joined = pa.Table.from_batches(table)
     cell, rep, label = (joined.column(i).to_numpy() for i in range(3))
     asks = joined.column(3).to_numpy()
-    sketch = np.frombuffer(b"".join(joined.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    sketch = _rows_of(joined.column(4), SKETCH, np.uint8)
     del joined, table
     order = np.argsort(cell, kind="stable")
     bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0]), len(cell)]
@@ -216,11 +210,22 @@ def _alike_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met: set[tuple[int, bytes]] = set()  # rows that repeat a document, which lie side by side behind the join
     for b in batches:
         for start in range(0, b.num_rows, 256):
             piece = b.slice(start, 256)
-            found = [shingles(t or b"").tobytes() for t in piece.column(3).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(found, pa.binary())], names=["group_id", "members", "rep", "found"])
+            found, stay = [], []
+            for rep, text in zip(piece.column(2).to_pylist(), piece.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                here = shingles(text or b"").tobytes()
+                mark = (rep, xxhash.xxh3_128_digest(here))
+                stay.append(mark not in met)
+                if stay[-1]:
+                    found.append(here)
+                    met.add(mark)
+            if len(met) > 100_000:
+                met.clear()
+            rows = piece.filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(found, pa.binary())], names=["group_id", "members", "rep", "found"])
 
 
 def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -254,7 +259,7 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact links within each (group, i, j); rows come sorted by them."""
+    """Exact links within each (group, cell); rows come sorted by them."""
     key, reps, sets, met, out = None, [], [], set(), []
 
     def close() -> None:
@@ -262,10 +267,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.extend((reps[i], reps[j]) for i, j in exact_links(sets))
 
     for batch in batches:
-        for group, i, j, rep, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (group, i, j) != key:
+        for group, cell, rep, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (group, cell) != key:
                 close()
-                key, reps, sets, met = (group, i, j), [], [], set()
+                key, reps, sets, met = (group, cell), [], [], set()
             if (mark := (rep, xxhash.xxh3_128_digest(found))) in met:
                 continue  # a row that is repeated
             met.add(mark)
@@ -292,8 +297,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # rows with equal sets are one from here on
     groups = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("uses"), F.first("chunks").alias("chunks"), F.first("sketch").alias("sketch")), "near-sets")
 
-    n_keys = CHUNKS * len(_LEFT_OUT)
-    shared = _shared(groups.select("rep", "chunks").mapInArrow(_keys, "key long, rep long"), groups.count() * n_keys, "near-buckets")
+    shared = _shared(groups.select("rep", "chunks").mapInArrow(_keys, "key long, rep long"), "near-buckets")
     alike = connected_components(_alike_links(shared, groups))
 
     # groups of alike sets: exact links
@@ -355,10 +359,15 @@ def _alike_links(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return links.unionByName(cells(met, n_open).select("key", "rep", "label", "asks", "sketch").mapInArrow(_alike_outside, "a long, b long"))
 
 
-def _compared(dealt: DataFrame) -> DataFrame:
-    """Links within each (group_id, i, j) of rows with rep and found."""
-    rows = dealt.select("group_id", "i", "j", "rep", "found").repartition(F.col("group_id"), F.col("i"), F.col("j"))
-    return rows.sortWithinPartitions("group_id", "i", "j", "rep").mapInArrow(_confirmed, "a long, b long")
+def _compared(dealt: DataFrame, rows: int) -> DataFrame:
+    """Links within each cell of rows with rep and found: (group_id, cell), which are numbered from 0 in each group.
+
+    The cells of a group go to tasks in turn, so no task gets many of one large group.
+    """
+    tasks = partitions(dealt.sparkSession, rows, SETS_PER_TASK)
+    task = F.pmod(F.xxhash64("group_id") + F.col("cell"), F.lit(tasks)).cast("int")
+    met = dealt.select("group_id", "cell", "rep", "found").withColumn("task", task).repartitionById(tasks, F.col("task"))
+    return met.sortWithinPartitions("group_id", "cell", "rep").select("group_id", "cell", "rep", "found").mapInArrow(_confirmed, "a long, b long")
 
 
 def _with_leaders(found: DataFrame) -> DataFrame:
@@ -367,7 +376,7 @@ def _with_leaders(found: DataFrame) -> DataFrame:
     leads = (F.col("members") > BLOCK) & (F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.ceil(F.col("members") / LEADERS)) == 0)
     own = F.pmod(F.xxhash64("rep"), blocks)
     at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own)))
-    return _compared(found.withColumn("i", at).withColumn("j", F.lit(0).cast("long")))
+    return _compared(found.withColumn("cell", at), found.count())
 
 
 def _rest_of_large_groups(found: DataFrame, parts: DataFrame) -> DataFrame:
@@ -387,12 +396,17 @@ def _rest_of_large_groups(found: DataFrame, parts: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     queries = rows.where("out").withColumn("i", F.pmod(F.xxhash64("rep"), outer)).withColumn("j", every(blocks))
     members = rows.withColumn("j", F.pmod(F.xxhash64("rep"), blocks)).withColumn("i", every(outer))
-    return _compared(queries.unionByName(members, allowMissingColumns=True))
+    cells = queries.unionByName(members, allowMissingColumns=True).withColumn("cell", F.col("i") * blocks + F.col("j"))
+    return _compared(cells, rows.agg(F.sum(outer)).first()[0] or 0)
 
 
-def _shared(keys: DataFrame, rows: int, name: str) -> DataFrame:
-    dealt = keys.repartition(partitions(keys.sparkSession, rows, KEYS_PER_TASK), F.col("key"))
-    return materialize(dealt.mapInArrow(_shared_keys, "key long, rep long, size long"), name)
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key another row has, and how many have it; keys of any size are counted before they meet."""
+    counted = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    counted = materialize(counted, f"{name}-sizes")
+    shared = materialize(lookup_skewed(keys, counted, ["key"], "size").where("size is not null"), name)
+    release(counted)
+    return shared
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:

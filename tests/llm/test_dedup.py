@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
-from tessella.llm.common import lookup_skewed
+from tessella.llm import components, exact_dedup, line_dedup, near_dedup, substring_dedup
+from tessella.llm.common import lookup_skewed, materialize
 from tessella.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -196,6 +196,18 @@ def test_dedup_near_keeps_one_of_each_group(spark):
     assert kept.columns == ["doc_id", "text", "_kept_id"]
 
 
+def test_recall_at_the_least_similarity():
+    """Of pairs at similarity 0.75 exactly, which the signatures may miss, 99.9 % meet in a bucket and pass the sketch."""
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(1000):
+        both, own = rng.integers(0, 2**64, 300, dtype=np.uint64), rng.integers(0, 2**64, 100, dtype=np.uint64)
+        a, b = (near_dedup.signature(np.unique(np.r_[both, part])) for part in (own[:50], own[50:]))
+        keys = near_dedup._bucket_keys(np.stack([a, b])[:, : near_dedup.CHUNKS * near_dedup.SYMBOLS])
+        met += bool((keys[0] == keys[1]).any()) and int(((a ^ b) & 0xFF != 0).sum()) <= near_dedup.SKETCH_MISMATCHES
+    assert met >= 999
+
+
 def test_pigeonhole_guarantee():
     """Every pair of signatures within the guaranteed distance shares a bucket."""
     rng = np.random.default_rng(1)
@@ -306,6 +318,15 @@ def test_lookup_skewed(spark):
     assert got.where("k = 6 and uses is not null").count() == 0
 
 
+def test_a_rising_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    chain = [(i, i + 1) for i in range(2000)]
+    got = connected_components(spark.createDataFrame(chain, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(2001)}
+    assert len(written) <= 20
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(400 + i, 401 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 50)]
