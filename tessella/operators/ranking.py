@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.scratch import materialize
+
 
 def global_rank(rows: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """``name``: the row's place from 1 in a global order (a total order, if reruns have to agree).
@@ -13,8 +15,15 @@ def global_rank(rows: DataFrame, order: list[Column | str], name: str = "rank")
     Rows are dealt by ranges of the order, numbered within each range, and shifted by the
     counts of the ranges before; only a row for each range is ever in one task.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def rank_within(rows: DataFrame, by: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """``name``: the row's place from 1 among the rows of its group, however large; keys mustn't be NULL."""
+    ranked = global_rank(rows, [*by, *order], "_place")
+    first = ranked.groupBy(*by).agg((F.min("_place") - 1).alias("_first"))
+    return ranked.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

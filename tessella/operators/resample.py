@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.moments import pearson
 from tessella.functions.scalars import draw
+from tessella.operators.ranking import rank_within
+from tessella.scratch import materialize
 
 #: Pairs of a condition that resampling uses at most; above it a seeded subset stands for all.
 MAX_PAIRS = 10_000
@@ -54,86 +60,208 @@ def numbered(pairs: DataFrame, ids: list[str], by: list[str] | None = None) -> D
     return pairs.withColumn("k", F.row_number().over(w.orderBy(*ids)) - 1).withColumn("n", F.count("*").over(w))
 
 
-def flipped(seed: str, *keys: str) -> Column:
-    """A coin for swapping the members of a pair."""
-    return draw(seed, *[F.col(k) for k in keys]) % 2 == 1
-
-
 def unit_values(pairs: DataFrame, responses: DataFrame) -> DataFrame:
-    """Pairs (k, n, i, j) with both responses of each unit: (k, n, unit, a, b); every unit has the same pairs."""
-    ri = responses.select(F.col("event").alias("i"), "unit", F.col("resp").alias("a"))
-    rj = responses.select(F.col("event").alias("j"), "unit", F.col("resp").alias("b"))
+    """The columns of pairs (k, n, i, j) with both responses of each unit, a and b; every unit has the same pairs."""
+    ri = responses.select(F.col("event").alias("i"), "unit", F.col("resp").cast("double").alias("a"))
+    rj = responses.select(F.col("event").alias("j"), "unit", F.col("resp").cast("double").alias("b"))
     return pairs.join(ri, "i").join(rj, ["j", "unit"])
 
 
+#: Units whose replicates a task computes together.
+UNITS_PER_BLOCK = 64
+
+
+def _draws(seed: str, n: int, *keys: int) -> np.ndarray:
+    """``scalars.draw`` of the seed, the keys and each place up to n."""
+    said = ":".join(map(str, (seed, *keys))) + ":"
+    return np.fromiter((int.from_bytes(md5(f"{said}{k}".encode()).digest()[:4], "big") for k in range(n)), np.int64, n)
+
+
+def _places(draws: np.ndarray) -> np.ndarray:
+    """The rank from 0 of each draw; equal draws rank in their order."""
+    out = np.empty(len(draws), np.int64)
+    out[np.argsort(draws, kind="stable")] = np.arange(len(draws))
+    return out
+
+
+def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row the correlation of what both have, clipped to [-1, 1]; NaN below two values or without variance."""
+    ok = np.isfinite(x) & np.isfinite(y)
+    n = np.maximum(ok.sum(1), 1)[:, None]
+    centred, flat = [], ok.sum(1) < 2
+    for v in (x, y):
+        here = np.where(ok, v, 0.0)
+        flat |= (np.where(ok, v, -np.inf).max(1, initial=-np.inf) == np.where(ok, v, np.inf).min(1, initial=np.inf))
+        centred.append(np.where(ok, here - here.sum(1, keepdims=True) / n, 0.0))
+    a, b = centred
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return np.where(flat, np.nan, np.clip(r, -1, 1))
+
+
+class _Block:
+    """Units of a block as matrices: a row for each unit, a column for each pair; NaN where a unit lacks a pair."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.units = table.column("unit").combine_chunks()
+        self.n = int(table.column("n")[0].as_py())
+        lists = {c: table.column(c).combine_chunks() for c in table.column_names if pa.types.is_list(table.schema.field(c).type)}
+        sizes = lists["k"].value_lengths().to_numpy()
+        self.counts = sizes
+        self._at = np.repeat(np.arange(len(sizes)), sizes), lists["k"].flatten().to_numpy()
+        self._lists = lists
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        out = np.full((len(self.units), self.n), np.nan)
+        out[self._at] = self._lists[name].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return out
+
+
+def _by_blocks(values: DataFrame, columns: list[str], n_units: int, n_replicates: int, work, schema: str) -> DataFrame:
+    """``work`` (a block and a range of replicates to a table) for every block of units and block of replicates.
+
+    The capped pairs of a unit are two arrays; a task holds ``UNITS_PER_BLOCK`` units and draws
+    its replicates itself, so nothing is shuffled for a replicate.
+    """
+    spark = values.sparkSession
+    unit_blocks = n_units // UNITS_PER_BLOCK + 1
+    parts = max(1, min(n_replicates, 2 * spark.sparkContext.defaultParallelism // unit_blocks))
+    met = F.array_sort(F.collect_list(F.struct("k", *columns)))
+    units = values.groupBy("unit").agg(F.first("n").alias("n"), met.alias("_p")).select("unit", "n", *[F.col(f"_p.{c}").alias(c) for c in ["k", *columns]])
+    first = F.pmod(F.xxhash64("unit"), F.lit(unit_blocks)).cast("int") * parts
+    dealt = units.withColumn("_part", F.explode(F.sequence(first, first + (parts - 1)))).repartitionById(unit_blocks * parts, F.col("_part"))  # a task for each block, however small
+
+    def run(table: pa.Table) -> pa.Table:
+        part = int(table.column("_part")[0].as_py()) % parts
+        return work(_Block(table), range(n_replicates * part // parts, n_replicates * (part + 1) // parts))
+
+    return dealt.groupBy("_part").applyInArrow(run, schema)
+
+
+def _beyond(sample: np.ndarray, null: np.ndarray, alternative: str) -> np.ndarray:
+    return {"greater": lambda: sample - null, "less": lambda: null - sample, "two-sided": lambda: np.abs(sample) - np.abs(null)}[alternative]() > 0
+
+
+def _floored(beyond: str, n: str) -> Column:
+    """The p-value of counted replicates, as ``p_value`` gives it."""
+    total = F.sum(n)
+    return F.when(total > 0, F.greatest(F.lit(1.0) - F.sum(beyond) / total, F.lit(1.0) / (total + 1)))
+
+
+def _number(x: Column) -> Column:
+    return F.when(~F.isnan(x), x)
+
+
 def self_consistency(pairs: DataFrame, responses: DataFrame, n_boot: int, n_perm: int, seed: str, alternative: str = "greater") -> DataFrame:
     """Per unit: n, r, boot_mean, boot_sd, p.
 
-    ``pairs`` is (k, n, i, j).  The sides of each pair are swapped at random in each
+    ``pairs`` is (k, n, i, j), capped by the caller.  The sides of each pair are swapped at random in each
     replicate; bootstrap replicates draw pairs with replacement, the null re-pairs second
     members.  Draws leave the unit out, so all units share them.  With fewer than two pairs
     the statistics are NULL.
     """
-    pairs = pairs.persist()  # ``MAX_PAIRS`` rows, but dear to make and read several times
-    sides = lambda coin: (F.when(coin, F.col("b_")).otherwise(F.col("a_")), F.when(coin, F.col("a_")).otherwise(F.col("b_")))
-    values = unit_values(pairs, responses).withColumnsRenamed({"a": "a_", "b": "b_"})
-    x, y = sides(flipped(f"{seed}-side", "k"))
-    observed = values.groupBy("unit").agg(F.count("*").alias("n"), pearson(x, y).alias("r"))
-
-    # bootstrap: slot s of replicate b takes a pair
-    slots = pairs.select("k", "n", replicates(n_boot)).select("b", F.col("k").alias("s"), (draw(f"{seed}-boot", F.col("b"), F.col("k")) % F.col("n")).alias("k"))
-    x, y = sides(flipped(f"{seed}-boot-side", "b", "s"))
-    boots = slots.join(values, "k").groupBy("unit", "b").agg(pearson(x, y).alias("r_b"))
-    spread = boots.groupBy("unit").agg(F.avg("r_b").alias("boot_mean"), F.stddev_pop("r_b").alias("boot_sd"))
-
-    # null: the pair at place k gets the second member of the pair whose draw ranks k-th
-    places = pairs.select("k", replicates(n_perm)).withColumn("other", F.row_number().over(Window.partitionBy("b").orderBy(draw(f"{seed}-perm", F.col("b"), F.col("k")), "k")) - 1)
-    x, _ = sides(flipped(f"{seed}-perm-side", "b", "k"))
-    first = places.join(values, "k").select("unit", "b", F.col("other"), x.alias("x"))
-    _, y = sides(flipped(f"{seed}-perm-side", "b", "k"))
-    second = pairs.select("k", replicates(n_perm)).join(values, "k").select("unit", "b", F.col("k").alias("other"), y.alias("y"))
-    nulls = first.join(second, ["unit", "b", "other"]).groupBy("unit", "b").agg(pearson(F.col("x"), F.col("y")).alias("r_0"))
-    tested = nulls.join(observed, "unit").groupBy("unit").agg(p_value(F.col("r"), F.col("r_0"), alternative).alias("p"))
-    return observed.join(spread, "unit", "left").join(tested, "unit", "left")
+
+    def work(block: _Block, replicates: range) -> pa.Table:
+        a, b, n = block["a"], block["b"], block.n
+        flip = _draws(f"{seed}-side", n) % 2 == 1
+        r = correlations(np.where(flip, b, a), np.where(flip, a, b))
+        held = np.zeros((5, len(r)))  # bootstraps: number, sum, sum of squares; nulls: number, beyond
+        for i in replicates:
+            if i < n_boot:
+                at, flip = _draws(f"{seed}-boot", n, i) % n, _draws(f"{seed}-boot-side", n, i) % 2 == 1
+                found = correlations(np.where(flip, b[:, at], a[:, at]), np.where(flip, a[:, at], b[:, at]))
+                ok = np.isfinite(found)
+                held[:3] += [ok, np.where(ok, found, 0), np.where(ok, found * found, 0)]
+            else:
+                rank, flip = _places(_draws(f"{seed}-perm", n, i - n_boot)), _draws(f"{seed}-perm-side", n, i - n_boot) % 2 == 1
+                found = correlations(np.where(flip, b, a), np.where(flip, a, b)[:, rank])
+                ok = np.isfinite(found) & np.isfinite(r)
+                held[3:] += [ok, ok & _beyond(r, found, alternative)]
+        return pa.table([block.units, pa.array(block.counts.astype(np.int64)), pa.array(r), *map(pa.array, held)], names=["unit", "n", "r", "bn", "bs", "bq", "pn", "pb"])
+
+    kind = responses.schema["unit"].dataType.simpleString()
+    values = unit_values(pairs, responses)
+    n_units = responses.agg(F.approx_count_distinct("unit")).first()[0]
+    done = _by_blocks(values, ["a", "b"], n_units, n_boot + n_perm, work, f"unit {kind}, n long, r double, bn double, bs double, bq double, pn double, pb double")
+    mean = F.try_divide(F.sum("bs"), F.sum("bn"))
+    sd = F.sqrt(F.greatest(F.try_divide(F.sum("bq"), F.sum("bn")) - mean * mean, F.lit(0.0)))
+    return done.groupBy("unit").agg(F.first("n").alias("n"), _number(F.first("r")).alias("r"), mean.alias("boot_mean"), sd.alias("boot_sd"), _floored("pb", "pn").alias("p"))
 
 
 def two_condition_test(pairs: DataFrame, responses: DataFrame, n_perm: int, seed: str, alternative: str = "two-sided", paired: bool = False) -> DataFrame:
     """Per unit: r0, r1, p of the difference r1 - r0.
 
-    ``pairs`` is (k, n, i, j, cond) with cond 0 or 1.  Labels are shuffled over all pairs, or,
-    ``paired``, swapped within couples (a column ``couple``).
+    ``pairs`` is (k, n, i, j, cond) with cond 0 or 1, as ``subsampled`` leaves them.  Sides are swapped at
+    random in each replicate; labels are shuffled over all pairs, or, ``paired``, swapped within
+    couples (a column ``couple``, a number).
     """
-    pairs = pairs.persist()
-    values = unit_values(pairs, responses)
-    of = lambda label, c: pearson(F.when(label == c, F.col("a")), F.when(label == c, F.col("b")))
-    observed = values.groupBy("unit").agg(of(F.col("cond"), 0).alias("r0"), of(F.col("cond"), 1).alias("r1"))
-    if paired:
-        swap = flipped(f"{seed}-swap", "b_", "couple")
-        labels = pairs.select("k", "couple", "cond", replicates(n_perm)).withColumnRenamed("b", "b_").select("b_", "k", F.when(swap, 1 - F.col("cond")).otherwise(F.col("cond")).alias("label"))
-    else:
-        n0 = F.sum(F.when(F.col("cond") == 0, 1).otherwise(0)).over(Window.partitionBy("b_"))
-        rank = F.row_number().over(Window.partitionBy("b_").orderBy(draw(f"{seed}-label", F.col("b_"), F.col("k")), "k"))
-        labels = pairs.select("k", "cond", replicates(n_perm)).withColumnRenamed("b", "b_").select("b_", "k", F.when(rank <= n0, 0).otherwise(1).alias("label"))
-    nulls = labels.join(values, "k").groupBy("unit", "b_").agg((of(F.col("label"), 1) - of(F.col("label"), 0)).alias("d_0"))
-    tested = nulls.join(observed, "unit").groupBy("unit").agg(p_value_difference(F.col("r1") - F.col("r0"), F.col("d_0"), alternative).alias("p"))
-    return observed.join(tested, "unit", "left")
+    labels = ["cond", "couple"] if paired else ["cond"]
+    n0 = F.sum(F.when(F.col("cond") == 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(0)))
+    counted = pairs.withColumn("n0", n0)  # twice ``MAX_PAIRS`` rows at most
+
+    def of(label: np.ndarray, c: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return correlations(np.where(label == c, x, np.nan), np.where(label == c, y, np.nan))
+
+    def work(block: _Block, replicates: range) -> pa.Table:
+        a, b, n, cond = block["a"], block["b"], block.n, block["cond"]
+        zeros = int(np.nanmax(block["n0"]))
+        flip = _draws(f"{seed}-side", n) % 2 == 1
+        r0, r1 = (of(cond, c, np.where(flip, b, a), np.where(flip, a, b)) for c in (0, 1))
+        held = np.zeros((2, len(r0)))
+        for i in replicates:
+            flip = _draws(f"{seed}-label-side", n, i) % 2 == 1
+            if paired:
+                couple = np.nan_to_num(block["couple"]).astype(np.int64)
+                names = np.unique(couple)
+                swap = np.array([int.from_bytes(md5(f"{seed}-swap:{i}:{c}".encode()).digest()[:4], "big") % 2 for c in names])[np.searchsorted(names, couple)]
+                label = np.where(swap == 1, 1 - cond, cond)
+            else:
+                label = (_places(_draws(f"{seed}-label", n, i)) >= zeros)[None, :]
+            x, y = np.where(flip, b, a), np.where(flip, a, b)
+            found = of(label, 1, x, y) - of(label, 0, x, y)
+            ok = np.isfinite(found) & np.isfinite(r1 - r0)
+            turned = {"greater": "less", "less": "greater", "two-sided": "two-sided"}[alternative]
+            held += [ok, ok & _beyond(r1 - r0, found, turned)]
+        return pa.table([block.units, pa.array(r0), pa.array(r1), *map(pa.array, held)], names=["unit", "r0", "r1", "pn", "pb"])
+
+    kind = responses.schema["unit"].dataType.simpleString()
+    n_units = responses.agg(F.approx_count_distinct("unit")).first()[0]
+    done = _by_blocks(unit_values(counted, responses), ["a", "b", "n0", *labels], n_units, n_perm, work, f"unit {kind}, r0 double, r1 double, pn double, pb double")
+    return done.groupBy("unit").agg(_number(F.first("r0")).alias("r0"), _number(F.first("r1")).alias("r1"), _floored("pb", "pn").alias("p"))
 
 
 def subsample_sizes(n0: int, n1: int, most: int = MAX_PAIRS) -> tuple[int, int]:
-    """Sizes of two conditions that are shrunk together to 2 * ``most`` pairs, at least 2 each.
+    """Sizes of two conditions that are shrunk together to 2 * ``most`` pairs.
 
-    The larger shrinks with the square root of the whole reduction more than the smaller.
+    The smaller shrinks with the square root of what it has beyond two pairs, on the curve
+    on which two conditions of equal size keep ``most`` each; the larger takes the rest.
     """
     if n0 + n1 <= 2 * most:
         return n0, n1
-    small, big = sorted((n0, n1))
-    if small <= most:
-        kept = max(2, 2 * most - small)
-        return (small, kept) if n0 <= n1 else (kept, small)
-    share = ((2 * most) / (n0 + n1)) ** 0.5
-    a = max(2, min(small, round(small * share)))
-    a = min(a, 2 * most - 2)
-    return (a, 2 * most - a) if n0 <= n1 else (2 * most - a, a)
+    small = min(n0, n1)
+    slope = (most - 2) / ((n0 + n1) / 2 - 2) ** 0.5
+    kept = min(round(2 + slope * (small - 2) ** 0.5), small)
+    return (kept, 2 * most - kept) if n0 <= n1 else (2 * most - kept, kept)
+
+
+def subsample_size_columns(n0: Column, n1: Column, most: int = MAX_PAIRS) -> tuple[Column, Column]:
+    """``subsample_sizes`` for columns."""
+    small, total = F.least(n0, n1), n0 + n1
+    slope = F.lit(float(most - 2)) / F.sqrt(total / 2 - 2)
+    kept = F.least(F.rint(2 + slope * F.sqrt((small - 2).cast("double"))).cast("long"), small)
+    fits = total <= 2 * most
+    first = F.when(fits, n0).when(n0 <= n1, kept).otherwise(2 * most - kept)
+    return first, F.when(fits, n1).otherwise(2 * most - first)
+
+
+def subsampled(pairs: DataFrame, ids: list[str], seed: str, most: int = MAX_PAIRS) -> DataFrame:
+    """Pairs of two conditions (``cond`` 0 or 1), each shrunk to its size by ``subsample_sizes``, the first in a seeded order."""
+    sizes = {r["cond"]: r["count"] for r in pairs.groupBy("cond").count().collect()}  # two rows
+    kept = subsample_sizes(sizes.get(0, 0), sizes.get(1, 0), most)
+    if kept == (sizes.get(0, 0), sizes.get(1, 0)):
+        return pairs
+    zero, one = (capped(pairs.where(F.col("cond") == c), ids, seed, kept[c]) for c in (0, 1))
+    return zero.unionByName(one)
 
 
 # -- nested means
@@ -202,12 +330,16 @@ def sign_flip_test(rows: DataFrame, n_perm: int, seed: str, alternative: str = "
 
 
 def corr_perm_test(rows: DataFrame, n_perm: int, seed: str, by: list[str], key: str, x: str = "x", y: str = "y", alternative: str = "greater") -> DataFrame:
-    """Per group: r, p of the correlation against re-ranked y."""
-    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    observed = placed.groupBy(*by).agg(pearson(F.col(x), F.col(y)).alias("r"))
-    each = placed.select(*by, "k", x, replicates(n_perm)).withColumn("other", F.row_number().over(Window.partitionBy(*by, "b").orderBy(draw(seed, F.col("b"), *[F.col(c) for c in by], F.col("k")), "k")))
-    second = placed.select(*by, F.col("k").alias("other"), y)
-    nulls = each.join(second, [*by, "other"]).groupBy(*by, "b").agg(pearson(F.col(x), F.col(y)).alias("r_0"))
+    """Per group: r, p of the correlation against re-ranked y.
+
+    Ranks come from ranges over all groups and replicates, so no task sees a whole group.
+    """
+    placed = materialize(rank_within(rows.select(*by, key, F.col(x).alias("x"), F.col(y).alias("y")), by, [key], "k"), "perm-rows")
+    observed = placed.groupBy(*by).agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    each = placed.select(*by, "k", "x", replicates(n_perm)).withColumn("_d", draw(seed, F.col("b"), *[F.col(c) for c in by], F.col("k")))
+    each = rank_within(each, [*by, "b"], ["_d", "k"], "other").drop("_d")
+    second = placed.select(*by, F.col("k").alias("other"), "y")
+    nulls = each.join(second, [*by, "other"]).groupBy(*by, "b").agg(pearson(F.col("x"), F.col("y")).alias("r_0"))
     reached = F.col("r_0") >= F.col("r") if alternative == "greater" else F.col("r_0") <= F.col("r") if alternative == "less" else F.abs("r_0") >= F.abs("r")
     n = F.count("r_0")
     tested = nulls.join(observed, by).groupBy(*by).agg(F.greatest(F.avg(reached.cast("double")), F.lit(1.0) / (n + 1)).alias("p"))
@@ -223,10 +355,9 @@ def index_perm_test(rows: DataFrame, n_perm: int, seed: str, unit: str, key: str
     mean = lambda c, k, a: F.avg(F.when((F.col(c) == k) & (F.col("cat") == a), F.col("v")))
     index = lambda c, k: F.try_divide(mean(c, k, True) - mean(c, k, False), mean(c, k, True) + mean(c, k, False))
     observed = base.groupBy(unit).agg(index("cond", 0).alias("index0"), index("cond", 1).alias("index1"))
-    w = Window.partitionBy("b", unit, "cat")
-    n0 = F.sum(F.when(F.col("cond") == 0, 1).otherwise(0)).over(w)
-    rank = F.row_number().over(w.orderBy(draw(seed, F.col("b"), F.col(key)), key))
-    dealt = base.select("*", replicates(n_perm)).withColumn("label", F.when(rank <= n0, 0).otherwise(1))
+    zeros = base.groupBy(unit, "cat").agg(F.count_if(F.col("cond") == 0).alias("n0"))
+    each = base.select("*", replicates(n_perm)).withColumn("_d", draw(seed, F.col("b"), F.col(key)))
+    dealt = rank_within(each, ["b", unit, "cat"], ["_d", key], "_k").join(zeros, [unit, "cat"]).withColumn("label", F.when(F.col("_k") <= F.col("n0"), 0).otherwise(1))
     nulls = dealt.groupBy(unit, "b").agg((index("label", 1) - index("label", 0)).alias("d_0"))
     tested = nulls.join(observed, unit).groupBy(unit).agg(p_value(F.col("index1") - F.col("index0"), F.col("d_0"), "two-sided").alias("p"))
     return observed.join(tested, unit, "left")

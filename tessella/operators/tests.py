@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators.ranking import global_rank
+from tessella.scratch import materialize
 
 
 def average_ranks(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
@@ -110,7 +111,7 @@ def fdr_two_stage(rows: DataFrame, q: float = 0.01, scope: tuple[str, ...] = ())
     P-values (column ``p``) are pooled over each scope, or over all rows.  A NULL or NaN p-value is no
     test and isn't rejected.  The first stage runs at q / (1 + q); the second at that times m / (m - r1).
     """
-    rows = rows.persist()  # a row for each test, each of them dear, and read several times
+    rows = materialize(rows, "tests")  # a row for each test, each of them dear, and read several times
     first = q / (1 + q)
     valid = F.col("p").isNotNull() & ~F.isnan("p")
     tests = rows.where(valid)

@@ -6,7 +6,7 @@ from tessella.functions import moments, scalars
 from tessella.operators import aggregates as ag
 from tessella.operators import hierarchy as hi
 from tessella.operators import summary as sm
-from tessella.plans.q_stats import D, boots_sql
+from tessella.plans.q_stats import BOOTS, PERMS, D, boots_sql
 from tessella.plans.registry import query
 from tessella.plans.views import CUST, EV, FIX, customers, events, fixations, table
 
@@ -190,7 +190,7 @@ def annotate_names(spark, sf_dir):
 
 
 @query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, seg AS t, value - 4900 AS a, value / 2 - 2400 AS b FROM (SELECT *, unit % 2 AS seg FROM cust)),
-cust2 AS (SELECT region, subject, unit, t, 'a' AS cond, a AS value FROM c UNION ALL SELECT region, subject, unit, t, 'b', b FROM c), {boots_sql(10, "r", "cust2")},
+cust2 AS (SELECT region, subject, unit, t, 'a' AS cond, a AS value FROM c UNION ALL SELECT region, subject, unit, t, 'b', b FROM c), {boots_sql(BOOTS, "r", "cust2")},
 bt AS (SELECT region, t, cond, b, avg(s) AS centre FROM (SELECT region, t, cond, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ci AS (SELECT region, t, cond, quantile_cont(centre, 0.025) AS lo, quantile_cont(centre, 0.975) AS hi FROM bt GROUP BY ALL),
 ob AS (SELECT region, t, cond, avg(s) AS centre, CAST(sum(n) AS BIGINT) AS n_units, count(*) AS n_subjects FROM (SELECT region, t, cond, subject, avg(value) AS s, count(*) AS n FROM cust2 GROUP BY ALL) GROUP BY ALL)
@@ -202,7 +202,7 @@ def region_summary(spark, sf_dir):
 def _summary(spark, sf_dir):
     rows = customers(spark, sf_dir).select("region", "subject", "unit", (F.col("unit") % 2).alias("t"), (F.col("value") - 4900).alias("a"), (F.col("value") / 2 - 2400).alias("b"))
     stat_tests = [sm.StatTest("a", None, "greater"), sm.StatTest("b", "a", "both")]
-    return sm.summarize_regions(rows, ["a", "b"], stat_tests, 10, 30, 0.2, "r")
+    return sm.summarize_regions(rows, ["a", "b"], stat_tests, BOOTS, PERMS, 0.2, "r")
 
 
 def _tests_sql() -> str:
@@ -211,7 +211,7 @@ def _tests_sql() -> str:
   JOIN (SELECT region, t, avg(s) AS observed FROM (SELECT region, t, subject, avg({v}) AS s FROM c GROUP BY ALL) GROUP BY ALL) USING (region, t) GROUP BY region, t, observed"""
     one = part.format(name="a", reached="c >= observed", v="a", sign=D.format("'r-a-sign', rb, unit"))
     two = part.format(name="a-b", reached="abs(c) >= abs(observed)", v="a - b", sign=D.format("'r-a-b-sign', rb, unit"))
-    return f"""WITH {CUST}, c AS (SELECT region, subject, unit, unit % 2 AS t, value - 4900 AS a, value / 2 - 2400 AS b FROM cust), rep AS (SELECT unnest(range(0, 30)) AS rb),
+    return f"""WITH {CUST}, c AS (SELECT region, subject, unit, unit % 2 AS t, value - 4900 AS a, value / 2 - 2400 AS b FROM cust), rep AS (SELECT unnest(range(0, {PERMS})) AS rb),
 pv AS ({one} UNION ALL {two}), k1 AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM pv),
 s1 AS (SELECT *, coalesce(max(CASE WHEN p <= (0.2 / 1.2) * k / m THEN k END) OVER (), 0) AS r1 FROM k1),
 s2 AS (SELECT *, coalesce(max(CASE WHEN p <= CASE WHEN r1 < m THEN (0.2 / 1.2) * m / (m - r1) ELSE 1.0 END * k / m THEN k END) OVER (), 0) AS r2, max(p) FILTER (true) OVER () AS top FROM s1)
@@ -233,9 +233,9 @@ def key_set_operations(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(f"WITH {EV}, k AS (SELECT unnest(range(0, 200)) AS unit), c AS (SELECT unit, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY unit) SELECT CAST(k.unit AS BIGINT) AS unit, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (unit)")
+@query(f"WITH {EV}, k AS (SELECT DISTINCT c_custkey AS unit FROM customer), c AS (SELECT unit, count(*) AS n FROM ev WHERE event_type = 'view' GROUP BY unit) SELECT CAST(k.unit AS BIGINT) AS unit, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (unit)")
 def reindex_with_fill(spark, sf_dir):
-    keys = spark.range(200).withColumnRenamed("id", "unit")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit")).distinct()
     counts = events(spark, sf_dir).where("event_type = 'view'").groupBy("unit").agg(F.count("*").alias("n"))
     return keys.join(counts, "unit", "left").select("unit", F.coalesce("n", F.lit(0)).alias("n"))
 

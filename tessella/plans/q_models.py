@@ -40,13 +40,14 @@ def roi_by_field(spark, sf_dir):
     return sp.roi_hits(rows, boxes(spark, sf_dir)).groupBy("flag", "g").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {FIX}, gr AS (SELECT vec_id // 25 AS image, vec_id % 5 AS ix, (vec_id // 5) % 5 AS iy, CAST(embedding[1] AS DOUBLE) AS f1, CAST(embedding[2] AS DOUBLE) AS f2 FROM embeddings)
-SELECT fix_id, round(coalesce(f1, 0), 6) AS f1, round(coalesce(f2, -1), 6) AS f2 FROM (SELECT *, CAST(floor((x - 0) / 10.0) AS BIGINT) AS ix, CAST(floor((y - 0) / 10.0) AS BIGINT) AS iy FROM fix) LEFT JOIN gr USING (image, ix, iy)""")
+@query(f"""WITH {FIX}, gr AS (SELECT vec_id // 25 AS image, vec_id % 5 AS ix, (vec_id // 5) % 5 AS iy, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS f FROM embeddings)
+SELECT fix_id, round(coalesce(f[1], -1), 6) AS first, round(coalesce(f[-1], -1), 6) AS last, round(coalesce(list_sum(f), -(SELECT max(len(embedding)) FROM embeddings)), 4) AS total
+FROM (SELECT *, CAST(floor((x - 0) / 10.0) AS BIGINT) AS ix, CAST(floor((y - 0) / 10.0) AS BIGINT) AS iy FROM fix) LEFT JOIN gr USING (image, ix, iy)""")
 def grid_feature_lookup(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    grid = e.select(F.expr("vec_id div 25").alias("image"), (F.col("vec_id") % 5).alias("ix"), (F.expr("vec_id div 5") % 5).alias("iy"), F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double")).alias("feat"))
-    out = sp.grid_lookup(fixations(spark, sf_dir), grid, [0.0, -1.0], (0.0, 0.0), 10.0)
-    return out.select("fix_id", F.round(F.col("feat")[0], 6).alias("f1"), F.round(F.col("feat")[1], 6).alias("f2"))
+    grid, _, size = image_grids(spark, sf_dir)
+    out = sp.grid_lookup(fixations(spark, sf_dir), grid, [-1.0] * size, (0.0, 0.0), 10.0)
+    total = F.aggregate("feat", F.lit(0.0), lambda s, v: s + v)
+    return out.select("fix_id", F.round(F.col("feat")[0], 6).alias("first"), F.round(F.element_at("feat", -1), 6).alias("last"), F.round(total, 4).alias("total"))
 
 
 @query(f"""WITH {MOVED}, m AS (SELECT to_id AS move_id, fx AS x0, fy AS y0, x AS x1, y AS y1 FROM mv),

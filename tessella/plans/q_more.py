@@ -12,6 +12,7 @@ from tessella.plans.q_events import CLEAN, cleaned
 from tessella.plans.q_models import BOXES, boxes
 from tessella.plans.q_pairs import MOVED, move_table
 from tessella.plans.q_series import HIER, TWO, errors, series, two_series
+from tessella.plans.q_stats import BOOTS as REPLICATES
 from tessella.plans.q_stats import D, boots_sql
 from tessella.plans.registry import query
 from tessella.plans.views import CUST, EV, FIX, customers, events, fixations, table
@@ -138,25 +139,25 @@ def hier_peak_time(spark, sf_dir):
     return cr.hier_peaks(top.unionByName(own), ["group", "unit"], [])
 
 
-@query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, value FROM cust), {boots_sql(10, "n", "c")},
+@query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, value FROM cust), {boots_sql(REPLICATES, "n", "c")},
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(CASE WHEN value < 2000 THEN 1.0 ELSE 0.0 END) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ob AS (SELECT region, avg(s) AS centre FROM (SELECT region, subject, avg(CASE WHEN value < 2000 THEN 1.0 ELSE 0.0 END) AS s FROM c GROUP BY ALL) GROUP BY region)
 SELECT region, round(any_value(ob.centre), 6) AS share, round(quantile_cont(bt.centre, 0.025), 6) AS lo, round(quantile_cont(bt.centre, 0.975), 6) AS hi FROM bt JOIN ob USING (region) GROUP BY region""")
 def region_low_share_boots(spark, sf_dir):
     """The share of low values in each region, with a hierarchical bootstrap interval."""
     rows = customers(spark, sf_dir).select("region", "subject", "unit", (F.col("value") < 2000).cast("double").alias("value"))
-    ci = rs.spread(rs.hier_boots(rows, 10, "n"), ["region"])
+    ci = rs.spread(rs.hier_boots(rows, REPLICATES, "n"), ["region"])
     return R6(rs.two_level(rows).select("region", F.col("centre").alias("share")).join(ci, "region"), "share", "lo", "hi")
 
 
-@query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, e AS edge, CASE WHEN value <= e THEN 1.0 ELSE 0.0 END AS value FROM cust, (VALUES (0), (2500), (5000), (7500)) v(e)), {boots_sql(8, "d", "c")},
+@query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, e AS edge, CASE WHEN value <= e THEN 1.0 ELSE 0.0 END AS value FROM cust, (VALUES (0), (2500), (5000), (7500)) v(e)), {boots_sql(REPLICATES, "d", "c")},
 bt AS (SELECT region, edge, b, avg(s) AS centre FROM (SELECT region, edge, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL)
 SELECT region, edge, round(quantile_cont(centre, 0.025), 6) AS lo, round(quantile_cont(centre, 0.975), 6) AS hi FROM bt GROUP BY ALL""")
 def region_cdf_boots(spark, sf_dir):
     """Bootstrap intervals of each region's distribution function at some edges; all edges share the draws."""
     edges = F.explode(F.array(*[F.lit(e) for e in (0, 2500, 5000, 7500)]))
     rows = customers(spark, sf_dir).withColumn("edge", edges).select("region", "subject", "unit", "edge", (F.col("value") <= F.col("edge")).cast("double").alias("value"))
-    return R6(rs.spread(rs.hier_boots(rows, 8, "d", extra=("edge",)), ["region", "edge"]), "lo", "hi")
+    return R6(rs.spread(rs.hier_boots(rows, REPLICATES, "d", extra=("edge",)), ["region", "edge"]), "lo", "hi")
 
 
 @query(f"WITH {EV}, p AS (SELECT unit, count(*) FILTER (event_type = 'view') / count(*) / 5 AS p FROM ev GROUP BY unit) SELECT unit, CASE WHEN p >= 0.05 THEN 'n.s.' WHEN p >= 0.01 THEN 'p < .05' WHEN p >= 0.001 THEN 'p < .01' ELSE 'p < .001' END AS said FROM p")

@@ -7,9 +7,11 @@ from tessella.operators import resample as rs
 from tessella.operators import tests as ts
 from tessella.plans.q_pairs import PAIRS
 from tessella.plans.registry import query
-from tessella.plans.views import CUST, EV, FIX, customers, events, fixations
+from tessella.plans.views import CUST, EV, FIX, customers, events, fixations, table
 
 D = "CAST(('0x' || substr(md5(concat_ws(':', {})), 1, 8)) AS BIGINT)"
+#: Replicates: bootstraps and permutations; the permutations of whole tables' rows take a tenth.
+BOOTS, PERMS = 100, 1000
 TWO_LEVEL = "SELECT region, avg(s) AS centre, CAST(sum(n) AS BIGINT) AS n_units, count(*) AS n_subjects FROM (SELECT region, subject, avg(value) AS s, count(value) AS n FROM cust GROUP BY ALL) GROUP BY region"
 
 
@@ -28,7 +30,7 @@ tk AS (SELECT region, subject, slot, b, {D.format(f"'{seed}-unit', b, region, sl
 vl AS (SELECT tk.region, b, slot, c.* EXCLUDE (region, subject, unit) FROM tk JOIN u USING (region, subject, u_at) JOIN {source} c ON c.region = tk.region AND c.subject = tk.subject AND c.unit = u.unit)"""
 
 
-@query(f"""WITH {CUST}, {boots_sql(20, "h")},
+@query(f"""WITH {CUST}, {boots_sql(10 * BOOTS, "h")},
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ci AS (SELECT region, quantile_cont(centre, 0.025) AS lo, quantile_cont(centre, 0.975) AS hi FROM bt GROUP BY region),
 obs AS ({TWO_LEVEL})
@@ -36,28 +38,28 @@ SELECT region, round(centre, 8) AS centre, round(lo, 8) AS lo, round(hi, 8) AS h
 def region_hier_bootstrap_ci(spark, sf_dir):
     """Flagship: nested means of regions with confidence intervals of a hierarchical bootstrap."""
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
-    ci = rs.spread(rs.hier_boots(rows, 20, "h"), ["region"])
+    ci = rs.spread(rs.hier_boots(rows, 10 * BOOTS, "h"), ["region"])
     out = rs.two_level(rows).join(ci, "region")
     return out.select("region", *[F.round(c, 8).alias(c) for c in ("centre", "lo", "hi")], "n_units", "n_subjects")
 
 
-@query(f"""WITH {CUST}, {boots_sql(12, "s")},
+@query(f"""WITH {CUST}, {boots_sql(BOOTS, "s")},
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 obs AS ({TWO_LEVEL}), j AS (SELECT bt.region, bt.centre - obs.centre AS e FROM bt JOIN obs USING (region))
 SELECT region, round(sqrt(avg(e * e)), 8) AS sem, round(median(abs(e)), 8) AS mad FROM j GROUP BY region""")
 def bootstrap_spreads(spark, sf_dir):
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
-    met = rs.hier_boots(rows, 12, "s").join(rs.two_level(rows).select("region", F.col("centre").alias("obs")), "region")
+    met = rs.hier_boots(rows, BOOTS, "s").join(rs.two_level(rows).select("region", F.col("centre").alias("obs")), "region")
     sem, mad = (rs.spread(met, ["region"], kind, F.col("obs")) for kind in ("sem", "mad"))
     return sem.join(mad, "region").select("region", F.round("sem", 8).alias("sem"), F.round("mad", 8).alias("mad"))
 
 
 @query(f"""WITH {CUST}, obs AS (SELECT region, avg(s) AS observed FROM (SELECT region, subject, avg(value - 4900) AS s FROM cust GROUP BY ALL) GROUP BY region),
-nl AS (SELECT region, b, avg(s) AS c FROM (SELECT region, b, subject, avg((value - 4900) * CASE WHEN {D.format("'f-sign', b, unit")} % 2 = 1 THEN -1.0 ELSE 1.0 END) AS s FROM cust, (SELECT unnest(range(0, 40)) AS b) GROUP BY ALL) GROUP BY ALL)
+nl AS (SELECT region, b, avg(s) AS c FROM (SELECT region, b, subject, avg((value - 4900) * CASE WHEN {D.format("'f-sign', b, unit")} % 2 = 1 THEN -1.0 ELSE 1.0 END) AS s FROM cust, (SELECT unnest(range(0, {PERMS})) AS b) GROUP BY ALL) GROUP BY ALL)
 SELECT region, round(observed, 6) AS observed, avg(CASE WHEN c >= observed THEN 1.0 ELSE 0.0 END) AS p, 1.0 / (count(*) + 1) AS floor FROM nl JOIN obs USING (region) GROUP BY region, observed""")
 def region_sign_flip_test(spark, sf_dir):
     rows = customers(spark, sf_dir).withColumn("value", F.col("value") - 4900)
-    return rs.sign_flip_test(rows, 40, "f").withColumn("observed", F.round("observed", 6))
+    return rs.sign_flip_test(rows, PERMS, "f").withColumn("observed", F.round("observed", 6))
 
 
 @query(f"""WITH {CUST}, n AS (SELECT region, subject, count(*) AS n FROM cust GROUP BY ALL), r AS (SELECT *, median(n) OVER (PARTITION BY region) AS med FROM n),
@@ -69,17 +71,16 @@ def rare_group_exclusion(spark, sf_dir):
     return without_rare(customers(spark, sf_dir), 0.95).select("unit", "region", "subject")
 
 
-CAPPED = f"""{PAIRS}, cp AS (SELECT fix_id_i AS i, fix_id_j AS j, trial_i, d FROM pairs WHERE d <= 1 AND trial_i <> trial_j ORDER BY {D.format("'cap', fix_id_i, fix_id_j")}, fix_id_i, fix_id_j LIMIT 600),
-kp AS (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS k, count(*) OVER () AS n FROM cp),
-resp AS (SELECT fix_id AS event, 'price' AS unit, price / 10000 AS resp FROM fix UNION ALL SELECT fix_id, 'tax', tax FROM fix UNION ALL SELECT fix_id, 'x', x FROM fix),
-v AS (SELECT k, n, i, j, ri.unit, ri.resp AS a, rj.resp AS b2 FROM kp JOIN resp ri ON ri.event = i JOIN resp rj ON rj.event = j AND rj.unit = ri.unit)"""
+NEAR = f"{PAIRS}, np AS (SELECT fix_id_i AS i, fix_id_j AS j, fi.flag AS flag_i, fj.flag AS flag_j FROM pairs JOIN fix fi ON fi.fix_id = fix_id_i JOIN fix fj ON fj.fix_id = fix_id_j WHERE d <= 1 AND trial_i <> trial_j)"
+RESP = """resp AS (SELECT fix_id AS event, 'price' AS unit, price / 10000 AS resp FROM fix UNION ALL SELECT fix_id, 'tax', tax FROM fix UNION ALL SELECT fix_id, 'x', x FROM fix),
+v AS (SELECT kp.*, ri.unit, ri.resp AS a, rj.resp AS b2 FROM kp JOIN resp ri ON ri.event = i JOIN resp rj ON rj.event = j AND rj.unit = ri.unit)"""
+CAPPED = f"""{NEAR}, cp AS (SELECT * FROM np ORDER BY {D.format("'cap', i, j")}, i, j LIMIT {rs.MAX_PAIRS}),
+kp AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k, count(*) OVER () AS n FROM cp), {RESP}"""
 
 
-def capped_pairs(spark, sf_dir):
+def near_pairs(spark, sf_dir):
     found = pr.return_pairs(fixations(spark, sf_dir), 1.0, keep=("trial", "flag"))
-    found = pr.different(found, "trial")
-    kept = rs.capped(found, ["fix_id_i", "fix_id_j"], "cap", 600).select(F.col("fix_id_i").alias("i"), F.col("fix_id_j").alias("j"), "flag_i", "flag_j")
-    return rs.numbered(kept, ["i", "j"])
+    return pr.different(found, "trial").select(F.col("fix_id_i").alias("i"), F.col("fix_id_j").alias("j"), "flag_i", "flag_j")
 
 
 def responses(spark, sf_dir):
@@ -90,57 +91,73 @@ def responses(spark, sf_dir):
 _R = "CASE WHEN count(*) >= 2 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN least(greatest(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), -1.0), 1.0) END"
 
 
-@query(f"""WITH {CAPPED}, rep AS (SELECT unnest(range(0, 20)) AS b),
+@query(f"""WITH {CAPPED},
 ob AS (SELECT unit, count(*) AS n, {_R.format(x="x", y="y")} AS r FROM (SELECT unit, CASE WHEN f THEN b2 ELSE a END AS x, CASE WHEN f THEN a ELSE b2 END AS y FROM (SELECT *, {D.format("'c-side', k")} % 2 = 1 AS f FROM v)) GROUP BY unit),
-sl AS (SELECT b, k AS s, {D.format("'c-boot', b, k")} % n AS k, {D.format("'c-boot-side', b, k")} % 2 = 1 AS f FROM kp, rep),
+sl AS (SELECT b, k AS s, {D.format("'c-boot', b, k")} % n AS k, {D.format("'c-boot-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {BOOTS})) AS b)),
 bt AS (SELECT unit, b, {_R.format(x="x", y="y")} AS r FROM (SELECT unit, b, CASE WHEN f THEN b2 ELSE a END AS x, CASE WHEN f THEN a ELSE b2 END AS y FROM sl JOIN v USING (k)) GROUP BY ALL),
-pl AS (SELECT k, b, row_number() OVER (PARTITION BY b ORDER BY {D.format("'c-perm', b, k")}, k) - 1 AS o, {D.format("'c-perm-side', b, k")} % 2 = 1 AS f FROM kp, rep),
-xs AS (SELECT unit, b, o, CASE WHEN f THEN b2 ELSE a END AS x FROM pl JOIN v USING (k)),
-ys AS (SELECT unit, b, k AS o, CASE WHEN f THEN a ELSE b2 END AS y FROM pl JOIN v USING (k)),
-nl AS (SELECT unit, b, {_R.format(x="x", y="y")} AS r0 FROM xs JOIN ys USING (unit, b, o) GROUP BY ALL),
+pl AS (SELECT k, b, row_number() OVER (PARTITION BY b ORDER BY {D.format("'c-perm', b, k")}, k) - 1 AS o, {D.format("'c-perm-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {PERMS})) AS b)),
+nl AS (SELECT u.unit, p.b, {_R.format(x="CASE WHEN p.f THEN u.b2 ELSE u.a END", y="CASE WHEN q.f THEN w.a ELSE w.b2 END")} AS r0
+       FROM pl p JOIN pl q ON q.b = p.b AND q.k = p.o JOIN v u ON u.k = p.k JOIN v w ON w.k = q.k AND w.unit = u.unit GROUP BY ALL),
 pv AS (SELECT unit, greatest(1.0 - count(*) FILTER (r - r0 > 0) / count(r0), 1.0 / (count(r0) + 1)) AS p FROM nl JOIN ob USING (unit) GROUP BY unit)
 SELECT unit, n, round(r, 6) AS r, round(boot_mean, 6) AS boot_mean, round(boot_sd, 6) AS boot_sd, round(p, 6) AS p
 FROM ob JOIN (SELECT unit, avg(r) AS boot_mean, stddev_pop(r) AS boot_sd FROM bt GROUP BY unit) USING (unit) JOIN pv USING (unit)""")
 def self_consistency_perm_p(spark, sf_dir):
-    out = rs.self_consistency(capped_pairs(spark, sf_dir), responses(spark, sf_dir), 20, 20, "c")
+    pairs = rs.numbered(rs.capped(near_pairs(spark, sf_dir), ["i", "j"], "cap"), ["i", "j"])
+    out = rs.self_consistency(pairs, responses(spark, sf_dir), BOOTS, PERMS, "c")
     return out.select("unit", "n", *[F.round(c, 6).alias(c) for c in ("r", "boot_mean", "boot_sd", "p")])
 
 
-@query(f"""WITH {CAPPED}, kc AS (SELECT kp.*, CASE WHEN fi.flag = fj.flag THEN 1 ELSE 0 END AS cond FROM kp JOIN fix fi ON fi.fix_id = i JOIN fix fj ON fj.fix_id = j),
-vc AS (SELECT v.*, cond FROM v JOIN kc USING (k)), rep AS (SELECT unnest(range(0, 25)) AS b),
-r AS (SELECT unit, cond, {_R.format(x="a", y="b2")} AS r FROM vc GROUP BY ALL),
+@query(f"""WITH {NEAR}, cn AS (SELECT i, j, CASE WHEN flag_i = flag_j THEN 1 ELSE 0 END AS cond FROM np),
+sz AS (SELECT *, {rs.MAX_PAIRS} AS most FROM (SELECT count(*) FILTER (cond = 0) AS n0, count(*) FILTER (cond = 1) AS n1 FROM cn)),
+sm AS (SELECT *, least(CAST(round_even(2 + (most - 2) / sqrt((n0 + n1) / 2.0 - 2) * sqrt(greatest(least(n0, n1) - 2, 0)), 0) AS BIGINT), least(n0, n1)) AS kept FROM sz),
+s0 AS (SELECT CASE WHEN n0 + n1 <= 2 * most THEN n0 WHEN n0 <= n1 THEN kept ELSE 2 * most - kept END AS z, CASE WHEN n0 + n1 <= 2 * most THEN n1 WHEN n0 <= n1 THEN 2 * most - kept ELSE kept END AS o FROM sm),
+cp AS (SELECT i, j, cond FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY {D.format("'cap', i, j")}, i, j) AS place FROM cn), s0 WHERE place <= CASE cond WHEN 0 THEN z ELSE o END),
+kp AS (SELECT i, j, cond, row_number() OVER (ORDER BY i, j) - 1 AS k, count(*) OVER () AS n FROM cp), {RESP},
+r AS (SELECT unit, cond, {_R.format(x="CASE WHEN f THEN b2 ELSE a END", y="CASE WHEN f THEN a ELSE b2 END")} AS r FROM (SELECT *, {D.format("'t-side', k")} % 2 = 1 AS f FROM v) GROUP BY ALL),
 ob AS (SELECT unit, max(r) FILTER (cond = 0) AS r0, max(r) FILTER (cond = 1) AS r1 FROM r GROUP BY unit),
-lb AS (SELECT b, k, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {D.format("'t-label', b, k")}, k) <= (SELECT count(*) FROM kc WHERE cond = 0) THEN 0 ELSE 1 END AS l FROM kc, rep),
-nr AS (SELECT unit, b, l, {_R.format(x="a", y="b2")} AS r FROM lb JOIN v USING (k) GROUP BY ALL),
+lb AS (SELECT b, k, {D.format("'t-label-side', b, k")} % 2 = 1 AS f, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {D.format("'t-label', b, k")}, k) <= (SELECT count(*) FROM kp WHERE cond = 0) THEN 0 ELSE 1 END AS l FROM kp, (SELECT unnest(range(0, {PERMS})) AS b)),
+nr AS (SELECT unit, b, l, {_R.format(x="CASE WHEN f THEN b2 ELSE a END", y="CASE WHEN f THEN a ELSE b2 END")} AS r FROM lb JOIN v USING (k) GROUP BY ALL),
 nl AS (SELECT unit, b, max(r) FILTER (l = 1) - max(r) FILTER (l = 0) AS d0 FROM nr GROUP BY ALL)
 SELECT unit, round(r0, 6) AS r0, round(r1, 6) AS r1, round(greatest(1.0 - count(*) FILTER (abs(r1 - r0) - abs(d0) > 0) / count(d0), 1.0 / (count(d0) + 1)), 6) AS p FROM nl JOIN ob USING (unit) GROUP BY unit, r0, r1""")
 def two_condition_perm_p(spark, sf_dir):
-    pairs = capped_pairs(spark, sf_dir).withColumn("cond", (F.col("flag_i") == F.col("flag_j")).cast("int"))
-    out = rs.two_condition_test(pairs.select("k", "n", "i", "j", "cond"), responses(spark, sf_dir), 25, "t")
+    found = near_pairs(spark, sf_dir).select("i", "j", (F.col("flag_i") == F.col("flag_j")).cast("int").alias("cond"))
+    pairs = rs.numbered(rs.subsampled(found, ["i", "j"], "cap"), ["i", "j"])
+    out = rs.two_condition_test(pairs, responses(spark, sf_dir), PERMS, "t")
     return out.select("unit", *[F.round(c, 6).alias(c) for c in ("r0", "r1", "p")])
 
 
-@query(f"""WITH {FIX}, z AS (SELECT flag, fix_id, price / 10000 AS x, tax AS y FROM fix WHERE image < 20), pl AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY fix_id) AS k FROM z),
+@query(f"""WITH c AS (SELECT l_linestatus AS status, count(*) FILTER (l_returnflag = 'R') AS n0, count(*) FILTER (l_returnflag <> 'R') AS n1, {rs.MAX_PAIRS} AS most FROM lineitem GROUP BY 1),
+k AS (SELECT *, least(CAST(round_even(2 + (most - 2) / sqrt((n0 + n1) / 2.0 - 2) * sqrt(greatest(least(n0, n1) - 2, 0)), 0) AS BIGINT), least(n0, n1)) AS kept FROM c)
+SELECT status, n0, n1, CASE WHEN n0 + n1 <= 2 * most THEN n0 WHEN n0 <= n1 THEN kept ELSE 2 * most - kept END AS kept0, CASE WHEN n0 + n1 <= 2 * most THEN n1 WHEN n0 <= n1 THEN 2 * most - kept ELSE kept END AS kept1 FROM k""")
+def subsample_rule(spark, sf_dir):
+    """How many of two conditions of unequal size a test keeps."""
+    line = table(spark, sf_dir, "lineitem")
+    sizes = line.groupBy(F.col("l_linestatus").alias("status")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n0"), F.count_if(F.col("l_returnflag") != "R").alias("n1"))
+    kept0, kept1 = rs.subsample_size_columns(F.col("n0"), F.col("n1"))
+    return sizes.select("status", "n0", "n1", kept0.alias("kept0"), kept1.alias("kept1"))
+
+
+@query(f"""WITH {FIX}, z AS (SELECT flag, fix_id, price / 10000 AS x, tax AS y FROM fix), pl AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY fix_id) AS k FROM z),
 ob AS (SELECT flag, {_R.format(x="x", y="y")} AS r FROM pl GROUP BY flag),
-ea AS (SELECT flag, b, k, x, row_number() OVER (PARTITION BY flag, b ORDER BY {D.format("'q', b, flag, k")}, k) AS o FROM pl, (SELECT unnest(range(0, 30)) AS b)),
+ea AS (SELECT flag, b, k, x, row_number() OVER (PARTITION BY flag, b ORDER BY {D.format("'q', b, flag, k")}, k) AS o FROM pl, (SELECT unnest(range(0, {PERMS // 10})) AS b)),
 nl AS (SELECT ea.flag, b, {_R.format(x="ea.x", y="pl.y")} AS r0 FROM ea JOIN pl ON pl.flag = ea.flag AND pl.k = o GROUP BY ALL)
 SELECT flag, round(r, 6) AS r, round(greatest(avg(CASE WHEN r0 >= r THEN 1.0 ELSE 0.0 END), 1.0 / (count(r0) + 1)), 6) AS p FROM nl JOIN ob USING (flag) GROUP BY flag, r""")
 def correlation_perm_test(spark, sf_dir):
-    rows = fixations(spark, sf_dir).where("image < 20").select("flag", "fix_id", (F.col("price") / 10000).alias("px"), "tax")
-    out = rs.corr_perm_test(rows, 30, "q", ["flag"], "fix_id", "px", "tax")
+    rows = fixations(spark, sf_dir).select("flag", "fix_id", (F.col("price") / 10000).alias("px"), "tax")
+    out = rs.corr_perm_test(rows, PERMS // 10, "q", ["flag"], "fix_id", "px", "tax")
     return out.select("flag", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 
 
-@query(f"""WITH {EV}, z AS (SELECT unit, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS cond, t % 2 = 0 AS cat, value AS v FROM ev WHERE unit < 30),
-pl AS (SELECT *, row_number() OVER (PARTITION BY b, unit, cat ORDER BY {D.format("'i', b, event_id")}, event_id) AS k, count(*) FILTER (cond = 0) OVER (PARTITION BY b, unit, cat) AS n0 FROM z, (SELECT unnest(range(0, 20)) AS b)),
+@query(f"""WITH {EV}, z AS (SELECT unit, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS cond, t % 2 = 0 AS cat, value AS v FROM ev),
+pl AS (SELECT *, row_number() OVER (PARTITION BY b, unit, cat ORDER BY {D.format("'i', b, event_id")}, event_id) AS k, count(*) FILTER (cond = 0) OVER (PARTITION BY b, unit, cat) AS n0 FROM z, (SELECT unnest(range(0, {PERMS // 10})) AS b)),
 ix AS (SELECT unit, b, l, avg(v) FILTER (cat) AS a, avg(v) FILTER (NOT cat) AS o FROM (SELECT *, CASE WHEN k <= n0 THEN 0 ELSE 1 END AS l FROM pl) GROUP BY ALL),
 nl AS (SELECT unit, b, max((a - o) / nullif(a + o, 0)) FILTER (l = 1) - max((a - o) / nullif(a + o, 0)) FILTER (l = 0) AS d0 FROM ix GROUP BY ALL),
 oi AS (SELECT unit, cond, avg(v) FILTER (cat) AS a, avg(v) FILTER (NOT cat) AS o FROM z GROUP BY ALL),
 ob AS (SELECT unit, max((a - o) / nullif(a + o, 0)) FILTER (cond = 0) AS i0, max((a - o) / nullif(a + o, 0)) FILTER (cond = 1) AS i1 FROM oi GROUP BY unit)
 SELECT unit, round(i0, 6) AS index0, round(i1, 6) AS index1, round(greatest(1.0 - count(*) FILTER (abs(i1 - i0) - abs(d0) > 0) / count(d0), 1.0 / (count(d0) + 1)), 6) AS p FROM nl JOIN ob USING (unit) GROUP BY unit, i0, i1""")
 def selectivity_perm_test(spark, sf_dir):
-    rows = events(spark, sf_dir).where("unit < 30")
-    out = rs.index_perm_test(rows, 20, "i", "unit", "event_id", F.col("event_type").isin("view", "click").cast("int"), F.col("t") % 2 == 0, "value")
+    rows = events(spark, sf_dir)
+    out = rs.index_perm_test(rows, PERMS // 10, "i", "unit", "event_id", F.col("event_type").isin("view", "click").cast("int"), F.col("t") % 2 == 0, "value")
     return out.select("unit", *[F.round(c, 6).alias(c) for c in ("index0", "index1", "p")])
 
 

@@ -1,5 +1,6 @@
 """Edge semantics on small hand-made tables."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -237,6 +238,86 @@ def test_subsample_sizes():
         assert a + b <= 20 and 2 <= a <= n0 and 2 <= b <= n1
 
 
+def test_subsample_sizes_shrink_with_the_square_root(spark):
+    known = {(9000, 20000): (7878, 12122), (15000, 30000): (8165, 11835), (100000, 12000): (15370, 4630), (12000, 100000): (4630, 15370), (8000, 12000): (8000, 12000)}
+    assert {sizes: resample.subsample_sizes(*sizes) for sizes in known} == known
+    df = spark.createDataFrame(list(known), "a long, b long").select("a", "b", *resample.subsample_size_columns(F.col("a"), F.col("b")))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in df.collect()} == known
+    pairs = spark.range(60).selectExpr("id i", "id + 1 j", "cast(id < 45 as int) cond")
+    kept = resample.subsampled(pairs, ["i", "j"], "s", most=10)
+    assert {r["cond"]: r["count"] for r in kept.groupBy("cond").count().collect()} == dict(zip((0, 1), resample.subsample_sizes(15, 45, 10), strict=True))
+
+
+def brute_r(x, y):
+    ok = [(a, b) for a, b in zip(x, y, strict=True) if a is not None and b is not None]
+    if len(ok) < 2 or len({a for a, _ in ok}) < 2 or len({b for _, b in ok}) < 2:
+        return None
+    return float(np.corrcoef(np.array(ok).T)[0, 1])
+
+
+def drawn(*keys):
+    return int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:8], 16)
+
+
+def test_pair_tests_against_brute_force(spark, monkeypatch):
+    """Blocks of units and replicates change nothing; units may lack events, have nulls or no variance."""
+    monkeypatch.setattr(resample, "UNITS_PER_BLOCK", 2)
+    rng = random.Random(3)
+    n = 12
+    ij = [(rng.randrange(9), 9 + rng.randrange(9)) for _ in range(n)]
+    resp = {(u, e): 1.0 if u == "flat" else rng.random() for u in ("a", "b", "c", "d", "flat") for e in range(18)}
+    resp["b", ij[0][0]] = None
+    del resp["c", ij[1][1]]
+    pairs = spark.createDataFrame([(k, n, i, j, k % 3 % 2, k // 2) for k, (i, j) in enumerate(ij)], "k int, n long, i long, j long, cond int, couple int")
+    events = spark.createDataFrame([(e, u, v) for (u, e), v in resp.items()], "event long, unit string, resp double")
+
+    def sides(u, ks, coins):
+        events_of = [[(u, e) for e in ij[k]] for k in ks]  # a unit without one of the events lacks the pair
+        both = [tuple(resp[e] for e in pair) if all(e in resp for e in pair) else (None, None) for pair in events_of]
+        turned = [(b, a) if c else (a, b) for (a, b), c in zip(both, coins, strict=True)]
+        return [t[0] for t in turned], [t[1] for t in turned]
+
+    def p_of(sample, nulls, beyond):
+        ok = [v for v in nulls if v is not None and sample is not None]
+        return max(1 - sum(beyond(sample, v) for v in ok) / len(ok), 1 / (1 + len(ok))) if ok else None
+
+    got = {r.unit: r for r in resample.self_consistency(pairs, events, 7, 9, "s").collect()}
+    for u in ("a", "b", "c", "d", "flat"):
+        r = brute_r(*sides(u, range(n), [drawn("s-side", k) % 2 for k in range(n)]))
+        boots = [brute_r(*sides(u, [drawn("s-boot", b, k) % n for k in range(n)], [drawn("s-boot-side", b, k) % 2 for k in range(n)])) for b in range(7)]
+        nulls = []
+        for b in range(9):
+            x, y = sides(u, range(n), [drawn("s-perm-side", b, k) % 2 for k in range(n)])
+            rank = {k: at for at, k in enumerate(sorted(range(n), key=lambda k: (drawn("s-perm", b, k), k)))}
+            nulls.append(brute_r(x, [y[rank[k]] for k in range(n)]))
+        found = [v for v in boots if v is not None]
+        assert got[u].n == (n - sum(ij[k][1] == ij[1][1] for k in range(n)) if u == "c" else n)
+        assert got[u].r == pytest.approx(r)
+        assert got[u].boot_mean == (pytest.approx(np.mean(found)) if found else None)
+        assert got[u].boot_sd == (pytest.approx(np.std(found)) if found else None)
+        assert got[u].p == pytest.approx(p_of(r, nulls, lambda s, v: s > v))
+
+    for paired in (False, True):
+        got = {r.unit: r for r in resample.two_condition_test(pairs, events, 9, "t", paired=paired).collect()}
+        cond = [k % 3 % 2 for k in range(n)]
+        for u in ("a", "b", "c", "d", "flat"):
+            of = lambda label, c, x, y: brute_r([v if g == c else None for v, g in zip(x, label, strict=True)], [v if g == c else None for v, g in zip(y, label, strict=True)])
+            x, y = sides(u, range(n), [drawn("t-side", k) % 2 for k in range(n)])
+            r0, r1 = of(cond, 0, x, y), of(cond, 1, x, y)
+            nulls = []
+            for b in range(9):
+                if paired:
+                    label = [1 - c if drawn("t-swap", b, k // 2) % 2 else c for k, c in enumerate(cond)]
+                else:
+                    first = sorted(range(n), key=lambda k: (drawn("t-label", b, k), k))[: cond.count(0)]
+                    label = [0 if k in first else 1 for k in range(n)]
+                x, y = sides(u, range(n), [drawn("t-label-side", b, k) % 2 for k in range(n)])
+                a, c = of(label, 0, x, y), of(label, 1, x, y)
+                nulls.append(None if a is None or c is None else c - a)
+            assert (got[u].r0, got[u].r1) == (pytest.approx(r0), pytest.approx(r1))
+            assert got[u].p == pytest.approx(p_of(None if r0 is None or r1 is None else r1 - r0, nulls, lambda s, v: abs(s) > abs(v)))
+
+
 def test_rank_tests_against_brute_force(spark):
     rng = random.Random(4)
     a, b = [rng.randrange(6) for _ in range(12)], [rng.randrange(8) for _ in range(9)]
