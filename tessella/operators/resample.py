@@ -184,7 +184,7 @@ def self_consistency(pairs: DataFrame, responses: DataFrame, n_boot: int, n_perm
     n_units = responses.agg(F.approx_count_distinct("unit")).first()[0]
     done = _by_blocks(values, ["a", "b"], n_units, n_boot + n_perm, work, f"unit {kind}, n long, r double, bn double, bs double, bq double, pn double, pb double")
     mean = F.try_divide(F.sum("bs"), F.sum("bn"))
-    sd = F.sqrt(F.greatest(F.try_divide(F.sum("bq"), F.sum("bn")) - mean * mean, F.lit(0.0)))
+    sd = F.when(F.sum("bn") > 0, F.sqrt(F.greatest(F.try_divide(F.sum("bq"), F.sum("bn")) - mean * mean, F.lit(0.0))))
     return done.groupBy("unit").agg(F.first("n").alias("n"), _number(F.first("r")).alias("r"), mean.alias("boot_mean"), sd.alias("boot_sd"), _floored("pb", "pn").alias("p"))
 
 
