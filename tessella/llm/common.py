@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.scratch import materialize, release, scratch_path
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD_PATTERN", "ascii_lower", "lookup_skewed", "materialize", "partitions", "release", "scratch_path"]
+
 #: The separators of words: space and the controls from tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,61 +21,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, or one of our own where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def _sweep() -> None:
-    """Delete the tables of this process, whose plans end with it."""
-    gateway = SparkContext._gateway
-    for path in _made if gateway else ():
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            at = gateway.jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there is deleted when the driver ends."""
-    if not _made:
-        atexit.register(_sweep)
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage without tying the rows to one executor: any task of a
-    later stage can be run again after an executor is lost.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing will read again."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        root = shared_dir(df.sparkSession)
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            if path.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() + "/"):
-                path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
     """So many partitions that a task gets about ``per_task`` rows at most, whatever the session's default is."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows // per_task) + 1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed for each character of an item, and the shortest item that is searched for.
+#: Edits allowed for each character of an item; items of fewer characters have to stand as they are, between spaces.
 ERROR_RATE, MIN_CHARS = 0.08, 20
 #: Normalised characters of items that one automaton holds; more items go in several passes.
 SHARD_CHARS = 4_000_000
@@ -32,6 +32,7 @@ class Item:
     item_id: int
     text: str
     budget: int
+    short: bool = False  # a text with a space at both ends
 
     def pieces(self) -> list[tuple[int, str]]:
         """(offset, piece): budget + 1 pieces that cover the text."""
@@ -92,12 +93,15 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of each item's best passage in a normalised text."""
-        if not self.items:
+        if not self.items or not text:
             return []
+        text = f" {text} "
         found: dict[int, list[tuple[int, int]]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 item = self.items[n]
+                if item.short and n in found:
+                    continue  # the first is as good as any
                 start = last + 1 - size - offset
                 span = (max(0, start - item.budget), start + len(item.text) + item.budget)
                 if min(span[1], len(text)) - span[0] < len(item.text) - item.budget:
@@ -116,7 +120,8 @@ class Matcher:
                     best = (met[0], a + met[1])
             if best:
                 distance, end = best
-                out.append((item.item_id, distance, self._start(item, text, end, distance), end))
+                start, edge = self._start(item, text, end, distance), int(item.short)
+                out.append((item.item_id, distance, max(start - 1 + edge, 0), min(end - 1 - edge, len(text) - 2)))
         return out
 
     @staticmethod
@@ -139,21 +144,22 @@ class Matcher:
         return end - best[1]
 
 
-def load_items(benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> list[list[Item]]:
-    """The items in shards of bounded size.  The benchmark is the query set and is read whole."""
-    shards: list[list[Item]] = [[]]
+def load_items(benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> Iterator[list[Item]]:
+    """The items in shards of bounded size, one at a time.  The benchmark is the query set and is read whole."""
+    shard: list[Item] = []
     size = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         text = normalise(row.text)
-        if len(text) < min_chars:
+        if not text:
             continue
-        if size + len(text) > SHARD_CHARS and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append(Item(row.item_id, text, int(len(text) * error_rate)))
+        if size + len(text) > SHARD_CHARS and shard:
+            yield shard
+            shard, size = [], 0
+        short = len(text) < min_chars
+        shard.append(Item(row.item_id, f" {text} " if short else text, 0 if short else int(len(text) * error_rate), short))
         size += len(text)
-    return shards
+    yield shard
 
 
 _HITS = "doc_id long, item_id long, distance int, start int, end int"
@@ -165,8 +171,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
     Texts are compared as ``normalise`` gives them, and start and end count its characters.
     The budget is ``error_rate`` edits for each character of the item, rounded down.  An item of fewer
-    than ``min_chars`` normalised characters, or without an id, is not searched for; a null
-    or empty text holds nothing.  Rows that repeat a doc_id give a row each; of several
+    than ``min_chars`` normalised characters has to occur as it is, as whole words.  An item without
+    an id or without characters is not searched for; a null or empty text holds nothing.  Rows that repeat a doc_id give a row each; of several
     passages of one item in a text the closest, then the first, is given.
     """
     spark = docs.sparkSession

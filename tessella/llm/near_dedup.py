@@ -37,7 +37,7 @@ BLOCK, LEADERS = 64, 32
 #: Keys with sketches that a task holds at once, and shingle sets that it reads one cell after the other.
 SKETCHES_PER_TASK, SETS_PER_TASK = 500_000, 20_000
 #: Rows of a bucket above which its rows meet block by block, in blocks of so many on average.
-LARGE_BUCKET = 8192
+LARGE_BUCKET = 1024
 
 _U = np.uint64
 _LEFT_OUT = [tuple(i for i in range(SYMBOLS) if i not in out) for out in combinations(range(SYMBOLS), ERRORS)]
@@ -316,6 +316,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     reach = groups.select("digest", "rep", "uses").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     reach = materialize(reach.select("digest", F.coalesce("component", "rep").alias("reached"), "uses"), "near-reach")
+    release(groups, shared, member, found)
     out = lookup_skewed(sketched.select("doc_id", "n_shingles", "digest"), reach, ["digest"], "uses")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("reached", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -1,7 +1,7 @@
 """A quality classifier by nearest-neighbour voting.
 
-Documents become latent-semantic vectors: counts of word shapes and of pairs of shapes,
-log-weighted and projected on the leading singular vectors of a labelled sample.  The
+Documents become latent-semantic vectors: counts of terms, of word shapes and of pairs of
+shapes, log-weighted and projected on the leading singular vectors of a labelled sample.  The
 labelled vectors are broadcast; every document is compared with all of them by exact
 cosine products in blocks, and its nearest neighbours' labels are weighted by similarity.
 """
@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the classifier learns from at most; they are drawn by a hash of the id.
 SAMPLE = 4096
-FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = 4096, 48, 25, 512
+SHAPES, PAIRS, TERMS = 2048, 2048, 4096
+FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = SHAPES + PAIRS + TERMS, 48, 25, 512
+#: The share of a vector's length that terms have.
+TERM_WEIGHT = 0.5
+#: Steps of a similarity; vectors whose similarities fall on one step are equally near.
+STEPS = 100_000
 HELD_OUT = 2  # the remainder of crc32(doc_id) mod 4 whose labels are never learnt
 
 _SHAPE = str.maketrans({c: "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "0" for c in "0123456789"})
@@ -39,14 +44,15 @@ def shape(word: str) -> str:
 
 
 class Shapes(dict):
-    """Word to feature number; remembers words until it is full."""
+    """Word to the numbers of its shape and, behind all of these, of its term (A-Z lower-cased); remembers words until it is full."""
 
     def __missing__(self, word: str) -> int:
         import zlib
 
         if len(self) > 300_000:
             self.clear()
-        n = self[word] = zlib.crc32(shape(word).encode()) % (FEATURES // 2)
+        term = zlib.crc32(word.encode().lower()) % TERMS
+        n = self[word] = term * SHAPES + zlib.crc32(shape(word).encode()) % SHAPES
         return n
 
 
@@ -56,16 +62,19 @@ def features(text: str | None, shapes: Shapes) -> np.ndarray:
     out = np.zeros(FEATURES, np.float32)
     if not words:
         return out
-    ids = np.fromiter((shapes[w] for w in words), np.int64, len(words))
-    half = FEATURES // 2
-    out[:half] = np.bincount(ids, minlength=half)
+    known = np.fromiter((shapes[w] for w in words), np.int64, len(words))
+    ids = known % SHAPES
+    out[:SHAPES] = np.bincount(ids, minlength=SHAPES)
     if len(words) > 1:
         same = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, len(words) - 1)
-        pairs = (ids[:-1] * 31 + ids[1:] * 7 + 1) % (half - 1) + 1
+        pairs = (ids[:-1] * 31 + ids[1:] * 7 + 1) % (PAIRS - 1) + 1
         pairs[same] = 0  # a word that repeats the one before
-        out[half:] = np.bincount(pairs, minlength=half)
+        out[SHAPES : SHAPES + PAIRS] = np.bincount(pairs, minlength=PAIRS)
+    out[SHAPES + PAIRS :] = np.bincount(known // SHAPES, minlength=TERMS)
     out = np.log1p(out)
-    return out / np.linalg.norm(out)
+    for part, weight in ((out[: SHAPES + PAIRS], 1 - TERM_WEIGHT), (out[SHAPES + PAIRS :], TERM_WEIGHT)):
+        part *= weight**0.5 / np.linalg.norm(part)
+    return out
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +92,8 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray,
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int64())), pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))], names=["doc_id", "label", "at", "value"])
 
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    met = met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of rows that repeat an id one text, so no more than the sample has
     rows = met.mapInArrow(vectors, "doc_id long, label double, at array<long>, value array<float>").toPandas()
     rows = rows.sort_values(["doc_id", "label"]).reset_index(drop=True)
     x = np.zeros((len(rows), FEATURES), np.float32)
@@ -112,13 +122,21 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The similarity-weighted mean label of each vector's nearest neighbours."""
+    """The similarity-weighted mean label of each vector's nearest neighbours.
+
+    Similarities count in steps of 1 / ``STEPS``; of equally near ones the first known are taken.
+    """
     if not len(known):
         return np.full(len(vectors), 0.5)
-    near = vectors @ known.T
+    near = np.rint(vectors @ known.T * STEPS)
     k = min(NEIGHBOURS, len(known))
-    top = np.argpartition(near, len(known) - k, axis=1)[:, -k:]
-    weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4
+    last = np.partition(near, len(known) - k, axis=1)[:, len(known) - k, None]
+    chosen = near >= last
+    for i in np.flatnonzero(chosen.sum(1) > k):  # ties for the last places
+        tied = np.flatnonzero(near[i] == last[i])
+        chosen[i, tied[k - int((near[i] > last[i]).sum()) :]] = False
+    top = np.nonzero(chosen)[1].reshape(len(vectors), k)
+    weight = (np.maximum(np.take_along_axis(near, top, 1), 0) / STEPS).astype(np.float64) ** 4
     total = weight.sum(1)
     prior = float(labels.mean())
     return np.where(total > 0, (weight * labels[top]).sum(1) / np.where(total > 0, total, 1), prior)
@@ -130,7 +148,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, la
     ``labels`` has doc_id and the label (0 or 1); rows with a null in either, and those
     held out, teach nothing.  A text without words (null, empty, blank) scores the share of
     label 1 in the sample; without any labels every score is 0.5.  Only the text counts, so
-    rows that repeat a text score alike.  Other columns are kept.
+    rows that repeat a text score alike.  Of labelled rows that repeat an id the smallest text
+    is learnt; of neighbours that are equally near those with the smallest ids vote.  Other columns are kept.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
     fields = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted")]

@@ -105,7 +105,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON node = d.doc_id
 """,
     "op2_mix_sources": r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS drawn FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
 ranked AS (
   SELECT source, s, CAST([3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS BIGINT) AS w FROM per),
@@ -123,7 +123,7 @@ targets AS (
   FROM filled f LEFT JOIN first_open o ON true),
 rates AS (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS rate FROM targets)
 SELECT d.doc_id, d.size, r.s AS source_size, r.target,
-       CAST(d.size * (floor(r.rate) + CASE WHEN CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(d.size * (floor(r.rate) + CASE WHEN CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), d.drawn)), 1, 8)) AS BIGINT) / 4294967296.0 < r.rate - floor(r.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 """,
     "op3_exact_dedup": f"""

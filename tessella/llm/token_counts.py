@@ -3,17 +3,22 @@
 A byte-level BPE tokenizer splits a text into pieces and encodes each by itself, so the
 count of a text is a sum over its pieces, and a count inside a piece is found by dynamic
 programming over its bytes: the encoding of every prefix ends in the one token that is
-compatible with the encoding of what stands before it.  The table that results answers
-truncation and budget questions without encoding again.
+compatible with the encoding of what stands before it.  A text's prefix table says for each
+byte by how much the count changes with it; its running sum is the count at every prefix,
+its end the text's count, and it answers truncation and budget questions without encoding
+again.
 """
 
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate
+from operator import sub
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,7 +58,7 @@ class PrefixCounter:
         self._split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self._pieces, self._settled = regex.compile(PIECES), regex.compile(SETTLED)
         self._model = data["model"]
-        self._n: dict[str, int] = {}
+        self._n: dict[str, bytes] = {}
         self._whole: dict[bytes, bool] = {}
         self._follows: dict[tuple[bytes, bytes], bool] = {}
         self._tails: dict[str, int] = {}
@@ -74,28 +79,30 @@ class PrefixCounter:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Make the counts of these pieces known."""
+        """Make the prefix tables of these pieces known."""
         if len(self._n) > REMEMBERED:
             self._n.clear()
         for p in pieces:
             if p not in self._n:
-                self._n[p] = self.within(p)[-1]
+                counts = self.within(p)
+                self._n[p] = array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        """The tokens up to the end of each of a text's pieces."""
-        return list(accumulate(map(self._n.__getitem__, pieces)))
+    def changes(self, texts: list[str]) -> list[np.ndarray]:
+        """The prefix table of each text: how the count changes with each of its bytes."""
+        cut = [self.cut(t) for t in texts]
+        self.learn({p for pieces in cut for p in pieces})
+        return [np.frombuffer(b"".join(map(self._n.__getitem__, pieces)), np.int16) for pieces in cut]
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """(ends, counts): the code points and the tokens up to the end of each piece."""
+        """(ends, counts): the code points and the tokens up to the end of each piece, read from the text's prefix table."""
         pieces = self.cut(text)
-        self.learn(set(pieces))
-        return list(accumulate(map(len, pieces))), self.counts(pieces)
+        running = np.cumsum(self.changes([text])[0], dtype=np.int64)
+        at = np.cumsum([len(p.encode()) for p in pieces], dtype=np.int64) - 1
+        return list(accumulate(map(len, pieces))), running[at].tolist()
 
     def totals(self, texts: list[str]) -> list[int]:
         """The count at the last prefix of each text."""
-        cut = [self.cut(t) for t in texts]
-        self.learn({p for pieces in cut for p in pieces})
-        return [self.counts(pieces)[-1] if pieces else 0 for pieces in cut]
+        return [int(c.sum(dtype=np.int64)) for c in self.changes(texts)]
 
     # -- counts inside a piece
 
@@ -240,9 +247,9 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit.
 
-    Counts are those of the library without begin, end or added special tokens; special
-    strings inside a text count as the library's default takes them.  A null text is empty
-    and has 0 tokens.  ``path`` is a vocabulary file that every executor has.
+    n_tokens is the end of the text's prefix table.  Counts are those of the library without begin,
+    end or added special tokens; special strings inside a text count as the library's default takes
+    them.  A null text is empty and has 0 tokens.  ``path`` is a vocabulary file that every executor has.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +265,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
 
 def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ends, counts, at — code points and tokens up to each piece's end, and the tokens of each prefix by itself.
+    """Per row: doc_id, ends, counts, at, changes — code points and tokens up to each piece's end, the tokens of each prefix by itself,
+    and the prefix table over bytes (by how much the count changes with each byte of the whole text, as 16-bit numbers).
 
     ``count_within`` and ``fits_budget`` read ``at``, which has a count for each code point.
     """
@@ -271,10 +279,12 @@ def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 found = [counter.table(t) for t in texts]
                 at = [counter.prefixes(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))], names=["doc_id", "ends", "counts", "at"])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([f[0] for f in found], [f[1] for f in found], at)]
+                changes = pa.array([c.tobytes() for c in counter.changes(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), *lists, changes], names=["doc_id", "ends", "counts", "at", "changes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tables, "doc_id long, ends array<long>, counts array<long>, at array<long>")
+    return rows.mapInArrow(tables, "doc_id long, ends array<long>, counts array<long>, at array<long>, changes binary")
 
 
 def count_within(tables: DataFrame, n_chars: int) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,6 +71,28 @@ def test_mix_emits_what_the_plan_takes(spark):
     assert out.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == plan.agg(F.sum("taken")).first()[0]
 
 
+def test_targets_of_a_very_large_corpus(spark):
+    sizes = {f"{i:05d}": 10**9 + i for i in range(10_000)} | {"00007": 4 * 10**12}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+    want = targets_brute(sizes)
+    assert all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
+def test_documents_without_ids_draw_apart(spark, monkeypatch):
+    docs = [(None, f"{i} " + "w " * 9, "none") for i in range(2000)] + [(i, "w " * 10, "a") for i in range(2000)] + [(None, "again and again", "b")] * 3
+    df = spark.createDataFrame(docs, SCHEMA)
+    plan = mixing.plan_mix(df)
+    taken = {r.source: r.taken for r in plan.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    target = {r.source: r.target for r in plan.select("source", "target").distinct().collect()}
+    assert taken["none"] == pytest.approx(target["none"], rel=0.1)
+    assert plan.where("source = 'b'").select("taken").distinct().count() == 1  # rows that repeat are taken alike
+    want = rows(plan, "doc_id", "size", "source_size", "target", "taken")
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)  # the look-up gives the same
+    assert rows(mixing.plan_mix(df), "doc_id", "size", "source_size", "target", "taken") == want
+    assert mixing.mix_sources(df).agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r[-1] for r in want)
+
+
 def test_mix_without_words_or_rows(spark):
     assert rows(mixing.plan_mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], SCHEMA)), "doc_id", "size", "target", "taken") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
     assert mixing.plan_mix(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -127,11 +151,28 @@ def test_leaks(spark):
     assert rows(kept, "doc_id") == sorted([(d,) for d, _ in docs if d not in {w[0] for w in want}], key=str)
 
 
+def test_short_items_have_to_be_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, " x = 7 "), (3, " "), (4, "é")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "in paris\tx  =\n7"), (2, "parish, comparis x = 71"), (3, "PARIS"), (4, "a é b paris paris"), (5, None)], "doc_id long, text string")
+    got = rows(decontaminate.find_leaks(docs, bench), "doc_id", "item_id", "distance", "start", "end")
+    assert got == [(1, 1, 0, 3, 8), (1, 2, 0, 9, 14), (3, 1, 0, 0, 5), (4, 1, 0, 6, 11), (4, 4, 0, 2, 3)]
+    assert rows(decontaminate.drop_contaminated(docs, bench), "doc_id") == [(2,), (5,)]
+
+
+def test_leaks_in_very_long_texts(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20))
+    long = " ".join("".join(rng.choices("ijklmnop", k=5)) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long), (3, "x" * 400_000)], "doc_id long, text string").selectExpr("*", "7 item_id", "'d' distance", "0 start", "0 end")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string").selectExpr("*", "'x' doc_id")
+    assert rows(decontaminate.find_leaks(docs, bench), "doc_id", "item_id", "distance", "start") == [(1, 1, 0, len(long) + 1)]
+
+
 def test_leaks_in_shards_and_without_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_CHARS", 30)
     bench = spark.createDataFrame([(i, f"item number {i} with some text in it") for i in range(5)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"before item number {i} with some text in it after") for i in range(5)], "doc_id long, text string")
-    assert len(decontaminate.load_items(bench)) == 5
+    assert [len(items) for items in decontaminate.load_items(bench)] == [1] * 5
     # the others are one edit away
     assert decontaminate.find_leaks(docs, bench).where("distance = 0").count() == 5
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
@@ -175,7 +216,49 @@ def test_vote_is_the_weighted_mean_of_all_nearest():
     for got, x in zip(quality.vote(v, known, y), v, strict=True):
         near = sorted(((float(x @ k), float(label)) for k, label in zip(known, y, strict=True)), reverse=True)[: quality.NEIGHBOURS]
         weights = [max(s, 0) ** 4 for s, _ in near]
-        assert got == pytest.approx(sum(w * label for w, (_, label) in zip(weights, near, strict=True)) / sum(weights))
+        assert got == pytest.approx(sum(w * label for w, (_, label) in zip(weights, near, strict=True)) / sum(weights), abs=1e-4)
+
+
+def test_votes_of_ties_go_by_the_order_of_the_labelled():
+    known = quality._unit(np.tile(np.array([[1.0, 2.0, 3.0]]), (2000, 1)).astype(np.float32))
+    known[::7] *= -1
+    y = (np.arange(2000) % 3 == 0).astype(np.float32)
+    first = [i for i in range(2000) if i % 7][: quality.NEIGHBOURS]
+    got = quality.vote(known[1:4], known, y)
+    assert got == pytest.approx([y[first].mean()] * 3, abs=1e-4)
+
+
+def test_scores_against_brute_force(spark):
+    """With fewer labelled rows than dimensions the projection keeps every product, so plain vectors give the scores."""
+    rng = random.Random(6)
+    words = ["Plain", "words", "of", "text,", "and", "12", "##", "!!", "x9", "É", "Éa"]
+    docs = [(i, " ".join(rng.choice(words[: 3 + i % 8]) for _ in range(rng.randint(1, 40)))) for i in range(80)] + [(200, None), (3, "another text of number three")]
+    labels = [(i, int(i % 8 < 4)) for i in range(0, 80, 2)]
+
+    def vector(text):
+        out = Counter()
+        w = (text or "").split()
+        number = lambda x: zlib.crc32(quality.shape(x).encode()) % quality.SHAPES
+        for x in w:
+            out["shape", number(x)] += 1
+            out["term", zlib.crc32(x.encode().lower()) % quality.TERMS] += 1
+        for a, b in zip(w, w[1:], strict=False):
+            out["pair", 0 if a == b else (number(a) * 31 + number(b) * 7 + 1) % (quality.PAIRS - 1) + 1] += 1
+        out = {k: math.log1p(n) for k, n in out.items()}
+        size = {part: math.sqrt(sum(v * v for k, v in out.items() if (k[0] == "term") == part)) for part in (True, False)}
+        return {k: v / size[k[0] == "term"] * (quality.TERM_WEIGHT if k[0] == "term" else 1 - quality.TERM_WEIGHT) ** 0.5 for k, v in out.items()}
+
+    learnt = [(i, y, vector(min(t for j, t in docs if j == i))) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learnt) <= quality.DIMENSIONS
+    got = quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    scores = {(r.doc_id, r.text): r.score for r in got.collect()}
+    assert len(scores) == len(docs)
+    for i, text in docs:
+        v = vector(text)
+        near = sorted(((-round(sum(x * known.get(k, 0) for k, x in v.items()) * quality.STEPS), j, y) for j, y, known in learnt))[: quality.NEIGHBOURS]
+        weights = [(max(-s, 0) / quality.STEPS) ** 4 for s, _, _ in near]
+        want = sum(w * y for w, (_, _, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else np.mean([y for _, y, _ in learnt])
+        assert scores[i, text] == pytest.approx(want, abs=2e-3)
 
 
 # -- urls
@@ -334,6 +417,21 @@ def test_totals_come_from_the_prefix_counts(counter, monkeypatch):
     assert fresh.totals(["one two one"]) == [3] and sorted(seen) == [" one", " two", "one"]
 
 
+def test_the_prefix_table_is_the_library_s_count_of_every_prefix_of_its_pieces(counter):
+    rng = random.Random(9)
+    texts = [*TEXTS, "".join(rng.choice("ab cd'sÀ9ſ̀\n\t .,<|>é日 ") for _ in range(200_000))]
+    for text, changes in zip(texts, counter.changes(texts), strict=True):
+        running = np.cumsum(changes, dtype=np.int64)
+        assert len(running) == len(text.encode())
+        assert (running[-1] if len(running) else 0) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+        before, at = 0, 0
+        for piece in counter.cut(text)[:300]:
+            size = len(piece.encode())
+            assert (running[at : at + size] - before).tolist() == counter.within(piece)
+            at += size
+            before = running[at - 1]
+
+
 def test_digests_of_known_bytes():
     assert warc.payload_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha1(b"").hexdigest() == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
