@@ -15,7 +15,7 @@ import bisect
 from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
 from operator import sub
 
 import numpy as np
@@ -62,6 +62,7 @@ class PrefixCounter:
         self._whole: dict[bytes, bool] = {}
         self._follows: dict[tuple[bytes, bytes], bool] = {}
         self._tails: dict[str, int] = {}
+        self._pairs: dict[int, bool] = {}
 
     # -- counts of whole pieces
 
@@ -82,7 +83,10 @@ class PrefixCounter:
         """Make the prefix tables of these pieces known."""
         if len(self._n) > REMEMBERED:
             self._n.clear()
-        for p in pieces:
+        new = [p for p in pieces if p not in self._n]
+        short = [p for p in new if len(p) <= LONG and p not in self.specials]
+        self._n.update(zip(short, self._within_all([p.encode() for p in short]), strict=True))
+        for p in new:
             if p not in self._n:
                 counts = self.within(p)
                 self._n[p] = array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
@@ -167,6 +171,65 @@ class PrefixCounter:
                 raise ValueError(f"no tokens for a prefix of {piece!r}")
         return counts[1:]
 
+    @cached_property
+    def _ends(self):
+        """(tokens, their sizes, an automaton that finds all that end at a place of a byte string)."""
+        import ahocorasick
+
+        tokens = [t for t in self._vocabulary if t in self._whole or self._is_whole(t)]
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(tokens):
+            automaton.add_word(t.decode("latin-1"), i)
+        automaton.make_automaton()
+        return tokens, np.array([len(t) for t in tokens], np.int64), automaton
+
+    def _within_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The prefix tables of many short pieces: the dynamic programme of ``within``, a place of all pieces at a time."""
+        if not pieces:
+            return []
+        tokens, size_of, automaton = self._ends
+        data = b"".join(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(sizes) - sizes
+        first = np.repeat(begin, sizes)
+        end, token = np.fromiter(chain.from_iterable(automaton.iter(data.decode("latin-1"))), np.int64).reshape(-1, 2).T
+        size, place = size_of[token], end - first[end] + 1
+        inside = size <= place  # a token that began in the piece before is none
+        end, token, size, place = (x[inside] for x in (end, token, size, place))
+        order = np.lexsort((-size, end, place))
+        end, token, size, place = (x[order] for x in (end, token, size, place))
+        number = np.arange(len(end))
+        rank = number - np.maximum.accumulate(np.where(np.r_[True, end[1:] != end[:-1]], number, 0))
+        last, count = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64)
+        bounds = np.searchsorted(place, np.arange(1, sizes.max() + 2))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            e, t, s, r = end[lo:hi], token[lo:hi], size[lo:hi], rank[lo:hi]
+            for k in range(int(r.max()) + 1 if hi > lo else 0):  # the longest token that can stand there
+                i = np.flatnonzero((r == k) & (last[e] < 0))
+                whole = s[i] == place[lo]
+                before = e[i] - s[i]
+                ok = whole.copy()
+                ok[~whole] = self._can_follow_all(last[before[~whole]], t[i][~whole])
+                to = e[i][ok]
+                last[to] = t[i][ok]
+                count[to] = 1 + np.where(whole[ok], 0, count[before[ok]])
+        if (last < 0).any():
+            raise ValueError("no tokens for a prefix")
+        changes = count - np.where(np.arange(len(data)) == first, 0, np.r_[0, count[:-1]])
+        raw = changes.astype(np.int16).tobytes()
+        return [raw[2 * a : 2 * (a + n)] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+
+    def _can_follow_all(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        tokens = self._ends[0]
+        if len(self._pairs) > 4 * REMEMBERED:
+            self._pairs.clear()
+        keys = (before * len(tokens) + token).tolist()
+        out = np.fromiter(map(self._pairs.get, keys, repeat(2)), np.int8, len(keys))
+        for i in np.flatnonzero(out == 2):
+            a, b = tokens[before[i]], tokens[token[i]]
+            out[i] = self._pairs[keys[i]] = self._merge(a + b) == [a, b]
+        return out == 1
+
     def _is_whole(self, token: bytes) -> bool:
         """Whether merging makes one token of these bytes."""
         if (found := len(self._merge(token)) == 1):

@@ -410,11 +410,15 @@ def test_budgets_inside_long_pieces(counter, spark, monkeypatch):
 
 
 def test_totals_come_from_the_prefix_counts(counter, monkeypatch):
-    """No piece is encoded by the library."""
+    """No piece is encoded by the library, and one that is known isn't worked on again."""
     fresh = PrefixCounter(__import__("public_tokenizers").path("byte_bpe_50k.json"))
-    of, seen = fresh.within, []
-    monkeypatch.setattr(fresh, "within", lambda piece: seen.append(piece) or of(piece))
-    assert fresh.totals(["one two one"]) == [3] and sorted(seen) == [" one", " two", "one"]
+    of, seen = fresh._within_all, []
+    monkeypatch.setattr(fresh, "_within_all", lambda pieces: seen.extend(pieces) or of(pieces))
+    cut = [p for p, _ in fresh.tokenizer.pre_tokenizer.pre_tokenize_str("one two one")]
+    assert len(cut) == 3
+    monkeypatch.setattr(fresh, "tokenizer", None)
+    assert fresh.totals(["one two one"]) == [3] and sorted(seen) == [b" one", b" two", b"one"]
+    assert fresh.totals(["one two one two"]) == [4] and len(seen) == 3
 
 
 def test_the_prefix_table_is_the_library_s_count_of_every_prefix_of_its_pieces(counter):
