@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ def average_ranks(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
 
 
 def rank_sum(rows: DataFrame, value: Column, in_first: Column, by: list[str]) -> DataFrame:
-    """Per group: n1, n2, u (of the first sample) and the tie-corrected z without continuity correction."""
+    """Per group: n1, n2, u (of the first sample), the tie-corrected sd and z without continuity correction, and whether values tie."""
     ranked = average_ranks(rows.where(value.isNotNull()).withColumn("_first", in_first), value, by)
     n1, n2 = F.count_if("_first"), F.count_if(~F.col("_first"))
     # each of the t rows of a tie adds t**2 - 1 to the tie term, t**3 - t in all
@@ -31,60 +33,115 @@ def rank_sum(rows: DataFrame, value: Column, in_first: Column, by: list[str]) ->
     n = F.col("n1") + F.col("n2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.try_divide(F.col("t"), (n * (n - 1)).cast("double"))))
-    return out.where("n1 > 0 and n2 > 0").select(*by, "n1", "n2", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n2") / 2.0, sd).alias("z"), (F.col("t") > 0).alias("tied"))
+    return out.where("n1 > 0 and n2 > 0").select(*by, "n1", "n2", u.alias("u"), sd.alias("sd"), F.try_divide(u - F.col("n1") * F.col("n2") / 2.0, sd).alias("z"), (F.col("t") > 0).alias("tied"))
 
 
 def signed_rank(rows: DataFrame, difference: Column, by: list[str]) -> DataFrame:
-    """Per group: n (differences that aren't 0), w (the sum of positive ranks) and z; fewer than two are left out."""
-    kept = rows.withColumn("_d", difference).where(F.col("_d").isNotNull() & (F.col("_d") != 0))
-    ranked = average_ranks(kept, F.abs("_d"), by)
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("t"))
+    """Per group: n (differences that aren't 0), w (the sum of positive ranks), z, and whether any tie or are 0; fewer than two are left out."""
+    kept = rows.withColumn("_d", difference).where(F.col("_d").isNotNull()).withColumn("_zero", F.col("_d") == 0)
+    ranked = average_ranks(kept, F.abs("_d"), [*by, "_zero"])
+    own = lambda x: F.sum(F.when(~F.col("_zero"), x))
+    out = ranked.groupBy(*by).agg(
+        F.count_if(~F.col("_zero")).alias("n"), own(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("w"),
+        own((F.col("ties") * F.col("ties") - 1).cast("double")).alias("t"), F.max("_zero").alias("zeros"),
+    )
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0)
-    return out.where("n >= 2").select(*by, "n", "w", F.try_divide(F.col("w") - n * (n + 1) / 4.0, sd).alias("z"))
+    return out.where("n >= 2").select(*by, "n", "w", F.try_divide(F.col("w") - n * (n + 1) / 4.0, sd).alias("z"), ((F.col("t") > 0) | F.col("zeros")).alias("tied"))
+
+
+# Coefficients of Hart's rational approximation (1968, no. 5666) to the tail of the normal distribution.
+HART_ABOVE = [0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+HART_BELOW = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+HART_FAR, HART_FRACTION, HART_ROOT = 7.07106781186547, 0.65, 2.506628274631
+
+
+def normal_tail(z: Column) -> Column:
+    """The share of a standard normal distribution above z, to about 15 digits; built-in functions only."""
+    x = F.abs(z)
+
+    def polynomial(coefficients: list[float]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    fraction = x + HART_FRACTION
+    for k in (4, 3, 2, 1):
+        fraction = x + F.lit(float(k)) / fraction
+    e = F.exp(-x * x / 2)
+    tail = F.when(x < HART_FAR, e * polynomial(HART_ABOVE) / polynomial(HART_BELOW)).otherwise(e / fraction / HART_ROOT)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def normal_p(z: Column, alternative: str = "two-sided") -> Column:
     """The p-value of a standard normal z."""
+    return {"two-sided": 2 * normal_tail(F.abs(z)), "greater": normal_tail(z), "less": normal_tail(-z)}[alternative]
 
-    @F.pandas_udf("double")
-    def p(values: pd.Series) -> pd.Series:
-        if alternative == "two-sided":
-            return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
-        sign = 1 if alternative == "greater" else -1
-        return values.map(lambda v: 0.5 * math.erfc(sign * v / math.sqrt(2)), na_action="ignore")
 
-    return p(z)
+@lru_cache(maxsize=512)
+def _u_tail(n1: int, n2: int) -> np.ndarray:
+    """The probability of each U or more without ties: a Gaussian binomial coefficient, a factor of it at a time, in whole numbers."""
+    few, many = sorted((n1, n2))
+    ways = np.zeros(few * many + 1, object)
+    ways[0] = 1
+    for i in range(1, few + 1):
+        if many + i < len(ways):  # times 1 - x**(many + i)
+            ways[many + i :] = ways[many + i :] - ways[: -(many + i)]
+        for j in range(i):  # over 1 - x**i
+            ways[j::i] = np.cumsum(ways[j::i])
+    return (np.cumsum(ways[::-1])[::-1] / math.comb(n1 + n2, n1)).astype(float)
 
 
-def _u_counts(n1: int, n2: int) -> np.ndarray:
-    """How many orders of the two samples give each U."""
-    ways = [np.zeros(n1 * n2 + 1) for _ in range(n1 + 1)]
-    ways[0][0] = 1
-    for rank in range(1, n1 + n2 + 1):
-        for k in range(min(rank, n1), 0, -1):
-            shift = rank - k
-            if shift <= n1 * n2:
-                ways[k][shift:] += ways[k - 1][: len(ways[k - 1]) - shift]
-    return ways[n1]
+@lru_cache(maxsize=64)
+def _w_tail(n: int) -> np.ndarray:
+    """The probability of each sum of positive ranks or more, without ties."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for rank in range(1, n + 1):
+        ways[rank:] = ways[rank:] + ways[:-rank]
+    return np.cumsum(ways[::-1])[::-1] / 2.0**n
 
 
-def rank_sum_p(tested: DataFrame, exact_up_to: int = 8) -> DataFrame:
-    """``p`` (two-sided): exact without ties when a sample has ``exact_up_to`` rows or fewer, else normal."""
+def _tails(tail, *sizes: str) -> Callable[..., Column]:
+    """A column function of the statistic and the sizes: the exact tail, NULL where the statistic is."""
 
     @F.pandas_udf("double")
-    def p(n1: pd.Series, n2: pd.Series, u: pd.Series, z: pd.Series, tied: pd.Series) -> pd.Series:
-        out = []
-        for a, b, v, s, t in zip(n1, n2, u, z, tied, strict=True):
-            if not t and min(a, b) <= exact_up_to and a * b <= 10_000:
-                ways = _u_counts(int(a), int(b))
-                top = max(v, a * b - v)
-                out.append(min(1.0, 2 * ways[math.ceil(top) :].sum() / ways.sum()))
-            else:
-                out.append(math.erfc(abs(s) / math.sqrt(2)) if s == s else None)
-        return pd.Series(out, dtype="float64")
-
-    return tested.withColumn("p", p("n1", "n2", "u", "z", "tied"))
+    def look_up(frame: pd.DataFrame) -> pd.Series:
+        out = pd.Series(np.nan, frame.index)
+        for key, part in frame.dropna().groupby(list(sizes)):
+            at = tail(*map(int, key))
+            out[part.index] = np.r_[at, 0.0][np.clip(np.ceil(part["stat"].to_numpy()).astype(np.int64), 0, len(at))]
+        return out
+
+    return lambda stat: look_up(F.struct(stat.alias("stat"), *sizes))
+
+
+def rank_sum_p(tested: DataFrame, alternative: str = "two-sided", exact_up_to: int = 8) -> DataFrame:
+    """``p`` of ``rank_sum``'s groups: whether the first sample is greater, less, or either.
+
+    Exact where nothing ties and a sample has ``exact_up_to`` rows or fewer, whatever the other has; else normal
+    with continuity correction.  NULL where all values tie.
+    """
+    mu = F.col("n1") * F.col("n2") / 2.0
+    stat = {"greater": F.col("u"), "less": 2 * mu - F.col("u"), "two-sided": F.greatest(F.col("u"), 2 * mu - F.col("u"))}[alternative]
+    sides = 2 if alternative == "two-sided" else 1
+    exact = ~F.col("tied") & (F.least("n1", "n2") <= exact_up_to)
+    normal = normal_tail(F.try_divide(stat - mu - 0.5, F.col("sd")))
+    return tested.withColumn("p", F.least(sides * F.when(exact, _tails(_u_tail, "n1", "n2")(F.when(exact, stat))).otherwise(normal), F.lit(1.0)))
+
+
+def signed_rank_p(tested: DataFrame, alternative: str = "two-sided", exact_up_to: int = 50) -> DataFrame:
+    """``p`` of ``signed_rank``'s groups: whether differences lie above 0, below, or either.
+
+    Exact up to ``exact_up_to`` differences of which none tie or are 0, else normal without continuity correction.
+    """
+    exact = ~F.col("tied") & (F.col("n") <= exact_up_to)
+    top = F.col("n") * (F.col("n") + 1) / 2
+    tail = _tails(_w_tail, "n")
+    above, below = tail(F.when(exact, F.col("w"))), tail(F.when(exact, top - F.col("w")))
+    p = {"greater": above, "less": below, "two-sided": F.least(2 * F.least(above, below), F.lit(1.0))}[alternative]
+    return tested.withColumn("p", F.when(exact, p).otherwise(normal_p(F.col("z"), alternative)))
 
 
 def _step_up(rows: DataFrame, level: Column, scope: list[str], name: str) -> DataFrame:

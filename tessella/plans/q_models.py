@@ -99,12 +99,20 @@ def group_kfold_snake(spark, sf_dir):
     return md.snake_folds(table(spark, sf_dir, "part"), "p_brand", 5).select("p_partkey", "fold")
 
 
-@query()
+@query(f"""WITH RECURSIVE nm AS (SELECT p_partkey, p_brand || ' ' || p_type AS name, p_brand, p_type FROM part),
+al AS (SELECT p_brand, min(name) AS canonical FROM nm WHERE p_type IN ('SMALL', 'MEDIUM') GROUP BY 1),
+g AS (SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN canonical ELSE name END AS grp FROM nm LEFT JOIN al USING (p_brand)),
+rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, {D.format("'k', grp")}, grp) AS k FROM (SELECT grp, count(*) AS n FROM g GROUP BY 1)),
+st(k, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1
+  UNION ALL SELECT k + 1, list_transform(range(0, 5), lambda i: loads[i + 1] + CASE WHEN i = f THEN n ELSE 0 END), f
+  FROM (SELECT st.k, loads, n, CAST(list_position(loads, list_min(loads)) - 1 AS INT) AS f FROM st JOIN rk ON rk.k = st.k + 1))
+SELECT p_partkey, fold FROM g JOIN rk USING (grp) JOIN st USING (k)""")
 def group_kfold_greedy(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    lines = p.groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "\t").alias("value")).where("p_type = 'SMALL'").select("value")
-    grouped = md.canonical_groups(p, md.alias_map(lines), "p_brand")
-    return md.greedy_folds(grouped, "p_brand", 5, "k").select("p_partkey", "fold")
+    name = F.concat_ws(" ", "p_brand", "p_type")
+    p = table(spark, sf_dir, "part").withColumn("name", name)
+    lines = p.where(F.col("p_type").isin("SMALL", "MEDIUM")).groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("name")), "\t").alias("value")).select("value")
+    grouped = md.canonical_groups(p, md.alias_map(lines), "name")
+    return md.greedy_folds(grouped, "name", 5, "k").select("p_partkey", "fold")
 
 
 def samples(spark, sf_dir):

@@ -172,9 +172,31 @@ def rank_sum_z(spark, sf_dir):
     return out.select("unit", "n1", "n2", "u", F.round("z", 6).alias("z"))
 
 
-@query()
+def _horner(coefficients: list[float]) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * x + {c!r})"
+    return out
+
+
+#: The tail of the normal distribution above ``abs(z)`` in SQL, over a subquery that names it x.
+TAIL = f"CASE WHEN x < {ts.HART_FAR} THEN exp(-x * x / 2) * {_horner(ts.HART_ABOVE)} / {_horner(ts.HART_BELOW)} ELSE exp(-x * x / 2) / (x + 1.0 / (x + 2.0 / (x + 3.0 / (x + 4.0 / (x + {ts.HART_FRACTION}))))) / {ts.HART_ROOT} END"
+
+
+@query(f"""WITH RECURSIVE {EV}, {RANKS},
+ts AS (SELECT unit, n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u, t, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM ag WHERE n1 > 0 AND n2 > 0),
+st AS (SELECT *, t = 0 AND least(n1, n2) <= 8 AS exact, greatest(u, n1 * n2 - u) AS s FROM ts),
+g(a, b, i, w) AS (
+  SELECT DISTINCT least(n1, n2), greatest(n1, n2), 0, list_transform(range(0, n1 * n2 + 1), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM st WHERE exact
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(0, a * b + 1), lambda k: list_sum(list_transform(range(0, k // (i + 1) + 1), lambda q: m[k - q * (i + 1) + 1])))
+  FROM (SELECT a, b, i, list_transform(range(0, a * b + 1), lambda k: w[k + 1] - CASE WHEN k >= b + i + 1 THEN w[k - b - i] ELSE 0 END) AS m FROM g WHERE i < a)),
+nm AS (SELECT *, abs((s - n1 * n2 / 2.0 - 0.5) / nullif(sd, 0)) AS x, (s - n1 * n2 / 2.0 - 0.5) >= 0 AS above FROM st)
+SELECT unit, n1, n2, u, round(least(CASE WHEN exact THEN 2 * list_sum(w[CAST(s AS BIGINT) + 1:]) / list_sum(w) WHEN above THEN 2 * ({TAIL}) ELSE 2 * (1 - ({TAIL})) END, 1.0), 8) AS p
+FROM nm LEFT JOIN g ON exact AND a = least(n1, n2) AND b = greatest(n1, n2) AND i = a""")
 def rank_sum_p(spark, sf_dir):
-    return ts.rank_sum_p(ts.rank_sum(events(spark, sf_dir), F.col("value"), F.col("event_type") == "click", ["unit"])).select("unit", "n1", "n2", "u", "p")
+    out = ts.rank_sum_p(ts.rank_sum(events(spark, sf_dir), F.col("value"), F.col("event_type") == "click", ["unit"]))
+    return out.select("unit", "n1", "n2", "u", F.round("p", 8).alias("p"))
 
 
 @query(f"""WITH {FIX}, dd AS (SELECT image AS unit, price / 10000 - x / 5 AS d FROM fix), k AS (SELECT * FROM dd WHERE d <> 0),
@@ -183,14 +205,21 @@ ag AS (SELECT unit, count(*) AS n, sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS
 SELECT unit, n, CAST(w AS DOUBLE) AS w, round((w - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0), 0), 6) AS z FROM ag""")
 def signed_rank_z(spark, sf_dir):
     rows = fixations(spark, sf_dir).withColumn("unit", F.col("image"))
-    return ts.signed_rank(rows, F.col("price") / 10000 - F.col("x") / 5, ["unit"]).withColumn("z", F.round("z", 6))
+    return ts.signed_rank(rows, F.col("price") / 10000 - F.col("x") / 5, ["unit"]).select("unit", "n", "w", F.round("z", 6).alias("z"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FIX}, dd AS (SELECT image AS unit, price / 10000 - x / 5 AS d FROM fix), k AS (SELECT * FROM dd WHERE d <> 0),
+zr AS (SELECT DISTINCT unit FROM dd WHERE d = 0),
+rk AS (SELECT *, rank() OVER (PARTITION BY unit ORDER BY abs(d)) + (count(*) OVER (PARTITION BY unit, abs(d)) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY unit, abs(d)) AS ties FROM k),
+ag AS (SELECT unit, count(*) AS n, sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS w, sum(ties * ties - 1) AS t FROM rk GROUP BY unit HAVING count(*) >= 2),
+ways(m, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT m + 1, list_transform(range(0, len(c) + m + 1), lambda s: coalesce(c[s + 1], 0) + CASE WHEN s > m THEN c[s - m] ELSE 0 END) FROM ways WHERE m < 50),
+st AS (SELECT ag.*, t = 0 AND n <= 50 AND zr.unit IS NULL AS exact, abs((w - n * (n + 1) / 4.0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0), 0)) AS x FROM ag LEFT JOIN zr USING (unit))
+SELECT unit, n, round(CASE WHEN exact THEN least(2 * least(list_sum(c[CAST(w AS BIGINT) + 1:]), list_sum(c[:CAST(w AS BIGINT) + 1])) / pow(2, n), 1.0) ELSE 2 * ({TAIL}) END, 8) AS p
+FROM st LEFT JOIN ways ON exact AND m = n""")
 def signed_rank_p(spark, sf_dir):
     rows = fixations(spark, sf_dir).withColumn("unit", F.col("image"))
-    out = ts.signed_rank(rows, F.col("price") / 10000 - F.col("x") / 5, ["unit"])
-    return out.withColumn("p", F.round(ts.normal_p(F.col("z")), 8)).select("unit", "n", "p")
+    out = ts.signed_rank_p(ts.signed_rank(rows, F.col("price") / 10000 - F.col("x") / 5, ["unit"]))
+    return out.select("unit", "n", F.round("p", 8).alias("p"))
 
 
 def bky_sql(scope: str) -> str:

@@ -338,6 +338,41 @@ def test_rank_tests_against_brute_force(spark):
     assert s[0].z == pytest.approx((8.5 - 5) / math.sqrt(4 * 5 * 9 / 24 - 6 / 48))
 
 
+def test_normal_tail(spark):
+    zs = [-40.0, -8.0, -3.3, -1e-9, 0.0, 0.5, 1.96, 7.0, 7.08, 12.0, 37.0, 38.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double").select("z", stat.normal_tail(F.col("z")))
+    for z, p in df.collect():
+        assert p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-12, abs=1e-300)
+
+
+def test_exact_rank_tests(spark):
+    """Every alternative against all orders and all signs; a sample of few beside one of many stays exact."""
+    first = (1, 4, 6)
+    df = spark.createDataFrame([(1, float(v), v in first) for v in range(1, 9)], "k int, v double, f boolean")
+    tested = stat.rank_sum(df, F.col("v"), F.col("f"), ["k"])
+    u_of = lambda c: sum(x > y for x in c for y in range(1, 9) if y not in c)
+    us, u = [u_of(c) for c in itertools.combinations(range(1, 9), 3)], u_of(first)
+    want = {"greater": sum(v >= u for v in us) / len(us), "less": sum(v <= u for v in us) / len(us)}
+    want["two-sided"] = min(1, 2 * min(want.values()))
+    for alternative, p in want.items():
+        assert stat.rank_sum_p(tested, alternative).first().p == pytest.approx(p)
+    normal = stat.rank_sum_p(tested, "greater", exact_up_to=2).first()
+    assert normal.p == pytest.approx(0.5 * math.erfc((u - 7.5 - 0.5) / math.sqrt(15 / 12 * 9) / math.sqrt(2)))
+    assert stat._u_tail(2, 20_000)[-1] == pytest.approx(1 / math.comb(20_002, 2)) and stat._u_tail(20_000, 2)[0] == 1
+    tied = spark.createDataFrame([(1, 2.0, i < 3) for i in range(7)], "k int, v double, f boolean")
+    assert stat.rank_sum_p(stat.rank_sum(tied, F.col("v"), F.col("f"), ["k"])).first().p is None
+    d = [0.5, -1.5, 2.5, 3.5, -4.5, 5.5, 6.5]
+    signed = stat.signed_rank(spark.createDataFrame([(1, v) for v in d] + [(2, v) for v in [0.0, *d]], "k int, d double"), F.col("d"), ["k"])
+    ws, w = [sum(i for i, s in enumerate(signs, 1) if s) for signs in itertools.product((0, 1), repeat=7)], 1 + 3 + 4 + 6 + 7
+    want = {"greater": sum(v >= w for v in ws) / len(ws), "less": sum(v <= w for v in ws) / len(ws)}
+    want["two-sided"] = min(1, 2 * min(want.values()))
+    for alternative, p in want.items():
+        got = {r.k: r for r in stat.signed_rank_p(signed, alternative).collect()}
+        assert got[1].p == pytest.approx(p) and got[1].w == got[2].w == w
+        z = (w - 14) / math.sqrt(7 * 8 * 15 / 24)
+        assert got[2].p == pytest.approx({"greater": 0.5 * math.erfc(z / 2**0.5), "less": 0.5 * math.erfc(-z / 2**0.5), "two-sided": math.erfc(abs(z) / 2**0.5)}[alternative])
+
+
 def bky(ps, q):
     level, m = q / (1 + q), len(ps)
     bh = lambda level: max([k for k, p in enumerate(sorted(ps), 1) if p <= level * k / m], default=0)
