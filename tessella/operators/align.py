@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 
 
 def densify(series: DataFrame, unit: str = "unit", t: str = "t", value: str = "n") -> DataFrame:
-    """Every bin from a unit's first to its last, 0 where the series has none."""
+    """Every bin from a unit's first to its last, 0 where the series has none; a NULL stays."""
     span = series.groupBy(unit).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
     every = span.select(unit, F.explode(F.sequence("lo", "hi")).alias(t))
-    return every.join(series, [unit, t], "left").select(unit, t, F.coalesce(value, F.lit(0)).alias(value))
+    return every.join(series.withColumn("_there", F.lit(True)), [unit, t], "left").select(unit, t, F.when(F.col("_there"), F.col(value)).otherwise(F.lit(0)).alias(value))
 
 
 def moving_average(dense: DataFrame, width: int, unit: str = "unit", t: str = "t", value: str = "n", scale: float = 1.0) -> DataFrame:
@@ -43,10 +43,10 @@ def offsets(pre: int, post: int, step: int, inclusive: bool = False) -> Column:
 
 
 def gather(events: DataFrame, series: DataFrame, steps: Column, at: Column, value: str = "n", unit: str = "unit") -> DataFrame:
-    """(event, unit, off, resp): the series at the rounded anchor plus each offset, 0 where it has no bin."""
+    """(event, unit, off, resp): the series at the rounded anchor plus each offset, 0 where it has no bin, NULL where its bin is NULL."""
     wanted = events.select("event", unit, at.alias("_at"), F.explode(steps).alias("off")).withColumn("t", F.rint(F.col("_at") + F.col("off")).cast("long"))
-    met = wanted.join(series.select(unit, "t", value), [unit, "t"], "left")
-    return met.select("event", unit, "off", F.coalesce(value, F.lit(0)).alias("resp"))
+    met = wanted.join(series.select(unit, "t", value, F.lit(True).alias("_there")), [unit, "t"], "left")
+    return met.select("event", unit, "off", F.when(F.col("_there"), F.col(value)).otherwise(F.lit(0)).alias("resp"))
 
 
 def prefix_sums(series: DataFrame, value: str = "n", unit: str = "unit") -> DataFrame:

@@ -15,9 +15,10 @@ from tessella.operators.ranking import global_rank
 
 
 def alias_map(lines: DataFrame) -> DataFrame:
-    """(alias, canonical) out of lines of tab-separated names whose first is canonical."""
+    """(alias, canonical) out of lines of tab-separated names whose first is canonical; an alias of several lines has the smallest."""
     names = F.split("value", "\t")
-    return lines.select(names[0].alias("canonical"), F.explode(names).alias("alias")).where("alias <> ''").select("alias", "canonical")
+    found = lines.select(names[0].alias("canonical"), F.explode(names).alias("alias")).where("alias <> ''")
+    return found.groupBy("alias").agg(F.min("canonical").alias("canonical"))
 
 
 def canonical_groups(rows: DataFrame, aliases: DataFrame, group: str) -> DataFrame:
@@ -84,11 +85,11 @@ def shuffled_folds(rows: DataFrame, key: str, n_splits: int, seed: str) -> DataF
     return rows.withColumn("fold", (draw(seed, F.col(key)) % n_splits).cast("int"))
 
 
-def fold_sums(rows: DataFrame, by: list[str], x: str, ys: list[str]) -> dict[tuple, dict[int, dict[str, np.ndarray]]]:
-    """{key: {fold: sums}} of one pass over the rows: n, X, Y, X'X and X'Y of each group and fold.
+def fold_grams(rows: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFrame:
+    """(by, fold, gram, size) of one pass over the rows: sums of the products of 1, X and Y of each group and fold.
 
-    Only these sums are shuffled and reach the driver; their size depends on the number of
-    features, targets, groups and folds, not of rows.
+    Only these sums are shuffled; their size depends on the number of features, targets, groups
+    and folds, not of rows.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
@@ -107,8 +108,13 @@ def fold_sums(rows: DataFrame, by: list[str], x: str, ys: list[str]) -> dict[tup
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "fold int", "gram array<double>", "size int"])
     parts = rows.select(*by, "fold", x, *ys).mapInPandas(partial, schema).withColumn("_p", F.spark_partition_id() % 32)
     once = parts.groupBy(*by, "fold", "_p").applyInPandas(add, schema)
-    out: dict[tuple, dict[int, dict[str, np.ndarray]]] = {}
-    for row in once.groupBy(*by, "fold").applyInPandas(add, schema).collect():
+    return once.groupBy(*by, "fold").applyInPandas(add, schema)
+
+
+def fold_sums(rows: DataFrame, by: list[str], x: str, ys: list[str]) -> dict[tuple, dict[int, np.ndarray]]:
+    """{key: {fold: sums}} of ``fold_grams`` on the driver; meant for few groups."""
+    out: dict[tuple, dict[int, np.ndarray]] = {}
+    for row in fold_grams(rows, by, x, ys).collect():
         g = np.array(row["gram"]).reshape(row["size"], row["size"])
         out.setdefault(tuple(row[c] for c in by), {})[row["fold"]] = g
     return out
@@ -163,6 +169,43 @@ def cv_ridge(rows: DataFrame, by: list[str], x: str, ys: list[str], alpha: float
     return predict_folds(rows, by, x, ys, fit_folds(rows, by, x, ys, alpha))
 
 
+def cv_ridge_scores(rows: DataFrame, by: list[str], x: str, ys: list[str], alpha: float, per_split: bool = False, least_variance: float = 1e-8) -> DataFrame:
+    """``evaluate(cv_ridge(...))`` out of the sums alone: each group is fitted and scored where its sums are.
+
+    A held-out prediction is linear in the features, so its moments and products with the response follow
+    from the fold's sums; rows are read once and nothing reaches the driver.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        grams = {int(f): np.array(g).reshape(n, n) for f, g, n in zip(frame["fold"], frame["gram"], frame["size"], strict=True)}
+        total, moments = sum(grams.values()), {}
+        for fold, g in grams.items():
+            if total[0, 0] - g[0, 0] < 2:
+                continue
+            w, b = solve(total - g, len(ys), alpha)
+            d, n = len(w), g[0, 0]
+            sx, sy, xx, xy = g[0, 1 : d + 1], g[0, d + 1 :], g[1 : d + 1, 1 : d + 1], g[1 : d + 1, d + 1 :]
+            p, centre = sx @ w, np.full(len(ys), n)
+            moments[fold] = np.stack([centre, p + n * b, sy, ((xx @ w) * w).sum(0) + 2 * b * p + n * b * b, np.diag(g)[d + 1 :], (w * xy).sum(0) + b * sy])
+        if moments and not per_split:
+            moments = {0: sum(moments.values())}
+        out = []
+        for fold, (n, sp, sy, pp, yy, py) in moments.items():
+            with np.errstate(invalid="ignore", divide="ignore"):
+                vp, vy = pp / n - (sp / n) ** 2, yy / n - (sy / n) ** 2
+                corr = np.clip((py / n - sp * sy / n**2) / np.sqrt(vp * vy), -1, 1)
+                r2 = 1 - (yy - 2 * py + pp) / (vy * n)
+            fine, varies = (n >= 2) & (vp > least_variance) & (vy > least_variance), vy > 1e-13 * np.abs(yy / n)  # up to rounding
+            for i, unit in enumerate(ys):
+                out.append([*frame[by].iloc[0], unit, *([fold] if per_split else []), int(n[i]), corr[i] if fine[i] else None, r2[i] if varies[i] else None])
+        made = pd.DataFrame(out, columns=[*by, "unit", *(["fold"] if per_split else []), "n", "corr", "r2"])
+        return made.astype({"corr": "Float64", "r2": "Float64"})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "unit string", *(["fold int"] if per_split else []), "n long", "corr double", "r2 double"])
+    return fold_grams(rows, by, x, ys).groupBy(*by).applyInPandas(score, schema)
+
+
 def feature_projection(rows: DataFrame, fits: dict[tuple, dict[int, tuple[np.ndarray, np.ndarray]]], peaks: dict[str, tuple], by: list[str], x: str, ys: list[str]) -> DataFrame:
     """(by, unit, fold, r): how features everywhere, projected on the weights of the unit's best place, follow held-out responses.
 

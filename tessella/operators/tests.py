@@ -57,7 +57,7 @@ HART_FAR, HART_FRACTION, HART_ROOT = 7.07106781186547, 0.65, 2.506628274631
 
 
 def normal_tail(z: Column) -> Column:
-    """The share of a standard normal distribution above z, to about 12 digits (8 beyond 7); built-in functions only."""
+    """The share of a standard normal distribution above z, to about 12 digits (8 beyond 6); built-in functions only."""
     x = F.abs(z)
 
     def polynomial(coefficients: list[float]) -> Column:

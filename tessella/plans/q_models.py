@@ -126,13 +126,13 @@ def samples(spark, sf_dir):
 @query()
 def ridge_cv_scores(spark, sf_dir):
     rows = samples(spark, sf_dir)
-    return R6(md.evaluate(md.cv_ridge(rows, [], "embedding", ["u0", "u1", "u2"], 1.0), []), "corr", "r2")
+    return R6(md.cv_ridge_scores(rows, [], "embedding", ["u0", "u1", "u2"], 1.0), "corr", "r2")
 
 
 @query()
 def ridge_cv_scores_per_split(spark, sf_dir):
     rows = samples(spark, sf_dir)
-    return R6(md.evaluate(md.cv_ridge(rows, [], "embedding", ["u0", "u1", "u2"], 1.0), [], per_split=True), "corr", "r2")
+    return R6(md.cv_ridge_scores(rows, [], "embedding", ["u0", "u1", "u2"], 1.0, per_split=True), "corr", "r2")
 
 
 PLACES = [(dx, dy) for dx in (-10, 0, 10) for dy in (-10, 0, 10)]
@@ -164,15 +164,15 @@ def places(spark, sf_dir):
 @query()
 def model_performance_map(spark, sf_dir):
     rows = places(spark, sf_dir)
-    return R6(md.evaluate(md.cv_ridge(rows, ["place"], "feat", UNITS, 1.0), ["place"]), "corr", "r2")
+    return R6(md.cv_ridge_scores(rows, ["place"], "feat", UNITS, 1.0), "corr", "r2")
 
 
 @query()
 def feature_correlation_map(spark, sf_dir):
     rows = places(spark, sf_dir)
-    fits = md.fit_folds(rows, ["place"], "feat", UNITS, 1.0)
-    scored = md.evaluate(md.predict_folds(rows, ["place"], "feat", UNITS, fits), ["place"])
+    scored = md.cv_ridge_scores(rows, ["place"], "feat", UNITS, 1.0)
     best = {r.unit: (r.place,) for r in scored.groupBy("unit").agg(F.max_by("place", "corr").alias("place")).collect()}  # a row for each unit
+    fits = md.fit_folds(rows.where(F.col("place").isin([p for (p,) in best.values()])), ["place"], "feat", UNITS, 1.0)  # a place for each unit
     maps_ = md.feature_projection(rows, fits, best, ["place"], "feat", UNITS)
     return R6(md.pooled_folds(maps_, ["place", "unit"], 4), "r")
 
@@ -190,7 +190,7 @@ def positions(spark, sf_dir):
 def positions_along_move(spark, sf_dir):
     """Fits at positions from half a move before its start to half a move behind its end."""
     found = positions(spark, sf_dir)
-    return R6(md.evaluate(md.cv_ridge(found, ["place"], "feat", ["u0"], 10.0), ["place"]), "corr", "r2")
+    return R6(md.cv_ridge_scores(found, ["place"], "feat", ["u0"], 10.0), "corr", "r2")
 
 
 @query()

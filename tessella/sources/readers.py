@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Cells of an array that a task hands on at once.
+CELLS_PER_BATCH = 1_000_000
+
+
 def read_columns(spark: SparkSession, path: str, names: list[str], name: str = "unit") -> DataFrame:
     """Rows of the given units out of a Parquet array in long form; the filter reaches the scan."""
     return spark.read.parquet(path).where(F.col(name).isin(names))
@@ -23,10 +27,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """(alias, canonical) of a ragged TSV whose first name in a line is canonical; of an alias in several lines the first."""
+    """(alias, canonical) of a ragged TSV whose first name in a line is canonical; an alias of several lines has the smallest."""
     from tessella.operators.models import alias_map
 
-    return alias_map(spark.read.text(path)).groupBy("alias").agg(F.min("canonical").alias("canonical"))
+    return alias_map(spark.read.text(path))
 
 
 def read_sessions(spark: SparkSession, paths: list[str], config: DataFrame | None = None, done: str = "all_done") -> DataFrame:
@@ -47,15 +51,17 @@ def read_sessions(spark: SparkSession, paths: list[str], config: DataFrame | Non
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, column, value) of two-dimensional .npy files, plain or gzipped; 0 and NaN are left out."""
+    """(path, row, column, value) of two-dimensional .npy files, plain or gzipped; 0 is left out, NaN is a row with NULL."""
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
                 a = np.atleast_2d(np.load(io.BytesIO(data), allow_pickle=False)).astype(np.float64)
-                i, j = np.nonzero(np.nan_to_num(a))
-                yield pd.DataFrame({"path": name, "row": i, "column": j, "value": a[i, j]})
+                i, j = np.nonzero(a)  # NaN isn't 0
+                for at in range(0, len(i), CELLS_PER_BATCH):
+                    r, c = i[at : at + CELLS_PER_BATCH], j[at : at + CELLS_PER_BATCH]
+                    yield pd.DataFrame({"path": name, "row": r, "column": c, "value": pd.Series(a[r, c], dtype="Float64")})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row long, column long, value double")
 

@@ -74,10 +74,9 @@ def test_no_group_spans_folds(spark, make):
 
 
 @pytest.mark.parametrize("sizes", [[1] * 40, [90] + [1] * 70, [50, 50, 7, 7, 7, 3, 3, 1, 1, 1, 1, 1, 1], [9, 8, 7, 6, 5] + [2] * 31 + [1] * 3, [5]])
-def test_greedy_folds_of_many_groups(spark, monkeypatch, sizes):
+def test_greedy_folds_of_many_groups(spark, sizes):
     from tessella.functions.scalars import draw
 
-    monkeypatch.setattr(models, "GREEDY_GROUPS", 3, raising=False)
     df = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g long").repartition(4)
     loads, want = [0] * 4, {}
     for r in df.groupBy("g").count().orderBy(F.col("count").desc(), draw("s", F.col("g")), "g").collect():
@@ -95,7 +94,24 @@ def test_greedy_query_takes_every_alias(spark, monkeypatch):
     monkeypatch.setattr(models, "canonical_groups", lambda rows, aliases, group: seen.append(aliases.count()) or of(rows, aliases, group))
     sf = "/root/testdata/sf0.001"
     q_models.group_kfold_greedy(spark, sf)
-    assert seen == [spark.read.parquet(f"{sf}/part.parquet").where("p_type = 'SMALL'").select("p_brand").distinct().count()]
+    merged = spark.read.parquet(f"{sf}/part.parquet").where("p_type in ('SMALL', 'MEDIUM')")
+    assert seen == [merged.select("p_brand", "p_type").distinct().count()]
+
+
+@pytest.mark.parametrize("per_split", [False, True])
+def test_scores_from_sums_are_those_of_the_predictions(spark, per_split):
+    rng = np.random.default_rng(8)
+    data = [(p, int(f), rng.standard_normal(4).tolist(), float(v), 1.0) for p in range(3) for f in range(3) for v in rng.standard_normal(9) + 5]
+    data += [(7, 0, [0.0] * 4, 1.0, 1.0), (7, 1, [1.0] * 4, 2.0, 1.0)]  # no fold can be fitted without the other
+    rows_ = spark.createDataFrame(data, "place int, fold int, x array<double>, a double, flat double")
+    got = models.cv_ridge_scores(rows_, ["place"], "x", ["a", "flat"], 0.5, per_split).toPandas()
+    want = models.evaluate(models.cv_ridge(rows_, ["place"], "x", ["a", "flat"], 0.5), ["place"], per_split).toPandas()
+    keys = ["place", "unit", *(["fold"] if per_split else [])]
+    met = got.merge(want, on=keys, suffixes=("", "_w"))
+    assert len(met) == len(got) == len(want) and (met.n == met.n_w).all()
+    for c in ("corr", "r2"):
+        assert met[c].isna().tolist() == met[f"{c}_w"].isna().tolist()
+        assert np.allclose(met[c].fillna(0), met[f"{c}_w"].fillna(0), atol=1e-9)
 
 
 def test_similar_images_share_a_group(spark):
@@ -218,7 +234,7 @@ def test_scans(spark, tmp_path):
     writers.write_csv(spark.createDataFrame([(1, "x")], "i int, s string"), f"file://{tmp_path}/c")
     assert rows(readers.read_csv(spark, f"file://{tmp_path}/c", "i int, s string")) == [(1, "x")]
     np.save(tmp_path / "a.npy", np.array([[0, 2.5], [np.nan, 1]]))
-    assert rows(readers.read_arrays(spark, f"file://{tmp_path}/a.npy"), "row", "column", "value") == [(0, 1, 2.5), (1, 1, 1.0)]
+    assert rows(readers.read_arrays(spark, f"file://{tmp_path}/a.npy"), "row", "column", "value") == [(0, 1, 2.5), (1, 0, None), (1, 1, 1.0)]
     (tmp_path / "i.pgm").write_bytes(b"P5\n# made here\n2 1\n255\n\x01\x02")
     r = readers.decode_portable_images(spark, f"file://{tmp_path}/i.pgm").first()
     assert (r.width, r.height, bytes(r.pixels)) == (2, 1, b"\x01\x01\x01\x02\x02\x02")
