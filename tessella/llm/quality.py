@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the classifier learns from at most; they are drawn by a hash of the id.
 SAMPLE = 4096
-SHAPES, PAIRS, TERMS = 2048, 2048, 4096
-FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = SHAPES + PAIRS + TERMS, 48, 25, 512
+SHAPES, PAIRS, TERMS = 2048, 2048, 2048
+FEATURES, DIMENSIONS, NEIGHBOURS, BLOCK = SHAPES + PAIRS + TERMS, 48, 25, 256
 #: The share of a vector's length that terms have.
 TERM_WEIGHT = 0.5
 #: Steps of a similarity; vectors whose similarities fall on one step are equally near.
@@ -49,7 +49,7 @@ class Shapes(dict):
     def __missing__(self, word: str) -> int:
         import zlib
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         term = zlib.crc32(word.encode().lower()) % TERMS
         n = self[word] = term * SHAPES + zlib.crc32(shape(word).encode()) % SHAPES
