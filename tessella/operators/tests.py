@@ -152,21 +152,38 @@ def _step_up(rows: DataFrame, level: Column, scope: list[str], name: str) -> Dat
     return ranked.withColumn(name, F.coalesce(last, F.lit(0)))
 
 
-def _pooled(tests: DataFrame, first: float) -> DataFrame:
-    """``reject`` with all tests in one scope: places come from ranges of p, the counts of both stages are two numbers."""
+#: Ranks of a block in which adjusted p-values are found.
+RANKS_PER_BLOCK = 100_000
+
+
+def _pooled(tests: DataFrame, q: float) -> DataFrame:
+    """``reject`` and ``p_adj`` with all tests in one scope: places come from ranges of p, the counts of both stages are two numbers."""
+    first = q / (1 + q)
     ranked = global_rank(tests, ["p"], "_rank")
     m = ranked.count()
     rejections = lambda level: ranked.where(F.col("p") <= F.lit(level) * F.col("_rank") / F.lit(m)).agg(F.max("_rank")).first()[0] or 0
     r1 = rejections(first) if m else 0
     r2 = r1 if r1 in (0, m) else rejections(first * m / (m - r1))
-    return ranked.withColumn("reject", F.col("_rank") <= r2).drop("_rank")
+    # the least of p * m / rank from a test's rank on: within its block, and of the blocks behind
+    scaled = ranked.withColumn("_v", F.col("p") * m / F.col("_rank")).withColumn("_block", F.floor((F.col("_rank") - 1) / RANKS_PER_BLOCK))
+    behind = Window.orderBy(F.col("_block").desc())  # a row for each block
+    least = scaled.groupBy("_block").agg(F.min("_v").alias("_m")).withColumn("_behind", F.min("_m").over(behind.rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    own = F.min("_v").over(Window.partitionBy("_block").orderBy(F.col("_rank").desc()))
+    adjusted = scaled.withColumn("_own", own).join(F.broadcast(least), "_block").withColumn("p_adj", _adjusted(F.least("_own", "_behind"), F.lit(float(m)), F.lit(float(r1)), q))
+    return adjusted.withColumn("reject", F.col("_rank") <= r2).drop("_rank", "_v", "_block", "_own", "_behind")
+
+
+def _adjusted(step_up: Column, m: Column, r1: Column, q: float) -> Column:
+    """A step-up p-value as the second stage adjusts it: at most q where the test is rejected."""
+    share = F.when((r1 > 0) & (r1 < m), (m - r1) / m).otherwise(1.0)
+    return F.least(F.least(step_up, F.lit(1.0)) * share * (1 + q), F.lit(1.0))
 
 
 def fdr_two_stage(rows: DataFrame, q: float = 0.01, scope: tuple[str, ...] = ()) -> DataFrame:
-    """``reject`` by the two-stage step-up procedure of Benjamini, Krieger and Yekutieli (2006).
+    """``reject`` and the adjusted p-value ``p_adj`` by the two-stage step-up procedure of Benjamini, Krieger and Yekutieli (2006).
 
     P-values (column ``p``) are pooled over each scope, or over all rows.  A NULL or NaN p-value is no
-    test and isn't rejected.  The first stage runs at q / (1 + q); the second at that times m / (m - r1).
+    test, has no p_adj and isn't rejected.  The first stage runs at q / (1 + q); the second at that times m / (m - r1).
     """
     rows = materialize(rows, "tests")  # a row for each test, each of them dear, and read several times
     first = q / (1 + q)
@@ -178,7 +195,8 @@ def fdr_two_stage(rows: DataFrame, q: float = 0.01, scope: tuple[str, ...] = ())
         second = F.when(F.col("r1") < F.col("m"), F.lit(first) * F.col("m") / (F.col("m") - F.col("r1"))).otherwise(F.lit(1.0))
         two = _step_up(one, second, list(scope), "r2")
         reject = (F.col("r1") > 0) & ((F.col("r1") == F.col("m")) | (F.col("_rank") <= F.col("r2")))
-        done = two.withColumn("reject", reject).drop("m", "_rank", "r1", "r2")
+        step_up = F.min(F.col("p") * F.col("m") / F.col("_rank")).over(Window.partitionBy(*scope).orderBy(F.col("_rank").desc()))
+        done = two.withColumn("reject", reject).withColumn("p_adj", _adjusted(step_up, F.col("m"), F.col("r1"), q)).drop("m", "_rank", "r1", "r2")
     else:
-        done = _pooled(tests, first)
-    return done.unionByName(rows.where(~valid | F.col("p").isNull()).withColumn("reject", F.lit(False)))
+        done = _pooled(tests, q)
+    return done.unionByName(rows.where(~valid | F.col("p").isNull()).withColumn("reject", F.lit(False)).withColumn("p_adj", F.lit(None).cast("double")))

@@ -31,6 +31,20 @@ def roi_hit(spark, sf_dir):
     return sp.roi_hits(rows, boxes(spark, sf_dir)).select("fix_id", "hit")
 
 
+@query(f"""WITH {FIX}, {BOXES}, ce AS (SELECT p_partkey AS image, p_size % 10 - 50 + i AS px, j - 10 AS py, 1 + i // 5 AS component FROM part, (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE p_size % 3 = 0),
+e AS (SELECT fix_id, image, x - 50 AS x, y - 10 AS y FROM fix),
+h AS (SELECT fix_id, CASE WHEN image IN (SELECT image FROM ce) THEN ce.component WHEN x >= x1 AND x <= x2 AND y >= y1 AND y <= y2 THEN 0 END AS component
+      FROM e LEFT JOIN bx USING (image) LEFT JOIN ce ON ce.image = e.image AND px = floor(x) AND py = floor(y))
+SELECT fix_id, component IS NOT NULL AS hit, CAST(component AS INT) AS component FROM h""")
+def roi_mask_hit(spark, sf_dir):
+    """Events in the mask of their image if it has one, else in its box."""
+    rows = fixations(spark, sf_dir).withColumn("x", F.col("x") - 50).withColumn("y", F.col("y") - 10)
+    part = table(spark, sf_dir, "part").where("p_size % 3 = 0")
+    across = part.select(F.col("p_partkey").alias("image"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    cells = across.select("image", (F.col("p_size") % 10 - 50 + F.col("i")).cast("long").alias("px"), F.explode(F.sequence(F.lit(-10).cast("long"), F.lit(-6).cast("long"))).alias("py"), (1 + F.floor(F.col("i") / 5)).cast("int").alias("component"))
+    return sp.roi_hits(rows, boxes(spark, sf_dir), cells).select("fix_id", "hit", F.col("component").cast("int").alias("component"))
+
+
 @query(f"""WITH {FIX}, {BOXES}, c AS (SELECT flag, g, count(*) FILTER (x - 50 + g * 5 >= x1 AND x - 50 + g * 5 <= x2 AND y - 10 >= y1 AND y - 10 <= y2) AS hits, count(*) AS n FROM fix LEFT JOIN bx USING (image), (VALUES (-1), (0), (1)) o(g) GROUP BY ALL)
 SELECT flag, g, hits, n FROM c""")
 def roi_by_field(spark, sf_dir):

@@ -229,7 +229,8 @@ def bky_sql(scope: str) -> str:
 a AS (SELECT *, count(*) OVER ({by}) AS m, row_number() OVER ({by} ORDER BY p) AS k FROM pv),
 b AS (SELECT *, coalesce(max(CASE WHEN p <= (0.05 / 1.05) * k / m THEN k END) OVER ({by}), 0) AS r1 FROM a),
 c AS (SELECT *, coalesce(max(CASE WHEN p <= CASE WHEN r1 < m THEN (0.05 / 1.05) * m / (m - r1) ELSE 1.0 END * k / m THEN k END) OVER ({by}), 0) AS r2 FROM b)
-SELECT image, flag, r1 > 0 AND (r1 = m OR k <= r2) AS reject FROM c"""
+SELECT image, flag, r1 > 0 AND (r1 = m OR k <= r2) AS reject,
+ round(least(least(min(p * m / k) OVER ({by} ORDER BY k DESC), 1.0) * CASE WHEN r1 > 0 AND r1 < m THEN (m - r1) / CAST(m AS DOUBLE) ELSE 1.0 END * 1.05, 1.0), 8) AS p_adj FROM c"""
 
 
 def p_like(spark, sf_dir):
@@ -239,9 +240,9 @@ def p_like(spark, sf_dir):
 
 @query(bky_sql(""))
 def fdr_bky_reject(spark, sf_dir):
-    return ts.fdr_two_stage(p_like(spark, sf_dir), 0.05).select("image", "flag", "reject")
+    return ts.fdr_two_stage(p_like(spark, sf_dir), 0.05).select("image", "flag", "reject", F.round("p_adj", 8).alias("p_adj"))
 
 
 @query(bky_sql("flag"))
 def fdr_bky_by_scope(spark, sf_dir):
-    return ts.fdr_two_stage(p_like(spark, sf_dir), 0.05, ("flag",)).select("image", "flag", "reject")
+    return ts.fdr_two_stage(p_like(spark, sf_dir), 0.05, ("flag",)).select("image", "flag", "reject", F.round("p_adj", 8).alias("p_adj"))

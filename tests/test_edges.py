@@ -383,13 +383,25 @@ def bky(ps, q):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_fdr(spark, seed):
+def test_fdr(spark, monkeypatch, seed):
     rng = random.Random(seed)
     ps = [rng.random() ** rng.choice([1, 5]) * (0.001 if rng.random() < 0.3 else 1) for _ in range(60)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate([*ps, None, float("nan")])], "i long, p double")
     got = stat.fdr_two_stage(df, 0.05)
     assert got.count() == 62 and got.where("i >= 60 and reject").count() == 0
     assert {r.i for r in got.where("reject").collect()} == {ps.index(p) for p in sorted(ps)[: bky(ps, 0.05)]}
+    # adjusted p-values, in one scope and in a scope of its own
+    monkeypatch.setattr(stat, "RANKS_PER_BLOCK", 7)
+    n, order = len(ps), sorted(range(len(ps)), key=lambda i: ps[i])
+    r1 = max([k for k, i in enumerate(order, 1) if ps[i] <= 0.05 / 1.05 * k / n], default=0)
+    share = (n - r1) / n if 0 < r1 < n else 1
+    for out in (stat.fdr_two_stage(df, 0.05), stat.fdr_two_stage(df.withColumn("s", F.lit(1)), 0.05, ("s",))):
+        by = {r.i: r for r in out.collect()}
+        for place, i in enumerate(order):
+            step_up = min(1, min(ps[j] * n / (k + 1) for k, j in enumerate(order) if k >= place))
+            assert by[i].p_adj == pytest.approx(min(1, step_up * share * 1.05))
+            assert by[i].reject == (by[i].p_adj <= 0.05)
+        assert by[n].p_adj is None and by[n + 1].p_adj is None
 
 
 def test_fdr_of_nothing_and_of_all(spark):
