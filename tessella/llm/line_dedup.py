@@ -2,27 +2,65 @@
 
 Documents come in batches of ascending id.  A batch's distinct line hashes are
 merge-joined with the runs of all batches before: what the runs hold was seen in a
-smaller id, the rest (the anti-join) is new and is written as a run of its own.  When a
-level has ``FANOUT`` runs they are merged into one sorted run of the next level.
-DataFrame functions only.
+smaller id, the rest (the anti-join) is new and is a run of its own.  When a level has
+``FANOUT`` runs they are merged into one sorted run of the next level.
+
+Runs are bucketed by their hashes into as many sorted files as the session has shuffle
+partitions, so a batch is merged with them file by file: only the batch's own hashes are
+shuffled, and a run is neither shuffled nor sorted when it is read.  DataFrame functions
+only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, ascii_lower, lookup_skewed, materialize, release
+from tessella.llm.common import SPACE, ascii_lower, lookup_skewed, materialize, release, scratch_path
 
 FANOUT = 2
+#: Lines of a batch, about; there are ``LEAST_BATCHES`` at least.
+LINES_PER_BATCH, LEAST_BATCHES = 1_000_000_000, 3
+
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
+@contextmanager
+def _runs_in_order(spark: SparkSession) -> Iterator[None]:
+    """Within, a bucket that is one sorted file is read as sorted rows."""
+    before = spark.conf.get(_ORDERED, None)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ORDERED)
+        else:
+            spark.conf.set(_ORDERED, before)
+
+
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of sorted buckets in the shared folder; one file for each, if equal hashes share a partition."""
+    spark = df.sparkSession
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark makes no more
+    table = f"tessella_run_{uuid.uuid4().hex}"
+    out = df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
+    out.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
+    read = spark.read.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame knows them
+    return read
+
+
 def _sorted_run(df: DataFrame, name: str) -> DataFrame:
-    return materialize(df.repartition(F.col("h1"), F.col("h2")).sortWithinPartitions("h1", "h2"), name)
+    return _bucketed(df.repartition(F.col("h1"), F.col("h2")), name)
 
 
 class LineRuns:
@@ -41,9 +79,12 @@ class LineRuns:
         if len(self.levels[level]) >= FANOUT:
             old, self.levels[level] = self.levels[level], []
             merged = old[0]
-            for other in old[1:]:
-                merged = merged.unionByName(other)
-            self.add(_sorted_run(merged, f"line-run-{level + 1}"), level + 1)
+            for k, other in enumerate(old[1:]):  # no key is in two runs, so the full join is their merge
+                other = other.select("h1", "h2", F.col("first_id").alias(f"_other{k}"))
+                merged = merged.join(other.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", F.coalesce("first_id", f"_other{k}").alias("first_id"))
+            with _runs_in_order(run.sparkSession):
+                merged = _bucketed(merged, f"line-run-{level + 1}")
+            self.add(merged, level + 1)
             release(*old)
 
     def seen(self) -> DataFrame | None:
@@ -56,12 +97,26 @@ class LineRuns:
             out = out.unionByName(run)
         return out
 
+    def first_ids(self, found: DataFrame) -> DataFrame:
+        """``found``, whose (h1, h2) are unique, with the first_id of the run that holds the key, null where none does."""
+        firsts = [F.lit(None).cast("long")]
+        for k, run in enumerate(self.runs()):
+            found = found.join(run.select("h1", "h2", F.col("first_id").alias(f"_run{k}")).hint("merge"), ["h1", "h2"], "left")
+            firsts.append(F.col(f"_run{k}"))
+        return found.withColumn("first_id", F.coalesce(*firsts)).drop(*[f"_run{k}" for k in range(len(firsts) - 1)])
+
+    def release(self) -> None:
+        release(*self.runs())
+        self.levels = []
 
-def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text_hash, _dropped): for each document that loses lines, the line numbers from 0.
 
     Documents are told apart by id and text, so rows that repeat both share one entry.
+    Without ``batches`` there are as many as ``LINES_PER_BATCH`` asks for.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keys = F.posexplode(F.split(ascii_lower("_text"), "\n", -1)).alias("_pos", "_line")
     key = F.btrim("_line", F.lit(SPACE))
@@ -72,6 +127,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col
         .select("_id", "_text_hash", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("h2"))
     )
     lines = materialize(lines, "lines")  # 16 bytes of hash for a line, so the texts are split once
+    if batches is None:
+        batches = max(LEAST_BATCHES, lines.count() // LINES_PER_BATCH + 1)
     cuts = lines.agg(F.percentile_approx("_id", [b / batches for b in range(1, batches)], 10_000)).first()[0] or []
     runs, out = LineRuns(), []
     edges = [None, *sorted(set(cuts)), None]
@@ -82,25 +139,24 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col
         if high is not None:
             batch = batch.where(F.col("_id") <= high)
         found = batch.groupBy("h1", "h2").agg(F.min("_id").alias("own_id"), F.max("_id").alias("last_id"), F.count("*").alias("uses"), F.count_if(F.col("_id").isNull()).alias("unnamed"))
-        seen = runs.seen()
-        if seen is None:
-            merged = found.withColumn("first_id", F.lit(None).cast("long"))
-        else:
-            merged = found.join(seen, ["h1", "h2"], "left")
-        merged = materialize(merged, "line-batch")
-        fresh = merged.where("first_id is null and own_id is not null").select("h1", "h2", F.col("own_id").alias("first_id"))
-        if high is not None:  # nothing comes after the last batch
-            runs.add(_sorted_run(fresh, "line-run-0"))
+        with _runs_in_order(spark):
+            merged = _bucketed(runs.first_ids(found), "line-batch")
         repeated = merged.select("h1", "h2", F.coalesce("first_id", "own_id").alias("first_id"), "last_id", "uses", "unnamed").where("first_id < last_id or (first_id is not null and unnamed > 0)")
         met = lookup_skewed(batch, repeated, ["h1", "h2"], "uses").where("first_id is not null and (_id is null or first_id < _id)")
-        out.append(met.groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_dropped")))
+        out.append(materialize(met.groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_dropped")), "line-dropped"))
+        if high is None:  # nothing comes after the last batch
+            release(merged)
+        else:  # the batch's table, without what the runs hold, is a run
+            runs.add(merged.where("first_id is null and own_id is not null").select("h1", "h2", F.col("own_id").alias("first_id")))
+    runs.release()
+    release(lines)
     dropped = out[0]
     for more in out[1:]:
         dropped = dropped.unionByName(more)
     return dropped
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text of the lines that stay, and ``n_lines`` and ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased.  Keys of

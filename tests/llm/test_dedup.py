@@ -101,6 +101,19 @@ def test_line_runs_are_compacted(spark):
     assert runs.seen().count() == 5
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    """Only the batch is shuffled and sorted; runs are read bucket by bucket, in order."""
+    runs, found = line_dedup.LineRuns(), spark.range(200).selectExpr("id % 50 h1", "id h2").groupBy("h1", "h2").count()
+    for k in range(3):
+        runs.add(line_dedup._sorted_run(spark.range(k * 40, k * 40 + 40).selectExpr("id % 50 h1", "id h2", "id first_id"), "run"))
+    with line_dedup._runs_in_order(spark):
+        met = runs.first_ids(found)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.h2, r.first_id) for r in met.collect())
+    assert (plan.count("SortMergeJoin"), plan.count("Exchange"), plan.count("Sort [")) == (2, 1, 1)
+    assert got == [(i, i if i < 120 else None) for i in range(200)]
+
+
 # -- near
 
 
