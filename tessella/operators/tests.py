@@ -128,7 +128,8 @@ def rank_sum_p(tested: DataFrame, alternative: str = "two-sided", exact_up_to: i
     sides = 2 if alternative == "two-sided" else 1
     exact = ~F.col("tied") & (F.least("n1", "n2") <= exact_up_to)
     normal = normal_tail(F.try_divide(stat - mu - 0.5, F.col("sd")))
-    return tested.withColumn("p", F.least(sides * F.when(exact, _tails(_u_tail, "n1", "n2")(F.when(exact, stat))).otherwise(normal), F.lit(1.0)))
+    p = sides * F.when(exact, _tails(_u_tail, "n1", "n2")(F.when(exact, stat))).otherwise(normal)
+    return tested.withColumn("p", F.when(p > 1, 1.0).otherwise(p))  # least would take 1 for NULL
 
 
 def signed_rank_p(tested: DataFrame, alternative: str = "two-sided", exact_up_to: int = 50) -> DataFrame:
