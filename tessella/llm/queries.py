@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter, warc
+from tessella.llm import centroids, decontaminate, exact_dedup, html_text, line_dedup, merkle, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter, warc
 from tessella.llm.common import scratch_path
 
 #: The rules of op7.
@@ -72,6 +72,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other document by its id's CRC-32 loses its line breaks before its root is folded."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.prove_documents(table(spark, sf_dir, "documents"), text)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -83,8 +98,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The rounds of op12, each an assignment and the centroids that follow from it."""
+    said = """kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT k, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, v FROM kept) WHERE k < 40)"""
+    for i in range(rounds + 1):
+        said += f""",
+a{i} AS (
+  SELECT vec_id, any_value(p.v) AS v, min({{'d': CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'k': c.k}}) AS best
+  FROM kept p, c{i} c GROUP BY vec_id)"""
+        if i < rounds:
+            said += f""",
+s{i} AS (SELECT k, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s{i} GROUP BY k),
+c{i + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))"""
+    return said
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -175,5 +214,61 @@ judged AS (SELECT k.*, f.first_id IS NOT NULL AND k.doc_id <> f.first_id AS drop
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    # these pages mark their article, which the operator isn't told
+    "op11_html_extraction": r"""
+WITH article AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+block AS (SELECT page_id, unnest(b) AS t, generate_subscripts(b, 1) AS pos FROM (SELECT page_id, string_split_regex(replace(a, '<br>', ' '), '</?(p|h1)>') AS b FROM article)),
+plain AS (
+  SELECT page_id, pos, trim(regexp_replace(regexp_replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM block),
+text AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS t FROM plain WHERE t <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(t, '') AS text, length(coalesce(t, '')) AS n_chars FROM article LEFT JOIN text USING (page_id)
+""",
+    "op12_centroid_clusters": f"""
+WITH {_rounds_sql(5)},
+named AS (SELECT k, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c5)
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a5 JOIN named ON best.k = named.k
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda t: coalesce(octet_length(encode(t)) || ':' || t, '-')) AS f,
+         coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-') AS cut,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_prepend(CAST(256 + ascii(c) AS BIGINT), list_transform(range(8), lambda i: CAST(0 AS BIGINT)))))),
+           lambda c, s: CASE WHEN s >= 256 THEN xor(c, s - 256) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, source, sha256(array_to_string(f, '')) AS leaf, sha256(array_to_string(CASE WHEN xor(crc, CAST(4294967295 AS BIGINT)) % 2 = 0 THEN list_append(f[1:4], cut) ELSE f END, '')) AS checked,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM doc),
+nodes AS (
+  SELECT source, 0 AS level, pos, n, leaf AS h FROM leaf
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, level, pos // 3, n),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+side AS (
+  SELECT a.source, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+top_side AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM tops a JOIN tops b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+folded AS (
+  SELECT doc_id, source, 0 AS level, pos, leaf, checked AS h, '' AS said FROM leaf
+  UNION ALL
+  SELECT doc_id, f.source, f.level + 1, f.pos // 3, leaf, sha256(l || h || r), said || l || r
+  FROM folded f JOIN side s ON f.source IS NOT DISTINCT FROM s.source AND f.level = s.level AND f.pos = s.pos),
+at_sub AS (SELECT f.doc_id, leaf, h, said, subroot, s.pos FROM (SELECT *, max(level) OVER (PARTITION BY source) AS last FROM folded) f JOIN sub s ON f.source IS NOT DISTINCT FROM s.source WHERE level = last),
+whole AS (
+  SELECT doc_id, 0 AS level, pos, leaf, subroot, h, said FROM at_sub
+  UNION ALL
+  SELECT doc_id, w.level + 1, w.pos // 3, leaf, subroot, sha256(l || h || r), said || l || r FROM whole w JOIN top_side s ON w.level = s.level AND w.pos = s.pos),
+ended AS (SELECT *, max(level) OVER () AS last FROM whole)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(said) AS proof_sha256, h AS folded_root, h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM ended WHERE level = last
 """,
 }
