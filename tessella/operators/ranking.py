@@ -1,8 +1,8 @@
-"""Ranks over a whole table without a task that sees all rows."""
+"""Ranks and groups over a whole table without a task that sees all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,3 +27,10 @@ def rank_within(rows: DataFrame, by: list[str], order: list[Column | str], name:
     ranked = global_rank(rows, [*by, *order], "_place")
     first = ranked.groupBy(*by).agg((F.min("_place") - 1).alias("_first"))
     return ranked.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def spread_out(rows: DataFrame, *keys: str) -> GroupedData:
+    """``rows`` grouped by keys whose groups are little data but much work, over more tasks than their bytes would get."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys).groupBy(*keys)

@@ -1,4 +1,4 @@
-"""Bootstrap and permutation tests whose draws are hashes, so any engine repeats them."""
+"""Tests of pairs by bootstraps and permutations whose draws are hashes, so any engine repeats them."""
 
 from __future__ import annotations
 
@@ -10,19 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.moments import pearson
 from tessella.functions.scalars import draw
-from tessella.operators.ranking import rank_within
-from tessella.scratch import materialize
 
 #: Pairs of a condition that resampling uses at most; above it a seeded subset stands for all.
 MAX_PAIRS = 10_000
 
 
-def replicates(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")
-
-
 # -- p-values
 
 
@@ -262,102 +255,3 @@ def subsampled(pairs: DataFrame, ids: list[str], seed: str, most: int = MAX_PAIR
         return pairs
     zero, one = (capped(pairs.where(F.col("cond") == c), ids, seed, kept[c]) for c in (0, 1))
     return zero.unionByName(one)
-
-
-# -- nested means
-
-
-def two_level(rows: DataFrame, value: str = "value", level1: str = "region", level2: str = "subject", stat=F.avg) -> DataFrame:
-    """The statistic of each subject, then of a region's subjects: (region, centre, n_units, n_subjects)."""
-    inner = rows.groupBy(level1, level2).agg(stat(value).alias("s"), F.count(value).alias("n"))
-    return inner.groupBy(level1).agg(stat("s").alias("centre"), F.sum("n").alias("n_units"), F.count("*").alias("n_subjects"))
-
-
-def _indexed(units: DataFrame, level1: str, level2: str, unit: str) -> DataFrame:
-    """Units with their place in the subject, the subject's place in the region, and both sizes."""
-    sub = units.groupBy(level1, level2).agg(F.count("*").alias("n_u"))
-    w = Window.partitionBy(level1)
-    sub = sub.withColumn("s_at", F.row_number().over(w.orderBy(level2)) - 1).withColumn("n_s", F.count("*").over(w))
-    return units.withColumn("u_at", F.row_number().over(Window.partitionBy(level1, level2).orderBy(unit)) - 1).join(sub, [level1, level2])
-
-
-def hier_boots(rows: DataFrame, n_boot: int, seed: str, value: str = "value", level1: str = "region", level2: str = "subject", unit: str = "unit", extra: tuple[str, ...] = (), stat=F.avg) -> DataFrame:
-    """(region, *extra, b, centre): subjects drawn with replacement, then units within each; nested statistic.
-
-    The draws depend on replicate, region and slots alone, so all conditions and times
-    (``extra`` columns) of a unit share them.
-    """
-    units = _indexed(rows.select(level1, level2, unit).distinct(), level1, level2, unit)
-    subjects = units.select(level1, level2, "s_at", "n_s", "n_u").distinct()
-    slots = subjects.select(level1, F.col("s_at").alias("slot"), "n_s", replicates(n_boot))
-    chosen = slots.withColumn("s_at", draw(f"{seed}-subject", F.col("b"), F.col(level1), F.col("slot")) % F.col("n_s"))
-    chosen = chosen.drop("n_s").join(subjects.select(level1, "s_at", level2, "n_u"), [level1, "s_at"])
-    taken = chosen.withColumn("u_slot", F.explode(F.expr("sequence(0L, n_u - 1L)")))
-    taken = taken.withColumn("u_at", draw(f"{seed}-unit", F.col("b"), F.col(level1), F.col("slot"), F.col("u_slot")) % F.col("n_u"))
-    met = taken.select(level1, level2, "b", "slot", "u_at").join(units.select(level1, level2, "u_at", unit), [level1, level2, "u_at"])
-    valued = met.join(rows.select(level1, level2, unit, *extra, value), [level1, level2, unit])
-    inner = valued.groupBy(level1, *extra, "b", "slot").agg(stat(value).alias("s"))
-    return inner.groupBy(level1, *extra, "b").agg(stat("s").alias("centre"))
-
-
-def spread(boots: DataFrame, by: list[str], kind: str = "ci", centre: Column | None = None, low: float = 0.025, high: float = 0.975, x: str = "centre") -> DataFrame:
-    """Of bootstrap replicates: "ci" percentiles (lo, hi), "sem" about the centre, or "mad" about it."""
-    if kind == "ci":
-        return boots.groupBy(*by).agg(F.percentile(x, F.lit(low)).alias("lo"), F.percentile(x, F.lit(high)).alias("hi"))
-    if kind == "sem":
-        return boots.groupBy(*by).agg(F.sqrt(F.avg((F.col(x) - centre) * (F.col(x) - centre))).alias("sem"))
-    return boots.groupBy(*by).agg(F.median(F.abs(F.col(x) - centre)).alias("mad"))
-
-
-def sign_flip_test(rows: DataFrame, n_perm: int, seed: str, alternative: str = "greater", value: str = "value", level1: str = "region", level2: str = "subject", unit: str = "unit", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(region, *extra, observed, p, floor): the nested mean against random signs of the units.
-
-    A unit has one sign in a replicate for all times.  p is the share of replicates that
-    reach the observed value (ties count), not clipped to its floor.
-    """
-    valued = rows.where(F.col(value).isNotNull())
-    nested = lambda df, v, *more: df.groupBy(level1, *extra, *more, level2).agg(F.avg(v).alias("s")).groupBy(level1, *extra, *more).agg(F.avg("s").alias("centre"))
-    observed = nested(valued, F.col(value)).withColumnRenamed("centre", "observed")
-    signs = valued.select(level1, level2, unit, *extra, value, replicates(n_perm))
-    sign = F.when(draw(f"{seed}-sign", F.col("b"), F.col(unit)) % 2 == 1, -1.0).otherwise(1.0)
-    nulls = nested(signs.withColumn("v", F.col(value) * sign), F.col("v"), "b")
-    reached = {"greater": F.col("centre") >= F.col("observed"), "less": F.col("centre") <= F.col("observed"), "both": F.abs("centre") >= F.abs("observed")}[alternative]
-    met = nulls.join(observed, [level1, *extra])
-    return met.groupBy(level1, *extra).agg(F.first("observed").alias("observed"), F.avg(reached.cast("double")).alias("p"), (F.lit(1.0) / (F.count("centre") + 1)).alias("floor"))
-
-
-# -- plain permutations
-
-
-def corr_perm_test(rows: DataFrame, n_perm: int, seed: str, by: list[str], key: str, x: str = "x", y: str = "y", alternative: str = "greater") -> DataFrame:
-    """Per group: r, p of the correlation against re-ranked y.
-
-    Ranks come from ranges over all groups and replicates, so no task sees a whole group.
-    """
-    placed = materialize(rank_within(rows.select(*by, key, F.col(x).alias("x"), F.col(y).alias("y")), by, [key], "k"), "perm-rows")
-    observed = placed.groupBy(*by).agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    each = placed.select(*by, "k", "x", replicates(n_perm)).withColumn("_d", draw(seed, F.col("b"), *[F.col(c) for c in by], F.col("k")))
-    each = rank_within(each, [*by, "b"], ["_d", "k"], "other").drop("_d")
-    second = placed.select(*by, F.col("k").alias("other"), "y")
-    nulls = each.join(second, [*by, "other"]).groupBy(*by, "b").agg(pearson(F.col("x"), F.col("y")).alias("r_0"))
-    reached = F.col("r_0") >= F.col("r") if alternative == "greater" else F.col("r_0") <= F.col("r") if alternative == "less" else F.abs("r_0") >= F.abs("r")
-    n = F.count("r_0")
-    tested = nulls.join(observed, by).groupBy(*by).agg(F.greatest(F.avg(reached.cast("double")), F.lit(1.0) / (n + 1)).alias("p"))
-    return observed.join(tested, by, "left")
-
-
-def index_perm_test(rows: DataFrame, n_perm: int, seed: str, unit: str, key: str, condition: Column, category: Column, value: str) -> DataFrame:
-    """Per unit: the selectivity index of two conditions, their difference, and its p-value.
-
-    In each replicate the rows of a category are dealt anew to the two conditions.
-    """
-    base = rows.select(unit, key, condition.alias("cond"), category.alias("cat"), F.col(value).alias("v"))
-    mean = lambda c, k, a: F.avg(F.when((F.col(c) == k) & (F.col("cat") == a), F.col("v")))
-    index = lambda c, k: F.try_divide(mean(c, k, True) - mean(c, k, False), mean(c, k, True) + mean(c, k, False))
-    observed = base.groupBy(unit).agg(index("cond", 0).alias("index0"), index("cond", 1).alias("index1"))
-    zeros = base.groupBy(unit, "cat").agg(F.count_if(F.col("cond") == 0).alias("n0"))
-    each = base.select("*", replicates(n_perm)).withColumn("_d", draw(seed, F.col("b"), F.col(key)))
-    dealt = rank_within(each, ["b", unit, "cat"], ["_d", key], "_k").join(zeros, [unit, "cat"]).withColumn("label", F.when(F.col("_k") <= F.col("n0"), 0).otherwise(1))
-    nulls = dealt.groupBy(unit, "b").agg((index("label", 1) - index("label", 0)).alias("d_0"))
-    tested = nulls.join(observed, unit).groupBy(unit).agg(p_value(F.col("index1") - F.col("index0"), F.col("d_0"), "two-sided").alias("p"))
-    return observed.join(tested, unit, "left")

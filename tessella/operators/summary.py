@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import resample, tests
+from tessella.operators import nested, tests
 
 
 @dataclass(frozen=True)
@@ -52,29 +52,37 @@ def count_by(units: DataFrame, order: list[str], level1: str = "region", level2:
     return units.groupBy(level1, level2).agg(F.count("*").alias("n")).withColumn("place", place)
 
 
-def summarize_regions(rows: DataFrame, conditions: list[str], stat_tests: list[StatTest], n_boot: int, n_perm: int, q: float, seed: str, time: str = "t", spread: str = "ci") -> tuple[DataFrame, DataFrame]:
-    """(centres, tests) of each region over time.
+def region_centres(rows: DataFrame, conditions: list[str], n_boot: int, seed: str, time: str = "t", spread: str = "ci") -> DataFrame:
+    """Nested means of each region over time with a bootstrap spread.
 
-    ``rows`` has region, subject, unit, time and a column for each condition.  Centres are nested
-    means with a bootstrap spread; all conditions and times share the draws.  Tests flip the
-    signs of the units' differences; p-values are clipped to their floor and corrected together over
-    all regions, tests and times.
+    ``rows`` has region, subject, unit, time and a column for each condition; all conditions
+    and times share the draws.
     """
     stack = ", ".join(f"'{c}', {c}" for c in conditions)
     long = rows.select("region", "subject", "unit", time, F.expr(f"stack({len(conditions)}, {stack}) as (cond, value)")).where("value is not null")
     inner = long.groupBy("region", time, "cond", "subject").agg(F.avg("value").alias("s"), F.count("*").alias("n"))
     centre = inner.groupBy("region", time, "cond").agg(F.avg("s").alias("centre"), F.sum("n").alias("n_units"), F.count("*").alias("n_subjects"))
-    boots = resample.hier_boots(long, n_boot, seed, extra=(time, "cond"))
+    boots = nested.hier_boots(long, n_boot, seed, extra=(time, "cond"))
     keys = ["region", time, "cond"]
     if spread != "ci":
         boots = boots.join(centre.select(*keys, F.col("centre").alias("at")), keys)
-    centres = centre.join(resample.spread(boots, keys, spread, F.col("at")), keys)
+    return centre.join(nested.spread(boots, keys, spread, F.col("at")), keys)
+
 
+def region_tests(rows: DataFrame, conditions: list[str], stat_tests: list[StatTest], n_perm: int, q: float, seed: str, time: str = "t") -> DataFrame:
+    """Tests of each region over time, which flip the signs of the units' differences.
+
+    p-values are clipped to their floor and corrected together over all regions, tests and times.
+    """
     found = None
     for test in (t.ordered(conditions) for t in stat_tests):
         difference: Column = F.col(test.cond0) - F.col(test.cond1) if test.cond1 else F.col(test.cond0)
         part = rows.select("region", "subject", "unit", time, difference.alias("value"))
-        part = resample.sign_flip_test(part, n_perm, f"{seed}-{test.name}", test.alternative, extra=(time,)).withColumn("test", F.lit(test.name))
+        part = nested.sign_flip_test(part, n_perm, f"{seed}-{test.name}", test.alternative, extra=(time,)).withColumn("test", F.lit(test.name))
         found = part if found is None else found.unionByName(part)
-    tested = found.withColumn("p", F.greatest("p", "floor")).drop("floor")
-    return centres, tests.fdr_two_stage(tested, q)
+    return tests.fdr_two_stage(found.withColumn("p", F.greatest("p", "floor")).drop("floor"), q)
+
+
+def summarize_regions(rows: DataFrame, conditions: list[str], stat_tests: list[StatTest], n_boot: int, n_perm: int, q: float, seed: str, time: str = "t", spread: str = "ci") -> tuple[DataFrame, DataFrame]:
+    """(centres, tests) of each region over time, as ``region_centres`` and ``region_tests`` give them."""
+    return region_centres(rows, conditions, n_boot, seed, time, spread), region_tests(rows, conditions, stat_tests, n_perm, q, seed, time)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tessella.functions import moments, scalars
 from tessella.operators import aggregates as ag
 from tessella.operators import hierarchy as hi
+from tessella.operators import nested
 from tessella.operators import summary as sm
-from tessella.plans.q_stats import BOOTS, PERMS, D, boots_sql
+from tessella.plans.q_stats import BOOTS, PERMS, boots_sql, sign
 from tessella.plans.registry import query
 from tessella.plans.views import CUST, EV, FIX, customers, events, fixations, table
 
@@ -196,22 +197,24 @@ ci AS (SELECT region, t, cond, quantile_cont(centre, 0.025) AS lo, quantile_cont
 ob AS (SELECT region, t, cond, avg(s) AS centre, CAST(sum(n) AS BIGINT) AS n_units, count(*) AS n_subjects FROM (SELECT region, t, cond, subject, avg(value) AS s, count(*) AS n FROM cust2 GROUP BY ALL) GROUP BY ALL)
 SELECT region, t, cond, round(centre, 8) AS centre, n_units, n_subjects, round(lo, 8) AS lo, round(hi, 8) AS hi FROM ob JOIN ci USING (region, t, cond)""")
 def region_summary(spark, sf_dir):
-    return _summary(spark, sf_dir)[0].withColumns({c: F.round(c, 8) for c in ("centre", "lo", "hi")})
+    return sm.region_centres(_units(spark, sf_dir), ["a", "b"], BOOTS, "r").withColumns({c: F.round(c, 8) for c in ("centre", "lo", "hi")})
 
 
-def _summary(spark, sf_dir):
-    rows = customers(spark, sf_dir).select("region", "subject", "unit", (F.col("unit") % 2).alias("t"), (F.col("value") - 4900).alias("a"), (F.col("value") / 2 - 2400).alias("b"))
-    stat_tests = [sm.StatTest("a", None, "greater"), sm.StatTest("b", "a", "both")]
-    return sm.summarize_regions(rows, ["a", "b"], stat_tests, BOOTS, PERMS, 0.2, "r")
+def _units(spark, sf_dir):
+    return customers(spark, sf_dir).select("region", "subject", "unit", (F.col("unit") % 2).alias("t"), (F.col("value") - 4900).alias("a"), (F.col("value") / 2 - 2400).alias("b"))
 
 
 def _tests_sql() -> str:
-    part = """SELECT region, t, '{name}' AS test, observed, greatest(avg(CASE WHEN {reached} THEN 1.0 ELSE 0.0 END), 1.0 / (count(*) + 1)) AS p FROM (
-  SELECT region, t, rb, avg(s) AS c FROM (SELECT region, t, rb, subject, avg(({v}) * CASE WHEN {sign} % 2 = 1 THEN -1.0 ELSE 1.0 END) AS s FROM c, rep GROUP BY ALL) GROUP BY ALL)
-  JOIN (SELECT region, t, avg(s) AS observed FROM (SELECT region, t, subject, avg({v}) AS s FROM c GROUP BY ALL) GROUP BY ALL) USING (region, t) GROUP BY region, t, observed"""
-    one = part.format(name="a", reached="c >= observed", v="a", sign=D.format("'r-a-sign', rb, unit"))
-    two = part.format(name="a-b", reached="abs(c) >= abs(observed)", v="a - b", sign=D.format("'r-a-b-sign', rb, unit"))
-    return f"""WITH {CUST}, c AS (SELECT region, subject, unit, unit % 2 AS t, value - 4900 AS a, value / 2 - 2400 AS b FROM cust), rep AS (SELECT unnest(range(0, {PERMS})) AS rb),
+    def part(name: str, v: str, reached: str) -> tuple[str, str]:
+        blocks, factor = sign(f"r-{name}", "rb", "c")
+        key = name.replace("-", "_")
+        flipped = f"f_{key} AS (SELECT region, t, subject, 128 * block + i AS rb, h, {v} AS v FROM c JOIN {blocks} ON su = unit, (SELECT unnest(range(0, 128)) AS i) WHERE 128 * block + i < {PERMS})"
+        return flipped, f"""SELECT region, t, '{name}' AS test, observed, greatest(avg(CASE WHEN {reached} THEN 1.0 ELSE 0.0 END), 1.0 / (count(*) + 1)) AS p FROM (
+  SELECT region, t, rb, avg(s) AS c FROM (SELECT region, t, rb, subject, avg(v * {factor}) AS s FROM f_{key} GROUP BY ALL) GROUP BY ALL)
+  JOIN (SELECT region, t, avg(s) AS observed, avg(a) * {nested.TIE} AS near FROM (SELECT region, t, subject, avg({v}) AS s, avg(abs({v})) AS a FROM c GROUP BY ALL) GROUP BY ALL) USING (region, t) GROUP BY region, t, observed"""
+
+    (rows_one, one), (rows_two, two) = part("a", "a", "c >= observed - near"), part("a-b", "a - b", "abs(c) >= abs(observed) - near")
+    return f"""WITH {CUST}, c AS (SELECT region, subject, unit, unit % 2 AS t, value - 4900 AS a, value / 2 - 2400 AS b FROM cust), {rows_one}, {rows_two},
 pv AS ({one} UNION ALL {two}), k1 AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM pv),
 s1 AS (SELECT *, coalesce(max(CASE WHEN p <= (0.2 / 1.2) * k / m THEN k END) OVER (), 0) AS r1 FROM k1),
 s2 AS (SELECT *, coalesce(max(CASE WHEN p <= CASE WHEN r1 < m THEN (0.2 / 1.2) * m / (m - r1) ELSE 1.0 END * k / m THEN k END) OVER (), 0) AS r2, max(p) FILTER (true) OVER () AS top FROM s1)
@@ -220,7 +223,8 @@ SELECT region, t, test, round(observed, 8) AS observed, p, r1 > 0 AND (r1 = m OR
 
 @query(_tests_sql())
 def region_summary_tests(spark, sf_dir):
-    return _summary(spark, sf_dir)[1].select("region", "t", "test", F.round("observed", 8).alias("observed"), "p", "reject")
+    stat_tests = [sm.StatTest("a", None, "greater"), sm.StatTest("b", "a", "both")]
+    return sm.region_tests(_units(spark, sf_dir), ["a", "b"], stat_tests, PERMS, 0.2, "r").select("region", "t", "test", F.round("observed", 8).alias("observed"), "p", "reject")
 
 
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT unit FROM ev WHERE event_type = 'view' AND value > 25), b AS (SELECT DISTINCT unit FROM ev WHERE event_type = 'error' AND value > 25)

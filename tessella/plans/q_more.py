@@ -6,7 +6,7 @@ from tessella.functions import scalars
 from tessella.operators import aggregates as ag
 from tessella.operators import align as al
 from tessella.operators import crossing as cr
-from tessella.operators import resample as rs
+from tessella.operators import nested as ne
 from tessella.operators.ranking import global_rank
 from tessella.plans.q_events import CLEAN, cleaned
 from tessella.plans.q_models import BOXES, boxes
@@ -146,8 +146,8 @@ SELECT region, round(any_value(ob.centre), 6) AS share, round(quantile_cont(bt.c
 def region_low_share_boots(spark, sf_dir):
     """The share of low values in each region, with a hierarchical bootstrap interval."""
     rows = customers(spark, sf_dir).select("region", "subject", "unit", (F.col("value") < 2000).cast("double").alias("value"))
-    ci = rs.spread(rs.hier_boots(rows, REPLICATES, "n"), ["region"])
-    return R6(rs.two_level(rows).select("region", F.col("centre").alias("share")).join(ci, "region"), "share", "lo", "hi")
+    ci = ne.spread(ne.hier_boots(rows, REPLICATES, "n"), ["region"])
+    return R6(ne.two_level(rows).select("region", F.col("centre").alias("share")).join(ci, "region"), "share", "lo", "hi")
 
 
 @query(f"""WITH {CUST}, c AS (SELECT region, subject, unit, e AS edge, CASE WHEN value <= e THEN 1.0 ELSE 0.0 END AS value FROM cust, (VALUES (0), (2500), (5000), (7500)) v(e)), {boots_sql(REPLICATES, "d", "c")},
@@ -157,7 +157,7 @@ def region_cdf_boots(spark, sf_dir):
     """Bootstrap intervals of each region's distribution function at some edges; all edges share the draws."""
     edges = F.explode(F.array(*[F.lit(e) for e in (0, 2500, 5000, 7500)]))
     rows = customers(spark, sf_dir).withColumn("edge", edges).select("region", "subject", "unit", "edge", (F.col("value") <= F.col("edge")).cast("double").alias("value"))
-    return R6(rs.spread(rs.hier_boots(rows, REPLICATES, "d", extra=("edge",)), ["region", "edge"]), "lo", "hi")
+    return R6(ne.spread(ne.hier_boots(rows, REPLICATES, "d", extra=("edge",)), ["region", "edge"]), "lo", "hi")
 
 
 @query(f"WITH {EV}, p AS (SELECT unit, count(*) FILTER (event_type = 'view') / count(*) / 5 AS p FROM ev GROUP BY unit) SELECT unit, CASE WHEN p >= 0.05 THEN 'n.s.' WHEN p >= 0.01 THEN 'p < .05' WHEN p >= 0.001 THEN 'p < .01' ELSE 'p < .001' END AS said FROM p")

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tessella.functions import draws
+from tessella.operators import nested as ne
 from tessella.operators import pairs as pr
+from tessella.operators import permutation as pm
 from tessella.operators import resample as rs
 from tessella.operators import tests as ts
 from tessella.plans.q_pairs import PAIRS
@@ -10,27 +13,51 @@ from tessella.plans.registry import query
 from tessella.plans.views import CUST, EV, FIX, customers, events, fixations, table
 
 D = "CAST(('0x' || substr(md5(concat_ws(':', {})), 1, 8)) AS BIGINT)"
-#: Replicates: bootstraps and permutations; the permutations of whole tables' rows take a tenth.
-BOOTS, PERMS = 100, 1000
+#: Replicates of summaries and of tests over rows: bootstraps and permutations.
+BOOTS, PERMS = 1000, 10_000
+#: Replicates of the tests of pairs, each over 10,000 pairs.
+PAIR_BOOTS, PAIR_PERMS = 100, 1000
 TWO_LEVEL = "SELECT region, avg(s) AS centre, CAST(sum(n) AS BIGINT) AS n_units, count(*) AS n_subjects FROM (SELECT region, subject, avg(value) AS s, count(value) AS n FROM cust GROUP BY ALL) GROUP BY region"
 
 
 @query(f"WITH {CUST} SELECT region, round(centre, 6) AS centre, n_units, n_subjects FROM ({TWO_LEVEL})")
 def region_two_level_center(spark, sf_dir):
-    return rs.two_level(customers(spark, sf_dir)).withColumn("centre", F.round("centre", 6))
+    return ne.two_level(customers(spark, sf_dir)).withColumn("centre", F.round("centre", 6))
+
+
+def word(h: str, i: int) -> str:
+    """A 32-bit word of an MD5 in SQL."""
+    return f"CAST(('0x' || substr({h}, {1 + 8 * i}, 8)) AS BIGINT)"
+
+
+WORDS = ", ".join(f"{word('h', i)} AS w{i}" for i in range(4))
+
+
+def cubic(k: str) -> str:
+    """``draws.cubic`` in SQL, over the words w0 to w3."""
+    return f"((((w3 * {k} + w2) % {draws.PRIME} * {k} + w1) % {draws.PRIME} * {k} + w0) % {draws.PRIME})"
+
+
+def sign(seed: str, b: str, unit: str) -> tuple[str, str]:
+    """The sign of a unit in a replicate in SQL: a join of all blocks of 128 replicates, and the factor."""
+    blocks = f"(SELECT block, unit AS su, md5('{seed}-sign:' || block || ':' || unit) AS h FROM (SELECT DISTINCT unit FROM {unit}), (SELECT unnest(range(0, {(PERMS + 127) // 128})) AS block))"
+    nibble = f"CAST(('0x' || substr(h, CAST({b} % 128 // 4 + 1 AS BIGINT), 1)) AS BIGINT)"
+    return f"{blocks} sg", f"CASE WHEN ({nibble} >> (3 - {b} % 4)) & 1 = 1 THEN -1.0 ELSE 1.0 END"
 
 
 def boots_sql(n: int, seed: str, source: str = "cust") -> str:
     return f"""un AS (SELECT DISTINCT region, subject, unit FROM {source}),
 u AS (SELECT *, row_number() OVER (PARTITION BY region, subject ORDER BY unit) - 1 AS u_at FROM un),
 sb AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY subject) - 1 AS s_at, count(*) OVER (PARTITION BY region) AS n_s FROM (SELECT region, subject, count(*) AS n_u FROM un GROUP BY ALL)),
-sl AS (SELECT region, s_at AS slot, b, {D.format(f"'{seed}-subject', b, region, s_at")} % n_s AS s_at FROM sb, (SELECT unnest(range(0, {n})) AS b)),
-ch AS (SELECT sl.region, slot, b, subject, n_u, unnest(range(0, n_u)) AS u_slot FROM sl JOIN sb ON sb.region = sl.region AND sb.s_at = sl.s_at),
-tk AS (SELECT region, subject, slot, b, {D.format(f"'{seed}-unit', b, region, slot, u_slot")} % n_u AS u_at FROM ch),
+rb AS (SELECT region, b, {WORDS} FROM (SELECT region, b, md5('{seed}-subject:' || b || ':' || region) AS h FROM (SELECT DISTINCT region FROM un), (SELECT unnest(range(0, {n})) AS b))),
+sl AS (SELECT sb.region, sb.s_at AS slot, b, {cubic("sb.s_at")} % n_s AS s_at FROM sb JOIN rb USING (region)),
+sw AS (SELECT region, slot, b, s_at, {WORDS} FROM (SELECT *, md5('{seed}-unit:' || b || ':' || region || ':' || slot) AS h FROM sl)),
+ch AS (SELECT sw.*, subject, n_u, unnest(range(0, n_u)) AS u_slot FROM sw JOIN sb ON sb.region = sw.region AND sb.s_at = sw.s_at),
+tk AS (SELECT region, subject, slot, b, {cubic("u_slot")} % n_u AS u_at FROM ch),
 vl AS (SELECT tk.region, b, slot, c.* EXCLUDE (region, subject, unit) FROM tk JOIN u USING (region, subject, u_at) JOIN {source} c ON c.region = tk.region AND c.subject = tk.subject AND c.unit = u.unit)"""
 
 
-@query(f"""WITH {CUST}, {boots_sql(10 * BOOTS, "h")},
+@query(f"""WITH {CUST}, {boots_sql(BOOTS, "h")},
 bt AS (SELECT region, b, avg(s) AS centre FROM (SELECT region, b, slot, avg(value) AS s FROM vl GROUP BY ALL) GROUP BY ALL),
 ci AS (SELECT region, quantile_cont(centre, 0.025) AS lo, quantile_cont(centre, 0.975) AS hi FROM bt GROUP BY region),
 obs AS ({TWO_LEVEL})
@@ -38,8 +65,8 @@ SELECT region, round(centre, 8) AS centre, round(lo, 8) AS lo, round(hi, 8) AS h
 def region_hier_bootstrap_ci(spark, sf_dir):
     """Flagship: nested means of regions with confidence intervals of a hierarchical bootstrap."""
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
-    ci = rs.spread(rs.hier_boots(rows, 10 * BOOTS, "h"), ["region"])
-    out = rs.two_level(rows).join(ci, "region")
+    ci = ne.spread(ne.hier_boots(rows, BOOTS, "h"), ["region"])
+    out = ne.two_level(rows).join(ci, "region")
     return out.select("region", *[F.round(c, 8).alias(c) for c in ("centre", "lo", "hi")], "n_units", "n_subjects")
 
 
@@ -49,17 +76,18 @@ obs AS ({TWO_LEVEL}), j AS (SELECT bt.region, bt.centre - obs.centre AS e FROM b
 SELECT region, round(sqrt(avg(e * e)), 8) AS sem, round(median(abs(e)), 8) AS mad FROM j GROUP BY region""")
 def bootstrap_spreads(spark, sf_dir):
     rows = customers(spark, sf_dir).select("region", "subject", "unit", "value")
-    met = rs.hier_boots(rows, BOOTS, "s").join(rs.two_level(rows).select("region", F.col("centre").alias("obs")), "region")
-    sem, mad = (rs.spread(met, ["region"], kind, F.col("obs")) for kind in ("sem", "mad"))
+    met = ne.hier_boots(rows, BOOTS, "s").join(ne.two_level(rows).select("region", F.col("centre").alias("obs")), "region")
+    sem, mad = (ne.spread(met, ["region"], kind, F.col("obs")) for kind in ("sem", "mad"))
     return sem.join(mad, "region").select("region", F.round("sem", 8).alias("sem"), F.round("mad", 8).alias("mad"))
 
 
-@query(f"""WITH {CUST}, obs AS (SELECT region, avg(s) AS observed FROM (SELECT region, subject, avg(value - 4900) AS s FROM cust GROUP BY ALL) GROUP BY region),
-nl AS (SELECT region, b, avg(s) AS c FROM (SELECT region, b, subject, avg((value - 4900) * CASE WHEN {D.format("'f-sign', b, unit")} % 2 = 1 THEN -1.0 ELSE 1.0 END) AS s FROM cust, (SELECT unnest(range(0, {PERMS})) AS b) GROUP BY ALL) GROUP BY ALL)
-SELECT region, round(observed, 6) AS observed, avg(CASE WHEN c >= observed THEN 1.0 ELSE 0.0 END) AS p, 1.0 / (count(*) + 1) AS floor FROM nl JOIN obs USING (region) GROUP BY region, observed""")
+@query(f"""WITH {CUST}, obs AS (SELECT region, avg(s) AS observed, avg(a) AS near FROM (SELECT region, subject, avg(value - 4900) AS s, avg(abs(value - 4900)) AS a FROM cust GROUP BY ALL) GROUP BY region),
+fl AS (SELECT region, subject, 128 * block + i AS b, h, value - 4900 AS v FROM cust JOIN {sign("f", "", "cust")[0]} ON su = unit, (SELECT unnest(range(0, 128)) AS i) WHERE 128 * block + i < {PERMS}),
+nl AS (SELECT region, b, avg(s) AS c FROM (SELECT region, b, subject, avg(v * {sign("f", "b", "")[1]}) AS s FROM fl GROUP BY ALL) GROUP BY ALL)
+SELECT region, round(observed, 6) AS observed, avg(CASE WHEN c >= observed - near * {ne.TIE} THEN 1.0 ELSE 0.0 END) AS p, 1.0 / (count(*) + 1) AS floor FROM nl JOIN obs USING (region) GROUP BY region, observed""")
 def region_sign_flip_test(spark, sf_dir):
     rows = customers(spark, sf_dir).withColumn("value", F.col("value") - 4900)
-    return rs.sign_flip_test(rows, PERMS, "f").withColumn("observed", F.round("observed", 6))
+    return ne.sign_flip_test(rows, PERMS, "f").withColumn("observed", F.round("observed", 6))
 
 
 @query(f"""WITH {CUST}, n AS (SELECT region, subject, count(*) AS n FROM cust GROUP BY ALL), r AS (SELECT *, median(n) OVER (PARTITION BY region) AS med FROM n),
@@ -93,9 +121,9 @@ _R = "CASE WHEN count(*) >= 2 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN lea
 
 @query(f"""WITH {CAPPED},
 ob AS (SELECT unit, count(*) AS n, {_R.format(x="x", y="y")} AS r FROM (SELECT unit, CASE WHEN f THEN b2 ELSE a END AS x, CASE WHEN f THEN a ELSE b2 END AS y FROM (SELECT *, {D.format("'c-side', k")} % 2 = 1 AS f FROM v)) GROUP BY unit),
-sl AS (SELECT b, k AS s, {D.format("'c-boot', b, k")} % n AS k, {D.format("'c-boot-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {BOOTS})) AS b)),
+sl AS (SELECT b, k AS s, {D.format("'c-boot', b, k")} % n AS k, {D.format("'c-boot-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {PAIR_BOOTS})) AS b)),
 bt AS (SELECT unit, b, {_R.format(x="x", y="y")} AS r FROM (SELECT unit, b, CASE WHEN f THEN b2 ELSE a END AS x, CASE WHEN f THEN a ELSE b2 END AS y FROM sl JOIN v USING (k)) GROUP BY ALL),
-pl AS (SELECT k, b, row_number() OVER (PARTITION BY b ORDER BY {D.format("'c-perm', b, k")}, k) - 1 AS o, {D.format("'c-perm-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {PERMS})) AS b)),
+pl AS (SELECT k, b, row_number() OVER (PARTITION BY b ORDER BY {D.format("'c-perm', b, k")}, k) - 1 AS o, {D.format("'c-perm-side', b, k")} % 2 = 1 AS f FROM kp, (SELECT unnest(range(0, {PAIR_PERMS})) AS b)),
 nl AS (SELECT u.unit, p.b, {_R.format(x="CASE WHEN p.f THEN u.b2 ELSE u.a END", y="CASE WHEN q.f THEN w.a ELSE w.b2 END")} AS r0
        FROM pl p JOIN pl q ON q.b = p.b AND q.k = p.o JOIN v u ON u.k = p.k JOIN v w ON w.k = q.k AND w.unit = u.unit GROUP BY ALL),
 pv AS (SELECT unit, greatest(1.0 - count(*) FILTER (r - r0 > 0) / count(r0), 1.0 / (count(r0) + 1)) AS p FROM nl JOIN ob USING (unit) GROUP BY unit)
@@ -103,7 +131,7 @@ SELECT unit, n, round(r, 6) AS r, round(boot_mean, 6) AS boot_mean, round(boot_s
 FROM ob JOIN (SELECT unit, avg(r) AS boot_mean, stddev_pop(r) AS boot_sd FROM bt GROUP BY unit) USING (unit) JOIN pv USING (unit)""")
 def self_consistency_perm_p(spark, sf_dir):
     pairs = rs.numbered(rs.capped(near_pairs(spark, sf_dir), ["i", "j"], "cap"), ["i", "j"])
-    out = rs.self_consistency(pairs, responses(spark, sf_dir), BOOTS, PERMS, "c")
+    out = rs.self_consistency(pairs, responses(spark, sf_dir), PAIR_BOOTS, PAIR_PERMS, "c")
     return out.select("unit", "n", *[F.round(c, 6).alias(c) for c in ("r", "boot_mean", "boot_sd", "p")])
 
 
@@ -115,14 +143,14 @@ cp AS (SELECT i, j, cond FROM (SELECT *, row_number() OVER (PARTITION BY cond OR
 kp AS (SELECT i, j, cond, row_number() OVER (ORDER BY i, j) - 1 AS k, count(*) OVER () AS n FROM cp), {RESP},
 r AS (SELECT unit, cond, {_R.format(x="CASE WHEN f THEN b2 ELSE a END", y="CASE WHEN f THEN a ELSE b2 END")} AS r FROM (SELECT *, {D.format("'t-side', k")} % 2 = 1 AS f FROM v) GROUP BY ALL),
 ob AS (SELECT unit, max(r) FILTER (cond = 0) AS r0, max(r) FILTER (cond = 1) AS r1 FROM r GROUP BY unit),
-lb AS (SELECT b, k, {D.format("'t-label-side', b, k")} % 2 = 1 AS f, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {D.format("'t-label', b, k")}, k) <= (SELECT count(*) FROM kp WHERE cond = 0) THEN 0 ELSE 1 END AS l FROM kp, (SELECT unnest(range(0, {PERMS})) AS b)),
+lb AS (SELECT b, k, {D.format("'t-label-side', b, k")} % 2 = 1 AS f, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {D.format("'t-label', b, k")}, k) <= (SELECT count(*) FROM kp WHERE cond = 0) THEN 0 ELSE 1 END AS l FROM kp, (SELECT unnest(range(0, {PAIR_PERMS})) AS b)),
 nr AS (SELECT unit, b, l, {_R.format(x="CASE WHEN f THEN b2 ELSE a END", y="CASE WHEN f THEN a ELSE b2 END")} AS r FROM lb JOIN v USING (k) GROUP BY ALL),
 nl AS (SELECT unit, b, max(r) FILTER (l = 1) - max(r) FILTER (l = 0) AS d0 FROM nr GROUP BY ALL)
 SELECT unit, round(r0, 6) AS r0, round(r1, 6) AS r1, round(greatest(1.0 - count(*) FILTER (abs(r1 - r0) - abs(d0) > 0) / count(d0), 1.0 / (count(d0) + 1)), 6) AS p FROM nl JOIN ob USING (unit) GROUP BY unit, r0, r1""")
 def two_condition_perm_p(spark, sf_dir):
     found = near_pairs(spark, sf_dir).select("i", "j", (F.col("flag_i") == F.col("flag_j")).cast("int").alias("cond"))
     pairs = rs.numbered(rs.subsampled(found, ["i", "j"], "cap"), ["i", "j"])
-    out = rs.two_condition_test(pairs, responses(spark, sf_dir), PERMS, "t")
+    out = rs.two_condition_test(pairs, responses(spark, sf_dir), PAIR_PERMS, "t")
     return out.select("unit", *[F.round(c, 6).alias(c) for c in ("r0", "r1", "p")])
 
 
@@ -137,27 +165,48 @@ def subsample_rule(spark, sf_dir):
     return sizes.select("status", "n0", "n1", kept0.alias("kept0"), kept1.alias("kept1"))
 
 
-@query(f"""WITH {FIX}, z AS (SELECT flag, fix_id, price / 10000 AS x, tax AS y FROM fix), pl AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY fix_id) AS k FROM z),
-ob AS (SELECT flag, {_R.format(x="x", y="y")} AS r FROM pl GROUP BY flag),
-ea AS (SELECT flag, b, k, x, row_number() OVER (PARTITION BY flag, b ORDER BY {D.format("'q', b, flag, k")}, k) AS o FROM pl, (SELECT unnest(range(0, {PERMS // 10})) AS b)),
-nl AS (SELECT ea.flag, b, {_R.format(x="ea.x", y="pl.y")} AS r0 FROM ea JOIN pl ON pl.flag = ea.flag AND pl.k = o GROUP BY ALL)
-SELECT flag, round(r, 6) AS r, round(greatest(avg(CASE WHEN r0 >= r THEN 1.0 ELSE 0.0 END), 1.0 / (count(r0) + 1)), 6) AS p FROM nl JOIN ob USING (flag) GROUP BY flag, r""")
+def bijections(seed: str, sizes: str) -> str:
+    """``draws.places`` in SQL: pm (n, b, k, x) for every n of a query, each replicate and place; needs WITH RECURSIVE."""
+    key = lambda w: word(f"h{w // 4}", w % 4)
+    said = f"""bk AS (SELECT b, {", ".join(f"{key(w)} AS q{w}" for w in range(2 * draws.STEPS))} FROM (SELECT b, {", ".join(f"md5('{seed}:' || b || ':{i}') AS h{i}" for i in range(draws.STEPS // 2))} FROM (SELECT unnest(range(0, {PERMS})) AS b))),
+dm AS (SELECT n, hi, (n + hi - 1) // hi AS lo FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS hi FROM ({sizes}))),
+wk AS (SELECT n, hi, lo, b, k, k AS x, 0 AS turn FROM dm, (SELECT unnest(range(0, {PERMS})) AS b), LATERAL (SELECT unnest(range(0, n)) AS k)
+  UNION ALL SELECT n, hi, lo, b, k, l * lo + r, turn + 1 FROM """
+    step = "(SELECT wk.*, x // lo AS l, x % lo AS r FROM wk WHERE turn = 0 OR x >= n) JOIN bk USING (b)"
+    for i in range(draws.STEPS):
+        one, two, size = ("r", "l", "hi") if i % 2 == 0 else ("l", "r", "lo")
+        mixed = f"(SELECT *, (xor(m, m >> 15) * {int(draws.SPREAD)} & 4294967295) >> 16 AS f FROM (SELECT *, ({one} * (q{2 * i} | 1) + q{2 * i + 1}) & 4294967295 AS m FROM {step}))"
+        step = f"(SELECT n, hi, lo, b, k, turn, {one}, ({two} + (f * {size} >> 16)) % {size} AS {two}, {', '.join(f'q{w}' for w in range(2 * i + 2, 2 * draws.STEPS)) or '0 AS q'} FROM {mixed})"
+    return said + step + "),\npm AS (SELECT n, b, k, x FROM wk WHERE turn > 0 AND x < n)"
+
+
+SPENT = "sp AS (SELECT region, unit, value AS x, CAST(coalesce(sum(o_totalprice), 0) AS DOUBLE) AS y FROM cust LEFT JOIN orders ON o_custkey = unit GROUP BY region, unit, value)"
+
+
+@query(f"""WITH RECURSIVE {CUST}, {SPENT}, pl AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY unit) - 1 AS k, count(*) OVER (PARTITION BY region) AS n FROM sp),
+{bijections("q", "SELECT DISTINCT n FROM pl")},
+ob AS (SELECT region, n, {_R.format(x="x", y="y")} AS r, avg(x) AS mx, avg(y) AS my, sqrt(regr_sxx(x, x) * regr_sxx(y, y)) AS sd FROM pl GROUP BY region, n),
+nl AS (SELECT u.region, pm.b, sum((u.x - mx) * (v.y - my)) / any_value(sd) AS r0, any_value(r) AS r FROM ob JOIN pm ON pm.n = ob.n JOIN pl u ON u.region = ob.region AND u.k = pm.k JOIN pl v ON v.region = ob.region AND v.k = pm.x GROUP BY ALL)
+SELECT region, round(r, 6) AS r, round(greatest(avg(CASE WHEN r0 >= r - {pm.TIE} THEN 1.0 ELSE 0.0 END), 1.0 / (count(*) + 1)), 6) AS p FROM nl GROUP BY region, r""")
 def correlation_perm_test(spark, sf_dir):
-    rows = fixations(spark, sf_dir).select("flag", "fix_id", (F.col("price") / 10000).alias("px"), "tax")
-    out = rs.corr_perm_test(rows, PERMS // 10, "q", ["flag"], "fix_id", "px", "tax")
-    return out.select("flag", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
+    """Whether customers with more on their account order more, by region."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.sum("o_totalprice").alias("y"))
+    rows = customers(spark, sf_dir).join(orders, "unit", "left").select("region", "unit", "value", F.coalesce("y", F.lit(0.0)).alias("y"))
+    out = pm.corr_perm_test(rows, PERMS, "q", ["region"], "unit", "value", "y")
+    return out.select("region", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 
 
-@query(f"""WITH {EV}, z AS (SELECT unit, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS cond, t % 2 = 0 AS cat, value AS v FROM ev),
-pl AS (SELECT *, row_number() OVER (PARTITION BY b, unit, cat ORDER BY {D.format("'i', b, event_id")}, event_id) AS k, count(*) FILTER (cond = 0) OVER (PARTITION BY b, unit, cat) AS n0 FROM z, (SELECT unnest(range(0, {PERMS // 10})) AS b)),
-ix AS (SELECT unit, b, l, avg(v) FILTER (cat) AS a, avg(v) FILTER (NOT cat) AS o FROM (SELECT *, CASE WHEN k <= n0 THEN 0 ELSE 1 END AS l FROM pl) GROUP BY ALL),
+@query(f"""WITH RECURSIVE {EV}, z AS (SELECT unit, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS cond, t % 2 = 0 AS cat, value AS v FROM ev WHERE value IS NOT NULL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY unit, cat ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY unit, cat) AS n, count(*) FILTER (cond = 0) OVER (PARTITION BY unit, cat) AS n0 FROM z),
+{bijections("i", "SELECT DISTINCT n FROM pl")},
+ix AS (SELECT unit, b, CASE WHEN x < n0 THEN 0 ELSE 1 END AS l, avg(v) FILTER (cat) AS a, avg(v) FILTER (NOT cat) AS o FROM pl JOIN pm USING (n, k) GROUP BY ALL),
 nl AS (SELECT unit, b, max((a - o) / nullif(a + o, 0)) FILTER (l = 1) - max((a - o) / nullif(a + o, 0)) FILTER (l = 0) AS d0 FROM ix GROUP BY ALL),
 oi AS (SELECT unit, cond, avg(v) FILTER (cat) AS a, avg(v) FILTER (NOT cat) AS o FROM z GROUP BY ALL),
 ob AS (SELECT unit, max((a - o) / nullif(a + o, 0)) FILTER (cond = 0) AS i0, max((a - o) / nullif(a + o, 0)) FILTER (cond = 1) AS i1 FROM oi GROUP BY unit)
-SELECT unit, round(i0, 6) AS index0, round(i1, 6) AS index1, round(greatest(1.0 - count(*) FILTER (abs(i1 - i0) - abs(d0) > 0) / count(d0), 1.0 / (count(d0) + 1)), 6) AS p FROM nl JOIN ob USING (unit) GROUP BY unit, i0, i1""")
+SELECT unit, round(i0, 6) AS index0, round(i1, 6) AS index1, round(greatest(count(*) FILTER (abs(d0) >= abs(i1 - i0) - {pm.TIE}) / nullif(count(d0) FILTER (i1 - i0 IS NOT NULL), 0), 1.0 / (count(d0) + 1)), 6) AS p FROM nl JOIN ob USING (unit) GROUP BY unit, i0, i1""")
 def selectivity_perm_test(spark, sf_dir):
     rows = events(spark, sf_dir)
-    out = rs.index_perm_test(rows, PERMS // 10, "i", "unit", "event_id", F.col("event_type").isin("view", "click").cast("int"), F.col("t") % 2 == 0, "value")
+    out = pm.index_perm_test(rows, PERMS, "i", "unit", "event_id", F.col("event_type").isin("view", "click").cast("int"), F.col("t") % 2 == 0, "value")
     return out.select("unit", *[F.round(c, 6).alias(c) for c in ("index0", "index1", "p")])
 
 
