@@ -232,25 +232,6 @@ def pooled_folds(maps: DataFrame, by: list[str], n_folds: int) -> DataFrame:
     return maps.groupBy(*by).agg(F.when(ok, F.avg("r")).alias("r"))
 
 
-def fit_difference_test(rows: DataFrame, x: str, ys: list[str], alpha: float, n_perm: int, seed: str, condition: Column) -> DataFrame:
-    """Per unit: corr0, corr1 and p of their difference against rows dealt anew to the two conditions.
-
-    Every replicate refits from its own sums; ``rows`` has ``fold`` and ``key``.
-    """
-    base = rows.withColumn("cond", condition.cast("int"))
-    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n_perm - 1))))
-    share = base.agg(F.avg(F.col("cond").cast("double"))).first()[0] or 0.0
-    label = F.when(F.col("rep") < 0, F.col("cond")).otherwise((draw(seed, F.col("rep"), F.col("key")) / 4294967296.0 < share).cast("int"))
-    scored = evaluate(cv_ridge(reps.withColumn("label", label), ["rep", "label"], x, ys, alpha), ["rep", "label"])
-    d = scored.groupBy("rep", "unit").agg(F.max(F.when(F.col("label") == 0, F.col("corr"))).alias("c0"), F.max(F.when(F.col("label") == 1, F.col("corr"))).alias("c1"))
-    seen = d.where("rep < 0").select("unit", F.col("c0").alias("corr0"), F.col("c1").alias("corr1"))
-    null = d.where("rep >= 0").select("unit", (F.col("c1") - F.col("c0")).alias("d0"))
-    met = seen.join(null, "unit")
-    n = F.count("d0")
-    p = F.greatest(F.avg((F.abs("d0") >= F.abs(F.col("corr1") - F.col("corr0"))).cast("double")), F.lit(1.0) / (n + 1))
-    return met.groupBy("unit").agg(F.first("corr0").alias("corr0"), F.first("corr1").alias("corr1"), p.alias("p"))
-
-
 def embed(images: DataFrame, model, batch: int = 32, key: str = "image", pixels: str = "pixels") -> DataFrame:
     """(key, feat): features of images by a function of a list of byte strings, batch by batch in Arrow workers."""
     kind = images.schema[key].dataType.simpleString()

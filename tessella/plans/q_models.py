@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators import fit_tests as ft
 from tessella.operators import models as md
 from tessella.operators import space as sp
 from tessella.plans.q_events import CLEAN
@@ -207,7 +208,14 @@ def positions_along_move(spark, sf_dir):
     return R6(md.cv_ridge_scores(found, ["place"], "feat", ["u0"], 10.0), "corr", "r2")
 
 
+def difference_rows(spark, sf_dir):
+    """Customers at nine offsets, and two units that each answer to what lies at one place or at another."""
+    rows = places(spark, sf_dir).withColumnsRenamed({"event": "key", "feat": "x"})
+    units = rows.where("place = 4").select("key", F.expr("stack(2, 'a', u0, u1, 'b', u1, u0 + u1) as (unit, y0, y1)"))
+    return rows.select("place", "key", "fold", "x"), units
+
+
 @query()
 def fit_difference_test(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("key", F.col("vec_id"))
-    return R6(md.fit_difference_test(rows, "embedding", ["u0", "u1"], 1.0, 10, "d", F.col("vec_id") % 2 == 0), "corr0", "corr1", "p")
+    """Where the fit of a response differs from that of the other one, against the difference at the centre."""
+    return R6(ft.fit_difference_test(*difference_rows(spark, sf_dir), 1.0, 1000, "d", reference=4), "corr0", "corr1", "p")

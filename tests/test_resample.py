@@ -149,7 +149,7 @@ def test_correlation_permutations(spark, monkeypatch, chunk, alternative):
 def test_index_permutations(spark, monkeypatch, chunk):
     monkeypatch.setattr(permutation, "CHUNK", chunk)
     rng = np.random.default_rng(4)
-    rows = [(u, i, int(rng.integers(0, 2)), bool(rng.integers(0, 2)), float(rng.exponential())) for u, size in ((1, 60), (2, 12), (3, 2), (4, 30)) for i in range(size)]
+    rows = [(u, i, int(rng.integers(0, 2)), bool(rng.integers(0, 2)), float(rng.exponential())) for u, size in ((1, 60), (2, 24), (3, 2), (4, 30)) for i in range(size)]
     rows += [(1, 1000, 0, True, None), (1, 1001, None, True, 1.0), (1, 1002, 0, None, 1.0)]
     df = spark.createDataFrame(rows, "u long, k long, cond int, cat boolean, v double")
     n = 77
