@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalars import distance, draw
+from tessella.operators.ranking import global_rank, rank_within, running_total
+from tessella.scratch import materialize
 
 
 def _sides(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +131,17 @@ def matched_moves(moves: DataFrame, threshold: float, least: float, category: st
     return first_by_draw(met, ["a"], seed, "a", "b").select(F.col("a").alias("source"), F.col("b").alias("match"))
 
 
+#: Partners of each side that a source pair tries first; it tries ``FURTHER`` times as many in each further round.
+FIRST, FURTHER = 4, 4
+
+
+def _partners(sources: DataFrame, others: DataFrame, side: str, seed: str, most: int) -> DataFrame:
+    """(a, b, m, r): the first ``most`` partners of one side of each source pair in draw order, within the pair's distance."""
+    met = sources.select("a", "b", "d").join(others.select(F.col("a").alias(side), F.col("b").alias("m"), F.col("d").alias("_d")), side).where(F.col("_d") <= F.col("d"))
+    order = Window.partitionBy("a", "b").orderBy(draw(f"{seed}-{side}", F.col("a"), F.col("b"), F.col("m")), "m")
+    return met.select("a", "b", "m", F.row_number().over(order).alias("r")).where(F.col("r") <= most)
+
+
 def matched_pairs(sources: DataFrame, others: DataFrame, apart: Column, seed: str) -> DataFrame:
     """(a, b, m0, m1): for a source pair a partner of a and a partner of b out of other pairs.
 
@@ -131,13 +149,86 @@ def matched_pairs(sources: DataFrame, others: DataFrame, apart: Column, seed: st
     source pair themselves, and are within the source's distance ``d`` on the matched
     side.  ``apart`` (over a, b, m0, m1 and the columns of ``sources``) has to hold, too.  A
     source pair without any such couple is dropped.
+
+    The partners of each side have a drawn order, and the couple whose later partner comes
+    first is taken (then the earlier one of a, then of b).  Couples are tried by rounds: only the first
+    few partners of both sides meet, and only source pairs that are still without a couple
+    and have further partners go on with more of them.
     """
     known = symmetric(sources.select(F.col("a").alias("p_i"), F.col("b").alias("p_j"), "d"), "p").select(F.col("a").alias("m0"), F.col("b").alias("m1"))
-    m0 = others.select("a", F.col("b").alias("m0"), F.col("d").alias("d0"))
-    m1 = others.select(F.col("a").alias("b"), F.col("b").alias("m1"), F.col("d").alias("d1"))
-    met = sources.join(m0.where(F.col("m0").isNotNull()), "a").join(m1, "b")
-    met = met.where((F.col("m0") != F.col("m1")) & (F.col("d0") <= F.col("d")) & (F.col("d1") <= F.col("d")) & apart).join(known, ["m0", "m1"], "left_anti")
-    return first_by_draw(met, ["a", "b"], seed, "a", "b", "m0", "m1").select("a", "b", "m0", "m1")
+    columns, still, found, tried, most = sources.columns, materialize(sources, "sources"), None, 0, FIRST
+    while True:
+        one, two = (_partners(still, others, side, seed, most) for side in ("a", "b"))
+        sides = materialize(one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1))), "partners")
+        of = lambda k: sides.where(F.col("side") == k).select("a", "b", F.col("m").alias(f"m{k}"), F.col("r").alias(f"r{k}"))  # noqa: B023, E731
+        met = still.join(of(0), ["a", "b"]).join(of(1), ["a", "b"]).where(F.greatest("r0", "r1") > tried)
+        met = met.where((F.col("m0") != F.col("m1")) & apart).join(known, ["m0", "m1"], "left_anti")
+        best = F.min_by(F.struct("m0", "m1"), F.struct(F.greatest("r0", "r1"), "r0", "r1")).alias("_m")
+        here = materialize(met.groupBy("a", "b").agg(best).select("a", "b", "_m.m0", "_m.m1"), "couples")
+        found = here if found is None else found.unionByName(here)
+        full = sides.where(F.col("r") == most).select("a", "b").distinct()  # others have been tried whole
+        still = materialize(still.join(full, ["a", "b"], "left_semi").join(here, ["a", "b"], "left_anti").select(*columns), "sources")
+        if still.isEmpty():
+            return found
+        tried, most = most, most * FURTHER
+
+
+#: Pairs are listed where they are at most so many times as many as are asked for, else drawn.
+LISTED = 16
+
+
+def pair_at(t: Column) -> tuple[Column, Column]:
+    """The two members i < j of the unordered pair number ``t``: pairs are numbered by j, then by i."""
+    guess = F.floor((F.sqrt(8.0 * t + 1) + 1) / 2).cast("long")
+    before = lambda j: F.shiftright(j * (j - 1), 1)
+    j = F.when(before(guess) > t, guess - 1).when(before(guess + 1) <= t, guess + 1).otherwise(guess)  # the root may round
+    return t - before(j), j
+
+
+def sample_pairs(rows: DataFrame, most: int, seed: str, fits: Column, group: str = "image", key: str = "fix_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(group, key_i, key_j, d, kept columns of both): ``most`` of the unordered pairs of one group that fit, without listing all.
+
+    Pairs have numbers; draws are hashed numbers, decoded to two rows, and rejected where
+    ``fits`` (over d and the kept columns) doesn't hold.  The first ``most`` distinct ones in the order of the draws are
+    taken, so the cost is that of the draws, however many pairs a group has.  Where all pairs are not many more than asked for, or too
+    few of the draws fit, all pairs are listed and the first in a drawn order are taken.
+    """
+    columns = [key, "x", "y", *[c for c in keep if c not in (key, "x", "y")]]
+    placed = materialize(rank_within(rows.select(group, *columns), [group], [key], "_k").withColumn("_k", F.col("_k") - 1), "pair-rows")
+    groups = placed.groupBy(group).agg(F.expr("count(*) * (count(*) - 1) div 2").alias("_p")).where("_p > 0")
+    numbered = global_rank(groups, [group], "_g")
+    total = groups.agg(F.sum("_p")).first()[0] or 0
+    listed = total <= LISTED * most
+    drawn, n = 0, 2 * most
+    if not listed:
+        ends = materialize(running_total(numbered, "_g", "_p", "_end"), "pair-groups")
+    while not listed:
+        numbers = np.array([int(md5(f"{seed}:{i}".encode()).hexdigest()[:15], 16) % total for i in range(n)], np.int64)  # in proportion to the pairs asked for
+        order = np.argsort(numbers, kind="stable")
+        at = numbers[order]
+
+        def mine(batches: Iterator[pa.RecordBatch], at: np.ndarray = at, order: np.ndarray = order) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                end, size = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                lo, hi = np.searchsorted(at, end - size), np.searchsorted(at, end)
+                row = np.repeat(np.arange(len(end)), hi - lo)
+                pick = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True) if a < b] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at[pick] - (end - size)[row]), pa.array(order[pick])], names=[group, "_t", "_i"])
+
+        kind = rows.schema[group].dataType.simpleString()
+        hits = ends.select(group, "_end", "_p").mapInArrow(mine, f"`{group}` {kind}, _t long, _i long").groupBy(group, "_t").agg(F.min("_i").alias("_i"))
+        i, j = pair_at(F.col("_t"))
+        hits = hits.select(group, "_i", i.alias("_ki"), j.alias("_kj"))
+        for s in "ij":
+            hits = hits.join(placed.select(group, F.col("_k").alias(f"_k{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns]), [group, f"_k{s}"])
+        good = materialize(_with_distance(hits, None).where(fits), "drawn-pairs")
+        drawn = good.count()
+        if drawn >= most:
+            return good.orderBy("_i").limit(most).select(group, f"{key}_i", f"{key}_j", "d", *[f"{c}_{s}" for c in keep for s in "ij"])
+        n *= 4
+        listed = n > total
+    every = all_pairs(rows, group, key, keep).where(fits)
+    return every.orderBy(draw(seed, F.col(f"{key}_i"), F.col(f"{key}_j")), f"{key}_i", f"{key}_j").limit(most)
 
 
 def one_sided_match(pairs: DataFrame, far_side: DataFrame, least: float, seed: str) -> DataFrame:

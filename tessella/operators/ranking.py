@@ -29,6 +29,15 @@ def rank_within(rows: DataFrame, by: list[str], order: list[Column | str], name:
     return ranked.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
+def running_total(ranked: DataFrame, rank: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """``name``: the sum of ``value`` up to the row's rank, by blocks of ranks; ranks are distinct."""
+    at = F.floor((F.col(rank) - 1) / block).cast("long")
+    blocks = ranked.groupBy(at.alias("_b")).agg(F.sum(value).alias("_s"))
+    before = blocks.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))  # a row for each block
+    own = F.sum(value).over(Window.partitionBy("_b").orderBy(rank))
+    return ranked.withColumn("_b", at).withColumn(name, own).join(before, "_b").withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
+
+
 def spread_out(rows: DataFrame, *keys: str) -> GroupedData:
     """``rows`` grouped by keys whose groups are little data but much work, over more tasks than their bytes would get."""
     spark = rows.sparkSession

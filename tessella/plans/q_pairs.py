@@ -125,7 +125,9 @@ op AS (SELECT i.fix_id AS a, j.fix_id AS b, sqrt((i.x - j.x) * (i.x - j.x) + (i.
   FROM fix i JOIN fix j ON i.image = j.image AND i.fix_id <> j.fix_id AND sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)) <= 3),
 c AS (SELECT sp.a, sp.b, x.b AS m0, y.b AS m1 FROM sp JOIN op x ON x.a = sp.a JOIN op y ON y.a = sp.b WHERE x.b <> y.b AND x.d <= sp.d AND y.d <= sp.d AND x.b <> sp.b AND y.b <> sp.a
   AND NOT EXISTS (SELECT 1 FROM sp q WHERE (q.a = x.b AND q.b = y.b) OR (q.b = x.b AND q.a = y.b))),
-r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY {_DRAW.format("'p', a, b, m0, m1")}, a, b, m0, m1) AS k FROM c)
+x0 AS (SELECT sp.a, sp.b, o.b AS m0, row_number() OVER (PARTITION BY sp.a, sp.b ORDER BY {_DRAW.format("'p-a', sp.a, sp.b, o.b")}, o.b) AS r0 FROM sp JOIN op o ON o.a = sp.a AND o.d <= sp.d),
+x1 AS (SELECT sp.a, sp.b, o.b AS m1, row_number() OVER (PARTITION BY sp.a, sp.b ORDER BY {_DRAW.format("'p-b', sp.a, sp.b, o.b")}, o.b) AS r1 FROM sp JOIN op o ON o.a = sp.b AND o.d <= sp.d),
+r AS (SELECT a, b, m0, m1, row_number() OVER (PARTITION BY a, b ORDER BY greatest(r0, r1), r0, r1) AS k FROM c JOIN x0 USING (a, b, m0) JOIN x1 USING (a, b, m1))
 SELECT a, b, m0, m1 FROM r WHERE k = 1""")
 def matched_pairs(spark, sf_dir):
     rows = fixations(spark, sf_dir)
@@ -134,6 +136,29 @@ def matched_pairs(spark, sf_dir):
     return pr.matched_pairs(sources, pr.symmetric(found), (F.col("m0") != F.col("b")) & (F.col("m1") != F.col("a")), "p")
 
 
+#: Pairs that a sample is of, and draws that are enough for them at every scale of the SQL.
+SAMPLE, DRAWS = 10_000, 80_000
+
+
+@query(f"""WITH {FIX}, pl AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY fix_id) - 1 AS k FROM fix),
+gr AS (SELECT image, n * (n - 1) // 2 AS p FROM (SELECT image, count(*) AS n FROM fix GROUP BY image) WHERE n > 1),
+en AS (SELECT image, p, CAST(sum(p) OVER (ORDER BY image) AS BIGINT) AS e, CAST(sum(p) OVER () AS BIGINT) AS total FROM gr),
+dr AS (SELECT i, CAST(('0x' || substr(md5('far:' || i), 1, 15)) AS BIGINT) % (SELECT any_value(total) FROM en) AS num FROM (SELECT unnest(range(0, {DRAWS})) AS i)),
+lo AS (SELECT image, num - (e - p) AS t, min(i) AS i FROM dr ASOF JOIN en ON dr.num < en.e GROUP BY ALL),
+ij AS (SELECT image, i, j, t - j * (j - 1) // 2 AS o FROM (SELECT *, CAST(floor((sqrt(8.0 * t + 1) + 1) / 2) AS BIGINT) AS j FROM lo)),
+dd AS (SELECT ij.i, a.image, a.fix_id AS fix_id_i, b.fix_id AS fix_id_j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.trial AS ti, b.trial AS tj
+  FROM ij JOIN pl a ON a.image = ij.image AND a.k = o JOIN pl b ON b.image = ij.image AND b.k = j),
+al AS (SELECT a.image, a.fix_id AS fix_id_i, b.fix_id AS fix_id_j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.trial AS ti, b.trial AS tj FROM fix a JOIN fix b ON a.image = b.image AND a.fix_id < b.fix_id),
+pk AS (SELECT image, fix_id_i, fix_id_j, d, i, 0 AS s FROM dd WHERE d > 15 AND ti <> tj AND (SELECT any_value(total) FROM en) > {pr.LISTED * SAMPLE}
+  UNION ALL SELECT image, fix_id_i, fix_id_j, d, {_DRAW.format("'far', fix_id_i, fix_id_j")}, fix_id_i FROM al WHERE d > 15 AND ti <> tj AND (SELECT any_value(total) FROM en) <= {pr.LISTED * SAMPLE})
+SELECT image, fix_id_i, fix_id_j, round(d, 6) AS d FROM pk ORDER BY i, s, fix_id_j LIMIT {SAMPLE}""")
+def distant_pair_sample(spark, sf_dir):
+    """10,000 of the pairs on one image and of different trials that lie apart, as tests of pairs take them."""
+    apart = (F.col("d") > 15) & (F.col("trial_i") != F.col("trial_j"))
+    found = pr.sample_pairs(fixations(spark, sf_dir), SAMPLE, "far", apart, keep=("trial",))
+    return found.select("image", "fix_id_i", "fix_id_j", F.round("d", 6).alias("d"))
+
+
 @query(f"""WITH {MOVED}, c AS (SELECT i.to_id AS a, j.to_id AS b, row_number() OVER (PARTITION BY i.to_id ORDER BY {_DRAW.format("'o', i.to_id, j.to_id")}, i.to_id, j.to_id) AS k
   FROM mv i JOIN mv j ON i.image = j.image AND i.to_id <> j.to_id AND sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)) <= 3
   WHERE sqrt((i.fx - j.fx) * (i.fx - j.fx) + (i.fy - j.fy) * (i.fy - j.fy)) >= 4)
