@@ -44,6 +44,13 @@ def first_integer(name: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), F.lit(1)).cast("long")
 
 
+def natural_key(name: Column) -> Column:
+    """What natural order goes by: runs of digits as numbers, before and apart from the text around them."""
+    digits = lambda s: s.rlike(r"^[0-9]")
+    part = lambda s: F.struct(F.when(digits(s), 0).otherwise(1).alias("k"), F.when(digits(s), s.cast("decimal(38,0)")).otherwise(F.lit(0)).alias("n"), s.alias("t"))
+    return F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part)
+
+
 def level_of(name: Column) -> Column:
     """What stands before the first slash of a hierarchical name."""
     return F.substring_index(name, "/", 1)

@@ -150,9 +150,9 @@ def normalised_fit(r: Column, ceiling: Column) -> Column:
 
 
 def baseline_regression(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Slope, intercept and R squared of y on x."""
+    """Slope, intercept and R squared of y on x; NULL where x doesn't vary."""
     good = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return good.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    return good.groupBy(*by).agg(*[F.when(F.var_pop(x) > 0, f(y, x)).alias(name) for name, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("r2", F.regr_r2))])
 
 
 def by_grid_length(rows: DataFrame, session: str, t: str, region: str, unit: str, least_units: int = 25) -> DataFrame:

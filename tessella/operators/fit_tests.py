@@ -1,8 +1,8 @@
-"""Whether features fit one response better than another: a permutation test of cross-validated ridge fits.
+"""Cross-validated ridge fits of many units at once, and a permutation test of whether one response fits better than another.
 
-Features stay as they are in every replicate, so a place's and fold's normal equations are
-factorised once for all replicates and units.  A replicate permutes responses by a
-keyed bijection; only its products of features and responses are added up over chunks of samples.
+Units are rows, not columns; products of features and responses are added up over chunks of samples.  In the test features stay as they are in every replicate, so a place's and fold's normal equations are
+factorised once for all replicates and units, and a replicate permutes responses by a
+keyed bijection.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import draws
 from tessella.operators.models import fold_grams
-from tessella.operators.ranking import global_rank, spread_out
+from tessella.operators.ranking import global_rank, rank_within, spread_out
 from tessella.scratch import materialize
 
 #: Samples of a place, responses of a unit, and units that one task holds at once.
@@ -64,8 +64,8 @@ def _products(row: dict, first: int, start: int, n: int, n_folds: int, replicate
     return out
 
 
-def _correlations(sums: np.ndarray, grams: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """From ``sums`` (replicate, condition, fold, products) the correlations of held-out predictions: of each fold, and pooled."""
+def _scores(sums: np.ndarray, grams: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From ``sums`` (replicate, condition, fold, products) the correlations of held-out predictions, of each fold and pooled, and R squared."""
     d = grams.shape[1] - 1
     moments = []
     for f, gram in enumerate(grams):
@@ -84,7 +84,23 @@ def _correlations(sums: np.ndarray, grams: np.ndarray, alpha: float) -> tuple[np
             r = np.clip((py / n - sp * sy / n**2) / np.sqrt(vp * vy), -1, 1)
         return np.where((n >= 2) & (vp > LEAST_VARIANCE) & (vy > LEAST_VARIANCE), r, np.nan)
 
-    return np.stack([corr(*m) for m in moments], -1), corr(*sum(moments))
+    n, sp, sy, pp, yy, py = sum(moments)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vy = yy / n - (sy / n) ** 2
+        r2 = np.where(vy > 1e-13 * yy / n, 1 - (yy - 2 * py + pp) / (vy * n), np.nan)  # up to rounding
+    return np.stack([corr(*m) for m in moments], -1), corr(n, sp, sy, pp, yy, py), r2
+
+
+def _stacked(grams: pa.Table, n_folds: int) -> np.ndarray:
+    """The sums of a place's features by fold."""
+    by_fold = dict(zip(grams.column("fold").to_pylist(), grams.column("gram").to_pylist(), strict=True))
+    size = int(len(next(iter(by_fold.values()))) ** 0.5)
+    return np.stack([np.array(by_fold.get(f, [0.0] * size * size)).reshape(size, size) for f in range(n_folds)])
+
+
+def _fixed(x: np.ndarray) -> pa.ListArray:
+    """Rows as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x[0].size if len(x) else np.zeros(1, np.int32)), pa.array(x.ravel()))
 
 
 def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float, n_perm: int, seed: str, reference: object = None, alternative: str = "two-sided") -> DataFrame:
@@ -124,8 +140,7 @@ def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float,
         keys = draws.bijection_keys(seed, replicates)
         out = _products(row, row["chunk"] * SAMPLES, row["piece"] * RESPONSES, n, n_folds, replicates, keys)
         at = np.repeat(np.arange(len(row["units"])), len(replicates))
-        flat = pa.array(out.reshape(len(at), -1).ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (out.size // max(len(at), 1))), flat)
+        lists = _fixed(out.reshape(len(at), -1))
         place = table.column("place").combine_chunks().take(pa.array(np.zeros(len(at), np.int64)))
         return pa.table([place, pa.array(row["units"]).take(pa.array(at)), pa.array(np.full(len(at), row["_part"], np.int32)), pa.array(np.tile(replicates, len(row["units"]))), lists], names=["place", "unit", "_part", "b", "sums"])
 
@@ -142,15 +157,11 @@ def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float,
         replicates, at = np.unique(b, return_inverse=True)
         total = np.zeros((len(replicates), len(flat.flatten()) // max(len(b), 1)))
         np.add.at(total, at, flat.flatten().to_numpy().reshape(len(b), -1))
-        by_fold = dict(zip(grams.column("fold").to_pylist(), grams.column("gram").to_pylist(), strict=True))
-        size = int(len(next(iter(by_fold.values()))) ** 0.5)
-        held = np.stack([np.array(by_fold.get(f, [0.0] * size * size)).reshape(size, size) for f in range(n_folds)])
-        each, pooled = _correlations(total.reshape(len(replicates), 2, n_folds, -1), held, alpha)
+        each, pooled, _r2 = _scores(total.reshape(len(replicates), 2, n_folds, -1), _stacked(grams, n_folds), alpha)
         names = ["place", "unit", "b", "corr0", "corr1", "d"]
         take = pa.array(np.zeros(len(replicates), np.int64))
         gaps = each[:, 1] - each[:, 0]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(replicates) + 1, dtype=np.int32) * n_folds), pa.array(gaps.ravel()))
-        return pa.table([products.column("place").combine_chunks().take(take), products.column("unit").combine_chunks().take(take), pa.array(replicates), pa.array(pooled[:, 0]), pa.array(pooled[:, 1]), lists], names=names)
+        return pa.table([products.column("place").combine_chunks().take(take), products.column("unit").combine_chunks().take(take), pa.array(replicates), pa.array(pooled[:, 0]), pa.array(pooled[:, 1]), _fixed(gaps)], names=names)
 
     by = ["place", "unit", "_part"]
     schema = f"place {kinds['place']}, unit {kinds['unit']}, b long, corr0 double, corr1 double, d array<double>"
@@ -170,3 +181,58 @@ def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float,
     if reference is not None:
         tested = tested.where(F.col("place") != F.lit(reference))
     return seen.join(tested, ["place", "unit"], "left").select("place", "unit", "corr0", "corr1", "p")
+
+
+def fit_by_field(features: DataFrame, responses: DataFrame, alpha: float) -> DataFrame:
+    """(field, unit, n, corr, r2): cross-validated ridge fits of every unit to what lies in its own field.
+
+    ``features`` has field, key, fold (from 0) and x, an array, for each distinct field; ``responses`` has
+    field, unit, key and y, a row for each unit and sample.  Units that share a field share its
+    normal equations.  Samples that lack a response of some unit of the field are left out for the
+    field; correlation and R squared of the pooled held-out predictions are NULL without variance.
+    """
+    given = responses.where("y IS NOT NULL AND NOT isnan(y)")
+    n_units = responses.select("field", "unit").distinct().groupBy("field").agg(F.count("*").alias("_n"))
+    whole = given.groupBy("field", "key").agg(F.count("*").alias("_u")).join(n_units, "field").where("_u = _n").select("field", "key")
+    kept = features.where("x IS NOT NULL").select("field", "key", "fold", F.transform("x", lambda v: v.cast("double")).alias("x")).join(whole, ["field", "key"])
+    placed = materialize(rank_within(kept, ["field"], ["key"], "_k"), "field-features")
+    n_folds = (placed.agg(F.max("fold")).first()[0] or 0) + 1
+    chunk = F.expr(f"(_k - 1) div {SAMPLES}").alias("chunk")
+    held = F.array_sort(F.collect_list(F.struct("_k", "fold", "x"))).alias("_h")
+    chunks = placed.groupBy("field", chunk).agg(held).select("field", "chunk", F.col("_h.fold").alias("fold"), F.flatten("_h.x").alias("x"))
+    named = rank_within(responses.select("field", "unit").distinct(), ["field"], ["unit"], "_r").select("field", "unit", F.expr(f"(_r - 1) div {UNITS}").alias("_block"))
+    each = given.join(placed.select("field", "key", "_k"), ["field", "key"])
+    series = each.groupBy("field", "unit", chunk).agg(F.array_sort(F.collect_list(F.struct("_k", F.col("y").cast("double").alias("y")))).alias("_h"))
+    blocks = series.join(named, ["field", "unit"]).groupBy("field", "chunk", "_block").agg(F.collect_list(F.struct("unit", F.col("_h.y").alias("y"))).alias("_h"))
+    dealt = chunks.join(blocks.select("field", "chunk", "_block", F.col("_h.unit").alias("units"), F.flatten("_h.y").alias("y")), ["field", "chunk"])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        row = {c: table.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("fold", "x", "y")}
+        units = table.column("units")[0].values
+        fold, y = row["fold"], row["y"].reshape(len(units), -1)
+        x = np.concatenate([row["x"].reshape(len(fold), -1), np.ones((len(fold), 1))], 1)
+        out = np.zeros((len(units), n_folds, x.shape[1] + 1))
+        for f in range(n_folds):
+            own = fold == f
+            out[:, f, :-1], out[:, f, -1] = y[:, own] @ x[own], (y[:, own] ** 2).sum(1)
+        zeros = pa.array(np.zeros(len(units), np.int64))
+        return pa.table([table.column("field").combine_chunks().take(zeros), table.column("_block").combine_chunks().take(zeros), units, _fixed(out.reshape(len(units), -1))], names=["field", "_block", "unit", "sums"])
+
+    kinds = {c: responses.schema[c].dataType.simpleString() for c in ("field", "unit")}
+    sums = spread_out(dealt, "field", "chunk", "_block").applyInArrow(multiply, f"field {kinds['field']}, _block long, unit {kinds['unit']}, sums array<double>")
+    grams = fold_grams(placed, ["field"], "x", []).select("field", "fold", "gram").join(named.select("field", "_block").distinct(), "field")
+
+    def solve(key: tuple, products: pa.Table, grams: pa.Table) -> pa.Table:
+        units = products.column("unit").combine_chunks().dictionary_encode()
+        flat = products.column("sums").combine_chunks().flatten().to_numpy().reshape(products.num_rows, -1)
+        total = np.zeros((len(units.dictionary), flat.shape[1]))
+        np.add.at(total, units.indices.to_numpy(), flat)
+        held = _stacked(grams, n_folds)
+        _each, corr, r2 = _scores(total.reshape(len(total), 1, n_folds, -1), held, alpha)
+        field = products.column("field").combine_chunks().take(pa.array(np.zeros(len(total), np.int64)))
+        n = np.full(len(total), int(held[:, 0, 0].sum()))
+        return pa.table([field, units.dictionary, pa.array(n), pa.array(corr[:, 0]), pa.array(r2[:, 0])], names=["field", "unit", "n", "corr", "r2"])
+
+    by = ["field", "_block"]
+    scored = sums.groupBy(*by).cogroup(grams.groupBy(*by)).applyInArrow(solve, f"field {kinds['field']}, unit {kinds['unit']}, n long, corr double, r2 double")
+    return scored.select("field", "unit", "n", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("corr", "r2")])

@@ -117,13 +117,13 @@ def control_points(moves: DataFrame, width: float, height: float, seed: str) ->
     """``mx, my`` half way, and ``cx, cy``: the third corner of an equilateral triangle over a move.
 
     Of the two corners the one inside the image is taken; a coin decides when both are, and the
-    one that is out by less when neither is.
+    one that is out by less when neither is (the first when both are out by as much, up to nine decimals).
     """
     half, root = 0.5, float(np.sqrt(3) / 2)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     corner = lambda s: (F.col("x0") + half * dx - s * root * dy, F.col("y0") + s * root * dx + half * dy)
     (ax, ay), (bx, by) = corner(1.0), corner(-1.0)
-    out_a, out_b = (border_distance(x, y, F.lit(width), F.lit(height)) for x, y in ((ax, ay), (bx, by)))
+    out_a, out_b = (F.round(border_distance(x, y, F.lit(width), F.lit(height)), 9) for x, y in ((ax, ay), (bx, by)))
     coin = draw(seed, F.col("move_id")) % 2 == 0
     first = F.when((out_a < 0) & (out_b < 0), coin).otherwise(out_a <= out_b)
     return moves.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2, "cx": F.when(first, ax).otherwise(bx), "cy": F.when(first, ay).otherwise(by)})

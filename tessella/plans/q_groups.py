@@ -123,11 +123,10 @@ def ceiling_normalised_fit(spark, sf_dir):
     return fixations(spark, sf_dir).select("fix_id", F.round(ag.normalised_fit(F.col("tax") * 100, F.col("x") - 10), 6).alias("fit"))
 
 
-@query(f"WITH {FIX} SELECT image, round(regr_slope(price / 1000, x), 4) AS slope, round(regr_intercept(price / 1000, x), 4) AS intercept, round(regr_r2(price / 1000, x), 4) AS r2 FROM fix GROUP BY image HAVING var_pop(x) > 0")
+@query(f"WITH {FIX} SELECT image, round(CASE WHEN v THEN regr_slope(p, x) END, 4) AS slope, round(CASE WHEN v THEN regr_intercept(p, x) END, 4) AS intercept, round(CASE WHEN v THEN regr_r2(p, x) END, 4) AS r2 FROM (SELECT image, x, price / 1000 AS p, var_pop(x) OVER (PARTITION BY image) > 0 AS v FROM fix) GROUP BY image, v")
 def baseline_regression(spark, sf_dir):
     rows = fixations(spark, sf_dir).withColumn("y1", F.col("price") / 1000)
-    varied = rows.join(rows.groupBy("image").agg(F.var_pop("x").alias("v")).where("v > 0").select("image"), "image", "left_semi")
-    return ag.baseline_regression(varied, ["image"], "x", "y1").withColumns({c: F.round(c, 4) for c in ("slope", "intercept", "r2")})
+    return ag.baseline_regression(rows, ["image"], "x", "y1").withColumns({c: F.round(c, 4) for c in ("slope", "intercept", "r2")})
 
 
 @query(f"""WITH {EV}, l AS (SELECT unit AS session, count(DISTINCT floor(t / 24)) AS n_t FROM ev GROUP BY unit), u AS (SELECT DISTINCT unit AS session, event_type AS region, unit FROM ev)
@@ -154,19 +153,19 @@ def hier_fallback_lookup(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT c_nationkey % 5 AS session, CASE c_custkey % 3 WHEN 0 THEN 'unit' WHEN 1 THEN 'channel' ELSE 'array_id' END AS level,
-  CASE c_custkey % 3 WHEN 0 THEN 'u' || (c_custkey % 400) WHEN 1 THEN 'c' || (c_custkey % 130) ELSE 'a' || (c_custkey % 11) END AS key, round_even(c_acctbal / 100 / 5, 0) * 5 AS lat FROM customer WHERE c_acctbal > 0),
+  CASE c_custkey % 3 WHEN 0 THEN 'u' || (c_custkey % 400) WHEN 1 THEN 'c' || (c_custkey % 130) ELSE 'a' || (c_custkey % 11) END AS key, round_even(c_acctbal / 100 / 5, 0) * 5 AS lat FROM customer),
 u AS (SELECT s_suppkey, s_nationkey % 5 AS session, 'u' || s_suppkey AS unit, 'c' || (s_suppkey % 130) AS channel, 'a' || (s_suppkey % 13) AS array_id FROM supplier),
 g AS (SELECT session, level, key, median(lat) AS lat FROM m GROUP BY ALL), a AS (SELECT key, median(lat) AS lat FROM m WHERE level = 'array_id' GROUP BY key)
-SELECT u.unit, coalesce(g1.lat, g2.lat, g3.lat, a.lat, 75.0) AS lat, CASE WHEN g1.lat IS NOT NULL THEN 'unit' WHEN g2.lat IS NOT NULL THEN 'channel' WHEN g3.lat IS NOT NULL THEN 'array_id' WHEN a.lat IS NOT NULL THEN 'any_session' ELSE 'default' END AS source
+SELECT u.unit, CASE WHEN coalesce(g1.lat, g2.lat, g3.lat, a.lat, 75.0) = 0 THEN 0.0 ELSE coalesce(g1.lat, g2.lat, g3.lat, a.lat, 75.0) END AS lat, CASE WHEN g1.lat IS NOT NULL THEN 'unit' WHEN g2.lat IS NOT NULL THEN 'channel' WHEN g3.lat IS NOT NULL THEN 'array_id' WHEN a.lat IS NOT NULL THEN 'any_session' ELSE 'default' END AS source
 FROM u LEFT JOIN g g1 ON g1.session = u.session AND g1.level = 'unit' AND g1.key = unit LEFT JOIN g g2 ON g2.session = u.session AND g2.level = 'channel' AND g2.key = channel
 LEFT JOIN g g3 ON g3.session = u.session AND g3.level = 'array_id' AND g3.key = array_id LEFT JOIN a ON a.key = array_id""")
 def cascade_impute(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    c = table(spark, sf_dir, "customer")
     level = F.expr("case c_custkey % 3 when 0 then 'unit' when 1 then 'channel' else 'array_id' end")
     key = F.expr("case c_custkey % 3 when 0 then concat('u', c_custkey % 400) when 1 then concat('c', c_custkey % 130) else concat('a', c_custkey % 11) end")
     measured = c.select((F.col("c_nationkey") % 5).alias("session"), level.alias("level"), key.alias("key"), (F.col("c_acctbal") / 100).alias("lat"))
     units = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("session"), F.expr("concat('u', s_suppkey)").alias("unit"), F.expr("concat('c', s_suppkey % 130)").alias("channel"), F.expr("concat('a', s_suppkey % 13)").alias("array_id"))
-    return hi.impute(units, measured, ["lat"], 5.0, {"lat": 75.0}).select("unit", "lat", "source")
+    return hi.impute(units, measured, ["lat"], 5.0, {"lat": 75.0}).select("unit", F.when(F.col("lat") == 0, 0.0).otherwise(F.col("lat")).alias("lat"), "source")
 
 
 @query("""SELECT c_custkey AS unit, CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS channel, CAST(floor((CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) - 1) / 32.0) AS BIGINT) AS bank, substr(c_mktsegment, 1, 2) AS subject, n_name AS array_id

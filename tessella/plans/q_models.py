@@ -1,6 +1,5 @@
 """Regions of interest, feature grids, ridge models and response maps."""
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,18 +66,12 @@ def grid_feature_lookup(spark, sf_dir):
 
 @query(f"""WITH {MOVED}, m AS (SELECT to_id AS move_id, fx AS x0, fy AS y0, x AS x1, y AS y1 FROM mv),
 a AS (SELECT *, x0 + 0.5 * (x1 - x0) - sqrt(3.0) / 2 * (y1 - y0) AS ax, y0 + sqrt(3.0) / 2 * (x1 - x0) + 0.5 * (y1 - y0) AS ay, x0 + 0.5 * (x1 - x0) + sqrt(3.0) / 2 * (y1 - y0) AS bx, y0 - sqrt(3.0) / 2 * (x1 - x0) + 0.5 * (y1 - y0) AS by_ FROM m),
-o AS (SELECT *, greatest(greatest(ax - 30, -30 - ax), greatest(ay - 8, -8 - ay)) AS oa, greatest(greatest(bx - 30, -30 - bx), greatest(by_ - 8, -8 - by_)) AS ob FROM a),
+o AS (SELECT *, round(greatest(greatest(ax - 30, -30 - ax), greatest(ay - 8, -8 - ay)), 9) AS oa, round(greatest(greatest(bx - 30, -30 - bx), greatest(by_ - 8, -8 - by_)), 9) AS ob FROM a),
 f AS (SELECT *, CASE WHEN oa < 0 AND ob < 0 THEN {D.format("'ctl', move_id")} % 2 = 0 ELSE oa <= ob END AS first FROM o)
-SELECT move_id, round((x0 + x1) / 2, 4) AS mx, round((y0 + y1) / 2, 4) AS my, round(CASE WHEN first THEN ax ELSE bx END, 4) AS cx, round(CASE WHEN first THEN ay ELSE by_ END, 4) AS cy FROM f WHERE abs(oa - ob) > 1e-9 OR (oa < 0 AND ob < 0)""")
+SELECT move_id, round((x0 + x1) / 2, 4) AS mx, round((y0 + y1) / 2, 4) AS my, round(CASE WHEN first THEN ax ELSE bx END, 4) AS cx, round(CASE WHEN first THEN ay ELSE by_ END, 4) AS cy FROM f""")
 def control_points(spark, sf_dir):
     m = move_table(spark, sf_dir).select(F.col("to_id").alias("move_id"), F.col("fx").alias("x0"), F.col("fy").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    from tessella.functions.scalars import border_distance
-
-    root = float(np.sqrt(3.0) / 2)
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    out = [border_distance(F.col("x0") + 0.5 * dx - s * root * dy, F.col("y0") + s * root * dx + 0.5 * dy, F.lit(60.0), F.lit(16.0)) for s in (1.0, -1.0)]
-    found = sp.control_points(m, 60.0, 16.0, "ctl").where((F.abs(out[0] - out[1]) > 1e-9) | ((out[0] < 0) & (out[1] < 0)))
-    return found.select("move_id", *[F.round(c, 4).alias(c) for c in ("mx", "my", "cx", "cy")])
+    return sp.control_points(m, 60.0, 16.0, "ctl").select("move_id", *[F.round(c, 4).alias(c) for c in ("mx", "my", "cx", "cy")])
 
 
 MAPS = f"{FIX}, mp AS (SELECT flag, floor(x / 5) AS cx, y AS cy, avg(price / 10000) - 1 AS w FROM fix GROUP BY ALL)"
@@ -219,3 +212,13 @@ def difference_rows(spark, sf_dir):
 def fit_difference_test(spark, sf_dir):
     """Where the fit of a response differs from that of the other one, against the difference at the centre."""
     return R6(ft.fit_difference_test(*difference_rows(spark, sf_dir), 1.0, 1000, "d", reference=4), "corr0", "corr1", "p")
+
+
+@query()
+def fit_by_field(spark, sf_dir):
+    """Nations as units, each with one of nine fields around a customer; fits of their answers to what lies there."""
+    rows = places(spark, sf_dir).select(F.col("place").alias("field"), F.col("event").alias("key"), "fold", F.col("feat").alias("x"))
+    units = table(spark, sf_dir, "nation").select(F.col("n_name").alias("unit"), F.col("n_nationkey").alias("nk"), (F.col("n_nationkey") % 9).alias("field"))
+    answers = rows.join(F.broadcast(units), "field")  # 25 nations at any scale
+    y = F.element_at("x", F.col("nk") % F.size("x") + 1) + 0.05 * F.pmod(F.col("key"), F.lit(7))
+    return R6(ft.fit_by_field(rows, answers.select("field", "unit", "key", y.alias("y")), 1.0), "corr", "r2")

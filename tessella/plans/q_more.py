@@ -166,10 +166,13 @@ def significance_text(spark, sf_dir):
     return p.select("unit", scalars.significance(F.col("p")).alias("said"))
 
 
-@query("SELECT s_name, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '(\\d+)', 1) AS BIGINT) % 17, s_name) AS place FROM supplier")
+@query("""WITH n AS (SELECT substr(n_name, 1, 2) || s_suppkey % 101 || '-' || s_suppkey AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda s: {'k': CASE WHEN s[1] BETWEEN '0' AND '9' THEN 0 ELSE 1 END, 'n': coalesce(TRY_CAST(s AS BIGINT), 0), 't': s})) AS place FROM n""")
 def natural_sort(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    return global_rank(s.select("s_name"), [scalars.first_integer(F.col("s_name")) % 17, "s_name"], "place")
+    """Unit names in natural order: AR9-110 stands before AR10-9."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    names = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.concat(F.substring("n_name", 1, 2), F.col("s_suppkey") % 101, F.lit("-"), "s_suppkey").alias("name"))  # 25 nations at any scale
+    return global_rank(names, [scalars.natural_key(F.col("name"))], "place").select("name", "place")
 
 
 @query(f"WITH {TWO}, w AS (SELECT * FROM two WHERE t BETWEEN -5 AND 5 AND t % 2 = 0) SELECT unit, count(*) AS n, round(avg(y1), 6) AS y1 FROM w GROUP BY unit")

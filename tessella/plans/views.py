@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _LINE = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-#: Lines of an order at most, so that fix_id is unique without a global sort.
+#: Lines of an order at most, so that fix_id is unique without a global sort; more fail the query.
 ROWS_PER_TRIAL = 4096
 
 
@@ -23,6 +23,7 @@ def fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as fixations: an order is a trial, a part an image, a day a unit of time."""
     line = table(spark, sf_dir, "lineitem")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
+    seq = F.when(seq <= ROWS_PER_TRIAL, seq).otherwise(F.raise_error(F.lit(f"an order has more than {ROWS_PER_TRIAL} lines")))
     t0 = day(F.col("l_shipdate"))
     return line.select(
         F.col("l_orderkey").alias("trial"), (F.col("l_orderkey") * ROWS_PER_TRIAL + seq).alias("fix_id"), F.col("l_partkey").alias("image"),

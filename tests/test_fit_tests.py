@@ -59,3 +59,32 @@ def test_fit_differences(spark, monkeypatch, reference, alternative, small):
             r = got[p, u]
             assert [r.corr0, r.corr1] == pytest.approx([fit(x[p], y[u][c], fold, alpha)[1] for c in (0, 1)])
             assert r.p is None if p == reference else r.p == pytest.approx(want)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_units_are_fitted_in_their_own_field(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(fit_tests, "SAMPLES", 11)
+        monkeypatch.setattr(fit_tests, "UNITS", 2)
+    rng = np.random.default_rng(8)
+    n, fields = 40, {"p": "ab", "q": "cdefg"}
+    fold = np.arange(n) % 4
+    x = {f: rng.normal(size=(n, 3)) for f in fields}
+    y = {u: x[f][:, 0] * k + rng.normal(size=n) for f, units in fields.items() for k, u in enumerate(units)}
+    y["g"] = np.ones(n)
+    features = [(f, k, int(fold[k]), [float(v) for v in x[f][k]]) for f in fields for k in range(n)] + [("p", 99, 0, [9.0] * 3)]
+    responses = [(f, u, k, float(y[u][k])) for f, units in fields.items() for u in units for k in range(n)] + [("p", "a", 99, 1.0), ("p", "b", 99, None)]
+    got = fit_tests.fit_by_field(spark.createDataFrame(features, "field string, key long, fold int, x array<double>"), spark.createDataFrame(responses, "field string, unit string, key long, y double"), 0.4)
+    got = {(r.field, r.unit): r for r in got.collect()}
+    assert set(got) == {(f, u) for f, units in fields.items() for u in units}
+    assert got["q", "g"].corr is None and got["q", "g"].r2 is None
+    for (f, u), r in got.items():
+        if u != "g":
+            pred = np.full(n, np.nan)
+            for k in range(4):
+                train = fold != k
+                xm, ym = x[f][train].mean(0), y[u][train].mean()
+                w = np.linalg.solve((x[f][train] - xm).T @ (x[f][train] - xm) + 0.4 * np.eye(3), (x[f][train] - xm).T @ (y[u][train] - ym))
+                pred[~train] = (x[f][~train] - xm) @ w + ym
+            assert r.n == n and r.corr == pytest.approx(np.corrcoef(pred, y[u])[0, 1])
+            assert r.r2 == pytest.approx(1 - ((y[u] - pred) ** 2).sum() / ((y[u] - y[u].mean()) ** 2).sum())
