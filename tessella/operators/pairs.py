@@ -155,8 +155,9 @@ def matched_pairs(sources: DataFrame, others: DataFrame, apart: Column, seed: st
     few partners of both sides meet, and only source pairs that are still without a couple
     and have further partners go on with more of them.
     """
-    known = symmetric(sources.select(F.col("a").alias("p_i"), F.col("b").alias("p_j"), "d"), "p").select(F.col("a").alias("m0"), F.col("b").alias("m1"))
     columns, still, found, tried, most = sources.columns, materialize(sources, "sources"), None, 0, FIRST
+    known = symmetric(still.select(F.col("a").alias("p_i"), F.col("b").alias("p_j"), "d"), "p").select(F.col("a").alias("m0"), F.col("b").alias("m1"))
+    others = materialize(others.select("a", "b", "d"), "others")
     while True:
         one, two = (_partners(still, others, side, seed, most) for side in ("a", "b"))
         sides = materialize(one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1))), "partners")
