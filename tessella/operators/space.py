@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.scalars import border_distance, distance, draw
+from tessella.operators.ranking import spread_out
 
 
 def grid_edges(size: float, patch: float, step: float) -> list[float]:
@@ -63,54 +65,113 @@ def roi_hits(events: DataFrame, boxes: DataFrame, cells: DataFrame | None = None
     return at.withColumn("component", component).withColumn("hit", F.col("component").isNotNull()).drop("x1", "y1", "x2", "y2", "_c", "_masked", "px", "py")
 
 
-def _components(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of a mask, numbered from 1 in reading order."""
-    out, n = np.zeros(mask.shape, np.int32), 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if out[start]:
-            continue
-        n += 1
-        out[start], todo = n, deque([start])
-        while todo:
-            i, j = todo.popleft()
-            for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
-                    out[a, b] = n
-                    todo.append((a, b))
-    return out
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a mask in reading order: line, first and last column."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    line, first = np.nonzero(edges == 1)
+    return line, first, np.nonzero(edges == -1)[1] - 1
+
+
+def run_components(line: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """4-connected components of runs in reading order, numbered from 1 in that order.
+
+    Runs of neighbouring lines are joined where they overlap.
+    """
+    width = int(last.max(initial=0)) + 2
+    lo = np.searchsorted(line * width + last, (line + 1) * width + first)
+    hi = np.searchsorted(line * width + first, (line + 1) * width + last, "right")
+    above = np.repeat(np.arange(len(line)), np.maximum(hi - lo, 0))
+    below = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True) if x < y] or [np.zeros(0, np.int64)])
+    least = np.arange(len(line))
+    while True:  # the least run of each component spreads, by jumps
+        new = least.copy()
+        np.minimum.at(new, above, least[below])
+        np.minimum.at(new, below, least[above])
+        new = new[new]
+        if (new == least).all():
+            return np.unique(least, return_inverse=True)[1] + 1
+        least = new
 
 
 def dilate(components: np.ndarray, radius: int) -> np.ndarray:
     """Components grown by a disc; the canvas grows by the radius on every side, and a cell goes to the nearest component.
 
-    Of equally near ones the smaller number wins, so ids survive.
+    Of equally near ones the smaller number wins, so ids survive.  Each line first finds its
+    nearest on either side, then lines up to the radius away are compared.
     """
-    big = np.pad(components, radius)
-    out, best = big.copy(), np.where(big > 0, 0, np.iinfo(np.int64).max)
-    for di in range(-radius, radius + 1):
-        for dj in range(-radius, radius + 1):
-            far = di * di + dj * dj
-            if not far or far > radius * radius:
-                continue
-            moved = np.zeros_like(big)
-            moved[max(0, di) : big.shape[0] + min(0, di), max(0, dj) : big.shape[1] + min(0, dj)] = big[max(0, -di) : big.shape[0] + min(0, -di), max(0, -dj) : big.shape[1] + min(0, -dj)]
-            nearer = (moved > 0) & ((far < best) | ((far == best) & (moved < out)))
-            out[nearer], best[nearer] = moved[nearer], far
+    big = np.pad(components.astype(np.int64), radius)
+    height, width = big.shape
+    at, none = np.arange(width), 4 * (width + height + radius)
+    left = np.maximum.accumulate(np.where(big > 0, at, -none), axis=1)
+    right = np.minimum.accumulate(np.where(big > 0, at, none + width)[:, ::-1], axis=1)[:, ::-1]
+    ids = [np.take_along_axis(big, np.clip(x, 0, width - 1), 1) for x in (left, right)]
+    far_left, far_right = at - left, right - at
+    take_left = (far_left < far_right) | ((far_left == far_right) & (ids[0] <= ids[1]))
+    near, own = np.where(take_left, far_left, far_right), np.where(take_left, ids[0], ids[1])
+    out, best = np.zeros_like(big), np.full(big.shape, radius * radius + 1)
+    for down in range(-radius, radius + 1):
+        to, of = slice(max(0, down), height + min(0, down)), slice(max(0, -down), height + min(0, -down))
+        far = near[of] ** 2 + down * down
+        nearer = (far < best[to]) | ((far == best[to]) & (far <= radius * radius) & (own[of] < out[to]))
+        out[to][nearer], best[to][nearer] = own[of][nearer], far[nearer]
     return out
 
 
-def mask_cells(masks: DataFrame, radius: int, threshold: int = 127) -> DataFrame:
-    """(image, category, px, py, component) out of masks (image, category, width, height, pixels): one row for each covered pixel."""
+def _grown(line: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> dict[str, np.ndarray]:
+    """Runs of the grown components of runs in reading order: py, x0, x1, component."""
+    low, left = int(line.min()), int(first.min())
+    ids = run_components(line - low, first - left, last - left)
+    canvas = np.zeros((int(line.max()) - low + 1, int(last.max()) - left + 2), np.int64)
+    np.add.at(canvas, (line - low, first - left), ids)
+    np.add.at(canvas, (line - low, last - left + 1), -ids)
+    grown = dilate(canvas.cumsum(1)[:, :-1], radius)
+    cut = np.pad(grown, ((0, 0), (1, 1)))
+    change = cut[:, 1:] != cut[:, :-1]
+    y, x0 = np.nonzero(change[:, :-1] & (grown > 0))
+    x1 = np.nonzero(change[:, 1:] & (grown > 0))[1]
+    return {"py": y + low - radius, "x0": x0 + left - radius, "x1": x1 + left - radius, "component": grown[y, x0].astype(np.int32)}
+
+
+_RUN = "py long, x0 long, x1 long, component int"
+
+
+def mask_runs(masks: DataFrame, radius: int, threshold: int = 127) -> DataFrame:
+    """(image, category, py, x0, x1, component) out of masks (image, category, width, height, pixels): the runs of grown components."""
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                mask = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) > threshold
-                grown = dilate(_components(mask), radius)
-                py, px = np.nonzero(grown)
-                yield pd.DataFrame({"image": r.image, "category": r.category, "px": px - radius, "py": py - radius, "component": grown[py, px]})
+                found = runs_of(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) > threshold)
+                if len(found[0]):
+                    yield pd.DataFrame({"image": r.image, "category": r.category} | _grown(*found, radius))
 
-    return masks.select("image", "category", "width", "height", "pixels").mapInPandas(cells, "image long, category string, px long, py long, component int")
+    return masks.select("image", "category", "width", "height", "pixels").mapInPandas(runs, f"image long, category string, {_RUN}")
+
+
+def cell_runs(cells: DataFrame, radius: int, by: list[str]) -> DataFrame:
+    """(by, py, x0, x1, component) out of masks that are cells (by, px, py), repeats allowed: the runs of grown components.
+
+    Cells become runs in Spark; a task holds the runs of one image.
+    """
+    line = Window.partitionBy(*by, "py")
+    numbered = cells.select(*by, "py", "px").distinct().withColumn("_g", F.col("px") - F.row_number().over(line.orderBy("px")))
+    runs = numbered.groupBy(*by, "py", "_g").agg(F.min("px").alias("x0"), F.max("px").alias("x1"))
+
+    def grow(table: pa.Table) -> pa.Table:
+        line, first, last = (table.column(c).to_numpy().astype(np.int64) for c in ("py", "x0", "x1"))
+        order = np.lexsort((first, line))
+        found = _grown(line[order], first[order], last[order], radius)
+        here = table.select(by).take(pa.array(np.zeros(len(found["py"]), np.int64)))
+        return pa.table([*here.columns, *map(pa.array, found.values())], names=[*by, *found])
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
+    return spread_out(runs, *by).applyInArrow(grow, f"{kinds}, {_RUN}")
+
+
+def mask_cells(masks: DataFrame, radius: int, threshold: int = 127) -> DataFrame:
+    """(image, category, px, py, component) out of masks as for ``mask_runs``: one row for each covered pixel."""
+    runs = mask_runs(masks, radius, threshold)
+    return runs.select("image", "category", F.explode(F.sequence("x0", "x1")).alias("px"), "py", "component")
 
 
 def control_points(moves: DataFrame, width: float, height: float, seed: str) -> DataFrame:

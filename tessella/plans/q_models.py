@@ -31,6 +31,25 @@ def roi_hit(spark, sf_dir):
     return sp.roi_hits(rows, boxes(spark, sf_dir)).select("fix_id", "hit")
 
 
+#: Radius by which the masks of ``mask_components`` grow.
+GROWN = 2
+
+
+@query(f"""WITH RECURSIVE {FIX}, ce AS (SELECT DISTINCT image, CAST(x AS BIGINT) AS px, CAST(y AS BIGINT) AS py FROM fix),
+rc(image, px, py, o) AS (SELECT image, px, py, py * 1000 + px FROM ce
+  UNION SELECT c.image, c.px, c.py, rc.o FROM rc JOIN ce c ON c.image = rc.image AND abs(c.px - rc.px) + abs(c.py - rc.py) = 1),
+rt AS (SELECT image, px, py, min(o) AS o FROM rc GROUP BY ALL),
+cp AS (SELECT *, dense_rank() OVER (PARTITION BY image ORDER BY o) AS component FROM rt),
+ds AS (SELECT dx, dy FROM (SELECT unnest(range(-{GROWN}, {GROWN} + 1)) AS dx), (SELECT unnest(range(-{GROWN}, {GROWN} + 1)) AS dy) WHERE dx * dx + dy * dy <= {GROWN * GROWN}),
+gr AS (SELECT image, px + dx AS x, py + dy AS y, min({{'d': dx * dx + dy * dy, 'c': component}}).c AS c FROM cp, ds GROUP BY ALL),
+rn AS (SELECT *, x - row_number() OVER (PARTITION BY image, y, c ORDER BY x) AS g FROM gr)
+SELECT image, y AS py, min(x) AS x0, max(x) AS x1, CAST(c AS INT) AS component FROM rn GROUP BY image, y, c, g""")
+def mask_components(spark, sf_dir):
+    """Where each image is looked at, as a mask: its components, grown by a disc, in runs."""
+    cells = fixations(spark, sf_dir).select("image", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"))
+    return sp.cell_runs(cells, GROWN, ["image"])
+
+
 @query(f"""WITH {FIX}, {BOXES}, ce AS (SELECT p_partkey AS image, p_size % 10 - 50 + i AS px, j - 10 AS py, 1 + i // 5 AS component FROM part, (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE p_size % 3 = 0),
 e AS (SELECT fix_id, image, x - 50 AS x, y - 10 AS y FROM fix),
 h AS (SELECT fix_id, CASE WHEN image IN (SELECT image FROM ce) THEN ce.component WHEN x >= x1 AND x <= x2 AND y >= y1 AND y <= y2 THEN 0 END AS component

@@ -154,6 +154,34 @@ def test_dilation_keeps_component_ids(spark):
     assert rows(space.roi_hits(ev, boxes, space.mask_cells(df, 1)), "image", "x", "hit", "component") == [(1, 4.5, False, None), (1, 7.5, True, 2), (2, 0.0, True, 0), (3, 0.0, False, None)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_masks_as_runs(spark, seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.random((rng.integers(1, 14), rng.integers(1, 18))) < rng.choice([0.1, 0.5, 0.9])
+    ids, todo = np.zeros(mask.shape, int), 0
+    for start in zip(*np.nonzero(mask), strict=True):
+        if not ids[start]:
+            todo, todo_cells = todo + 1, [start]
+            while todo_cells:
+                i, j = todo_cells.pop()
+                if 0 <= i < mask.shape[0] and 0 <= j < mask.shape[1] and mask[i, j] and not ids[i, j]:
+                    ids[i, j] = todo
+                    todo_cells += [(i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)]
+    line, first, last = space.runs_of(mask)
+    assert [ids[y, x] for y, x in zip(line, first, strict=True)] == (space.run_components(line, first, last).tolist() if len(line) else [])
+    for radius in (0, 1, 3):
+        want = np.zeros((mask.shape[0] + 2 * radius, mask.shape[1] + 2 * radius), int)
+        for y, x in np.ndindex(want.shape):
+            near = [((y - radius - a) ** 2 + (x - radius - b) ** 2, ids[a, b]) for a, b in zip(*np.nonzero(mask), strict=True)]
+            want[y, x] = min(near)[1] if near and min(near)[0] <= radius**2 else 0
+        assert (space.dilate(ids, radius) == want).all()
+    if seed == 0:
+        df = spark.createDataFrame([(3, "c", mask.shape[1], mask.shape[0], (mask * np.uint8(255)).tobytes()), (4, "c", 2, 2, bytes(4))], "image long, category string, width int, height int, pixels binary")
+        cells = [(3, int(x), int(y)) for y, x in zip(*np.nonzero(mask), strict=True)] * 2
+        one = rows(space.mask_runs(df, 2), "py", "x0", "x1", "component")
+        assert one == rows(space.cell_runs(spark.createDataFrame(cells, "image long, px long, py long"), 2, ["image"]), "py", "x0", "x1", "component") and one
+
+
 def test_two_boxes_of_an_image_fail(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, 10.0, 10.0)] * 2, "image long, x double, y double, w double, h double, image_w double, image_h double")
     with pytest.raises(Exception, match="more than one box"):
