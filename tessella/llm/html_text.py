@@ -44,9 +44,10 @@ _OTHER_TAGS = frozenset("applet aside audio button canvas datalist dialog fields
 _OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status tablist toolbar tooltip".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 _OTHER_WORDS = _COMMENT_WORDS | frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs captcha consent cookie cookies disclaimer footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification"
-    " overlay pager pagination paywall popup promo promotion recommended related search share sharing sidebar signin signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
+    "ad ads adbox adsense alert advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs captcha consent cookie cookies disclaimer dropdown footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification"
+    " overlay pager pagination paywall popup promo promotion recommended related search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe teaser toast toolbar topbar topnav widget widgets".split()
 )
+_OTHER_PARTS = re.compile(r"(?:advert|breadcrumb|cookie|newsletter|sidebar)[a-z]*|[a-z]*(?:banner|comments|menu|navbar|sidebar)")
 _STATES = ("has", "no", "with", "without", "is")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -78,7 +79,9 @@ def _is_other(tag: str, attrs: dict[str, str]) -> bool:
         return False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
     words = {w.lower() for name in names if (split := _WORDS.findall(name)) and split[0].lower() not in _STATES for w in split}
-    return bool(words & (_COMMENT_WORDS if tag == "article" else _OTHER_WORDS))
+    if tag == "article":
+        return bool(words & _COMMENT_WORDS)
+    return bool(words & _OTHER_WORDS) or any(_OTHER_PARTS.fullmatch(w) for w in words)
 
 
 _OUTSIDE = ("", 0, False, False, False)

@@ -24,6 +24,15 @@ def test_article_without_what_stands_around_it():
     assert html_text.page_texts([page]) == ["Ti&tle\n\nOne link two.\n\nMilk\n\nEggs\n\nSub\n\nMore text, here."]
 
 
+@pytest.mark.parametrize("attribute", ["class='mainmenu'", "id=cookieBar", "class='left usercomments'", "class='SideBar-2'", "role=alert", "class='site-notice'", "hidden", "style='display: none'", "class='advertorial'", "id=newsletter_box"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_other_text_by_its_names(attribute, inside):
+    beside = f"<div {attribute}><p>Other text, of some length. And more of it, too.</p></div>"
+    text = "<p class='commentary has-sidebar'>The article, of course. It is long enough, too.</p>"
+    page = f"<article>{text}{beside}</article>" if inside else f"<div>{text}</div>{beside}"
+    assert html_text.page_texts([page]) == ["The article, of course. It is long enough, too."]
+
+
 def test_ratios_find_an_article_that_is_not_marked():
     text = "Long paragraph, with text. And more, of it. Indeed it goes on, and on, for quite some time."
     menu = "".join(f"<div class=x><a href={i}>Item {i}</a></div>" for i in range(9))
