@@ -27,6 +27,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_PLAIN = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 # Elements as HTML defines them.
@@ -78,7 +79,8 @@ def _is_other(tag: str, attrs: dict[str, str]) -> bool:
     if tag in ("html", "body", "main"):  # their classes tell of the whole page
         return False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    words = {w.lower() for name in names if (split := _WORDS.findall(name)) and split[0].lower() not in _STATES for w in split}
+    # sideBar as two words and as one
+    words = {w.lower() for name in names if (split := _WORDS.findall(name)) and split[0].lower() not in _STATES for w in (*split, *_PLAIN.findall(name))}
     if tag == "article":
         return bool(words & _COMMENT_WORDS)
     return bool(words & _OTHER_WORDS) or any(_OTHER_PARTS.fullmatch(w) for w in words)
