@@ -1,39 +1,57 @@
 """Events aligned with dense series: sliding gathers, window means, moving averages.
 
 A series is sparse: (unit, t, n) rows for the bins that aren't 0.  Window means go over
-prefix sums, looked up as of the window's edges, instead of a range join.
+running sums, looked up as of the window's edges, instead of a range join.  A unit's series
+is dealt over tasks by blocks of time, so no task holds a whole unit.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def densify(series: DataFrame, unit: str = "unit", t: str = "t", value: str = "n") -> DataFrame:
+#: Times of a block.
+SPAN = 1 << 16
+
+
+def _block(t: Column, span: int) -> Column:
+    return F.floor(t / span).cast("long")
+
+
+def _blocks(series: DataFrame, unit: str, t: str, span: int) -> DataFrame:
+    """(unit, _b, _lo, _hi): a row for each block from a unit's first time to its last, with these two."""
+    ends = series.groupBy(unit).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    return ends.select(unit, F.explode(F.sequence(_block(F.col("_lo"), span), _block(F.col("_hi"), span))).alias("_b"), "_lo", "_hi")
+
+
+def densify(series: DataFrame, unit: str = "unit", t: str = "t", value: str = "n", span: int = SPAN) -> DataFrame:
     """Every bin from a unit's first to its last, 0 where the series has none; a NULL stays."""
-    span = series.groupBy(unit).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    every = span.select(unit, F.explode(F.sequence("lo", "hi")).alias(t))
+    dealt = _blocks(series, unit, t, span).repartition(unit, "_b")  # a long unit's bins are made by many tasks
+    bins = F.sequence(F.greatest("_lo", F.col("_b") * span), F.least("_hi", (F.col("_b") + 1) * span - 1))
+    every = dealt.select(unit, F.explode(bins.cast(T.ArrayType(series.schema[t].dataType))).alias(t))
     return every.join(series.withColumn("_there", F.lit(True)), [unit, t], "left").select(unit, t, F.when(F.col("_there"), F.col(value)).otherwise(F.lit(0)).alias(value))
 
 
-def moving_average(dense: DataFrame, width: int, unit: str = "unit", t: str = "t", value: str = "n", scale: float = 1.0) -> DataFrame:
+def moving_average(dense: DataFrame, width: int, unit: str = "unit", t: str = "t", value: str = "n", scale: float = 1.0, span: int = SPAN) -> DataFrame:
     """``rate``: the mean of ``width`` bins from width // 2 before on, edges mirrored (d c b a | a b c d | d c b a).
 
-    Width 1 is the series itself.
+    Width 1 is the series itself.  Each block of a unit gets the bins that its own windows
+    reach into; units mustn't be NULL.
     """
     if width == 1:
         return dense.withColumn("rate", F.col(value) * scale)
-    before, after = width // 2, width - width // 2 - 1
-    span = Window.partitionBy(unit)
-    lo, hi = F.min(t).over(span), F.max(t).over(span)
-    marked = dense.withColumn("_lo", lo).withColumn("_hi", hi)
+    span, before, after = max(span, width), width // 2, width - width // 2 - 1
+    marked = dense.withColumn("_b", _block(F.col(t), span)).join(_blocks(dense, unit, t, span), [unit, "_b"])
     left = marked.where(F.col(t) < F.col("_lo") + before).withColumn(t, 2 * F.col("_lo") - F.col(t) - 1)
     right = marked.where(F.col(t) > F.col("_hi") - after).withColumn(t, 2 * F.col("_hi") - F.col(t) + 1)
-    padded = marked.unionByName(left).unionByName(right)
-    mean = F.avg(value).over(Window.partitionBy(unit).orderBy(t).rangeBetween(-before, after))
-    return padded.withColumn("rate", mean * scale).where(F.col(t).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    reach = F.sequence(_block(F.col(t) - after, span), _block(F.col(t) + before, span))
+    padded = marked.unionByName(left).unionByName(right).withColumn("_b", F.explode(reach))
+    mean = F.avg(value).over(Window.partitionBy(unit, "_b").orderBy(t).rangeBetween(-before, after))
+    own = F.col(t).between(F.col("_lo"), F.col("_hi")) & (_block(F.col(t), span) == F.col("_b"))
+    return padded.withColumn("rate", mean * scale).where(own).select(*dense.columns, "rate")
 
 
 def offsets(pre: int, post: int, step: int, inclusive: bool = False) -> Column:
@@ -49,26 +67,30 @@ def gather(events: DataFrame, series: DataFrame, steps: Column, at: Column, valu
     return met.select("event", unit, "off", F.when(F.col("_there"), F.col(value)).otherwise(F.lit(0)).alias("resp"))
 
 
-def prefix_sums(series: DataFrame, value: str = "n", unit: str = "unit") -> DataFrame:
-    """(unit, t, s): the sum of all bins up to and with t."""
-    return series.select(unit, "t", F.sum(value).over(Window.partitionBy(unit).orderBy("t")).alias("s"))
-
+def sums_below(marks: DataFrame, series: DataFrame, value: str = "n", unit: str = "unit", span: int = SPAN) -> DataFrame:
+    """``s`` for each mark (unit, t, ...): the sum of the unit's bins below t, 0 where there are none.
 
-def sums_as_of(marks: DataFrame, sums: DataFrame, unit: str = "unit") -> DataFrame:
-    """``s`` for each mark (unit, t, ...): the prefix sum over bins below t, 0 before the first."""
+    Running sums are taken within blocks; what the blocks before add up to is carried in, for
+    which one task sees a row for each of a unit's blocks.  Marks whose unit is NULL meet the bins without unit.
+    """
     names = [c for c in marks.columns if c not in (unit, "t")]
-    tagged = marks.withColumn("_s", F.lit(None).cast("double")).withColumn("_kind", F.lit(0))
-    known = sums.select(unit, "t", *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in names], F.col("s").cast("double").alias("_s"), F.lit(1).alias("_kind"))
-    # a mark comes before the sum of its own bin, so it sees the bins below it
-    w = Window.partitionBy(unit).orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.unionByName(known).withColumn("s", F.coalesce(F.last("_s", ignorenulls=True).over(w), F.lit(0.0)))
-    return both.where("_kind = 0").drop("_s", "_kind")
-
-
-def window_means(events: DataFrame, series: DataFrame, start: Column, width: int, value: str = "n", unit: str = "unit") -> DataFrame:
+    t = F.col("t").cast("double")
+    tagged = marks.select(unit, t.alias("t"), *names, F.col("t").alias("_t"), F.lit(0.0).alias("_v"), F.lit(0).alias("_kind"))
+    bins = series.select(unit, t.alias("t"), *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in names], F.lit(None).cast(marks.schema["t"].dataType).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"))
+    both = tagged.unionByName(bins).withColumn("_b", _block(F.col("t"), span))
+    # a mark comes before the bin at its own time, so it sees those below it
+    within = Window.partitionBy(unit, "_b").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.coalesce(F.sum("_v").over(within), F.lit(0.0))).where("_kind = 0")
+    earlier = Window.partitionBy(unit).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(unit, "_b").agg(F.sum("_v").alias("_s")).select(F.col(unit).alias("_u"), F.col("_b").alias("_c"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_carry"))
+    met = found.join(carried, F.col(unit).eqNullSafe(F.col("_u")) & F.col("_b").eqNullSafe(F.col("_c")))
+    return met.select(unit, F.col("_t").alias("t"), *names, (F.col("_own") + F.col("_carry")).alias("s"))
+
+
+def window_means(events: DataFrame, series: DataFrame, start: Column, width: int, value: str = "n", unit: str = "unit", span: int = SPAN) -> DataFrame:
     """(event, unit, resp): the mean over [start, start + width) of a sparse series."""
     edges = events.select("event", unit, F.explode(F.array(F.struct(start.alias("t"), F.lit(-1).alias("sign")), F.struct((start + width).alias("t"), F.lit(1).alias("sign")))).alias("e"))
-    found = sums_as_of(edges.select(unit, F.col("e.t").alias("t"), "event", F.col("e.sign").alias("sign")), prefix_sums(series, value, unit), unit)
+    found = sums_below(edges.select(unit, F.col("e.t").alias("t"), "event", F.col("e.sign").alias("sign")), series, value, unit, span)
     return found.groupBy("event", unit).agg((F.sum(F.col("s") * F.col("sign")) / width).alias("resp"))
 
 

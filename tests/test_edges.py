@@ -209,6 +209,57 @@ def test_window_means_are_range_sums(spark):
     assert got == {e: pytest.approx(sum(n for u, t, n in data if u == unit and at - 3 <= t < at + 4) / 7) for e, unit, at in ev}
 
 
+def long_unit():
+    """Unit 1 holds nine tenths of all bins, over many blocks of 16 and with a gap of some; unit 2 starts below 0."""
+    rng = random.Random(5)
+    data = {(1, t): float(rng.randint(0, 9)) for t in range(-100, 500) if not 120 <= t < 200 and rng.random() < 0.8}
+    return data | {(2, t): float(rng.randint(0, 9)) for t in range(-40, 10)}
+
+
+def test_long_units_are_dealt_by_blocks(spark):
+    from pyspark.sql import types as T
+
+    data = long_unit()
+    series = spark.createDataFrame([(u, t, n) for (u, t), n in data.items()], T.StructType.fromDDL("unit long, t long, n double"))
+    dense = align.densify(series, span=16)
+    want = {(u, t): data.get((u, t), 0.0) for u in (1, 2) for t in range(min(t for v, t in data if v == u), max(t for v, t in data if v == u) + 1)}
+    assert dense.schema["t"].dataType == T.LongType() and {(r.unit, r.t): r.n for r in dense.collect()} == want
+    for width in (2, 5, 40):  # 40 reaches over blocks, and over one and a half of those asked for
+        before, after, got = width // 2, width - width // 2 - 1, {}
+        for r in align.moving_average(dense, width, span=16).collect():
+            assert (r.unit, r.t) not in got
+            got[r.unit, r.t] = r.rate
+        for u in (1, 2):
+            times = sorted(t for v, t in want if v == u)
+            v = [want[u, t] for t in times]
+            padded = v[:before][::-1] + v + (v[-after:][::-1] if after else [])
+            assert [got[u, t] for t in times] == pytest.approx([sum(padded[i : i + width]) / width for i in range(len(v))])
+        assert got.keys() == want.keys()
+    marks = [(i, u, t) for i, (u, t) in enumerate((u, t) for u in (1, 2, 3) for t in range(-130, 540, 7))]
+    events = spark.createDataFrame(marks, "event long, unit long, t long")
+    found = {r.event: r.resp for r in align.window_means(events, series, F.col("t"), 33, span=16).collect()}
+    assert found == {e: pytest.approx(sum(data.get((u, t), 0.0) for t in range(at, at + 33)) / 33) for e, u, at in marks}
+
+
+def test_no_window_holds_a_whole_unit(spark):
+    """Tasks see a unit's blocks, or a row for each: with 20 blocks no window over bins has more than a block's."""
+    series = spark.range(20 * 1000).select(F.lit(1).cast("long").alias("unit"), F.col("id").alias("t"), F.lit(1).alias("n"))
+    plan = align.moving_average(align.densify(series, span=1000), 12, span=1000)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "+- Window " in line or line.lstrip().startswith("Window ")]
+    assert windows and all("_b#" in line for line in windows)
+    made = align.densify(series, span=1000).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in made) == 20 * 1000
+
+
+def test_sums_of_empty_and_null(spark):
+    series = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (None, 1, 5.0)], "unit long, t long, n double")
+    events = spark.createDataFrame([(0, 1, 0), (1, None, 0), (2, 9, 0), (3, 1, None)], "event long, unit long, t long")
+    got = {r.event: r.resp for r in align.window_means(events, series, F.col("t"), 2).collect()}
+    assert (got[0], got[1], got[2]) == (1.0, 2.5, 0.0) and got.keys() == {0, 1, 2, 3}
+    assert align.window_means(events.limit(0), series, F.col("t"), 2).count() == 0
+    assert {r.resp for r in align.window_means(events.where("t is not null"), series.limit(0), F.col("t"), 2).collect()} == {0.0}
+
+
 def test_offsets_end_before_or_at_post(spark):
     assert one(spark, a=align.offsets(4, 4, 2), b=align.offsets(4, 4, 2, True)) == ([-4, -2, 0, 2], [-4, -2, 0, 2, 4])
 
