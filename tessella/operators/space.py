@@ -217,59 +217,174 @@ def gaussian(params: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return amp * np.exp(-0.5 * ((u / a) ** 2 + (v / b) ** 2)) + base
 
 
-def _fit_gaussian(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float, float] | None:
-    """Levenberg-Marquardt from the weighted moments: (parameters, correlation of the start, of the fit)."""
-    w = np.maximum(z - np.median(z), 0)
-    if len(z) < 8 or not w.sum() > 0 or z.std() == 0:
-        return None
-    w = w / w.sum()
-    mx, my = (w * x).sum(), (w * y).sum()
-    cov = np.array([[(w * (x - mx) ** 2).sum(), (w * (x - mx) * (y - my)).sum()], [0, (w * (y - my) ** 2).sum()]])
-    cov[1, 0] = cov[0, 1]
+#: Cells that a stack of maps may have, padding included.
+STACK_CELLS = 1 << 19
+#: Maps are padded to a multiple of this many cells, so a map's sums don't depend on its neighbours.
+PAD = 32
+#: Variances up to this are taken as 0.
+FLAT = 1e-8
+
+STAGES = ("start", "fit")
+PARAMETERS = ("amplitude", "x0", "y0", "a", "b", "angle", "offset")
+STATISTICS = ("at_centre", "r", "weighted", "coverage")
+
+
+def _bumps(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each map's ellipse of height 1 at its cells, and the derivatives of the scaled one by all seven parameters."""
+    amp, mx, my, a, b, turn, _ = (c[:, None] for c in p.T)
+    c, s, dx, dy = np.cos(turn), np.sin(turn), x - mx, y - my
+    u, v = dx * c + dy * s, dy * c - dx * s
+    ua, vb = u / (a * a), v / (b * b)
+    bump = np.exp(-0.5 * (u * ua + v * vb))
+    scaled = amp * bump
+    return bump, np.stack([bump, scaled * (c * ua - s * vb), scaled * (s * ua + c * vb), scaled * u * ua / a, scaled * v * vb / b, scaled * (u * vb - v * ua), np.ones_like(bump)], 2)
+
+
+def _moment_start(x: np.ndarray, y: np.ndarray, z: np.ndarray, there: np.ndarray, w: np.ndarray, amp: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The ellipses of the weighted moments, major axis first."""
+    w = w / w.sum(1, keepdims=True)
+    mx, my = (w * x).sum(1), (w * y).sum(1)
+    dx, dy = np.where(there, x - mx[:, None], 0), np.where(there, y - my[:, None], 0)
+    cov = np.stack([(w * dx * dx).sum(1), (w * dx * dy).sum(1), (w * dx * dy).sum(1), (w * dy * dy).sum(1)], 1).reshape(-1, 2, 2)
     values, vectors = np.linalg.eigh(cov + 1e-6 * np.eye(2))
-    p = np.array([z.max() - np.median(z), mx, my, np.sqrt(values[1]), np.sqrt(values[0]), np.arctan2(vectors[1, 1], vectors[0, 1]), np.median(z)])
-    start = np.corrcoef(gaussian(p, x, y), z)[0, 1] if gaussian(p, x, y).std() > 0 else 0.0
-    damp, error = 1e-2, ((gaussian(p, x, y) - z) ** 2).sum()
-    for _ in range(60):
-        base = gaussian(p, x, y)
-        step = 1e-5 * np.maximum(np.abs(p), 1e-2)
-        jac = np.stack([(gaussian(p + step * e, x, y) - base) / step[i] for i, e in enumerate(np.eye(7))], 1)
-        normal = jac.T @ jac
-        move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-12), jac.T @ (z - base), rcond=None)[0]
-        tried = p + move
-        tried[3:5] = np.maximum(np.abs(tried[3:5]), 1e-3)
-        now = ((gaussian(tried, x, y) - z) ** 2).sum()
-        if np.isfinite(now) and now < error:
-            done = error - now < 1e-12 * error
-            p, error, damp = tried, now, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e8:
-                break
-    fitted = gaussian(p, x, y)
-    return p, float(start), float(np.corrcoef(fitted, z)[0, 1]) if fitted.std() > 0 else 0.0
-
-
-def fit_gaussians(maps: DataFrame, by: list[str], x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
-    """Per map: amplitude, x0, y0, a, b, angle, offset, the radius sqrt(a * b), and how the moments and the fit correlate with it.
-
-    Maps with fewer than eight cells, constant or nowhere above their median have NULLs.
+    return np.stack([amp, mx, my, np.sqrt(values[:, 1]), np.sqrt(values[:, 0]), np.arctan2(vectors[:, 1, 1], vectors[:, 0, 1]), base], 1)
+
+
+def _descend(p: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, there: np.ndarray, free: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Levenberg-Marquardt for all maps of a stack at once; each has its own damping and leaves when it is done."""
+    p = p.copy()
+
+    def error(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (np.where(there[at], q[:, :1] * _bumps(q, x[at], y[at])[0] + q[:, 6:] - z[at], 0) ** 2).sum(1)
+
+    left = np.arange(len(p))
+    damp, best = np.full(len(p), 1e-2), error(p, left)
+    for _ in range(rounds):
+        if not len(left):
+            break
+        q = p[left]
+        bump, slopes = _bumps(q, x[left], y[left])
+        slopes = np.where(there[left][:, :, None], slopes[:, :, free], 0)
+        off = np.where(there[left], z[left] - q[:, :1] * bump - q[:, 6:], 0)
+        turned = slopes.transpose(0, 2, 1)
+        normal, toward = turned @ slopes, turned @ off[:, :, None]
+        damped = normal + (damp[left][:, None] * (np.diagonal(normal, axis1=1, axis2=2) + 1e-12))[:, :, None] * np.eye(len(free))
+        try:
+            move = np.linalg.solve(damped, toward)[:, :, 0]
+        except np.linalg.LinAlgError:  # one of them is singular
+            move = (np.linalg.pinv(damped, hermitian=True) @ toward)[:, :, 0]
+        q[:, free] += move
+        q[:, 3:5] = np.maximum(np.abs(q[:, 3:5]), 1e-3)
+        now = error(q, left)
+        better = np.isfinite(now) & (now < best[left])
+        done = better & (best[left] - now < 1e-12 * best[left])
+        p[left[better]], best[left[better]] = q[better], now[better]
+        damp[left] = np.where(better, np.maximum(damp[left] / 3, 1e-12), damp[left] * 4)
+        left = left[~done & (damp[left] <= 1e8)]
+    return p
+
+
+def _statistics(p: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, there: np.ndarray, shape: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """By map: the value of the cell that holds the centre, the correlation of ellipse and ``shape``, the mean of
+    positive values weighted by the ellipse (0 where that is 0), and the share of the ellipse that the cells cover."""
+    bump = np.where(there, _bumps(p, x, y)[0], 0)
+    column = np.where(there & (x <= p[:, 1:2]), x, -np.inf).max(1, keepdims=True)
+    line = np.where(there & (y <= p[:, 2:3]), y, -np.inf).max(1, keepdims=True)
+    holds = there & (x == column) & (y == line)
+    centre = np.where(holds.any(1), np.where(holds, z, 0).sum(1), np.nan)
+    n = there.sum(1)
+    model = np.where(there, p[:, :1] * bump + p[:, 6:], 0)
+    dm, dz = (np.where(there, v - (np.where(there, v, 0).sum(1) / n)[:, None], 0) for v in (model, shape))
+    vm, vz = (dm * dm).sum(1), (dz * dz).sum(1)
+    r = np.where((vm > n * FLAT) & (vz > n * FLAT), (dm * dz).sum(1) / np.sqrt(np.where(vm * vz > 0, vm * vz, 1)), np.nan)
+    up = np.where(z > 0, bump, 0)
+    mass = up.sum(1)
+    mean = np.where(mass > 0, (up * np.where(there, z, 0)).sum(1) / np.where(mass > 0, mass, 1), 0)
+    return np.stack([centre, np.clip(r, -1, 1), mean, bump.sum(1) * area / (2 * np.pi * p[:, 3] * p[:, 4])], 1)
+
+
+def _step(v: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The smallest distance of two distinct coordinates, NaN where there is one only."""
+    line = np.sort(np.where(there, v, np.inf), axis=1)
+    last = there.sum(1)[:, None] - 1  # padding is at the end
+    gaps = np.diff(np.where(np.arange(line.shape[1]) <= last, line, np.take_along_axis(line, last, 1)), axis=1)
+    least = np.where(gaps > 0, gaps, np.inf).min(1, initial=np.inf)
+    return np.where(np.isfinite(least), least, np.nan)
+
+
+def _fit_stack(x: np.ndarray, y: np.ndarray, z: np.ndarray, there: np.ndarray, positive: bool) -> np.ndarray:
+    """Parameters, top value and the statistics of both stages for a stack of padded maps, NaN for those that can't be fitted."""
+    n = there.sum(1)
+    top = np.where(there, z, -np.inf).max(1)
+    if positive:
+        shape = np.where(there & (z > 0), z, 0) / np.where(top > 0, top, 1)[:, None]
+        w, amp, base, free = shape, np.ones(len(z)), np.zeros(len(z)), np.arange(1, 6)
+        fits = (w > 0).sum(1) > 1
+    else:
+        base = np.nanmedian(np.where(there, z, np.nan), axis=1)
+        shape, w, amp, free = z, np.where(there, np.maximum(z - base[:, None], 0), 0), top - base, np.arange(7)
+        fits = (n >= 8) & (w.sum(1) > 0)
+    out = np.full((len(z), len(PARAMETERS) + 1 + len(STAGES) * len(STATISTICS)), np.nan)
+    at = np.flatnonzero(fits)
+    if len(at):
+        x, y, z, there, shape, w, amp, base = (v[at] for v in (x, y, z, there, shape, w, amp, base))
+        area = _step(x, there) * _step(y, there)
+        start = _moment_start(x, y, z, there, w, amp, base)
+        p = _descend(start, x, y, shape, there, free)
+        given = p.copy()
+        given[:, 0] *= top[at] if positive else 1
+        given[:, 5] %= 2 * np.pi
+        out[at] = np.concatenate([given, top[at, None], *(_statistics(q, x, y, z, there, shape, area) for q in (start, p))], 1)
+    return out
+
+
+def fit_gaussians(maps: DataFrame, by: list[str], x: str = "x", y: str = "y", z: str = "z", positive: bool = False) -> DataFrame:
+    """Per map: an ellipse from the moments, refined by least squares, and five statistics for each of the two stages.
+
+    Returned are amplitude, x0, y0, a, b, angle, offset, the radius sqrt(a * b), ``top`` (the map's
+    largest value, the same for both stages), and for the stages ``start`` and ``fit``: ``at_centre``
+    (the value of the cell whose lower edges are the last ones up to the centre, NULL without one),
+    ``r`` (NULL where a variance is about 0), ``weighted`` (the mean of positive values weighted by the
+    ellipse) and ``coverage`` (the ellipse's integral over the cells, 1 when it lies within them).
+
+    All seven parameters are fitted to the values, for maps of at least eight cells of which one is
+    above the median.  With ``positive`` values below 0 count as 0 and the map is scaled to a top of 1,
+    to which position, SDs and angle alone are fitted; such maps need two values above 0.  Other maps
+    have NULLs.  Cells that are NULL or NaN are left out.
+
+    A map is one row of three arrays; a task fits all maps of an Arrow batch in stacks of
+    ``STACK_CELLS`` cells.
     """
     kinds = {f.name: f.dataType.simpleString() for f in maps.schema.fields}
-    names = ["amplitude", "x0", "y0", "a", "b", "angle", "offset", "radius", "r_start", "r_fit"]
-
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[x, y, z]).sort_values([x, y])
-        found = _fit_gaussian(*(frame[c].to_numpy(np.float64) for c in (x, y, z)))
-        if found is None:
-            return pd.DataFrame([[*key, *[None] * len(names)]], columns=[*by, *names])
-        p, start, fitted = found
-        return pd.DataFrame([[*key, *p, float(np.sqrt(p[3] * p[4])), start, fitted]], columns=[*by, *names])
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{n} double" for n in names)])
-    return maps.groupBy(*by).applyInPandas(fit, schema)
+    numbers = {c: F.col(c).cast("double") for c in (x, y, z)}
+    whole = F.lit(True)
+    for v in numbers.values():
+        whole = whole & v.isNotNull() & ~F.isnan(v)
+    cell = F.when(whole, F.struct(*[v.alias(n) for n, v in zip(("x", "y", "z"), numbers.values(), strict=True)]))
+    cells = spread_out(maps, *by).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    arrays = cells.select(*by, *[F.col(f"_cells.{n}").alias(f"_{n}") for n in ("x", "y", "z")])
+    names = [*PARAMETERS, "top", *(f"{n}_{stage}" for stage in STAGES for n in STATISTICS)]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(f"_{n}") for n in ("x", "y", "z")]
+            flat = [v.flatten().to_numpy(zero_copy_only=False) for v in lists]
+            sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            found = np.full((len(sizes), len(names)), np.nan)
+            padded = -(-sizes // PAD) * PAD
+            for width in np.unique(padded[sizes > 0]):
+                alike = np.flatnonzero((padded == width) & (sizes > 0))
+                each = max(1, STACK_CELLS // int(width))
+                for at in (alike[i : i + each] for i in range(0, len(alike), each)):
+                    there = np.arange(width) < sizes[at, None]
+                    take = np.where(there, first[at, None] + np.arange(width), first[at, None])
+                    found[at] = _fit_stack(*(np.where(there, v[take], 0.0) for v in flat), there, positive)
+            values = [pa.array(np.where(np.isfinite(c), c, 0.0), mask=~np.isfinite(c)) for c in found.T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *values], names=[*by, *names])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"{n} double" for n in names)])
+    return arrays.mapInArrow(fit, schema).withColumn("radius", F.sqrt(F.col("a") * F.col("b")))
 
 
 def acceptable_fit(fits: DataFrame, least_amplitude: float = 0.04, least_r: float = 0.7, least_start: float = 0.5) -> DataFrame:

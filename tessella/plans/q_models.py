@@ -112,6 +112,11 @@ def gaussian_fit(spark, sf_dir):
     return sp.fit_gaussians(maps(spark, sf_dir).withColumnRenamed("w", "z"), ["flag"])
 
 
+@query()
+def gaussian_fit_positive(spark, sf_dir):
+    return sp.fit_gaussians(maps(spark, sf_dir).withColumnRenamed("w", "z"), ["flag"], positive=True)
+
+
 @query()
 def map_consistency(spark, sf_dir):
     rows = fixations(spark, sf_dir).withColumn("split", F.col("trial") % 2)

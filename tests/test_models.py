@@ -212,6 +212,76 @@ def test_gaussian_fit_finds_its_parameters(spark):
     assert len(cons) == 2 and all(r.r > 0.999 for r in cons)
 
 
+def single_fit(x, y, z, free, p):
+    """A damped descent for one map, with derivatives by differences."""
+    damp, error = 1e-2, ((space.gaussian(p, x, y) - z) ** 2).sum()
+    for _ in range(200):
+        base = space.gaussian(p, x, y)
+        step = 1e-6 * np.maximum(np.abs(p), 1e-2)
+        jac = np.stack([(space.gaussian(p + step * e, x, y) - base) / step[i] for i, e in enumerate(np.eye(7))], 1)[:, free]
+        normal, tried = jac.T @ jac, p.copy()
+        tried[free] += np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), jac.T @ (z - base))
+        now = ((space.gaussian(tried, x, y) - z) ** 2).sum()
+        p, error, damp = (tried, now, damp / 3) if now < error else (p, error, damp * 4)
+        if damp > 1e8:
+            break
+    return p
+
+
+@pytest.mark.parametrize("positive", [False, True])
+def test_stacked_fits_are_single_fits(spark, positive):
+    rng = np.random.default_rng(3)
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(-6, 7.0), np.arange(-5, 6.0)))
+    truth, data = {}, []
+    for k in range(40):
+        true = np.array([rng.uniform(0.5, 3), *rng.uniform(-2, 2, 2), rng.uniform(1.8, 2.6), rng.uniform(1, 1.5), rng.uniform(0, 3), 0.0 if positive else rng.uniform(-1, 1)])
+        keep = rng.random(len(x)) < (1 if k % 2 else 0.8)  # every other map lacks cells
+        z = space.gaussian(true, x, y) + 0.02 * rng.standard_normal(len(x))
+        truth[k] = true, x[keep], y[keep], z[keep]
+        data += [(k, *map(float, v)) for v in zip(x[keep], y[keep], z[keep], strict=True)] + [(k, 50.0, 50.0, None), (k, 60.0, 60.0, float("nan"))]
+    maps = spark.createDataFrame(data, "k long, x double, y double, z double").repartition(3)
+    got = {r.k: r for r in space.fit_gaussians(maps, ["k"], positive=positive).collect()}
+    assert got.keys() == truth.keys()
+    for k, (true, x_, y_, z_) in truth.items():
+        r, up, top = got[k], np.maximum(z_, 0), z_.max()
+        free = np.arange(1, 6) if positive else np.arange(7)
+        start = true.copy()
+        if positive:
+            start[0] = 1.0
+        p = single_fit(x_, y_, up / top if positive else z_, free, start)
+        bump = space.gaussian(np.array([1, *p[1:6], 0]), x_, y_)
+        assert (r.x0, r.y0, r.radius, r.top) == pytest.approx((p[1], p[2], np.sqrt(abs(p[3] * p[4])), top), abs=1e-4)
+        assert (r.amplitude, r.offset) == pytest.approx((top, 0) if positive else (p[0], p[6]), abs=1e-4)
+        assert r.r_fit == pytest.approx(np.corrcoef(bump, up if positive else z_)[0, 1], abs=1e-5) and r.r_start is not None
+        mass = bump[z_ > 0].sum()  # none where no value is above 0
+        assert r.weighted_fit == pytest.approx((bump * up).sum() / mass if mass else 0, abs=1e-4)
+        assert r.coverage_fit == pytest.approx(bump.sum() / (2 * np.pi * abs(p[3] * p[4])), abs=1e-4)
+        cell = z_[(x_ == np.floor(p[1])) & (y_ == np.floor(p[2]))]
+        assert r.at_centre_fit == (cell[0] if len(cell) else None)
+
+
+def test_fits_of_unfit_maps(spark):
+    grid = [(float(i), float(j)) for i in range(4) for j in range(4)]
+    data = [("low", i, j, -1.0 - i) for i, j in grid] + [("few", 0.0, 0.0, 1.0)] + [("none", 0.0, 0.0, None)] + [("line", float(i), 0.0, float(i == 5)) for i in range(12)]
+    maps = spark.createDataFrame(data, "k string, x double, y double, z double")
+    got = {r.k: r for r in space.fit_gaussians(maps, ["k"], positive=True).collect()}
+    assert got.keys() == {"low", "few", "none", "line"} and all(r.x0 is None and r.r_fit is None for r in got.values())
+    free = {r.k: r for r in space.fit_gaussians(maps, ["k"]).collect()}
+    assert free["few"].x0 is None and free["none"].x0 is None and free["low"].x0 is not None
+    assert free["line"].coverage_fit is None  # cells on a line have no area
+    assert space.fit_gaussians(maps.limit(0), ["k"]).count() == 0
+
+
+def test_many_maps_take_few_tasks(spark):
+    xy = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    maps = spark.range(10_000).select(F.col("id").alias("k"), xy.alias("c")).select("k", (F.col("c") % 8).cast("double").alias("x"), F.floor(F.col("c") / 8).cast("double").alias("y"))
+    bump = F.exp(-0.5 * (F.pow(F.col("x") - 3 - F.col("k") % 3, 2) + F.pow((F.col("y") - 4) / 1.5, 2)))
+    fits = space.fit_gaussians(maps.withColumn("z", bump), ["k"], positive=True)
+    got = fits.agg(F.count("*"), F.max(F.abs(F.col("x0") - 3 - F.col("k") % 3)), F.max(F.abs(F.col("y0") - 4)), F.min("r_fit")).first()
+    assert got[0] == 10_000 and got[1] < 1e-4 and got[2] < 1e-4 and got[3] > 0.9999
+    assert fits.rdd.getNumPartitions() <= 64
+
+
 def test_moments_of_a_map(spark):
     rng = np.random.default_rng(3)
     x, y, w = rng.standard_normal(40), rng.standard_normal(40), np.maximum(rng.standard_normal(40), 0)
