@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Cells of an array that a task hands on at once.
-CELLS_PER_BATCH = 1_000_000
+from tessella.sources import npy
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str], name: str = "unit") -> DataFrame:
@@ -50,20 +46,31 @@ def read_sessions(spark: SparkSession, paths: list[str], config: DataFrame | Non
     return out.join(complete, "session", "left_semi")
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, column, value) of two-dimensional .npy files, plain or gzipped; 0 is left out, NaN is a row with NULL."""
+def read_arrays(spark: SparkSession, path: str, columns: list[int] | None = None, first_row: int | None = None, last_row: int | None = None) -> DataFrame:
+    """(path, row, column, value) of .npy tables (a row of one dimension is row 0), plain or gzipped; 0 is left out, NaN is a row with NULL.
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                a = np.atleast_2d(np.load(io.BytesIO(data), allow_pickle=False)).astype(np.float64)
-                i, j = np.nonzero(a)  # NaN isn't 0
-                for at in range(0, len(i), CELLS_PER_BATCH):
-                    r, c = i[at : at + CELLS_PER_BATCH], j[at : at + CELLS_PER_BATCH]
-                    yield pd.DataFrame({"path": name, "row": r, "column": c, "value": pd.Series(a[r, c], dtype="Float64")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row long, column long, value double")
+    ``path`` is a file, a folder or a pattern.  Plain files are read in byte ranges by many tasks,
+    gzipped ones by one each.  Only cells of the given columns and rows (both ends included) are read.
+    """
+    npy.register(spark)
+    options = {"first_row": first_row, "last_row": last_row, "columns": None if columns is None else ",".join(map(str, columns))}
+    return spark.read.format("npy").options(**{k: v for k, v in options.items() if v is not None}).load(path)
+
+
+def read_channels(spark: SparkSession, path: str, names: list[str], wanted: list[str]) -> DataFrame:
+    """(path, row, name, value) of the wanted columns of .npy tables whose columns have the given names, in their order.
+
+    A name that isn't there is an error, as is one that stands for two columns.
+    """
+    places = {n: i for i, n in enumerate(names)}
+    if len(places) < len(names):
+        raise ValueError("names of columns are repeated")
+    missing = [n for n in wanted if n not in places]
+    if missing:
+        raise KeyError(f"no column {missing[0]}")
+    asked = sorted({places[n] for n in wanted})
+    known = spark.createDataFrame([(i, names[i]) for i in asked], "column long, name string")
+    return read_arrays(spark, path, asked).join(F.broadcast(known), "column").select("path", "row", "name", "value")  # names that the caller lists
 
 
 def decode_portable_images(spark: SparkSession, path: str) -> DataFrame:
