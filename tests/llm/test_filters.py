@@ -151,12 +151,64 @@ def test_leaks(spark):
     assert rows(kept, "doc_id") == sorted([(d,) for d, _ in docs if d not in {w[0] for w in want}], key=str)
 
 
-def test_short_items_have_to_be_whole_words(spark):
+@pytest.mark.parametrize("whole_words", [False, True])
+def test_items_of_every_length(spark, whole_words):
+    """Items of 1 to 30 characters in texts that hold them with up to three edits, against a plain search."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcd", k=n))
+    items = [(n, " ".join(word(rng.randint(1, 6)) for _ in range(9))[:n].strip() or "a") for n in range(1, 31)]
+    texts = []
+    for i in range(150):
+        passage = list(items[i % 30][1])
+        for _ in range(rng.randint(0, 3)):
+            passage[rng.randrange(len(passage) or 1) : (rng.random() < 0.5) * len(passage)] = rng.choice("abx")
+        glue = rng.choice(["", " "])
+        texts.append((i, f"{word(5)} {word(7)}{glue}{''.join(passage)}{glue}{word(4)}"))
+    df = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in texts:
+        for n, item in items:
+            pattern, text = (f" {item} ", f" {t} ") if whole_words else (item, t)
+            distance = best_match(pattern, text)[0]
+            if distance <= int(len(item) * decontaminate.ERROR_RATE):
+                want.add((d, n, distance))
+    got = decontaminate.find_leaks(df, bench, whole_words=whole_words)
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "distance").collect()} == want
+    assert {int(len(dict(items)[n]) * decontaminate.ERROR_RATE) for _, n, _ in want} >= {0, 1}
+    assert rows(decontaminate.drop_contaminated(df, bench, whole_words=whole_words), "doc_id") == sorted([(d,) for d in {d for d, _ in texts} - {w[0] for w in want} | {900, 901}], key=str)
+
+
+def test_short_items_as_whole_words(spark):
     bench = spark.createDataFrame([(1, "Paris"), (2, " x = 7 "), (3, " "), (4, "é")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "in paris\tx  =\n7"), (2, "parish, comparis x = 71"), (3, "PARIS"), (4, "a é b paris paris"), (5, None)], "doc_id long, text string")
-    got = rows(decontaminate.find_leaks(docs, bench), "doc_id", "item_id", "distance", "start", "end")
+    got = rows(decontaminate.find_leaks(docs, bench, whole_words=True), "doc_id", "item_id", "distance", "start", "end")
     assert got == [(1, 1, 0, 3, 8), (1, 2, 0, 9, 14), (3, 1, 0, 0, 5), (4, 1, 0, 6, 11), (4, 4, 0, 2, 3)]
-    assert rows(decontaminate.drop_contaminated(docs, bench), "doc_id") == [(2,), (5,)]
+    assert rows(decontaminate.drop_contaminated(docs, bench, whole_words=True), "doc_id") == [(2,), (5,)]
+    assert rows(decontaminate.find_leaks(docs, bench), "doc_id", "item_id", "start", "end")[2:4] == [(2, 1, 0, 5), (2, 2, 17, 22)]
+    with pytest.raises(ValueError, match="error_rate"):
+        decontaminate.find_leaks(docs, bench, error_rate=1.0)
+
+
+def test_start_of_a_long_passage():
+    rng = random.Random(4)
+    for _ in range(100):
+        p = "".join(rng.choices("ab", k=rng.randint(1, 40)))
+        t = "".join(rng.choices("ab", k=rng.randint(1, 60)))
+        prefixes = [best_anchored(p, t[:j]) for j in range(1, len(t) + 1)]
+        least = min(prefixes)
+        want = (least, prefixes.index(least) + 1) if least < len(p) else None
+        got = decontaminate.myers(decontaminate.masks(p), len(p), t, len(p) - 1, anchored=True)
+        assert got == want
+
+
+def best_anchored(p, t):
+    column = list(range(len(p) + 1))
+    for j, c in enumerate(t, 1):
+        before, column[0] = column[0], j
+        for i, q in enumerate(p, 1):
+            before, column[i] = column[i], min(column[i] + 1, column[i - 1] + 1, before + (q != c))
+    return column[-1]
 
 
 def test_leaks_in_very_long_texts(spark):
