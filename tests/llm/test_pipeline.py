@@ -79,3 +79,50 @@ def test_mix_stage(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert pairs(corpus_pipeline.run(spark, SF)) == pairs(stages[5])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank and very long texts, repeated rows and ids, and columns that operators add themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.orderBy("doc_id").limit(12)
+    row = lambda i, text: docs.orderBy("doc_id").limit(1).withColumn("doc_id", F.lit(i).cast("long")).withColumn("text", F.lit(text).cast("string"))
+    out = docs.unionByName(first)  # the same rows again
+    for i, text in ((9001, None), (9002, ""), (9003, " \n\t"), (9004, "one two three"), (9005, "many plain words of a long text " * 20_000), (None, "a text without an id"), (None, None), (9006, "z again"), (9006, "another text of one id")):
+        out = out.unionByName(row(i, text))
+    own = {"score": F.lit("own"), "predicted": F.lit("own"), "held_out": F.lit("own"), "n_lines": F.lit("own"), "n_dropped": F.lit("own"), "kept": F.lit("own"), "component_id": F.lit("own"), "key": F.lit("own"), "rate": F.lit("own"), "item_id": F.lit("own"), "_row": F.lit("own"), "nested": F.array(F.struct(F.col("lang").alias("text")))}
+    return out.withColumns(own)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_odd_rows_and_columns(spark, odd, stage, tmp_path):
+    name, run = corpus_pipeline.STAGES[stage]
+    odd.write.parquet(f"file://{tmp_path}/in")
+    docs = spark.read.parquet(f"file://{tmp_path}/in")
+    run(spark, docs, SF).write.parquet(f"file://{tmp_path}/out")
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert got.dtypes == docs.dtypes, name
+    own = [c for c in docs.columns if dict(docs.dtypes)[c] == "string" and c not in ("text", "lang", "source")]
+    assert got.where(" or ".join(f"{c} is null or {c} <> 'own'" for c in own)).count() == 0
+    before, after = pairs_of(docs), pairs_of(got)
+    ids = {i for i, _ in after}
+    if name == "quality classifier":
+        assert set(after) <= set(before) and all(after.count(d) == before.count(d) for d in set(after))
+    elif name == "line dedup":
+        assert sorted(i or -1 for i, _ in after) == sorted(i or -1 for i, _ in before) and all(t is not None for _, t in after)
+        assert (9001, "") in after and (9004, "one two three") in after
+    elif name == "near-dedup":
+        named = [i for i, _ in after if i is not None]
+        assert len(named) == len(set(named)) and set(after) <= set(before)
+        assert (9006, "another text of one id") in after and {(9001, None), (9002, ""), (9003, " \n\t")} <= set(after)
+        assert sum(i is None for i, _ in after) == 2
+    elif name == "decontamination":
+        assert all(after.count(d) in (0, before.count(d)) for d in set(before))
+        assert {None, 9001, 9002, 9003, 9004, 9005} <= ids
+    else:
+        assert set(after) <= set(before)
+    assert run(spark, docs.limit(0), SF).count() == 0
+
+
+def pairs_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
