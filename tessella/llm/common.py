@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.scratch import materialize, release, scratch_path
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD_PATTERN", "ascii_lower", "lookup_skewed", "materialize", "partitions", "release", "scratch_path"]
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD_PATTERN", "ascii_lower", "lookup_skewed", "materialize", "partitions", "release", "scratch_path", "shuffle_partitions"]
 
 #: The separators of words: space and the controls from tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -26,6 +29,17 @@ def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows // per_task) + 1)
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within, joins and aggregations shuffle into ``n`` partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def lookup_skewed(left: DataFrame, right: DataFrame, keys: list[str], uses: str, share: int = 1000) -> DataFrame:
     """``left`` left-joined with ``right``, whose keys are unique; ``uses`` counts the left rows of a key.
 

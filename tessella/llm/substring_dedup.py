@@ -3,8 +3,8 @@
 A window of words that occurs twice has the same minimizer (the phrase of ``PHRASE``
 words with the smallest hash) at the same place in both occurrences.  So:
 
-1. every document gives its minimizer phrases, each with a digest of the span of words
-   whose windows it stands for; phrases that occur once are done with;
+1. every document gives the hash of its minimizer phrases, each with a digest of the span
+   of words whose windows it stands for; phrases that occur once are done with;
 2. windows of the phrases that are left are confirmed: a span that occurs twice confirms
    all its windows at once, of the others each window is counted;
 3. the phrases of the passages that recur are the dictionary; each shard of documents
@@ -12,8 +12,10 @@ words with the smallest hash) at the same place in both occurrences.  So:
    through it.  Only where the automaton finds a phrase are the windows around it held
    against the confirmed ones, and the words that these cover are removed.
 
-The dictionary's texts come from the rows that confirm a passage, whichever document gave
-them, and a shard is sent what can occur in it, so automata stay as small as their shards.
+Phrases, spans and windows are counted before their rows meet, and frequent ones are salted
+when counts go back to the rows, so no task sees all rows of a frequent phrase.  Texts
+travel only for passages that recur: one shard gives the text of a passage's phrase, and
+the shards in which the passage occurs are sent it, so automata stay as small as they are.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, partitions
+from tessella.llm.common import lookup_skewed, materialize, partitions, release, shuffle_partitions
 from tessella.llm.words import Powers, mix, word_bounds, word_hashes
 
 WINDOW, PHRASE = 35, 8
 #: Text bytes of a shard of documents, which one task holds at a time.
 SHARD_BYTES = 8_000_000
-#: Rows that a map task gathers before it adds up equal ones, and that a task holds behind a shuffle.
+#: Rows that a map task gathers before it adds up equal ones, and that a task gets behind a shuffle, about.
 GATHERED = PER_TASK = 1_000_000
 #: Tasks of a stage over shards at most; beyond, a task does several shards one after the other.
 MAX_TASKS = 50_000
 
+#: The kind of a window, beside those of spans.
+_WINDOW = 8
+
 _U = np.uint64
 _POWERS = (Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F))
 #: Bytes of text that are worked on at once.
@@ -110,29 +115,25 @@ class Texts:
         starts = np.repeat(self.first[spans] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         return starts, *self._digests(starts, starts + self.window, 0)
 
-    def phrase_texts(self) -> pa.Array:
+    def phrase_texts(self, chosen: np.ndarray | slice = slice(None)) -> list[bytes]:
         """The text of each span's phrase; words have to be joined by one space."""
-        begin = self.start[self.at]
-        sizes = self.stop[self.at + PHRASE - 1] - begin
-        ends = np.cumsum(sizes)
-        raw = np.frombuffer(self.data, np.uint8)[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
-        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(raw)])
+        at = self.at[chosen]
+        return [self.data[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at + PHRASE - 1].tolist(), strict=True)]
 
 
-def _added(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows whose columns but the last (a count) are equal made one, their counts added; and the first of each."""
+def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows whose columns but the last (a count) are equal made one, their counts added."""
     *keys, n = columns
     if not len(n):
-        return columns, np.zeros(0, np.int64)
+        return columns
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], 0)]
-    return [*(k[new] for k in keys), np.add.reduceat(n[order], np.flatnonzero(new))], order[new]
+    return [*(k[new] for k in keys), np.add.reduceat(n[order], np.flatnonzero(new))]
 
 
-def _batch(columns: list[np.ndarray | pa.Array], names: list[str]) -> pa.RecordBatch:
-    numbers = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays(numbers, names=names)
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c.astype(np.int64)) for c in columns], names=names)
 
 
 def _joined(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -140,13 +141,9 @@ def _joined(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b" ".join(t.split()) for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def _spans_added(held: list[tuple[list[np.ndarray], pa.Array]]) -> pa.RecordBatch:
-    columns, first = _added([np.concatenate(c) for c in zip(*[h[0] for h in held], strict=True)])
-    texts = pa.concat_arrays([h[1] for h in held]).take(pa.array(first))
-    return _batch([*columns, texts], ["phrase", "d1", "d2", "shard", "n", "text"])
-
-
 def _count_spans(window: int):
+    names = ["phrase", "d1", "d2", "shard", "n"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
@@ -155,58 +152,48 @@ def _count_spans(window: int):
                 found = Texts(some, window)
                 if found.n_windows:
                     of = np.searchsorted(found.bounds, found.first, "right") - 1
-                    held.append(([found.phrase, *found.spans(), shards[place + of], np.ones(len(of), np.int64)], found.phrase_texts()))
+                    held.append([found.phrase, *found.spans(), shards[place + of], np.ones(len(of), np.int64)])
                     size += len(of)
             if size > GATHERED:
-                yield _spans_added(held)
+                yield _batch(_added([np.concatenate(c) for c in zip(*held, strict=True)]), names)
                 held, size = [], 0
         if held:
-            yield _spans_added(held)
+            yield _batch(_added([np.concatenate(c) for c in zip(*held, strict=True)]), names)
 
     return count
 
 
-def _whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    table = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(table) if table else None
-
-
-def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(c).to_numpy() for c in names]
-
-
-def _recurring_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the phrases that occur twice or more: what each shard has to do with each span.
+def _recurring_spans(counted: DataFrame) -> DataFrame:
+    """(d1, d2, shard, kind, uses): what each shard has to do with each span of the phrases that occur twice or more.
 
-    ``kind`` 1: the span occurs twice or more, so all its windows are confirmed.  2: its windows
-    are to be counted.  3: both; one shard counts the windows of such a span, for others
-    that share only some of them.
+    ``kind`` adds up 1: the span occurs twice or more, so all its windows are confirmed;
+    2: its windows are to be counted; 4: the shard gives the text of its phrase.  Spans of
+    which others share only some windows have 1 and, in one shard, 2.  ``uses`` is the
+    number of the span's rows.
     """
-    table = _whole_partition(batches)
-    if table is None:
-        return
-    (phrase, d1, d2, shard, n), first = _added(_numbers(table, "phrase", "d1", "d2", "shard", "n"))
-    new_span = np.r_[True, (phrase[1:] != phrase[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
-    new_phrase = np.r_[True, phrase[1:] != phrase[:-1]]
-    of_span, of_phrase = np.cumsum(new_span) - 1, np.cumsum(new_phrase) - 1
-    per_span = np.add.reduceat(n, np.flatnonzero(new_span))[of_span]
-    per_phrase = np.add.reduceat(n, np.flatnonzero(new_phrase))[of_phrase]
-    mixed = np.add.reduceat(new_span.astype(np.int64), np.flatnonzero(new_phrase))[of_phrase] > 1
-    kind = np.where(per_span > 1, 1, 0) + np.where(mixed & ((per_span == 1) | new_span), 2, 0)
-    stay = (per_phrase > 1) & (kind > 0)
-    # every shard is sent the same text for a passage's phrase
-    text = table.column("text").combine_chunks().take(pa.array(first[np.flatnonzero(new_span)][of_span[stay]]))
-    yield _batch([*(x[stay] for x in (d1, d2, shard, kind)), text], ["d1", "d2", "shard", "kind", "text"])
-
-
-def _recurring_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _whole_partition(batches)
-    if table is None:
-        return
-    (d1, d2, shard, n), _ = _added(_numbers(table, "d1", "d2", "shard", "n"))
-    new = np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
-    twice = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] > 1
-    yield _batch([d1[twice], d2[twice], shard[twice], np.full(int(twice.sum()), 4)], ["d1", "d2", "shard", "kind"])
+    mixed = (F.min("d1") < F.max("d1")) | (F.min("d2") < F.max("d2"))
+    phrases = counted.groupBy("phrase").agg(F.sum("n").alias("phrase_n"), F.count("*").alias("phrase_uses"), mixed.alias("mixed"))
+    phrases = materialize(phrases.where("phrase_n > 1").drop("phrase_n"), "repeat-phrases")
+    met = lookup_skewed(counted, phrases, ["phrase"], "phrase_uses").where("phrase_uses is not null")
+    rows = materialize(met.select("d1", "d2", "shard", "n", "mixed"), "repeat-candidates")
+    spans = rows.groupBy("d1", "d2").agg(F.sum("n").alias("span_n"), F.count("*").alias("uses"), F.min("shard").alias("giver"))
+    spans = materialize(spans, "repeat-distinct")
+    gives = F.col("shard") == F.col("giver")
+    kind = F.when(F.col("span_n") > 1, 1).otherwise(0) + F.when(F.col("mixed") & ((F.col("span_n") == 1) | gives), 2).otherwise(0) + F.when(gives, 4).otherwise(0)
+    known = lookup_skewed(rows.drop("n"), spans, ["d1", "d2"], "uses").select("d1", "d2", "shard", kind.cast("long").alias("kind"), "uses")
+    known = materialize(known, "repeat-spans")
+    release(phrases, rows, spans)
+    return known
+
+
+def _recurring(windows: DataFrame) -> DataFrame:
+    """(d1, d2, shard, kind) of the windows that occur twice or more."""
+    twice = windows.groupBy("d1", "d2").agg(F.sum("n").alias("window_n"), F.count("*").alias("uses"))
+    twice = materialize(twice.where("window_n > 1").drop("window_n"), "repeat-twice")
+    met = lookup_skewed(windows.drop("n"), twice, ["d1", "d2"], "uses").where("uses is not null")
+    met = materialize(met.select("d1", "d2", "shard", F.lit(_WINDOW).alias("kind")), "repeat-windows")
+    release(twice)
+    return met
 
 
 class _Known:
@@ -214,12 +201,12 @@ class _Known:
 
     def __init__(self, table: pa.Table) -> None:
         d1, d2, kind = (table.column(c).to_numpy() for c in ("d1", "d2", "kind"))
-        order = np.argsort(d1, kind="stable")
-        self.d1, self.d2, self.kind = d1[order], d2[order], kind[order]
+        self.order = np.argsort(d1, kind="stable")
+        self.d1, self.d2, self.kind = d1[self.order], d2[self.order], kind[self.order]
 
-    def kinds(self, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
-        """The kind of each digest, 0 where unknown."""
-        d1, d2, out = d1.view(np.int64), d2.view(np.int64), np.zeros(len(d1), np.int64)
+    def places(self, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """A place of each digest in the sorted arrays, -1 where unknown."""
+        d1, d2, out = d1.view(np.int64), d2.view(np.int64), np.full(len(d1), -1)
         if not len(self.d1) or not len(d1):
             return out
         at = np.searchsorted(self.d1, d1)
@@ -228,30 +215,45 @@ class _Known:
             open_ = open_[at[open_] < len(self.d1)]
             open_ = open_[self.d1[at[open_]] == d1[open_]]
             met = self.d2[at[open_]] == d2[open_]
-            out[open_[met]] = self.kind[at[open_[met]]]
+            out[open_[met]] = at[open_[met]]
             open_ = open_[~met]
             at[open_] += 1
         return out
 
+    def kinds(self, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """The kind of each digest, 0 where unknown."""
+        return np.r_[self.kind, 0][self.places(d1, d2)]
+
 
-_KEYED = "d1 long, d2 long, shard long, n long"
+_FOUND = "d1 long, d2 long, shard long, n long, text binary"
 
 
 def _count_windows(window: int):
+    """Of a shard: its windows that are to be counted, and the texts of the phrases that it gives (n: the rows to be sent one)."""
+
     def count(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        known, held = _Known(spans), []
+        known, held, texts = _Known(spans), [], {}
+        uses = spans.column("uses").to_numpy()[known.order]
         for _, some in pieces(_joined(docs.column("text"))) if spans.num_rows else ():
             found = Texts(some, window)
             if found.n_windows:
-                kinds = known.kinds(*found.spans())
+                s1, s2 = found.spans()
+                places = known.places(s1, s2)
+                kinds = np.r_[known.kind, 0][places]
                 chosen = np.flatnonzero(kinds & 2)
                 _, w1, w2 = found.windows(chosen)
                 # a window of a confirmed span occurs elsewhere, too
                 twice = np.repeat(kinds[chosen] & 1, (found.last - found.first + 1)[chosen])
                 held.append([w1, w2, np.ones(len(w1), np.int64) + twice])
+                given = np.flatnonzero(kinds & 4)
+                digests = zip(s1.view(np.int64)[given].tolist(), s2.view(np.int64)[given].tolist(), uses[places[given]].tolist(), strict=True)
+                texts.update(zip(digests, found.phrase_texts(given), strict=True))
         shard = docs.column("shard")[0].as_py() if docs.num_rows else 0
-        d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)])[0] if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
-        return pa.Table.from_batches([_batch([d1, d2, np.full(len(n), shard), n], ["d1", "d2", "shard", "n"])])
+        d1, d2, n = _added([np.concatenate(c) for c in zip(*held, strict=True)]) if held else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        t1, t2, sent = (np.array(c, np.int64) for c in zip(*texts, strict=True)) if texts else [np.zeros(0, np.int64)] * 3
+        columns = [np.r_[d1.view(np.int64), t1], np.r_[d2.view(np.int64), t2], np.full(len(n) + len(sent), shard), np.r_[n, sent]]
+        out = _batch(columns, ["d1", "d2", "shard", "n"])
+        return pa.Table.from_batches([out]).append_column("text", pa.array([None] * len(n) + list(texts.values()), pa.binary()))
 
     return count
 
@@ -289,7 +291,7 @@ def _covered(found: Texts, places: np.ndarray, known: _Known) -> np.ndarray:
         np.add.at(covered, found.first[whole], 1)
         np.add.at(covered, found.last[whole] + found.window, -1)
         starts, w1, w2 = found.windows(hit[(kinds & 3) == 2])
-        starts = starts[known.kinds(w1, w2) == 4]
+        starts = starts[known.kinds(w1, w2) == _WINDOW]
         np.add.at(covered, starts, 1)
         np.add.at(covered, starts + found.window, -1)
     return np.cumsum(covered)[:-1]
@@ -341,16 +343,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # rows that repeat one id are told apart by their text
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.md5("text")), F.lit(shards)).cast("int"))
 
-    # a word has six bytes with its space, a span's minimizer stands for 14 words on average; windows come from spans that recur
-    dealt = partitions(docs.sparkSession, n_bytes / 6 / 14, PER_TASK)
-    counted = rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long, text binary")
-    spans = materialize(counted.repartition(dealt, F.col("phrase")).mapInArrow(_recurring_spans, "d1 long, d2 long, shard long, kind long, text binary"), "repeat-spans")
     # a task holds a shard at a time; shards are dealt by their numbers, so tasks get equally many
     tasks = min(shards, MAX_TASKS)
     sharded = lambda df: df.withColumn("shard", F.col("shard").cast("int")).repartitionById(tasks, F.col("shard")).groupBy("shard")
-    windows = sharded(rows).cogroup(sharded(spans.where("kind >= 2").drop("text"))).applyInArrow(_count_windows(window), _KEYED)
-    fine = windows.repartition(dealt, F.col("d1")).mapInArrow(_recurring_windows, "d1 long, d2 long, shard long, kind long")
-    confirmed = spans.unionByName(materialize(fine, "repeat-windows"), allowMissingColumns=True)
+    # a word has six bytes with its space, a span's minimizer stands for 14 words on average; windows come from spans that recur
+    with shuffle_partitions(docs.sparkSession, partitions(docs.sparkSession, n_bytes / 6 / 14, PER_TASK)):
+        counted = materialize(rows.select("text", "shard").mapInArrow(_count_spans(window), "phrase long, d1 long, d2 long, shard long, n long"), "repeat-counts")
+        spans = _recurring_spans(counted)
+        release(counted)
+        found = sharded(rows).cogroup(sharded(spans.where("kind >= 2"))).applyInArrow(_count_windows(window), _FOUND)
+        found = materialize(found, "repeat-found")
+        windows = _recurring(found.where("text is null").drop("text"))
+        texts = found.where("text is not null").select("d1", "d2", F.col("n").alias("sent"), "text")
+        confirmed = materialize(lookup_skewed(spans.drop("uses"), texts, ["d1", "d2"], "sent").drop("sent"), "repeat-confirmed")
+        release(spans, found)
+    confirmed = confirmed.unionByName(windows, allowMissingColumns=True)
     return sharded(rows).cogroup(sharded(confirmed)).applyInArrow(_remove(window), _RESULT)
 
 

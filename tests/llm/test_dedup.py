@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import components, exact_dedup, line_dedup, near_dedup, substring_dedup
 from tessella.llm.common import lookup_skewed, materialize
@@ -277,7 +278,7 @@ def test_places_come_from_the_automaton():
     texts = [" ".join(["x", "y", *passage]), " ".join([*passage, "z"])]
     found = substring_dedup.Texts([t.encode() for t in texts], window)
     d1, d2 = (d.view(np.int64) for d in found.spans())
-    phrases = found.phrase_texts().to_pylist()
+    phrases = found.phrase_texts()
     assert {p.decode() for p in phrases} < {" ".join(passage[i : i + substring_dedup.PHRASE]) for i in range(30)} | {" ".join(["x", "y", *passage][i : i + substring_dedup.PHRASE]) for i in range(2)}
     docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": texts})
     sent = lambda texts: pa.table({"d1": d1, "d2": d2, "kind": np.ones(len(d1), np.int64), "text": pa.array(texts, pa.binary())})
@@ -304,6 +305,27 @@ def test_words_that_collide_in_powers_of_two_are_told_apart(spark):
     assert rows(near_dedup.near_groups(df), "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
 
 
+def test_a_passage_of_every_document_is_dealt_over_tasks(spark, monkeypatch):
+    """A passage whose surroundings always differ: its spans are all distinct, its inner windows recur, its phrases are everywhere."""
+    passage, few = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(12)]
+    docs = [(i, " ".join([f"a{i}", *(f"{i}b{k}" for k in range(30)), *passage, *(f"{i}c{k}" for k in range(30)), *few, *(f"{i}d{k}" for k in range(30))])) for i in range(600)]
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 4000)
+    sizes = {}
+
+    def written(df, name):
+        out = materialize(df, name)
+        sizes[name] = sorted(r[1] for r in out.groupBy(F.input_file_name()).count().collect()) or [0]
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", written)
+    out = substring_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA).repartition(8), 35)
+    assert rows(out, "doc_id", "n_words", "n_removed", "kept") == repeat_brute(docs, 35)
+    assert out.where("n_removed <> 40").count() == 0
+    for name in ("repeat-candidates", "repeat-spans", "repeat-windows"):
+        assert sizes[name][-1] < sum(sizes[name]) / 2, (name, sizes[name])
+    assert sum(sizes["repeat-distinct"]) >= 600
+
+
 def test_repeats_of_very_long_texts_and_clashing_columns(spark):
     rng = random.Random(4)
     long = " ".join(f"{rng.randrange(10**6)}" for _ in range(60_000))
