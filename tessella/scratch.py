@@ -55,15 +55,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage without tying the rows to one executor: any task of a
-    later stage can be run again after an executor is lost.
+    later stage can be run again after an executor is lost.  Rows of one value of
+    ``by`` are files of their own, so a condition on it reads no others.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +72,6 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and nothing will read again."""
     for df in tables:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            known = [p for p in _made if p.split(":", 1)[-1].lstrip("/") == parent.split(":", 1)[-1].lstrip("/")]
+            known = [p for p in _made if f"{parent.split(':', 1)[-1].lstrip('/')}/".startswith(f"{p.split(':', 1)[-1].lstrip('/')}/")]
             for path in known:
                 _delete(_made.pop(path), path)
