@@ -5,10 +5,10 @@ merge-joined with the runs of all batches before: what the runs hold was seen in
 smaller id, the rest (the anti-join) is new and is a run of its own.  When a level has
 ``FANOUT`` runs they are merged into one sorted run of the next level.
 
-Runs are bucketed by their hashes into as many sorted files as the session has shuffle
-partitions, so a batch is merged with them file by file: only the batch's own hashes are
-shuffled, and a run is neither shuffled nor sorted when it is read.  DataFrame functions
-only.
+Runs are bucketed by their hashes into sorted files, of which the size of the texts gives
+the number, so a batch is merged with them file by file: only the batch's own hashes are
+shuffled, and a run is neither shuffled nor sorted when it is read.  The lines of a batch
+are files of their own, so each is read with its batch alone.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, ascii_lower, lookup_skewed, materialize, release, scratch_path
+from tessella.llm.common import SPACE, ascii_lower, lookup_skewed, materialize, partitions, release, scratch_path, shuffle_partitions
 
 FANOUT = 2
-#: Lines of a batch, about; there are ``LEAST_BATCHES`` at least.
-LINES_PER_BATCH, LEAST_BATCHES = 1_000_000_000, 3
+#: Text bytes of a batch, about; there are ``LEAST_BATCHES`` at least.
+BATCH_BYTES, LEAST_BATCHES = 10_000_000_000_000, 3
+#: Text bytes of which a bucket holds the keys, about; Spark makes no more than ``MOST_BUCKETS``.
+BUCKET_BYTES, MOST_BUCKETS = 1_000_000_000, 100_000
 
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -50,7 +52,7 @@ def _runs_in_order(spark: SparkSession) -> Iterator[None]:
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of sorted buckets in the shared folder; one file for each, if equal hashes share a partition."""
     spark = df.sparkSession
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark makes no more
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     table = f"tessella_run_{uuid.uuid4().hex}"
     out = df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
     out.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
@@ -114,9 +116,20 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = No
     """(_id, _text_hash, _dropped): for each document that loses lines, the line numbers from 0.
 
     Documents are told apart by id and text, so rows that repeat both share one entry.
-    Without ``batches`` there are as many as ``LINES_PER_BATCH`` asks for.
+    Without ``batches`` there are as many as ``BATCH_BYTES`` asks for.
     """
     spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    with shuffle_partitions(spark, min(partitions(spark, n_bytes, BUCKET_BYTES), MOST_BUCKETS)):
+        return _dropped_lines(docs, min_chars, batches or max(LEAST_BATCHES, n_bytes // BATCH_BYTES + 1), id_col, text_col)
+
+
+def _dropped_lines(docs: DataFrame, min_chars: int, batches: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    cuts = docs.agg(F.percentile_approx(id_col, [b / batches for b in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    # ids that are null come last
+    batch_of = F.when(F.col("_id").isNull(), len(cuts)).otherwise(sum((F.col("_id") > c).cast("int") for c in cuts) if cuts else 0)
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keys = F.posexplode(F.split(ascii_lower("_text"), "\n", -1)).alias("_pos", "_line")
     key = F.btrim("_line", F.lit(SPACE))
@@ -124,27 +137,19 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int | None = No
         base.select("_id", F.xxhash64("_text").alias("_text_hash"), keys)
         .select("_id", "_text_hash", "_pos", key.alias("_key"))
         .where(F.char_length("_key") >= min_chars)
-        .select("_id", "_text_hash", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("h2"))
+        .select("_id", "_text_hash", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("h2"), batch_of.cast("int").alias("_batch"))
     )
-    lines = materialize(lines, "lines")  # 16 bytes of hash for a line, so the texts are split once
-    if batches is None:
-        batches = max(LEAST_BATCHES, lines.count() // LINES_PER_BATCH + 1)
-    cuts = lines.agg(F.percentile_approx("_id", [b / batches for b in range(1, batches)], 10_000)).first()[0] or []
+    lines = materialize(lines, "lines", by="_batch")  # 16 bytes of hash for a line, so the texts are split once
     runs, out = LineRuns(), []
-    edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines
-        if low is not None:
-            batch = batch.where((F.col("_id") > low) | (F.col("_id").isNull() if high is None else F.lit(False)))
-        if high is not None:
-            batch = batch.where(F.col("_id") <= high)
+    for number in range(len(cuts) + 1):
+        batch = lines.where(F.col("_batch") == number).drop("_batch")
         found = batch.groupBy("h1", "h2").agg(F.min("_id").alias("own_id"), F.max("_id").alias("last_id"), F.count("*").alias("uses"), F.count_if(F.col("_id").isNull()).alias("unnamed"))
         with _runs_in_order(spark):
             merged = _bucketed(runs.first_ids(found), "line-batch")
         repeated = merged.select("h1", "h2", F.coalesce("first_id", "own_id").alias("first_id"), "last_id", "uses", "unnamed").where("first_id < last_id or (first_id is not null and unnamed > 0)")
         met = lookup_skewed(batch, repeated, ["h1", "h2"], "uses").where("first_id is not null and (_id is null or first_id < _id)")
         out.append(materialize(met.groupBy("_id", "_text_hash").agg(F.collect_set("_pos").alias("_dropped")), "line-dropped"))
-        if high is None:  # nothing comes after the last batch
+        if number == len(cuts):  # nothing comes after the last batch
             release(merged)
         else:  # the batch's table, without what the runs hold, is a run
             runs.add(merged.where("first_id is null and own_id is not null").select("h1", "h2", F.col("own_id").alias("first_id")))

@@ -83,6 +83,33 @@ def test_lines(spark, batches):
     assert rows(line_dedup.dedup_lines(df, batches=batches), "doc_id", "n_lines", "n_dropped", "text") == line_brute(docs)
 
 
+@pytest.mark.parametrize("batches", [3, 12])
+def test_each_line_is_read_with_its_batch_alone(spark, monkeypatch, batches):
+    written, reads = {}, []
+
+    def lines_written(df, name, by=None):
+        out = materialize(df, name, by)
+        if by:
+            written["rows"] = out.count()
+            monkeypatch.setattr(line_dedup, "lookup_skewed", lambda batch, *rest: reads.append(batch) or lookup_skewed(batch, *rest))
+            written["files"] = {}
+            for number, file in out.select(by, F.input_file_name()).distinct().collect():
+                written["files"].setdefault(number, []).append(file)
+        elif name == "line-dropped":  # before the lines are deleted
+            read = reads[-1]
+            assert "PartitionFilters: [isnotnull(_batch" in read._jdf.queryExecution().executedPlan().toString()
+            files = {r[0] for r in read.select(F.input_file_name()).distinct().collect()}
+            assert files == set(written["files"].get(len(reads) - 1, []))
+            written["read"] = written.get("read", 0) + read.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", lines_written)
+    docs = [(i, f"a line of its own {i}\na line of all documents\na line of ten {i // 10}") for i in range(80)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, SCHEMA), batches=batches)
+    assert rows(out, "doc_id", "n_lines", "n_dropped", "text") == line_brute(docs)
+    assert (len(reads), written["read"]) == (batches, written["rows"])
+
+
 def test_lines_keep_clashing_columns(spark):
     df = spark.createDataFrame([(1, "one line of text", 7, 8, 9), (2, "one line of text\nx", 7, 8, 9)], SCHEMA + ", n_lines long, _id long, _dropped long")
     out = line_dedup.dedup_lines(df)
