@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import draw
@@ -65,3 +66,20 @@ def test_couples_are_the_first_that_fit_in_draw_order(spark, monkeypatch):
         if fit:
             want[a, b] = min(fit)[3:]
     assert want and got == want
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 10**6])
+def test_pairs_meet_across_tiles_crowded_or_not(spark, monkeypatch, crowd):
+    monkeypatch.setattr(pairs, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    rows = [(k % 2, k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-40, 40, (300, 2)) / 2)]  # tiles of 8, many rows on their borders
+    df = spark.createDataFrame(rows, "image int, fix_id int, x double, y double")
+    want = [(p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 1]
+    assert sorted((r.image, r.fix_id_i, r.fix_id_j) for r in pairs.return_pairs(df, 1.0).collect()) == sorted(want)
+
+
+def test_both_directions_share_one_search(spark):
+    df = spark.createDataFrame([(1, k, float(k), 0.0, 10.0 * k, 0.0) for k in range(5)], "image int, fix_id int, x double, y double, ux double, uy double")
+    both = pairs.symmetric(pairs.return_pairs(df, 1.0, keep=("ux", "uy")), keep=("ux", "uy"))
+    assert sorted((r.a, r.b, r.ux_a, r.ux_b) for r in both.collect()) == sorted((a, b, 10.0 * a, 10.0 * b) for a in range(5) for b in range(5) if abs(a - b) == 1)
+    assert {r.source for r in pairs.one_sided_match(both, 10.0, "s").collect()} == set(range(5)) and not pairs.one_sided_match(both, 11.0, "s").count()
