@@ -511,3 +511,17 @@ def test_unit_selection(spark):
 def test_draws_are_uniform(spark):
     x = np.array([r[0] for r in spark.range(4000).select(scalars.draw("s", F.col("id"))).collect()]) / 2**32
     assert abs(x.mean() - 0.5) < 0.02 and 0 <= x.min() and x.max() < 1
+
+
+def test_only_responses_of_paired_events_are_shuffled(spark):
+    responses = spark.range(1000).selectExpr("id as event", "stack(2, 'a', id, 'b', -id) as (unit, resp)")
+    pairs = spark.createDataFrame([(0, 2, 5, 7), (1, 2, 900, 5)], "k long, n long, i long, j long")
+    values = resample.unit_values(pairs, responses)
+    assert sorted((r.k, r.unit, r.a, r.b) for r in values.collect()) == [(0, "a", 5.0, 7.0), (0, "b", -5.0, -7.0), (1, "a", 900.0, 5.0), (1, "b", -900.0, -5.0)]
+    assert values._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2  # once for each side
+
+
+def test_criteria_hold_on_their_border_up_to_rounding(spark):
+    rows = spark.createDataFrame([(1.0, 100.0, 0.0, 2.0, 1.0, 0.0, 1.0, 99.99999999999999), (1.0, 100.0, 0.0, 2.0, 1.0, 24.999999999999996, 24.999999999999996, 100.0)], "t double, clearance double, peak0 double, peak1 double, valid double, bias double, sd double, mean_clearance double")
+    accepted, report = crossing.acceptable_latency(rows)
+    assert accepted.count() == 1 and report.first().asDict() == dict(finite=2, clear=2, between_peaks=2, valid=2, unbiased=1, precise=1, clear_boots=2, total=2)
