@@ -7,60 +7,54 @@ keyed bijection.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions import draws
-from tessella.operators.models import fold_grams
-from tessella.operators.ranking import global_rank, rank_within, spread_out
+from tessella.operators.ranking import global_rank, rank_within
 from tessella.scratch import materialize
 
-#: Samples of a place, responses of a unit, and units that one task holds at once.
-SAMPLES, RESPONSES, UNITS = 1 << 16, 1 << 18, 16
-#: Tasks over which replicates are dealt.
+#: Samples of a chunk, responses of a unit, and units that one task holds at once.
+SAMPLES, RESPONSES, UNITS = 1 << 17, 1 << 24, 16
+#: Chunks over which the samples are dealt at least, responses of a row.
+CHUNKS, SEGMENT = 8, 1 << 16
+#: Tasks over which the replicates of a place and unit are dealt once their sums are there.
 PARTS = 8
 #: Numbers of a block of replicates, samples and units.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 21
 #: Variances up to it count as none.
 LEAST_VARIANCE = 1e-8
 
 
-def _replicates(n_perm: int, part: int) -> np.ndarray:
-    """The replicates of a part; the first has -1 too, the responses as they are."""
-    own = np.arange(n_perm * part // PARTS, n_perm * (part + 1) // PARTS)
-    return np.append(-1, own) if part == 0 else own
-
-
-def _places(keys: np.ndarray, replicates: np.ndarray, n: int, first: int, last: int) -> np.ndarray:
-    out = draws.places(keys, n, first, last).astype(np.int64)
-    out[replicates < 0] = np.arange(first, last)
-    return out
-
-
-def _products(row: dict, first: int, start: int, n: int, n_folds: int, replicates: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """By unit and replicate, for both conditions and every fold: sums of the features times y, of y, and of its square.
+def _products(x: list[np.ndarray], folds: list[np.ndarray], y: np.ndarray, k: np.ndarray, start: int, n: int, n_folds: int, replicates: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """By place, unit and replicate, for both conditions and every fold: sums of the features times y, of y, and of its square.
 
-    The row has the samples from ``first`` and the responses from ``start``.
+    ``k`` numbers the samples, in which order each place has features (with a column of ones) and folds; ``y``
+    has the responses of each unit from ``start`` and a last column of 0 for those that another piece has.
     """
-    fold = row["fold"]
-    x = np.concatenate([row["x"].reshape(len(fold), -1), np.ones((len(fold), 1))], 1)
-    units = len(row["units"])
-    y = np.concatenate([row["y"].reshape(units, -1), np.zeros((units, 1))], 1)  # what another piece has counts as 0
-    size = y.shape[1] - 1
-    out = np.zeros((units, len(replicates), 2, n_folds, x.shape[1] + 1))
-    step = max(1, AT_ONCE // (len(fold) * units))
+    units, size = len(y), y.shape[1] - 1
+    own = [[np.flatnonzero(fold == f) for f in range(n_folds)] for fold in folds]
+    held = [[v[rows] for rows in at] for v, at in zip(x, own, strict=True)]
+    out = np.zeros((len(x), units, len(replicates), 2, n_folds, x[0].shape[1] + 1))
+    step = max(1, AT_ONCE // max(1, len(k) * units))
     for lo in range(0, len(replicates), step):
         some = slice(lo, lo + step)
         for cond in (0, 1):
-            at = _places(keys[some], replicates[some], 2 * n, cond * n + first, cond * n + first + len(fold)) - start
+            at = draws.places(keys[some], 2 * n, at=cond * n + k).astype(np.int64)
+            at[replicates[some] < 0] = cond * n + k
+            at -= start
             drawn = y[:, np.where((at >= 0) & (at < size), at, size)]  # unit, replicate, sample
-            for f in range(n_folds):
-                own = np.flatnonzero(fold == f)
-                part = drawn[:, :, own]
-                out[:, some, cond, f, :-1] = part @ x[own]
-                out[:, some, cond, f, -1] = (part * part).sum(2)
+            for p in range(len(x)):
+                for f in range(n_folds):
+                    part = drawn[:, :, own[p][f]]
+                    out[p, :, some, cond, f, :-1] = part @ held[p][f]
+                    out[p, :, some, cond, f, -1] = np.einsum("urs,urs->ur", part, part)
     return out
 
 
@@ -91,11 +85,12 @@ def _scores(sums: np.ndarray, grams: np.ndarray, alpha: float) -> tuple[np.ndarr
     return np.stack([corr(*m) for m in moments], -1), corr(n, sp, sy, pp, yy, py), r2
 
 
-def _stacked(grams: pa.Table, n_folds: int) -> np.ndarray:
-    """The sums of a place's features by fold."""
-    by_fold = dict(zip(grams.column("fold").to_pylist(), grams.column("gram").to_pylist(), strict=True))
-    size = int(len(next(iter(by_fold.values()))) ** 0.5)
-    return np.stack([np.array(by_fold.get(f, [0.0] * size * size)).reshape(size, size) for f in range(n_folds)])
+def _added(at: np.ndarray, lists: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Lists of one length added up to the row that ``at`` says, of ``n`` rows."""
+    flat = lists.combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    out = np.zeros((n, flat.shape[1]))
+    np.add.at(out, at, flat)
+    return out
 
 
 def _fixed(x: np.ndarray) -> pa.ListArray:
@@ -119,53 +114,76 @@ def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float,
     seen = features.where("x IS NOT NULL").groupBy("key").agg(F.count("*").alias("_p")).where(F.col("_p") == n_places)
     samples = materialize(global_rank(whole.join(seen, "key").select("key"), ["key"], "_k").withColumn("_k", F.col("_k") - 1), "samples")
     n = samples.count()
-    kept = materialize(features.select("place", "key", "fold", F.transform("x", lambda v: v.cast("double")).alias("x")).join(samples, "key"), "fit-features")
-    n_folds = (kept.agg(F.max("fold")).first()[0] or 0) + 1
-    held = F.array_sort(F.collect_list(F.struct("_k", "fold", "x"))).alias("_h")
-    chunks = kept.groupBy("place", F.expr(f"_k div {SAMPLES}").alias("chunk")).agg(held).select("place", "chunk", F.col("_h.fold").alias("fold"), F.flatten("_h.x").alias("x"))
-
-    each = responses.join(samples, "key").select("unit", F.posexplode(F.array(F.col("y0").cast("double"), F.col("y1").cast("double"))).alias("_c", "_y"), "_k").withColumn("_at", F.col("_c") * n + F.col("_k"))
-    pieces = each.groupBy("unit", F.expr(f"_at div {RESPONSES}").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("_at", "_y"))).alias("_h"))
-    numbered = materialize(global_rank(responses.select("unit").distinct(), ["unit"], "_r"), "units")
-    blocks = pieces.join(numbered, "unit").groupBy(F.expr(f"(_r - 1) div {UNITS}").alias("_block"), "piece").agg(F.collect_list(F.struct("unit", F.col("_h._y").alias("y"))).alias("_h"))
-    blocks = blocks.select("_block", "piece", F.col("_h.unit").alias("units"), F.flatten("_h.y").alias("y"))
-    n_pieces, n_blocks = max(1, -(-2 * n // RESPONSES)), max(1, -(-n_units // UNITS))
+    there = features.where("x IS NOT NULL")
+    n_folds = (there.agg(F.max("fold")).first()[0] or 0) + 1
+    n_pieces, n_blocks, n_chunks = max(1, -(-2 * n // RESPONSES)), max(1, -(-n_units // UNITS)), max(CHUNKS, -(-n // SAMPLES))
+    segment = min(SEGMENT, RESPONSES)
+    # features are shuffled once, to the chunk of their key; what a chunk's samples draw comes to it as numbers
+    chunk = F.pmod(F.xxhash64("key"), F.lit(n_chunks)).cast("int").alias("chunk")
     meet = F.explode(F.sequence(F.lit(0), F.lit(n_pieces * n_blocks - 1))).alias("_m")
-    pairs = chunks.select("*", meet).join(blocks.withColumn("_m", F.col("_block") * n_pieces + F.col("piece")), "_m")
-    dealt = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-
-    def multiply(table: pa.Table) -> pa.Table:
-        row = {c: table.column(c)[0].values.to_numpy(zero_copy_only=False) if c in ("fold", "x", "y") else table.column(c)[0].as_py() for c in ("chunk", "piece", "fold", "x", "y", "units", "_part")}
-        replicates = _replicates(n_perm, row["_part"])
+    chunks = there.select("place", "key", "fold", "x", chunk, meet)
+    each = responses.join(samples, "key").select("unit", F.posexplode(F.array(F.col("y0").cast("double"), F.col("y1").cast("double"))).alias("_c", "_y"), "_k").withColumn("_at", (F.col("_c") * n + F.col("_k")).cast("long"))
+    piece, row = F.expr(f"_at div {RESPONSES}"), F.expr(f"_at % {RESPONSES} div {segment}")
+    series = each.groupBy("unit", piece.alias("piece"), row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("_at", "_y"))).alias("_h"))
+    numbered = materialize(global_rank(responses.select("unit").distinct(), ["unit"], "_r"), "units")
+    dealt = series.join(numbered, "unit").select("unit", F.col("_h._at")[0].alias("_at"), F.col("_h._y").alias("y"), (F.expr(f"(_r - 1) div {UNITS}") * n_pieces + F.col("piece")).cast("int").alias("_m"))
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    drawn = samples.select(chunk, meet, "key", "_k").unionByName(dealt, allowMissingColumns=True)
+    kinds = {c: df.schema[c].dataType for c, df in (("place", features), ("unit", responses))}
+
+    def multiply(key: tuple, features: pa.Table, drawn: pa.Table) -> pa.Table:
+        mine, given = drawn.filter(pc.is_valid(drawn.column("_k"))), drawn.filter(pc.is_valid(drawn.column("y")))
+        replicates = np.arange(-1, n_perm)
         keys = draws.bijection_keys(seed, replicates)
-        out = _products(row, row["chunk"] * SAMPLES, row["piece"] * RESPONSES, n, n_folds, replicates, keys)
-        at = np.repeat(np.arange(len(row["units"])), len(replicates))
-        lists = _fixed(out.reshape(len(at), -1))
-        place = table.column("place").combine_chunks().take(pa.array(np.zeros(len(at), np.int64)))
-        return pa.table([place, pa.array(row["units"]).take(pa.array(at)), pa.array(np.full(len(at), row["_part"], np.int32)), pa.array(np.tile(replicates, len(row["units"]))), lists], names=["place", "unit", "_part", "b", "sums"])
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("place", features), ("unit", responses))}
-    sums = spread_out(dealt, "place", "chunk", "_m", "_part").applyInArrow(multiply, f"place {kinds['place']}, unit {kinds['unit']}, _part int, b long, sums array<double>")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
-    grams = fold_grams(kept, ["place"], "x", []).select("place", "fold", "gram")
-    meet = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block")
-    units = numbered.select("unit", F.expr(f"(_r - 1) div {UNITS}").alias("_block"))
-    everywhere = grams.select("*", meet).join(units, "_block").select("place", "unit", "fold", "gram", parts)
+        features = features.append_column("_at", pc.index_in(features.column("key"), mine.column("key").combine_chunks()))
+        features = features.filter(pc.is_valid(features.column("_at")))
+        if not features.num_rows or not given.num_rows:
+            return pa.table([pa.array([], to_arrow_type(kinds["place"])), pa.array([], to_arrow_type(kinds["unit"])), pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64()))], names=["place", "unit", "b", "sums"])
+        places = features.column("place").combine_chunks().dictionary_encode()
+        flat = features.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(features.num_rows, -1)
+        at, fold, k = (t.column(c).to_numpy() for t, c in ((features, "_at"), (features, "fold"), (mine, "_k")))
+        x, folds = [], []
+        for code in range(len(places.dictionary)):
+            rows = np.flatnonzero(places.indices.to_numpy() == code)
+            rows = rows[np.argsort(at[rows])]  # every place has all samples
+            x.append(np.concatenate([flat[rows].astype(np.float64), np.ones((len(rows), 1))], 1))
+            folds.append(fold[rows])
+        units = given.column("unit").combine_chunks().dictionary_encode()
+        start = key[1].as_py() % n_pieces * RESPONSES
+        y = np.zeros((len(units.dictionary), min(RESPONSES, 2 * n - start) + 1))
+        for u, first, values in zip(units.indices.to_pylist(), given.column("_at").to_numpy(), given.column("y").combine_chunks(), strict=True):
+            y[u, first - start : first - start + len(values)] = values.values.to_numpy()
+        out = _products(x, folds, y, k, start, n, n_folds, replicates, keys)
+        named = [np.repeat(np.arange(len(x)), y.shape[0] * len(replicates)), np.tile(np.repeat(np.arange(len(y)), len(replicates)), len(x))]
+        tables = [pa.table([places.dictionary.take(pa.array(named[0])), units.dictionary.take(pa.array(named[1])), pa.array(np.tile(replicates, len(x) * len(y))), _fixed(out.reshape(len(named[0]), -1))], names=["place", "unit", "b", "sums"])]
+        if key[1].as_py() == 0:  # the sums of the features are the same for all
+            z = [np.concatenate([v[:, -1:], v[:, :-1]], 1) for v in x]
+            grams = np.stack([(v[fold == f].T @ v[fold == f]).ravel() for v, fold in zip(z, folds, strict=True) for f in range(n_folds)])
+            none = pa.nulls(len(grams), units.dictionary.type)
+            tables.append(pa.table([places.dictionary.take(pa.array(np.repeat(np.arange(len(x)), n_folds))), none, pa.array(-2 - np.tile(np.arange(n_folds), len(x))), _fixed(grams)], names=["place", "unit", "b", "sums"]))
+        return pa.concat_tables(tables)
+
+    names = {c: t.simpleString() for c, t in kinds.items()}
+    multiplied = chunks.groupBy("chunk", "_m").cogroup(drawn.groupBy("chunk", "_m")).applyInArrow(multiply, f"place {names['place']}, unit {names['unit']}, b long, sums array<double>")
+    sums = materialize(multiplied, "products")
+    grams = sums.where("b < -1").select(F.col("place").alias("of_place"), (-2 - F.col("b")).alias("fold"), F.col("sums").alias("grams"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part")
+    everywhere = grams.crossJoin(numbered.select(F.col("unit").alias("of_unit"), parts))  # a row for each place, fold, chunk, unit and part
+    products = sums.where("b >= -1").withColumn("_part", F.pmod("b", F.lit(PARTS)).cast("int"))
 
     def solve(key: tuple, products: pa.Table, grams: pa.Table) -> pa.Table:
-        b, flat = products.column("b").to_numpy(), products.column("sums").combine_chunks()
-        replicates, at = np.unique(b, return_inverse=True)
-        total = np.zeros((len(replicates), len(flat.flatten()) // max(len(b), 1)))
-        np.add.at(total, at, flat.flatten().to_numpy().reshape(len(b), -1))
-        each, pooled, _r2 = _scores(total.reshape(len(replicates), 2, n_folds, -1), _stacked(grams, n_folds), alpha)
+        replicates, at = np.unique(products.column("b").to_numpy(), return_inverse=True)
+        total = _added(at, products.column("sums"), len(replicates))
+        held = _added(grams.column("fold").to_numpy(), grams.column("grams"), n_folds)
+        size = int(held.shape[1] ** 0.5)
+        each, pooled, _r2 = _scores(total.reshape(len(replicates), 2, n_folds, -1), held.reshape(n_folds, size, size), alpha)
         names = ["place", "unit", "b", "corr0", "corr1", "d"]
         take = pa.array(np.zeros(len(replicates), np.int64))
         gaps = each[:, 1] - each[:, 0]
         return pa.table([products.column("place").combine_chunks().take(take), products.column("unit").combine_chunks().take(take), pa.array(replicates), pa.array(pooled[:, 0]), pa.array(pooled[:, 1]), _fixed(gaps)], names=names)
 
-    by = ["place", "unit", "_part"]
-    schema = f"place {kinds['place']}, unit {kinds['unit']}, b long, corr0 double, corr1 double, d array<double>"
-    fits = materialize(sums.groupBy(*by).cogroup(everywhere.groupBy(*by)).applyInArrow(solve, schema), "fits")
+    schema = f"place {names['place']}, unit {names['unit']}, b long, corr0 double, corr1 double, d array<double>"
+    fits = materialize(products.groupBy("place", "unit", "_part").cogroup(everywhere.groupBy("of_place", "of_unit", "of_part")).applyInArrow(solve, schema), "fits")
     seen = fits.where("b < 0").select("place", "unit", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("corr0", "corr1")])
     gaps = fits.select("place", "unit", "b", F.posexplode("d").alias("fold", "d"))
     if reference is not None:
@@ -191,48 +209,59 @@ def fit_by_field(features: DataFrame, responses: DataFrame, alpha: float) -> Dat
     normal equations.  Samples that lack a response of some unit of the field are left out for the
     field; correlation and R squared of the pooled held-out predictions are NULL without variance.
     """
-    given = responses.where("y IS NOT NULL AND NOT isnan(y)")
-    n_units = responses.select("field", "unit").distinct().groupBy("field").agg(F.count("*").alias("_n"))
-    whole = given.groupBy("field", "key").agg(F.count("*").alias("_u")).join(n_units, "field").where("_u = _n").select("field", "key")
-    kept = features.where("x IS NOT NULL").select("field", "key", "fold", F.transform("x", lambda v: v.cast("double")).alias("x")).join(whole, ["field", "key"])
-    placed = materialize(rank_within(kept, ["field"], ["key"], "_k"), "field-features")
-    n_folds = (placed.agg(F.max("fold")).first()[0] or 0) + 1
-    chunk = F.expr(f"(_k - 1) div {SAMPLES}").alias("chunk")
-    held = F.array_sort(F.collect_list(F.struct("_k", "fold", "x"))).alias("_h")
-    chunks = placed.groupBy("field", chunk).agg(held).select("field", "chunk", F.col("_h.fold").alias("fold"), F.flatten("_h.x").alias("x"))
-    named = rank_within(responses.select("field", "unit").distinct(), ["field"], ["unit"], "_r").select("field", "unit", F.expr(f"(_r - 1) div {UNITS}").alias("_block"))
-    each = given.join(placed.select("field", "key", "_k"), ["field", "key"])
-    series = each.groupBy("field", "unit", chunk).agg(F.array_sort(F.collect_list(F.struct("_k", F.col("y").cast("double").alias("y")))).alias("_h"))
-    blocks = series.join(named, ["field", "unit"]).groupBy("field", "chunk", "_block").agg(F.collect_list(F.struct("unit", F.col("_h.y").alias("y"))).alias("_h"))
-    dealt = chunks.join(blocks.select("field", "chunk", "_block", F.col("_h.unit").alias("units"), F.flatten("_h.y").alias("y")), ["field", "chunk"])
-
-    def multiply(table: pa.Table) -> pa.Table:
-        row = {c: table.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("fold", "x", "y")}
-        units = table.column("units")[0].values
-        fold, y = row["fold"], row["y"].reshape(len(units), -1)
-        x = np.concatenate([row["x"].reshape(len(fold), -1), np.ones((len(fold), 1))], 1)
-        out = np.zeros((len(units), n_folds, x.shape[1] + 1))
-        for f in range(n_folds):
-            own = fold == f
-            out[:, f, :-1], out[:, f, -1] = y[:, own] @ x[own], (y[:, own] ** 2).sum(1)
-        zeros = pa.array(np.zeros(len(units), np.int64))
-        return pa.table([table.column("field").combine_chunks().take(zeros), table.column("_block").combine_chunks().take(zeros), units, _fixed(out.reshape(len(units), -1))], names=["field", "_block", "unit", "sums"])
-
+    given = responses.where("y IS NOT NULL AND NOT isnan(y)").select("field", "unit", "key", F.col("y").cast("double").alias("y"))
+    units = responses.select("field", "unit").distinct()
+    named = materialize(rank_within(units, ["field"], ["unit"], "_r").select("field", "unit", "_r", F.expr(f"(_r - 1) div {UNITS}").alias("_block")), "field-units")
+    n_units = named.groupBy("field").agg(F.count("*").alias("_n"))
+    # numbers alone are gathered: a sample's responses, block by block; features are read once and meet them once
+    each = given.join(named, ["field", "unit"]).groupBy("field", "key", "_block").agg(F.array_sort(F.collect_list(F.struct("_r", "y"))).alias("_h"))
+    blocks = each.select("field", "key", "_block", F.col("_h.y").alias("y"))
+    whole = blocks.groupBy("field", "key").agg(F.sum(F.size("y")).alias("_u"), F.collect_list(F.struct("_block", "y")).alias("_b"))
+    whole = whole.join(n_units, "field").where("_u = _n").select("field", "key", "_b")
+    n_folds = (features.where("x IS NOT NULL").agg(F.max("fold")).first()[0] or 0) + 1
+    met = features.where("x IS NOT NULL").select("field", "key", "fold", "x").join(whole, ["field", "key"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            fold = batch.column("fold").to_numpy()
+            x = np.concatenate([np.ones((len(fold), 1)), batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fold), -1)], 1)
+            lists, place = batch.column("_b"), batch.column("field").dictionary_encode()
+            at = np.repeat(np.arange(len(fold)), lists.value_lengths().to_numpy())
+            block, y = lists.flatten().field("_block").to_numpy(), lists.flatten().field("y")
+            first, size, flat = np.cumsum(y.value_lengths().to_numpy()) - y.value_lengths().to_numpy(), y.value_lengths().to_numpy(), y.flatten().to_numpy()
+            codes = place.indices.to_numpy()
+            for code, f in set(zip(codes.tolist(), fold.tolist(), strict=True)):
+                own = (codes == code) & (fold == f)
+                name = place.dictionary[code].as_py()
+                put(held, (name, f, -1), x[own].T @ x[own])
+                for k in np.unique(block[own[at]]):
+                    rows = np.flatnonzero(own[at] & (block == k))
+                    z = flat[first[rows][:, None] + np.arange(size[rows[0]])]
+                    put(held, (name, f, k), np.concatenate([z.T @ x[at[rows]][:, 1:], z.sum(0)[:, None], (z * z).sum(0)[:, None]], 1))
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], kind), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array([v.ravel() for v in held.values()], pa.list_(pa.float64()))], names=["field", "fold", "_block", "sums"])
+
+    def put(held: dict[tuple, np.ndarray], key: tuple, sums: np.ndarray) -> None:
+        held[key] = held[key] + sums if key in held else sums
+
+    kind = to_arrow_type(responses.schema["field"].dataType)
     kinds = {c: responses.schema[c].dataType.simpleString() for c in ("field", "unit")}
-    sums = spread_out(dealt, "field", "chunk", "_block").applyInArrow(multiply, f"field {kinds['field']}, _block long, unit {kinds['unit']}, sums array<double>")
-    grams = fold_grams(placed, ["field"], "x", []).select("field", "fold", "gram").join(named.select("field", "_block").distinct(), "field")
+    parts = materialize(met.mapInArrow(add, f"field {kinds['field']}, fold int, _block long, sums array<double>"), "field-sums")  # of each task a row for each field, fold and block
+    blocked = named.groupBy("field", "_block").agg(F.array_sort(F.collect_list(F.struct("_r", "unit"))).alias("_h")).select("field", "_block", F.col("_h.unit").alias("units"))
+    dealt = parts.where("_block >= 0").join(blocked, ["field", "_block"])
+    grams = parts.where("_block < 0").select(F.col("field").alias("of_field"), F.col("fold").alias("of_fold"), F.col("sums").alias("grams"))
+    grams = grams.join(blocked.select(F.col("field").alias("of_field"), F.col("_block").alias("of_block")), "of_field")
 
     def solve(key: tuple, products: pa.Table, grams: pa.Table) -> pa.Table:
-        units = products.column("unit").combine_chunks().dictionary_encode()
-        flat = products.column("sums").combine_chunks().flatten().to_numpy().reshape(products.num_rows, -1)
-        total = np.zeros((len(units.dictionary), flat.shape[1]))
-        np.add.at(total, units.indices.to_numpy(), flat)
-        held = _stacked(grams, n_folds)
-        _each, corr, r2 = _scores(total.reshape(len(total), 1, n_folds, -1), held, alpha)
+        units = products.column("units").combine_chunks()[0].values
+        size = int(len(grams.column("grams")[0]) ** 0.5)
+        held = _added(grams.column("of_fold").to_numpy(), grams.column("grams"), n_folds).reshape(n_folds, size, size)
+        total = _added(products.column("fold").to_numpy(), products.column("sums"), n_folds).reshape(n_folds, len(units), size + 1).transpose(1, 0, 2)
+        _each, corr, r2 = _scores(total[:, None], held, alpha)
         field = products.column("field").combine_chunks().take(pa.array(np.zeros(len(total), np.int64)))
         n = np.full(len(total), int(held[:, 0, 0].sum()))
-        return pa.table([field, units.dictionary, pa.array(n), pa.array(corr[:, 0]), pa.array(r2[:, 0])], names=["field", "unit", "n", "corr", "r2"])
+        return pa.table([field, units, pa.array(n), pa.array(corr[:, 0]), pa.array(r2[:, 0])], names=["field", "unit", "n", "corr", "r2"])
 
-    by = ["field", "_block"]
-    scored = sums.groupBy(*by).cogroup(grams.groupBy(*by)).applyInArrow(solve, f"field {kinds['field']}, unit {kinds['unit']}, n long, corr double, r2 double")
+    scored = dealt.groupBy("field", "_block").cogroup(grams.groupBy("of_field", "of_block")).applyInArrow(solve, f"field {kinds['field']}, unit {kinds['unit']}, n long, corr double, r2 double")
     return scored.select("field", "unit", "n", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("corr", "r2")])

@@ -88,3 +88,17 @@ def test_units_are_fitted_in_their_own_field(spark, monkeypatch, small):
                 pred[~train] = (x[f][~train] - xm) @ w + ym
             assert r.n == n and r.corr == pytest.approx(np.corrcoef(pred, y[u])[0, 1])
             assert r.r2 == pytest.approx(1 - ((y[u] - pred) ** 2).sum() / ((y[u] - y[u].mean()) ** 2).sum())
+
+
+def test_bijections_of_chosen_numbers():
+    keys, some = draws.bijection_keys("s", range(5)), np.array([9, 3, 77])
+    assert (draws.places(keys, 100, at=some) == draws.places(keys, 100)[:, some]).all()
+
+
+def test_features_are_attached_after_the_shuffles(spark):
+    from tessella.plans import q_models
+
+    for found in (q_models.places(spark, "/root/testdata/sf0.001"), q_models.positions(spark, "/root/testdata/sf0.001")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        first = next(line for line in plan if "Join" in line)
+        assert "LeftOuter" in first and "ix" in first  # the look-up of features is the last join
