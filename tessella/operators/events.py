@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,11 +126,45 @@ def evenly_spaced(rows: DataFrame, k: int, key: str, order: tuple[str, ...]) ->
     return ranked.where(F.array_contains(wanted, F.col("_at").cast("long"))).drop("_n", "_at")
 
 
+#: Rows of a quantile's neighbourhood are at most about this share of all, ties apart.
+QUANTILE_SHARE = 10_000
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """The quantiles of a column, linearly interpolated, as ``percentile`` gives them; NULLs are left out.
+
+    Approximate quantiles bracket each one; ranks are counted over all rows, and only distinct values within the
+    bracket are ever in one task.  A bracket that misses its rank is widened to the end of the column.
+    """
+    v = F.col(column).cast("double")
+    given = rows.where(v.isNotNull()).select(v.alias("v"))
+    around = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-2 / QUANTILE_SHARE, 2 / QUANTILE_SHARE)]
+    n, least, most, ends = given.agg(F.count("*"), F.min("v"), F.max("v"), F.percentile_approx("v", around, QUANTILE_SHARE)).first()
+    out: list[float | None] = []
+    for k, share in enumerate(shares):
+        if not n:
+            out.append(None)
+            continue
+        at = (n - 1) * share
+        low, high = math.floor(at), math.ceil(at)
+        lo, hi = F.lit(ends[2 * k]), F.lit(ends[2 * k + 1])
+        below, up_to = given.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).first()
+        if below > low:
+            lo, below = F.lit(least), 0
+        if up_to <= high:
+            hi = F.lit(most)
+        counts = given.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count("*").alias("c"))
+        upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")) + below)
+        one, two = upto.agg(F.min(F.when(F.col("upto") > low, F.col("v"))), F.min(F.when(F.col("upto") > high, F.col("v")))).first()
+        out.append(one if low == high else (high - at) * one + (at - low) * two)
+    return out
+
+
 def outlier_bounds(rows: DataFrame, column: str, low: float = 0.025, high: float = 0.975, widen: float = 0.1) -> DataFrame:
     """One row (lo, hi): the percentiles widened by a share of their span, lo not below 0."""
-    q = F.percentile(column, F.array(F.lit(low), F.lit(high)))
-    span = (F.col("q")[1] - F.col("q")[0]) * widen
-    return rows.agg(q.alias("q")).select(F.greatest(F.col("q")[0] - span, F.lit(0.0)).alias("lo"), (F.col("q")[1] + span).alias("hi"))
+    q = [F.lit(x).cast("double") for x in exact_quantiles(rows, column, [low, high])]
+    span = (q[1] - q[0]) * widen
+    return rows.sparkSession.range(1).select(F.greatest(q[0] - span, F.lit(0.0)).alias("lo"), (q[1] + span).alias("hi"))
 
 
 def sequence_starts(words: DataFrame, pattern: list[str], column: str, key: str, order: tuple[str, ...]) -> DataFrame:

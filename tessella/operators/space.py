@@ -52,15 +52,16 @@ def scaled_boxes(boxes: DataFrame, width: Column, height: Column, dilate: float)
 def roi_hits(events: DataFrame, boxes: DataFrame, cells: DataFrame | None = None, cell_size: float = 1.0, image: str = "image", x: str = "x", y: str = "y") -> DataFrame:
     """``hit`` and ``component``: in the dilated mask if the image has one, else in its box, else false.
 
-    ``boxes`` has one row for an image; ``cells`` has image, px, py and component.
+    ``boxes`` has one row for an image; ``cells`` has image, px, py and component.  Cells grow with the
+    images and their number is guessed far too low, so neither they nor their images are ever broadcast.
     """
     met = events.join(boxes, image, "left")
     inside = (F.col(x) >= F.col("x1")) & (F.col(x) <= F.col("x2")) & (F.col(y) >= F.col("y1")) & (F.col(y) <= F.col("y2"))
     if cells is None:
         return met.withColumn("hit", F.coalesce(inside, F.lit(False))).withColumn("component", F.when(F.col("hit"), 0)).drop("x1", "y1", "x2", "y2")
-    masked = cells.select(image).distinct().withColumn("_masked", F.lit(True))
+    masked = cells.select(image).distinct().withColumn("_masked", F.lit(True)).hint("shuffle_merge")
     at = met.withColumn("px", grid_cell(F.col(x), 0.0, cell_size)).withColumn("py", grid_cell(F.col(y), 0.0, cell_size))
-    at = at.join(cells.select(image, "px", "py", F.col("component").alias("_c")), [image, "px", "py"], "left").join(masked, image, "left")
+    at = at.join(masked, image, "left").join(cells.select(image, "px", "py", F.col("component").alias("_c")).hint("shuffle_merge"), [image, "px", "py"], "left")
     component = F.when(F.coalesce("_masked", F.lit(False)), F.col("_c")).when(inside, 0)
     return at.withColumn("component", component).withColumn("hit", F.col("component").isNotNull()).drop("x1", "y1", "x2", "y2", "_c", "_masked", "px", "py")
 

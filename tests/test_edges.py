@@ -525,3 +525,21 @@ def test_criteria_hold_on_their_border_up_to_rounding(spark):
     rows = spark.createDataFrame([(1.0, 100.0, 0.0, 2.0, 1.0, 0.0, 1.0, 99.99999999999999), (1.0, 100.0, 0.0, 2.0, 1.0, 24.999999999999996, 24.999999999999996, 100.0)], "t double, clearance double, peak0 double, peak1 double, valid double, bias double, sd double, mean_clearance double")
     accepted, report = crossing.acceptable_latency(rows)
     assert accepted.count() == 1 and report.first().asDict() == dict(finite=2, clear=2, between_peaks=2, valid=2, unbiased=1, precise=1, clear_boots=2, total=2)
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [None, None], [3.0] * 50 + [9.0], [float(k * k % 101) for k in range(400)] + [None]])
+def test_quantiles_are_those_of_percentile(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in (0.025, 0.5, 0.975)]))).first()[0] or [None] * 3
+    assert events.exact_quantiles(df, "v", [0.025, 0.5, 0.975]) == want
+
+
+def test_cells_of_masks_are_never_broadcast(spark):
+    from tessella.operators import space
+
+    rows = spark.createDataFrame([(1, 0.5, 0.5), (1, 5.0, 5.0), (2, 0.5, 0.5)], "image long, x double, y double")
+    boxes = spark.createDataFrame([(2, 0.0, 0.0, 1.0, 1.0)], "image long, x1 double, y1 double, x2 double, y2 double")
+    cells = spark.createDataFrame([(1, 0, 0, 3)], "image long, px long, py long, component int")
+    got = space.roi_hits(rows, boxes, cells)
+    assert sorted(((r.image, r.x, r.hit, r.component) for r in got.collect())) == [(1, 0.5, True, 3), (1, 5.0, False, None), (2, 0.5, True, 0)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
