@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,8 +38,11 @@ def running_total(ranked: DataFrame, rank: str, value: str, name: str, block: in
     return ranked.withColumn("_b", at).withColumn(name, own).join(before, "_b").withColumn(name, F.col(name) + F.col("_before")).drop("_b", "_before")
 
 
+def task_count(spark: SparkSession, least: int = 0) -> int:
+    """Tasks for a shuffle whose number doesn't follow its bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, least)
+
+
 def spread_out(rows: DataFrame, *keys: str) -> GroupedData:
     """``rows`` grouped by keys whose groups are little data but much work, over more tasks than their bytes would get."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, *keys).groupBy(*keys)
+    return rows.repartition(task_count(rows.sparkSession), *keys).groupBy(*keys)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalars import border_distance, distance, draw
-from tessella.operators.ranking import spread_out
+from tessella.operators.ranking import spread_out, task_count
 
 
 def grid_edges(size: float, patch: float, step: float) -> list[float]:
@@ -133,6 +133,8 @@ def _grown(line: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -
     return {"py": y + low - radius, "x0": x0 + left - radius, "x1": x1 + left - radius, "component": grown[y, x0].astype(np.int32)}
 
 
+#: Cells of a task.
+CELLS = 1 << 19
 _RUN = "py long, x0 long, x1 long, component int"
 
 
@@ -152,10 +154,12 @@ def mask_runs(masks: DataFrame, radius: int, threshold: int = 127) -> DataFrame:
 def cell_runs(cells: DataFrame, radius: int, by: list[str]) -> DataFrame:
     """(by, py, x0, x1, component) out of masks that are cells (by, px, py), repeats allowed: the runs of grown components.
 
-    Cells become runs in Spark; a task holds the runs of one image.
+    Cells are shuffled once, to tasks of about ``CELLS`` of them whatever their bytes, and become runs in
+    Spark; a task holds the runs of one image at a time.
     """
     line = Window.partitionBy(*by, "py")
-    numbered = cells.select(*by, "py", "px").distinct().withColumn("_g", F.col("px") - F.row_number().over(line.orderBy("px")))
+    dealt = cells.select(*by, "py", "px").repartition(task_count(cells.sparkSession, cells.count() // CELLS), *by)
+    numbered = dealt.distinct().withColumn("_g", F.col("px") - F.row_number().over(line.orderBy("px")))
     runs = numbered.groupBy(*by, "py", "_g").agg(F.min("px").alias("x0"), F.max("px").alias("x1"))
 
     def grow(table: pa.Table) -> pa.Table:
@@ -166,7 +170,7 @@ def cell_runs(cells: DataFrame, radius: int, by: list[str]) -> DataFrame:
         return pa.table([*here.columns, *map(pa.array, found.values())], names=[*by, *found])
 
     kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
-    return spread_out(runs, *by).applyInArrow(grow, f"{kinds}, {_RUN}")
+    return runs.groupBy(*by).applyInArrow(grow, f"{kinds}, {_RUN}")
 
 
 def mask_cells(masks: DataFrame, radius: int, threshold: int = 127) -> DataFrame:

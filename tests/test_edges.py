@@ -543,3 +543,12 @@ def test_cells_of_masks_are_never_broadcast(spark):
     got = space.roi_hits(rows, boxes, cells)
     assert sorted(((r.image, r.x, r.hit, r.component) for r in got.collect())) == [(1, 0.5, True, 3), (1, 5.0, False, None), (2, 0.5, True, 0)]
     assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+
+
+def test_cells_are_shuffled_once_to_tasks_by_their_number(spark, monkeypatch):
+    from tessella.operators import space
+
+    monkeypatch.setattr(space, "CELLS", 10)
+    cells = spark.range(1000).selectExpr("id % 7 as image", "id % 20 as px", "id % 3 as py")
+    plan = space.cell_runs(cells, 1, ["image"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(image" in plan and ", 100)" in plan
