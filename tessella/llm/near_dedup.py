@@ -414,16 +414,24 @@ def dedup_near(docs: DataFrame, one_row: bool = False) -> DataFrame:
     """The rows of ``docs`` that ``near_groups`` keeps; rows without a doc_id stay, too.
 
     Rows that repeat a kept doc_id all stay; with ``one_row`` only that with the smallest text does (null
-    first; of equal texts the smallest row, as far as its columns can be ordered).  Only ids are
-    shuffled to find repeats, and rows of one id are reduced before they are shuffled.
+    first; of equal texts the smallest row, as far as its columns can be ordered).  What goes and what is repeated
+    is told by ids alone, so texts meet the ids that go, not those that stay, and are shuffled once at most unless
+    very many ids are repeated; rows of one id are reduced before they are shuffled.
     """
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
-    unnamed = docs.where("doc_id is null")
+    groups = near_groups(docs)
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("uses"))
+    marked = materialize(ids.where("not kept or uses > 1"), "near-marked")
+    release(groups)
+    gone = materialize(marked.where("not kept").select(F.col("doc_id").alias("_gone_id")), "near-gone")
+    stay = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
     if not one_row:
-        return named.unionByName(unnamed)
-    repeated = materialize(named.groupBy(F.col("doc_id").alias("_again_id")).agg(F.count("*").alias("_uses")).where("_uses > 1").select("_again_id"), "near-repeated")
-    same = named["doc_id"] == repeated["_again_id"]
+        release(marked)
+        return stay
+    repeated = materialize(marked.where("kept").select(F.col("doc_id").alias("_again_id")), "near-repeated")
+    release(marked)
+    if not repeated.limit(1).count():
+        return stay
+    same = docs["doc_id"] == repeated["_again_id"]
     order = F.struct("text", *[c.name for c in docs.schema.fields if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()])
-    smallest = named.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("_row"))
-    return named.join(repeated, same, "left_anti").unionByName(smallest.select("_row.*")).unionByName(unnamed)
+    smallest = docs.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("_row"))
+    return stay.join(repeated, same, "left_anti").unionByName(smallest.select("_row.*"))

@@ -237,6 +237,22 @@ def test_dedup_near_keeps_one_of_each_group(spark):
     assert kept.columns == ["doc_id", "text", "_kept_id"]
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    """As with tables of any size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dedup_near_shuffles_texts_once(spark, no_broadcasts):
+    docs = near_docs(6, 40)
+    out = near_dedup.dedup_near(spark.createDataFrame(docs, SCHEMA), one_row=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id") == 1
+    assert rows(out, "doc_id", "text") == sorted(((i, t) for (i, t), (_, _, _, k) in zip(sorted(docs, key=str), near_brute(docs), strict=True) if k), key=str)
+
+
 def test_recall_at_the_least_similarity():
     """Of pairs at similarity 0.75 exactly, which the signatures may miss, 99.9 % meet in a bucket and pass the sketch."""
     rng = np.random.default_rng(3)

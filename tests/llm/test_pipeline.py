@@ -70,6 +70,12 @@ def test_leak_stage(spark, stages):
     assert gone
 
 
+def test_stage_rows_hold_the_text_once(stages):
+    row = corpus_pipeline._with_row(stages[0])
+    assert row.columns == ["doc_id", "text", "_stage_row"]
+    assert row.schema["_stage_row"].dataType.names == ["doc_id", "lang", "source", "n_chars"]
+
+
 def test_mix_stage(stages):
     plan = {r.doc_id: (r.size, r.taken) for r in mixing.plan_mix(stages[4]).collect()}
     times = {r.doc_id: r["count"] for r in stages[5].groupBy("doc_id").count().collect()}
