@@ -121,6 +121,21 @@ def test_lines_without_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("words", [1, line_dedup.WORDS])
+def test_only_texts_that_may_lose_lines_are_shuffled(spark, monkeypatch, words):
+    """With a word of marks that all documents share other texts may be among them, too."""
+    split, parts = line_dedup._split_by_marks, []
+    monkeypatch.setattr(line_dedup, "WORDS", words)
+    monkeypatch.setattr(line_dedup, "_split_by_marks", lambda *args: parts.append(split(*args)) or parts[-1])
+    docs = [(i, f"a line of its own {i}" + "\na line of ten of them" * (i % 8 == 0)) for i in range(80)] + [(None, "a line of its own 3"), (None, None), (90, None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, SCHEMA))
+    assert rows(out, "doc_id", "n_lines", "n_dropped", "text") == line_brute(docs)
+    ((losers, others),) = parts
+    n = losers.count()
+    assert n + others.count() == len(docs)
+    assert n == 10 if words > 1 else 10 <= n < len(docs)
+
+
 def test_line_runs_are_compacted(spark):
     runs = line_dedup.LineRuns()
     for k in range(5):
