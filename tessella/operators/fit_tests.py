@@ -1,6 +1,7 @@
 """Cross-validated ridge fits of many units at once, and a permutation test of whether one response fits better than another.
 
-Units are rows, not columns; products of features and responses are added up over chunks of samples.  In the test features stay as they are in every replicate, so a place's and fold's normal equations are
+Units are rows, not columns; products of features and responses are added up over chunks of samples, whose features pass
+through a task in slices.  In the test features stay as they are in every replicate, so a place's and fold's normal equations are
 factorised once for all replicates and units, and a replicate permutes responses by a
 keyed bijection.
 """
@@ -28,20 +29,27 @@ CHUNKS, SEGMENT = 8, 1 << 16
 PARTS = 8
 #: Numbers of a block of replicates, samples and units.
 AT_ONCE = 1 << 21
+#: Rows of samples and their features that are multiplied at once.
+ROWS = 1 << 15
 #: Variances up to it count as none.
 LEAST_VARIANCE = 1e-8
 
 
-def _products(x: list[np.ndarray], folds: list[np.ndarray], y: np.ndarray, k: np.ndarray, start: int, n: int, n_folds: int, replicates: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """By place, unit and replicate, for both conditions and every fold: sums of the features times y, of y, and of its square.
+def _add_products(out: np.ndarray, x: list[np.ndarray], folds: list[np.ndarray], y: np.ndarray, k: np.ndarray, start: int, n: int, replicates: np.ndarray, keys: np.ndarray) -> None:
+    """Adds, by place, unit and replicate, for both conditions and every fold: sums of the features times y, of y, and of its square.
 
-    ``k`` numbers the samples, in which order each place has features (with a column of ones) and folds; ``y``
+    ``k`` numbers some samples, in which order each place has features (with a column of ones) and folds; ``y``
     has the responses of each unit from ``start`` and a last column of 0 for those that another piece has.
     """
-    units, size = len(y), y.shape[1] - 1
-    own = [[np.flatnonzero(fold == f) for f in range(n_folds)] for fold in folds]
-    held = [[v[rows] for rows in at] for v, at in zip(x, own, strict=True)]
-    out = np.zeros((len(x), units, len(replicates), 2, n_folds, x[0].shape[1] + 1))
+    units, size, width = len(y), y.shape[1] - 1, x[0].shape[1]
+    alike: dict[bytes, list[int]] = {}  # places that deal the samples to the same folds are multiplied at once
+    for p, fold in enumerate(folds):
+        alike.setdefault(np.ascontiguousarray(fold).tobytes(), []).append(p)
+    held = []
+    for places in alike.values():
+        for f in np.unique(folds[places[0]]):
+            rows = np.flatnonzero(folds[places[0]] == f)
+            held.append((places, f, rows, np.concatenate([x[p][rows] for p in places], 1)))
     step = max(1, AT_ONCE // max(1, len(k) * units))
     for lo in range(0, len(replicates), step):
         some = slice(lo, lo + step)
@@ -50,12 +58,13 @@ def _products(x: list[np.ndarray], folds: list[np.ndarray], y: np.ndarray, k: np
             at[replicates[some] < 0] = cond * n + k
             at -= start
             drawn = y[:, np.where((at >= 0) & (at < size), at, size)]  # unit, replicate, sample
-            for p in range(len(x)):
-                for f in range(n_folds):
-                    part = drawn[:, :, own[p][f]]
-                    out[p, :, some, cond, f, :-1] = part @ held[p][f]
-                    out[p, :, some, cond, f, -1] = np.einsum("urs,urs->ur", part, part)
-    return out
+            for places, f, rows, features in held:
+                part = drawn[:, :, rows]
+                found = (part.reshape(-1, len(rows)) @ features).reshape(*part.shape[:2], len(places), width)
+                squares = np.einsum("urs,urs->ur", part, part)
+                for i, p in enumerate(places):
+                    out[p, :, some, cond, f, :-1] += found[:, :, i]
+                    out[p, :, some, cond, f, -1] += squares
 
 
 def _scores(sums: np.ndarray, grams: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,50 +130,93 @@ def fit_difference_test(features: DataFrame, responses: DataFrame, alpha: float,
     # features are shuffled once, to the chunk of their key; what a chunk's samples draw comes to it as numbers
     chunk = F.pmod(F.xxhash64("key"), F.lit(n_chunks)).cast("int").alias("chunk")
     meet = F.explode(F.sequence(F.lit(0), F.lit(n_pieces * n_blocks - 1))).alias("_m")
-    chunks = there.select("place", "key", "fold", "x", chunk, meet)
+    chunks = there.where("key IS NOT NULL").select("place", "key", "fold", "x", chunk, meet)
     each = responses.join(samples, "key").select("unit", F.posexplode(F.array(F.col("y0").cast("double"), F.col("y1").cast("double"))).alias("_c", "_y"), "_k").withColumn("_at", (F.col("_c") * n + F.col("_k")).cast("long"))
     piece, row = F.expr(f"_at div {RESPONSES}"), F.expr(f"_at % {RESPONSES} div {segment}")
     series = each.groupBy("unit", piece.alias("piece"), row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("_at", "_y"))).alias("_h"))
     numbered = materialize(global_rank(responses.select("unit").distinct(), ["unit"], "_r"), "units")
     dealt = series.join(numbered, "unit").select("unit", F.col("_h._at")[0].alias("_at"), F.col("_h._y").alias("y"), (F.expr(f"(_r - 1) div {UNITS}") * n_pieces + F.col("piece")).cast("int").alias("_m"))
     dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    drawn = samples.select(chunk, meet, "key", "_k").unionByName(dealt, allowMissingColumns=True)
+    met = samples.select(chunk, meet, "key", "_k").unionByName(dealt, allowMissingColumns=True).unionByName(chunks, allowMissingColumns=True)
+    # a task for each chunk and block: its responses first, then each sample with its features
+    met = met.repartitionById(n_chunks * n_pieces * n_blocks, (F.col("chunk") * (n_pieces * n_blocks) + F.col("_m")).cast("int")).sortWithinPartitions(F.col("y").isNull(), "key", F.col("_k").isNull())
     kinds = {c: df.schema[c].dataType for c, df in (("place", features), ("unit", responses))}
 
-    def multiply(key: tuple, features: pa.Table, drawn: pa.Table) -> pa.Table:
-        mine, given = drawn.filter(pc.is_valid(drawn.column("_k"))), drawn.filter(pc.is_valid(drawn.column("y")))
+    def samples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole samples with their features, some ``ROWS`` rows at once."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                codes = table.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+                last = int(np.argmax(codes == codes[-1]))  # the last sample may go on
+                yield table.slice(0, last)
+                held = table.slice(last).to_batches()
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replicates = np.arange(-1, n_perm)
         keys = draws.bijection_keys(seed, replicates)
-        features = features.append_column("_at", pc.index_in(features.column("key"), mine.column("key").combine_chunks()))
-        features = features.filter(pc.is_valid(features.column("_at")))
-        if not features.num_rows or not given.num_rows:
-            return pa.table([pa.array([], to_arrow_type(kinds["place"])), pa.array([], to_arrow_type(kinds["unit"])), pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64()))], names=["place", "unit", "b", "sums"])
-        places = features.column("place").combine_chunks().dictionary_encode()
-        flat = features.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(features.num_rows, -1)
-        at, fold, k = (t.column(c).to_numpy() for t, c in ((features, "_at"), (features, "fold"), (mine, "_k")))
-        x, folds = [], []
-        for code in range(len(places.dictionary)):
-            rows = np.flatnonzero(places.indices.to_numpy() == code)
-            rows = rows[np.argsort(at[rows])]  # every place has all samples
-            x.append(np.concatenate([flat[rows].astype(np.float64), np.ones((len(rows), 1))], 1))
-            folds.append(fold[rows])
-        units = given.column("unit").combine_chunks().dictionary_encode()
-        start = key[1].as_py() % n_pieces * RESPONSES
-        y = np.zeros((len(units.dictionary), min(RESPONSES, 2 * n - start) + 1))
-        for u, first, values in zip(units.indices.to_pylist(), given.column("_at").to_numpy(), given.column("y").combine_chunks(), strict=True):
-            y[u, first - start : first - start + len(values)] = values.values.to_numpy()
-        out = _products(x, folds, y, k, start, n, n_folds, replicates, keys)
-        named = [np.repeat(np.arange(len(x)), y.shape[0] * len(replicates)), np.tile(np.repeat(np.arange(len(y)), len(replicates)), len(x))]
-        tables = [pa.table([places.dictionary.take(pa.array(named[0])), units.dictionary.take(pa.array(named[1])), pa.array(np.tile(replicates, len(x) * len(y))), _fixed(out.reshape(len(named[0]), -1))], names=["place", "unit", "b", "sums"])]
-        if key[1].as_py() == 0:  # the sums of the features are the same for all
-            z = [np.concatenate([v[:, -1:], v[:, :-1]], 1) for v in x]
-            grams = np.stack([(v[fold == f].T @ v[fold == f]).ravel() for v, fold in zip(z, folds, strict=True) for f in range(n_folds)])
-            none = pa.nulls(len(grams), units.dictionary.type)
-            tables.append(pa.table([places.dictionary.take(pa.array(np.repeat(np.arange(len(x)), n_folds))), none, pa.array(-2 - np.tile(np.arange(n_folds), len(x))), _fixed(grams)], names=["place", "unit", "b", "sums"]))
-        return pa.concat_tables(tables)
-
+        first, given = None, []
+
+        def rest() -> Iterator[pa.RecordBatch]:  # leaves the responses in ``given`` on its way
+            nonlocal first
+            for batch in batches:
+                if batch.num_rows and first is None:
+                    first = batch.column("_m")[0].as_py()
+                mine = batch.filter(pc.is_valid(batch.column("y")))
+                given.extend(zip(mine.column("unit").to_pylist(), mine.column("_at").to_pylist(), mine.column("y"), strict=True))
+                if mine.num_rows < batch.num_rows:
+                    yield batch.filter(pc.is_null(batch.column("y"))).select(["key", "_k", "place", "fold", "x"])
+
+        y = out = None
+        seen_at: list = []
+        units: dict = {}
+        for table in samples_of(rest()):
+            if y is None:  # sorted, so all responses have come
+                units = {u: i for i, u in enumerate(dict.fromkeys(u for u, _, _ in given))}
+                start = first % n_pieces * RESPONSES
+                y = np.zeros((len(units), min(RESPONSES, 2 * n - start) + 1))
+                for u, at, values in given:
+                    y[units[u], at - start : at - start + len(values)] = values.values.to_numpy()
+                given.clear()
+            mine, features = table.filter(pc.is_valid(table.column("_k"))), table.filter(pc.is_null(table.column("_k")))
+            features = features.append_column("_of", pc.index_in(features.column("key"), mine.column("key").combine_chunks()))
+            features = features.filter(pc.is_valid(features.column("_of")))
+            if not features.num_rows or not units:
+                continue
+            places = features.column("place").combine_chunks().dictionary_encode()
+            flat = features.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(features.num_rows, -1)
+            of, fold, k = (t.column(c).to_numpy() for t, c in ((features, "_of"), (features, "fold"), (mine, "_k")))
+            x, folds = [], []
+            seen_at = seen_at or places.dictionary.to_pylist()  # every place has all samples
+            for code in map(places.dictionary.to_pylist().index, seen_at):
+                rows = np.flatnonzero(places.indices.to_numpy() == code)
+                rows = rows[np.argsort(of[rows])]
+                x.append(np.concatenate([flat[rows].astype(np.float64), np.ones((len(rows), 1))], 1))
+                folds.append(fold[rows])
+            if out is None:
+                width = x[0].shape[1]
+                out, grams = np.zeros((len(x), len(units), len(replicates), 2, n_folds, width + 1)), np.zeros((len(x), n_folds, width, width))
+            _add_products(out, x, folds, y, k, start, n, replicates, keys)
+            if first == 0:  # the sums of the features are the same for all
+                for p, (v, own) in enumerate(zip(x, folds, strict=True)):
+                    z = np.concatenate([v[:, -1:], v[:, :-1]], 1)
+                    for f in np.unique(own):
+                        grams[p, f] += z[own == f].T @ z[own == f]
+        if out is None:
+            return
+        for p, u in np.ndindex(out.shape[:2]):
+            yield pa.RecordBatch.from_arrays([pa.array([seen_at[p]] * len(replicates), place_kind), pa.array([list(units)[u]] * len(replicates), unit_kind), pa.array(replicates), _fixed(out[p, u].reshape(len(replicates), -1))], names=["place", "unit", "b", "sums"])
+        if first == 0:
+            of_fold = np.tile(-2 - np.arange(n_folds), len(seen_at))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in seen_at for _ in range(n_folds)], place_kind), pa.nulls(len(of_fold), unit_kind), pa.array(of_fold), _fixed(grams.reshape(len(of_fold), -1))], names=["place", "unit", "b", "sums"])
+
+    place_kind, unit_kind = (to_arrow_type(t) for t in kinds.values())
     names = {c: t.simpleString() for c, t in kinds.items()}
-    multiplied = chunks.groupBy("chunk", "_m").cogroup(drawn.groupBy("chunk", "_m")).applyInArrow(multiply, f"place {names['place']}, unit {names['unit']}, b long, sums array<double>")
+    multiplied = met.mapInArrow(multiply, f"place {names['place']}, unit {names['unit']}, b long, sums array<double>")
     sums = materialize(multiplied, "products")
     grams = sums.where("b < -1").select(F.col("place").alias("of_place"), (-2 - F.col("b")).alias("fold"), F.col("sums").alias("grams"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part")

@@ -61,6 +61,34 @@ def test_fit_differences(spark, monkeypatch, reference, alternative, small):
             assert r.p is None if p == reference else r.p == pytest.approx(want)
 
 
+def test_fit_differences_hold_few_samples_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n, places = 60, (0, 1, 2)
+    features = [(p, k, int(k + (p == 2)) % 3, rng.normal(size=4).tolist()) for p in places for k in range(n)]  # one place deals the folds otherwise
+    responses = [(k, u, *rng.normal(size=2).tolist()) for u in "ab" for k in range(n)]
+    df = spark.createDataFrame(features, "place int, key long, fold int, x array<double>"), spark.createDataFrame(responses, "key long, unit string, y0 double, y1 double")
+    monkeypatch.setattr(fit_tests, "CHUNKS", 1)
+    run = lambda: {(r.place, r.unit): (r.corr0, r.corr1, r.p) for r in fit_tests.fit_difference_test(*df, 0.5, 40, "s").collect()}
+    want = run()
+    rows, multiply = 13, fit_tests._add_products
+
+    def few(out, x, folds, y, k, *rest):
+        if sum(map(len, x)) + len(k) > 2 * rows:
+            raise AssertionError(f"{len(k)} samples are held at once")
+        multiply(out, x, folds, y, k, *rest)
+
+    monkeypatch.setattr(fit_tests, "ROWS", rows)
+    monkeypatch.setattr(fit_tests, "_add_products", few)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = run()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got.keys() == want.keys() == {(p, u) for p in places for u in "ab"}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_units_are_fitted_in_their_own_field(spark, monkeypatch, small):
     if small:
