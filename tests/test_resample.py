@@ -2,13 +2,14 @@
 
 import random
 from collections import defaultdict
+from hashlib import md5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import draws
-from tessella.operators import nested, permutation
+from tessella.operators import nested, permutation, resample
 
 SCHEMA = "region string, subject string, unit long, t int, value double"
 
@@ -174,3 +175,48 @@ def test_index_permutations(spark, monkeypatch, chunk):
                 label[own] = draws.places(keys[b : b + 1], len(own))[0] >= (cond[own] == 0).sum()
             beyond.append(abs(index(v, label, cat, 1) - index(v, label, cat, 0)) >= abs(observed[1] - observed[0]) - 1e-9)
         assert got[u].p == pytest.approx(max(np.mean(beyond), 1 / (n + 1)))
+
+
+def test_words_of_many_texts_are_those_of_md5():
+    for said in ("c-perm:12:", "", "x" * 50, "y" * 53):
+        for lo, hi in ((0, 120), (995, 1010), (2**32 - 3, 2**32 + 3)):
+            assert draws.first_words(said, lo, hi).tolist() == [int(md5(f"{said}{k}".encode()).hexdigest()[:8], 16) for k in range(lo, hi)]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 32])
+def test_consistency_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(resample, "BLOCK", block)
+    monkeypatch.setattr(resample, "SEGMENT", 19)
+    monkeypatch.setattr(resample, "HELD", 250)  # two units of 100 pairs
+    rng = np.random.default_rng(6)
+    n, n_boot, n_perm = 100, 5, 12
+    x = {u: rng.normal(size=(2, n)) + np.arange(n) / 40 + 1000 for u in "abcd"} | {"flat": np.full((2, n), 7.0)}
+    x["c"][0, 3] = np.nan
+    rows = [(u, k, float(v[0, k]), float(v[1, k])) for u, v in x.items() for k in range(n) if (u, k) != ("d", 8)]
+    got = {r.unit: r for r in resample.value_consistency(spark.createDataFrame(rows, "unit string, k long, a double, b double").repartition(3), n_boot, n_perm, "s").collect()}
+    drawn = lambda name, *keys: np.array([int(md5(":".join(map(str, (f"s-{name}", *keys, k))).encode()).hexdigest()[:8], 16) for k in range(n)])
+
+    def corr(p, q):
+        ok = np.isfinite(p) & np.isfinite(q)
+        return np.corrcoef(p[ok], q[ok])[0, 1]
+
+    assert set(got) == set(x) and got["flat"].r is None and got["flat"].p is None and got["d"].n == n - 1
+    x["d"][:, 8] = np.nan
+    for u in "abcd":
+        a, b = x[u]
+        turned = lambda odd, a=a, b=b: (np.where(odd, b, a), np.where(odd, a, b))
+        r = corr(*turned(drawn("side") % 2 == 1))
+        boots = [corr(*(np.where(f, q[at], p[at]) for p, q in ((a, b), (b, a)))) for i in range(n_boot) for at, f in [(drawn("boot", i) % n, drawn("boot-side", i) % 2 == 1)]]
+        nulls = [corr(p, q[np.argsort(np.argsort(drawn("perm", i), kind="stable"))]) for i in range(n_perm) for p, q in [turned(drawn("perm-side", i) % 2 == 1)]]
+        p = max(1 - np.mean(r - np.array(nulls) > 0), 1 / (n_perm + 1))
+        assert [got[u].r, got[u].boot_mean, got[u].boot_sd, got[u].p] == pytest.approx([r, np.mean(boots), np.std(boots), p])
+
+
+def test_all_near_pairs_are_tested(spark, tmp_path):
+    """More near pairs than the cap of 10,000 that the query had."""
+    from tessella.plans import q_stats
+
+    rows = spark.range(250).selectExpr("id as l_orderkey", "1L as l_partkey", "1L as l_suppkey", "1L as l_linenumber", "1.0D as l_quantity", "id * 10.0D + 1000 as l_extendedprice", "0.05D as l_discount", "id % 7 / 100.0D as l_tax", "'N' as l_returnflag", "'O' as l_linestatus", "timestamp'2020-01-01' as l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.unit: r.n for r in q_stats.self_consistency_perm_p(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(("price", "tax", "x"), 250 * 249 // 2)
